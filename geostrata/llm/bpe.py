@@ -35,7 +35,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     """Encoder and decoder for one vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, cache_entries: int = 500_000):
+    def __init__(self, path: str, cache_entries: int = 1_000_000):
         spec = json.load(open(path, encoding="utf-8"))
         model, alphabet = spec["model"], byte_alphabet()
         vocab: dict[str, int] = model["vocab"]
@@ -142,16 +142,6 @@ class ByteBpe:
         cut = text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.split.findall(text)
         return cut if cut[0] else cut[1:]
 
-    def _room(self, wanted: set[str]) -> set[str]:
-        """Those of the wanted strings that the cache lacks. A full cache keeps only what is wanted now."""
-        cache = self._cache
-        unseen = wanted - cache.keys()
-        if len(cache) + len(unseen) > self.cache_entries:
-            held = {w: cache[w] for w in wanted if w in cache}
-            cache.clear()
-            cache.update(held)
-        return unseen
-
     def _merge_into_cache(self, words: list[str]) -> None:
         width = self.dtype.itemsize
         for a in range(0, len(words), 100_000):
@@ -160,33 +150,56 @@ class ByteBpe:
             raw, at = ids.tobytes(), (offsets * width).tolist()
             self._cache.update(zip(part, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        cut, seen = [], set()
-        for text in texts:
-            parts = [(k % 2, p if k % 2 else self.chunks(p)) for k, p in enumerate(self.sections(text))]
-            cut.append(parts)
-            seen.update(*(p for special, p in parts if not special))
+    def _learn(self, missing: set[str]) -> None:
+        """Put chunks that the cache lacks into it, and their pre-tokens; all new words merge together."""
         cache, find = self._cache, self.split.findall
         composed, words = {}, set()
-        for c in self._room(seen):
-            if c[1:].isalpha() and c[0] == " ":
+        for c in missing:
+            if c[0] == " " and c[1:].isalpha():
                 words.add(c)
-                continue
-            ws = find(c)
-            if len(ws) > 1:
-                composed[c] = ws
-            words.update(ws)
+            else:
+                ws = find(c)
+                words.update(ws)
+                if len(ws) > 1:
+                    composed[c] = ws
         self._merge_into_cache([w for w in words if w not in cache])
         cache.update({c: b"".join([cache[w] for w in ws]) for c, ws in composed.items()})
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        get, missing = self._cache.get, set()
+        cut: list[list] = []
+        for text in texts:
+            parts = []
+            for k, p in enumerate(self.sections(text)):
+                if k % 2:
+                    parts.append((None, [np.array([self.special[p]], self.dtype).tobytes()]))
+                    continue
+                chunks = self.chunks(p)
+                found = list(map(get, chunks))
+                if None in found:
+                    missing.update([c for c, x in zip(chunks, found, strict=True) if x is None])
+                    parts.append((chunks, found))
+                else:
+                    parts.append((None, [b"".join(found)]))
+            cut.append(parts)
+        if missing:
+            self._learn(missing)
+        now = self._cache.__getitem__
         out = []
         for parts in cut:
-            raw = [np.array([self.special[p]], self.dtype).tobytes() if special else b"".join(map(cache.__getitem__, p)) for special, p in parts]
+            raw = [b"".join([now(c) if x is None else x for c, x in zip(chunks, found, strict=True)]) if chunks else found[0] for chunks, found in parts]
             out.append(np.frombuffer(b"".join(raw), self.dtype))
+        if len(self._cache) > self.cache_entries:  # keep what the last texts used
+            held = {c: now(c) for parts in cut for chunks, _ in parts if chunks for c in chunks if c in self._cache}
+            self._cache.clear()
+            self._cache.update(held)
         return out
 
     def count_words(self, words: list[str]) -> np.ndarray:
         """Number of ids of each pre-token; a special token counts one."""
-        self._merge_into_cache(list(self._room(set(words) - self.special.keys())))
+        if len(self._cache) > self.cache_entries:
+            self._cache.clear()
+        self._merge_into_cache(list(set(words) - self.special.keys() - self._cache.keys()))
         held, width = self._cache, self.dtype.itemsize
         return np.fromiter((len(held[w]) // width if w in held else 1 for w in words), np.int64, len(words))
 
