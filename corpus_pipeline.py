@@ -1,6 +1,54 @@
-STAGES = []
-ORACLE_SQL = None
+"""From raw documents to token counts: five stages, each over all that its predecessor kept.
 
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
+Parquet to the shared folder and read again as the next one's ``docs``. All but the last
+return the columns of ``documents``.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from geostrata.llm import op1_bpe, op2_exact_dedup, op5_near_dedup, op6_mixing, op10_language
+from geostrata.llm.text import scratch, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op10_language.keep_known(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op2_exact_dedup.deduplicate(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op5_near_dedup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op6_mixing.sample(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op1_bpe.round_trip(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("bpe", encode),
+]
+
+ORACLE_SQL = None  # language ID, near dedup and BPE have no form in SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: one for each row of the mixed corpus."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
