@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import cells, matching, rasters, terrain
+from .operators import catalogue, cells, geometry, matching, rasters, terrain
 
-MODULES = (cells, terrain, matching, rasters)
+MODULES = (cells, terrain, matching, rasters, catalogue, geometry)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
