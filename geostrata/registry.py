@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import catalogue, cells, geometry, matching, rasters, terrain
+from .operators import catalogue, cells, geometry, ground, matching, rasters, terrain
+from .plans import pipelines
 
-MODULES = (cells, terrain, matching, rasters, catalogue, geometry)
+MODULES = (cells, terrain, matching, rasters, catalogue, geometry, ground, pipelines)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
