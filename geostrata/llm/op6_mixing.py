@@ -73,20 +73,21 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
 
 
 def _with_plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """rows(source, __size, __key) with source_size, target and taken."""
+    """rows(source, __size, __key) with __source_size, __target and __taken; names that rows may have don't clash."""
     sources = through_files(sources, "mix-plan")
+    sources = sources.select(*(F.col(c).alias(f"__{c}") for c in sources.columns))
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
-    extra = F.when(F.col("__key") < F.col("cut_key"), F.col("__size")).when(F.col("__key") == F.col("cut_key"), F.least("__size", "cut_words")).otherwise(0)
-    joined = rows.join(sources, F.col("source").eqNullSafe(F.col("s")))
-    return joined.withColumn("__taken", (F.col("whole") * F.col("__size") + extra).cast("long"))
+    extra = F.when(F.col("__key") < F.col("__cut_key"), F.col("__size")).when(F.col("__key") == F.col("__cut_key"), F.least("__size", "__cut_words")).otherwise(0)
+    joined = rows.join(sources, F.col("source").eqNullSafe(F.col("__s")))
+    return joined.withColumn("__taken", (F.col("__whole") * F.col("__size") + extra).cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row of ``docs(doc_id, text, source)``."""
     rows = through_files(_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")), seed).drop("text"), "mix-sizes")
     sources = plan(rows.select("source", F.col("__size").alias("size"), F.col("__key").alias("key")), weights, max_epochs)
-    return _with_plan(rows, sources).select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.col("__taken").alias("taken"))
+    return _with_plan(rows, sources).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
 def sample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
