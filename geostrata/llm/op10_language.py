@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import column_or_null, slices, table
+from .text import column_or_null, slices, small_batches, table
 
 PER_LANGUAGE = 400
 MAX_SAMPLE = 4_000
@@ -154,7 +154,7 @@ def train(docs: DataFrame) -> Model | None:
                 packed = [r.astype(np.float16).tobytes() if ok else None for r, ok in zip(rows, has, strict=True)]
                 yield pa.record_batch([batch.column("lang").slice(a, z - a), pa.array(packed, pa.binary())], ["lang", "row"])
 
-    got = drawn.mapInArrow(features, "lang string, row binary").where("row is not null").limit(2 * MAX_SAMPLE).toPandas()
+    got = small_batches(drawn).mapInArrow(features, "lang string, row binary").where("row is not null").limit(2 * MAX_SAMPLE).toPandas()
     if got.empty:
         return None
     languages = sorted(set(got["lang"]))
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.record_batch([*held, pa.array(names, pa.string()), pa.array(score), pa.array(lead < LEAD)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     rows = _prepared(docs).select("doc_id", "held_out", "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return small_batches(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     def language(texts: pd.Series) -> pd.Series:
         return pd.Series(classify([t if isinstance(t, str) else "" for t in texts], model)[0], index=texts.index)
 
-    return docs.where(language(F.col("text").cast("string")) != UNKNOWN)
+    return small_batches(docs).where(language(F.col("text").cast("string")) != UNKNOWN)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .text import slices, table
+from .text import slices, small_batches, table
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 yield pa.record_batch([batch.column("doc_id").slice(a, z - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return small_batches(_texts(docs)).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = [codec.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return small_batches(tokens.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     backs.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
                 yield pa.record_batch([batch.column("doc_id").slice(a, z - a), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(_texts(docs)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .text import column_or_null, slices, table
+from .text import column_or_null, slices, small_batches, table
 
 RUN = 32
 #: Characters before an edit that a split there may look at: a special token and one more.
@@ -167,7 +167,7 @@ def build_trees(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     edits = [F.col("edits").cast("array<struct<at:int,removed:int,inserted:string>>").alias("edits")] if extra else []
     schema = _TREE + (", edits array<struct<at:int,removed:int,inserted:string>>" if extra else "")
-    return docs.select(column_or_null(docs, "doc_id", "long"), column_or_null(docs, "text", "string"), *edits).mapInArrow(run, schema)
+    return small_batches(docs.select(column_or_null(docs, "doc_id", "long"), column_or_null(docs, "text", "string"), *edits)).mapInArrow(run, schema)
 
 
 def apply_edits(trees: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -193,7 +193,7 @@ def apply_edits(trees: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 names = ["text", "leaf_chars", "leaf_tokens", "n_before", "n_tokens", "n_edits", "n_reencoded"]
                 yield pa.record_batch([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
 
-    return trees.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits").mapInArrow(run, _TREE + ", n_before long, n_tokens long, n_edits long, n_reencoded long")
+    return small_batches(trees.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits")).mapInArrow(run, _TREE + ", n_before long, n_tokens long, n_edits long, n_reencoded long")
 
 
 def with_edits(docs: DataFrame) -> DataFrame:

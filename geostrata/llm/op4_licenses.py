@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import column_or_null, slices, table
+from .text import column_or_null, slices, small_batches, table
 
 #: Base phrases and their labels (fixed values).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -215,7 +215,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column("doc_id").slice(a, z - a), *columns], ["doc_id", *names])
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<template int, first_word long, last_word long, covered long, share double>>"
-    return docs.select(column_or_null(docs, "doc_id", "long"), column_or_null(docs, "text", "string")).mapInArrow(run, schema)
+    return small_batches(docs.select(column_or_null(docs, "doc_id", "long"), column_or_null(docs, "text", "string"))).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .text import column_or_null, ragged, slices, table, through_files
+from .text import column_or_null, ragged, slices, small_batches, table, through_files
 
 WORDS = 5
 SIMILARITY = 80
@@ -112,7 +112,7 @@ def sketches(docs: DataFrame, words: int, entries: int, width: int, seed: int) -
                 columns = [pa.array(np.where(some, halves[place % max(1, len(halves)), h] if len(halves) else 0, 0), mask=~some) for h in (0, 1)]
                 yield pa.record_batch([batch.column("doc_id").slice(a, z - a), pa.array(np.diff(offsets)), *columns, lists], ["doc_id", "n_shingles", "print1", "print2", "entries"])
 
-    return _docs(docs).mapInArrow(run, "doc_id long, n_shingles long, print1 long, print2 long, entries array<long>")
+    return small_batches(_docs(docs)).mapInArrow(run, "doc_id long, n_shingles long, print1 long, print2 long, entries array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -133,7 +133,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 shingles, offsets = shingle_sets(texts[a:z], words)
                 yield pa.record_batch([batch.column("doc_id").slice(a, z - a), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(shingles.view(np.int64)))], ["doc", "shingles"])
 
-    return texts.mapInArrow(run, "doc long, shingles array<long>")
+    return small_batches(texts).mapInArrow(run, "doc long, shingles array<long>")
 
 
 def _linked(similarity: int):

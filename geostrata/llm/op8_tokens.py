@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import SPLIT
-from .text import scratch, slices, table
+from .text import scratch, slices, small_batches, table
 from .wavelet import WaveletMatrix, build
 
 END_ID = 2
@@ -92,7 +92,7 @@ def write(docs: DataFrame, path: str, ranks: str | None = None, end_id: int = EN
             yield flush()
 
     ordered = texts.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, _SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    small_batches(ordered).mapInArrow(run, _SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:

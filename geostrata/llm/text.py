@@ -56,7 +56,7 @@ def column_or_null(df: DataFrame, name: str, kind: str):
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
 
 
-def slices(texts: list[str], chars: int = 2_000_000):
+def slices(texts: list[str], chars: int = 1_000_000):
     """Ranges of consecutive texts with a bounded number of characters together (one text at least)."""
     start = held = 0
     for k, t in enumerate(texts):
@@ -66,3 +66,16 @@ def slices(texts: list[str], chars: int = 2_000_000):
         held += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Bytes of one Arrow batch between the JVM and a Python worker; long texts then can't gather in memory.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded by BATCH_BYTES (a smaller bound stays)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = str(conf.get(name, "")).lower().removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
