@@ -103,7 +103,7 @@ def tpi_tri(cells: DataFrame, radius: int, grid: Grid = GRID) -> DataFrame:
 def openness(cells: DataFrame, radius: int, directions: int, grid: Grid = GRID) -> DataFrame:
     """row, col, positive, negative, sky_view: mean extreme angles over directions; offsets wrap around the edges and count nominal distance."""
     spark = cells.sparkSession
-    steps = [(d, s, round(s * math.sin(2 * math.pi * d / directions)), round(s * math.cos(2 * math.pi * d / directions)), s * grid.pixel_size) for d in range(directions) for s in range(1, radius + 1)]
+    steps = [(d, s, round(s * math.sin(2 * math.pi * d / directions)), round(s * math.cos(2 * math.pi * d / directions)), float(s * grid.pixel_size)) for d in range(directions) for s in range(1, radius + 1)]
     offsets = F.broadcast(spark.createDataFrame(steps, "dir int, step int, dr int, dc int, dist double"))  # radius x directions rows
     here = cells.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("z").alias("z0"))
     moved = here.join(offsets).withColumns({"row": F.pmod(F.col("r") + F.col("dr"), F.lit(grid.height)), "col": F.pmod(F.col("c") + F.col("dc"), F.lit(grid.width))})

@@ -23,7 +23,7 @@ def read(spark, path: str, class_key: str = "class") -> DataFrame:
 
     A point is one ring of one vertex. Features without geometry are left out; one with a geometry but no class raises.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("doc"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("doc"))
     declared = norm_crs(F.try_variant_get("doc", "$.crs.properties.name", "string"))
     feats = text.select("path", declared.alias("crs"), F.posexplode(F.try_variant_get("doc", "$.features", "array<variant>")).alias("feat_id", "f"))
     kind = F.try_variant_get("f", "$.geometry.type", "string")
