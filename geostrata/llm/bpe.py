@@ -199,8 +199,8 @@ class ByteBpe:
         """Number of ids of each pre-token; a special token counts one."""
         if len(self._cache) > self.cache_entries:
             self._cache.clear()
-        self._merge_into_cache(list(set(words) - self.special.keys() - self._cache.keys()))
         held, width = self._cache, self.dtype.itemsize
+        self._merge_into_cache([w for w in set(words) if w not in held and w not in self.special])
         return np.fromiter((len(held[w]) // width if w in held else 1 for w in words), np.int64, len(words))
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:

@@ -7,12 +7,14 @@ vector that a third of all rows share) spreads over many tasks.
 
 Search: a query probes the lists whose centres promise most; how many is measured: a few
 trial queries are answered by brute force in one pass over the vectors, and the fewest
-lists are taken that give them ``RECALL`` of their true neighbours. Within a chunk
-all its queries are scanned together, block by block. After each block the rest of the
-inner product of rotated vectors is close to normal with deviation |q rest| |x rest| /
-sqrt(dimensions left); a candidate whose partial product plus ``SIGMAS`` deviations (or
-plus the Cauchy-Schwarz bound, where that is smaller) stays below the query's k-th best
-so far is abandoned. Survivors are scored on the original vectors in double precision.
+lists are taken that give them ``RECALL`` of their true neighbours. The ``FIRST`` lists of
+each query are scanned first; from the others only what beats the k-th best there comes
+back, so the answers gathered don't grow with the lists probed. Within a chunk
+all its queries are scanned together, block by block. To beat a query's k-th best so far
+a candidate's squared distance has to stay below a bound; after d of D rotated dimensions
+about d / D of that distance is seen, so a candidate that has more than
+(1 + ``SIGMAS`` / sqrt(d)) squared times the bound's share (or more than all of it) is
+abandoned. Survivors are scored on the original vectors in double precision.
 
 Defined results: vectors that are null, zero, of other than the usual length, or hold
 null or non-finite components take no part; rows with a null vec_id neither; equal
@@ -33,6 +35,8 @@ K = 20
 QUERY_STEP = 20
 #: Vectors that the centres are fitted on, at most about.
 SAMPLE = 20_000
+#: Lists scanned first; the k-th best score there is where the scan of a query's other lists starts.
+FIRST = 4
 #: Vectors of a list, about, and most lists.
 LIST_SIZE = 400
 MAX_LISTS = 4_096
@@ -42,7 +46,7 @@ TRIALS = 64
 CHUNK = 1_024
 QUERY_CHUNK = 256
 BLOCK = 16
-SIGMAS = 3.5
+SIGMAS = 2.5
 SEED = 3
 
 
@@ -79,27 +83,28 @@ def rotation(dimensions: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan_chunk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int, block: int = BLOCK, sigmas: float = SIGMAS):
-    """Up to k best rows of the chunk for each query: ``query position, row position, score``."""
+def scan_chunk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int, bars: np.ndarray | None = None, block: int = BLOCK, sigmas: float = SIGMAS):
+    """Up to k best rows of the chunk for each query, none below its bar: ``query position, row position, score``."""
     turned_q, turned = queries @ turn, rows @ turn
     dims = rows.shape[1]
     # the first rows scanned give each query its k-th best so far
-    rest_q = np.sqrt(np.maximum(np.cumsum(turned_q[:, ::-1] ** 2, 1)[:, ::-1], 0))
-    rest_x = np.sqrt(np.maximum(np.cumsum(turned[:, ::-1] ** 2, 1)[:, ::-1], 0))
+    part_q, part_x = np.cumsum(turned_q**2, 1), np.cumsum(turned**2, 1)  # squared lengths of the first dimensions
     first = min(len(rows), max(4 * k, 64))
     seed_scores = queries @ rows[:first].T
     seed_scores[query_ids[:, None] == ids[None, :first]] = -np.inf
     bar = np.partition(seed_scores, first - k, axis=1)[:, first - k] if first > k else np.full(len(queries), -np.inf)
+    if bars is not None:
+        bar = np.maximum(bar, bars)
     q_at, x_at = np.divmod(np.arange(len(queries) * len(rows)), len(rows))
     partial = (turned_q[:, :block] @ turned[:, :block].T).ravel()
     done = min(block, dims)
     while True:
-        if done < dims:
-            bound = rest_q[q_at, done] * rest_x[x_at, done]
-            reach = partial + bound * min(1.0, sigmas / np.sqrt(dims - done))
-        else:
-            reach = partial
-        live = reach >= bar[q_at] - 1e-9 * (1 + np.abs(bar[q_at]))
+        # to reach the bar, the squared distance may be this at most; a share of the dimensions holds about that share of it
+        most = part_q[q_at, -1] + part_x[x_at, -1] - 2 * bar[q_at]
+        most = most + 1e-9 * (1 + np.abs(bar[q_at]))
+        so_far = part_q[q_at, done - 1] + part_x[x_at, done - 1] - 2 * partial
+        share = min(1.0, done / dims * (1 + sigmas / np.sqrt(done)) ** 2) if done < dims else 1.0
+        live = (most >= 0) & (so_far <= most * share + 1e-9)
         q_at, x_at, partial = q_at[live], x_at[live], partial[live]
         if done >= dims:
             break
@@ -171,28 +176,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float = R
         promise = np.array(embedding.tolist(), float).reshape(len(embedding), -1) @ centres.T
         return pd.Series(list(np.argsort(-promise, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
-    wanted = through_files(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(probed("embedding")).alias("list")), "ann-probes")
+    wanted = through_files(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.posexplode(probed("embedding")).alias("pos", "list")), "ann-probes")
     # one row for each list, MAX_LISTS at most
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    parts = F.broadcast(sizes.join(wanted.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("turns")), "list"))
-    dealt = indexed.join(parts, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns").cast("long") - 1)))
-    asking = wanted.join(parts, "list").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
+    sizes = F.broadcast(indexed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
 
     def scan(chunk: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
         if chunk.empty or questions.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         chunk = chunk.sort_values("vec_id")
         q, x = np.array(questions["query"].tolist(), float), np.array(chunk["embedding"].tolist(), float)
         q_ids, ids = questions["query_id"].to_numpy(), chunk["vec_id"].to_numpy()
-        q_at, x_at, score = scan_chunk(q, q_ids, x, ids, turn, k)
-        return pd.DataFrame(dict(zip(names, (q_ids[q_at], ids[x_at], score), strict=True)))
-
-    key = ["list", "chunk", "turn"]
-    left = dealt.select(*key, "vec_id", "embedding").groupBy(*key)
-    found = left.cogroup(asking.select(*key, "query_id", "query").groupBy(*key)).applyInPandas(scan, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        q_at, x_at, score = scan_chunk(q, q_ids, x, ids, turn, k, questions["bar"].to_numpy())
+        return pd.DataFrame({"query_id": q_ids[q_at], "vec_id": ids[x_at], "score": score})
+
+    def scanned(asking: DataFrame) -> DataFrame:
+        """Best rows by chunk for asking(query_id, query, list, bar); chunks meet blocks of their list's queries."""
+        turns = F.broadcast(asking.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("turns")))
+        parts = sizes.join(turns, "list")
+        spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
+        dealt = indexed.join(F.broadcast(parts), "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).withColumn("turn", spread("turns"))
+        dealt_q = asking.join(F.broadcast(parts), "list").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns"))).withColumn("chunk", spread("chunks"))
+        key = ["list", "chunk", "turn"]
+        left = dealt.select(*key, "vec_id", "embedding").groupBy(*key)
+        return left.cogroup(dealt_q.select(*key, "query_id", "query", "bar").groupBy(*key)).applyInPandas(scan, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+    early = through_files(best(scanned(wanted.where(F.col("pos") < FIRST).withColumn("bar", F.lit(float("-inf"))))), "ann-first")
+    bars = early.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+    rest = wanted.where(F.col("pos") >= FIRST).join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    late = scanned(through_files(rest, "ann-rest"))
+    return best(early.drop("rank").unionByName(late)).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

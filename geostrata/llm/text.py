@@ -75,7 +75,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(df: DataFrame) -> DataFrame:
     """df, with the session's Arrow batches bounded by BATCH_BYTES (a smaller bound stays)."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = str(conf.get(name, "")).lower().removesuffix("b")
+    held = str(conf.get(name)).lower().removesuffix("b")
     if not held.isdigit() or int(held) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df
