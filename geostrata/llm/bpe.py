@@ -200,8 +200,9 @@ class ByteBpe:
         if len(self._cache) > self.cache_entries:
             self._cache.clear()
         held, width = self._cache, self.dtype.itemsize
-        self._merge_into_cache([w for w in set(words) if w not in held and w not in self.special])
-        return np.fromiter((len(held[w]) // width if w in held else 1 for w in words), np.int64, len(words))
+        held.update({t: bytes(width) for t in self.special})  # only the length of an entry is looked at here, and texts are cut at special tokens
+        self._merge_into_cache([w for w in set(words) if w not in held])
+        return np.fromiter(map(len, map(held.__getitem__, words)), np.int64, len(words)) // width
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))

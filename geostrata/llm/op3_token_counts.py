@@ -5,7 +5,8 @@ inner nodes hold sums. An edit descends by characters to the leaves it touches,
 one leaf of context before it, and splits that region anew until a boundary of the new
 split falls on the end of an old leaf: from there on both splits agree, because a split
 from a boundary depends only on the text after it. Only the region's pre-tokens are
-encoded again, and sums change along the paths of its leaves.
+encoded again, for all documents of a slice together, and sums change along the paths of
+the leaves.
 
 ``build_trees`` keeps trees as two arrays beside the text, ``apply_edits`` takes them and
 an array of edits ``(at, removed, inserted)`` for each document, applied in order to the
@@ -77,6 +78,7 @@ class CountedText:
 
     def __init__(self, codec: bpe.ByteBpe, text: str, chars: np.ndarray, tokens: np.ndarray):
         self.codec, self.reencoded = codec, 0
+        self.open: dict[int, list[str]] = {}  # leaves whose pre-tokens aren't encoded yet
         cuts = np.concatenate(([0], np.cumsum(chars))).tolist()
         self.texts = [text[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)] or [""]
         self.chars, self.tokens = SumTree(np.array([len(t) for t in self.texts])), SumTree(tokens)
@@ -118,21 +120,30 @@ class CountedText:
             region, last = region + self.texts[last + 1], last + 1  # the split runs on: take the next leaf too
 
     def _place(self, first: int, last: int, words: list[str]) -> None:
-        """Leaves first to last get the pre-tokens of their region, encoded anew."""
-        counts = self.codec.count_words(words)
+        """Leaves first to last get the pre-tokens of their region; ``settle`` encodes them."""
         self.reencoded += len(words)
         share = -(-len(words) // (last - first + 1)) or 1
         for k in range(first, last + 1):
-            a, z = (k - first) * share, (k - first + 1) * share
-            self.texts[k] = "".join(words[a:z])
+            self.open[k] = words[(k - first) * share : (k - first + 1) * share]
+            self.texts[k] = "".join(self.open[k])
             self.chars.put(k, len(self.texts[k]))
-            self.tokens.put(k, int(counts[a:z].sum()))
 
     def leaves(self) -> tuple[list[int], list[int]]:
         kept = [k for k, t in enumerate(self.texts) if t]
         return [len(self.texts[k]) for k in kept], [self.tokens.leaf(k) for k in kept]
 
 
+def settle(codec: bpe.ByteBpe, edited: list[CountedText]) -> None:
+    """Encode what edits left open in many texts at once, and update their sums."""
+    counts = codec.count_words([w for own in edited for words in own.open.values() for w in words])
+    at = 0
+    for own in edited:
+        for k, words in own.open.items():
+            own.tokens.put(k, int(counts[at : at + len(words)].sum()))
+            at += len(words)
+        own.open = {}
+
+
 def leaves_of(codec: bpe.ByteBpe, texts: list[str], run: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Characters and tokens of the leaves of each text."""
     words = [codec.pretokens(t) for t in texts]
@@ -181,14 +192,14 @@ def apply_edits(trees: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for a, z in slices(texts):
                 part = batch.slice(a, z - a)
-                rows = []
-                for k in range(z - a):
-                    edits = part.column("edits")[k].as_py() or []
-                    own = CountedText(codec, texts[a + k], part.column("leaf_chars")[k].values.to_numpy(), part.column("leaf_tokens")[k].values.to_numpy())
-                    before = own.tokens.total
-                    for e in edits:
+                edits = [e or [] for e in part.column("edits").to_pylist()]
+                trees_of = [CountedText(codec, texts[a + k], part.column("leaf_chars")[k].values.to_numpy(), part.column("leaf_tokens")[k].values.to_numpy()) for k in range(z - a)]
+                before = [own.tokens.total for own in trees_of]
+                for own, changes in zip(trees_of, edits, strict=True):
+                    for e in changes:
                         own.edit(e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
-                    rows.append((own.text, *own.leaves(), before, own.tokens.total, len(edits), own.reencoded))
+                settle(codec, trees_of)
+                rows = [(own.text, *own.leaves(), n, own.tokens.total, len(e), own.reencoded) for own, n, e in zip(trees_of, before, edits, strict=True)]
                 kinds = [pa.string(), kind, kind, *[pa.int64()] * 4]
                 names = ["text", "leaf_chars", "leaf_tokens", "n_before", "n_tokens", "n_edits", "n_reencoded"]
                 yield pa.record_batch([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])

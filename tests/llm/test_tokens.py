@@ -90,9 +90,13 @@ def test_edits_equal_recount():
         for _ in range(4):
             at, gone, new = r.randint(0, len(text) + 3), r.choice([0, 1, 3, 20]), "".join(r.choice(PIECES) for _ in range(r.randint(0, 4)))
             own.edit(at, gone, new)
+            if r.random() < 0.7:
+                op3_token_counts.settle(codec, [own])
             at = min(at, len(text))
             text = text[:at] + new + text[at + gone :]
-            assert own.text == text and own.tokens.total == len(expected(text))
+            assert own.text == text and (own.open or own.tokens.total == len(expected(text)))
+        op3_token_counts.settle(codec, [own])
+        assert own.tokens.total == len(expected(text))
 
 
 def test_edits_touch_little():
@@ -101,6 +105,7 @@ def test_edits_touch_little():
     chars, tokens = next(op3_token_counts.leaves_of(codec, [text]))
     own = op3_token_counts.CountedText(codec, text, chars, tokens)
     own.edit(len(text) // 2, 3, "cat")
+    op3_token_counts.settle(codec, [own])
     assert own.tokens.total == len(expected(own.text)) and own.reencoded < 200
 
 
