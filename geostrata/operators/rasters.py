@@ -66,18 +66,35 @@ def stretch(cells: DataFrame, value: str) -> DataFrame:
 # -- alignment --------------------------------------------------------------
 
 
-def estimate_shift(a: DataFrame, b: DataFrame, max_shift: int, grid: Grid = GRID, least: int = 100) -> DataFrame:
-    """dx, dy, confidence: the shift of b(row, col, value) against a by normalised cross-correlation over jointly valid cells, cyclic. The 2m+1 squared lags are a table of offsets."""
-    both = a.select("row", "col", F.col("value").alias("va")).join(b.select("row", "col", F.col("value").alias("vb")), ["row", "col"]).where("va is not null and vb is not null")
-    mean = both.agg(F.avg("va").alias("ma"), F.avg("vb").alias("mb"), F.count("*").alias("n"))
-    centred = both.join(F.broadcast(mean)).select("row", "col", (F.col("va") - F.col("ma")).alias("ca"), (F.col("vb") - F.col("mb")).alias("cb"), "n")
-    norms = F.broadcast(centred.agg(F.sqrt(F.sum(F.col("ca") * F.col("ca")) * F.sum(F.col("cb") * F.col("cb"))).alias("norm"), F.max("n").alias("total")))
-    lags = a.sparkSession.range(-max_shift, max_shift + 1).select(F.col("id").cast("int").alias("dy"), F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))).alias("dx"))
-    moved = centred.select("row", "col", "ca").join(F.broadcast(lags)).select("ca", "dx", "dy", F.pmod(F.col("row") + F.col("dy"), F.lit(grid.height)).alias("row"), F.pmod(F.col("col") + F.col("dx"), F.lit(grid.width)).alias("col"))
-    sums = moved.join(centred.select("row", "col", "cb"), ["row", "col"]).groupBy("dx", "dy").agg(F.sum(F.col("ca") * F.col("cb")).alias("s"))
-    best = sums.agg(F.max_by(F.struct("dx", "dy", "s"), F.struct(F.round("s", 6), -F.abs("dx") - F.abs("dy"), -F.col("dx"), -F.col("dy"))).alias("b"))
+def estimate_shifts(reference: DataFrame, layers: DataFrame, max_shift: int, grid: Grid = GRID, least: int = 100) -> DataFrame:
+    """layer, dx, dy, confidence: the shift of each of ``layers(layer, row, col, value)`` against ``reference(row, col, value)``.
+
+    Normalised cross-correlation over jointly valid cells, cyclic, at the lags up to max_shift. Raster rows become
+    arrays, so a lag is one dot product for each pair of rows; equal peaks go to the smallest shift.
+    """
+    both = layers.join(reference.select("row", "col", F.col("value").alias("va")), ["row", "col"]).where("va is not null and value is not null")
+    own = Window.partitionBy("layer")
+    centred = both.select("layer", "row", "col", (F.col("va") - F.avg("va").over(own)).alias("a"), (F.col("value") - F.avg("value").over(own)).alias("b"))
+    line = centred.groupBy("layer", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct("a", "b")))).alias("m"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"), F.count("*").alias("n"))
+    width = F.sequence(F.lit(0), F.lit(grid.width - 1))
+    of = lambda name: F.transform(width, lambda c: F.coalesce(F.try_element_at("m", c)[name], F.lit(0.0)))
+    lines = line.select("layer", "row", of("a").alias("a"), of("b").alias("b"))
+    lags = F.sequence(F.lit(-max_shift), F.lit(max_shift))
+    moved = lines.select("layer", "a", "row", F.explode(lags).alias("dy")).select("layer", "a", "dy", F.pmod(F.col("row") + F.col("dy"), F.lit(grid.height)).alias("row"))
+    pairs = moved.join(lines.select("layer", "row", "b"), ["layer", "row"]).select("layer", "dy", "a", "b", F.explode(lags).alias("dx"))
+    cut = F.pmod(F.col("dx"), F.lit(grid.width))
+    turned = F.concat(F.slice("b", cut + 1, grid.width - cut), F.slice("b", F.lit(1), cut))
+    dot = F.aggregate(F.zip_with("a", turned, lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
+    sums = pairs.groupBy("layer", "dx", "dy").agg(F.sum(dot).alias("s"))
+    best = sums.groupBy("layer").agg(F.max_by(F.struct("dx", "dy", "s"), F.struct(F.round("s", 6), -F.abs("dx") - F.abs("dy"), -F.col("dx"), -F.col("dy"))).alias("b"))
+    norms = line.groupBy("layer").agg(F.sqrt(F.sum("aa") * F.sum("bb")).alias("norm"), F.sum("n").alias("total"))
     known = (F.col("total") >= least) & (F.col("norm") > 0)
-    return best.join(norms).select(F.when(known, F.col("b.dx")).otherwise(0).alias("dx"), F.when(known, F.col("b.dy")).otherwise(0).alias("dy"), F.when(known, F.col("b.s") / F.col("norm")).otherwise(0.0).alias("confidence"))
+    return best.join(norms, "layer").select("layer", F.when(known, F.col("b.dx")).otherwise(0).alias("dx"), F.when(known, F.col("b.dy")).otherwise(0).alias("dy"), F.when(known, F.col("b.s") / F.col("norm")).otherwise(0.0).alias("confidence"))
+
+
+def estimate_shift(a: DataFrame, b: DataFrame, max_shift: int, grid: Grid = GRID, least: int = 100) -> DataFrame:
+    """dx, dy, confidence of b(row, col, value) against a."""
+    return estimate_shifts(a, b.select(F.lit("b").alias("layer"), "row", "col", "value"), max_shift, grid, least).drop("layer")
 
 
 def apply_shift(cells: DataFrame, dx: int, dy: int, grid: Grid = GRID) -> DataFrame:
@@ -223,7 +240,8 @@ def q_stretch(spark, sf_dir):
 
 
 def _dem(spark, sf_dir):
-    return elevation(points(spark, sf_dir)).select("row", "col", F.col("z").alias("value"))
+    """The elevation model; it is kept, as some queries read it twice."""
+    return elevation(points(spark, sf_dir)).select("row", "col", F.col("z").alias("value")).cache()
 
 
 def q_shift(spark, sf_dir):
