@@ -46,7 +46,7 @@ LEADERS = 4
 SEED = 5
 #: Shingles of a block in step 4, about; each document counts some more.
 BLOCK_SHINGLES = 300_000
-#: Candidate ids are broadcast as one sorted array up to this many (8 MB); beyond it the texts are joined.
+#: Candidate ids are broadcast up to this many (8 MB of numbers); beyond it the join shuffles the texts.
 BROADCAST_IDS = 1_000_000
 
 _FOLD = bytes(32 if c in (9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -117,17 +117,13 @@ def sketches(docs: DataFrame, words: int, entries: int, width: int, seed: int) -
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``doc, shingles array<long>`` of the documents in ``wanted(doc)``, one row for each id."""
-    count = wanted.count()
-    texts, ids = _docs(docs), None
-    if count <= BROADCAST_IDS:
-        ids = np.sort(wanted.toPandas()["doc"].to_numpy(np.int64))
-    else:
-        texts = texts.join(wanted, texts["doc_id"] == wanted["doc"], "left_semi")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = _docs(docs)
+    texts = texts.join(wanted, texts["doc_id"] == wanted["doc"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("doc_id").to_pandas()
-            batch = batch.filter(pa.array(keys.isin(ids) if ids is not None else keys.notna()))
             texts = batch.column("text").to_pylist()
             for a, z in slices([t or "" for t in texts], 1_000_000):
                 shingles, offsets = shingle_sets(texts[a:z], words)
@@ -237,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     near_size = 100 * F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")
     stars = stars.join(sizes.select(F.col("doc").alias("u"), F.col("n_shingles").alias("n_u")), "u").join(sizes.select(F.col("doc").alias("v"), F.col("n_shingles").alias("n_v")), "v")
     stars = through_files(stars.where(near_size).select("u", "v"), "near-stars")
-    wanted = stars.select(F.col("u").alias("doc")).union(stars.select("v")).union(members.where("n > 2").select("doc")).distinct()
+    wanted = through_files(stars.select(F.col("u").alias("doc")).union(stars.select("v")).union(members.where("n > 2").select("doc")).distinct(), "near-wanted")
     sets = through_files(full_sets(docs, wanted, words).dropDuplicates(["doc"]), "near-sets")
     links = through_files(verify(stars, sets, similarity), "near-links")
     comps = connected_components(links)
