@@ -142,7 +142,7 @@ def q_leaks(spark, sf_dir):
 def q_reconcile(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("site"))
     labels = table(spark, sf_dir, "labels").join(docs, "doc_id").select("site", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("cls"))
-    sources = docs.select("site", F.concat(F.lit("q"), (F.col("doc_id") % 2).cast("string")).alias("cls")).where("cls = 'q1'")
+    sources = docs.select("site", F.concat(F.lit("q"), (F.col("doc_id") % 2).cast("string")).alias("cls"))
     return reconcile(labels, sources)
 
 
@@ -155,8 +155,8 @@ def q_fetch_plan(spark, sf_dir):
 
 
 def q_site_kind(spark, sf_dir):
-    codes = F.element_at(F.array(*map(F.lit, ("01", "03", "06", "07", "dtm"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return site_kind(table(spark, sf_dir, "orders").where("o_orderkey % 7 < 3").select((F.col("o_custkey")).alias("site"), codes.alias("code")))
+    codes = F.element_at(F.array(*map(F.lit, ("01", "03", "06", "07", "dtm"))), ((F.col("o_custkey") + F.col("o_orderkey") % 2) % 5 + 1).cast("int"))
+    return site_kind(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site"), codes.alias("code")))
 
 
 def q_gaps(spark, sf_dir):
@@ -251,7 +251,7 @@ ORACLES = {
     "select_sites": f"WITH {_SITES} SELECT name, grp, kind FROM splits WHERE split = 'train' AND kind IN ('building', 'machinery', 'automobile') AND has_layers AND NOT has_labels AND number % 10 <> 0",
     "split_leaks": f"WITH {_SITES} SELECT grp, count(DISTINCT CASE WHEN number % 31 = 0 THEN 'test' ELSE split END) AS splits, count(*) AS n FROM splits GROUP BY grp HAVING splits > 1",
     "reconcile_labels": """WITH a AS (SELECT source AS site, 'q' || quality AS cls, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
-      b AS (SELECT source AS site, 'q1' AS cls, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL)
+      b AS (SELECT source AS site, 'q' || doc_id % 2 AS cls, count(*) AS n FROM documents GROUP BY ALL)
       SELECT coalesce(a.site, b.site) AS site, coalesce(a.cls, b.cls) AS cls, coalesce(a.n, 0) AS n_labels, coalesce(b.n, 0) AS n_source
       FROM a FULL JOIN b ON a.site = b.site AND a.cls = b.cls WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",
     "fill_split": f"""WITH {_SITES}, g AS (SELECT grp, sum(n_objects)::BIGINT AS weight FROM sites GROUP BY grp),
@@ -261,7 +261,7 @@ ORACLES = {
       walk(k, used, place, name) AS (SELECT 0::BIGINT, 0::DOUBLE, -1, NULL::VARCHAR UNION ALL
         SELECT o.k, CASE WHEN used + size <= 2000 THEN used + size ELSE used END, CASE WHEN used + size <= 2000 THEN place + 1 ELSE place END, CASE WHEN used + size <= 2000 THEN o.name END FROM walk JOIN o ON o.k = walk.k + 1)
       SELECT place, name FROM walk WHERE name IS NOT NULL""",
-    "site_kind": """WITH f AS (SELECT o_custkey AS site, (['01', '03', '06', '07', 'dtm'])[o_orderkey % 5 + 1] AS code FROM orders WHERE o_orderkey % 7 < 3)
+    "site_kind": """WITH f AS (SELECT o_custkey AS site, (['01', '03', '06', '07', 'dtm'])[(o_custkey + o_orderkey % 2) % 5 + 1] AS code FROM orders)
       SELECT site, CASE WHEN bool_or(code IN ('01', '02', 'dtm')) THEN 'lidar' WHEN bool_or(code IN ('03', '04', '05')) THEN 'optic' WHEN bool_or(code = '06') THEN 'geo' ELSE 'none' END AS kind FROM f GROUP BY site""",
     "inventory_gaps": "SELECT s_nationkey AS site, count(DISTINCT s_suppkey % 2) AS n_crs, count(DISTINCT s_suppkey % 3) AS n_pixel FROM supplier GROUP BY ALL HAVING n_crs > 1 OR n_pixel > 1",
     "name_rules": f"""WITH m AS (SELECT *, ' Курган №' || p_partkey || ' ' || p_name AS t, pow(7::DOUBLE, p_size % 13) AS b FROM part)

@@ -98,7 +98,7 @@ def q_class_key(spark, sf_dir):
 
 
 def q_validity(spark, sf_dir):
-    folders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("site"), F.format_string("%02d_", F.col("o_orderkey") % 9).alias("code"))
+    folders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site"), F.format_string("%02d_", (F.col("o_custkey") + F.col("o_orderkey") % 2) % 9).alias("code"))
     return class_validity(folders, ["mound", "find", "house"], {"find": ["07_"], "house": ["03_", "04_"]})
 
 
@@ -108,7 +108,7 @@ def q_bounds(spark, sf_dir):
 
 
 def q_coverage(spark, sf_dir):
-    measured = table(spark, sf_dir, "lineitem").select(F.floor((F.col("l_orderkey") * 37 + F.col("l_partkey") * 11 + F.col("l_suppkey") * 3) % 1000 / F.lit(10.0)).cast("int").alias("row"), F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("col")).where("row % 2 = 0").distinct()
+    measured = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.floor((F.col("l_orderkey") * 37 + F.col("l_partkey") * 11 + F.col("l_suppkey") * 3) % 1000 / F.lit(10.0)).cast("int").alias("row"), F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("col")).distinct()
     return object_coverage(truths(spark, sf_dir), measured).select("cls", "n", F.round("share", 6).alias("share"))
 
 
@@ -128,15 +128,15 @@ ORACLES = {
     "merge_labels": f"WITH {_STEMS} SELECT site, cls, sum(n)::BIGINT AS n FROM tagged WHERE cls IS NOT NULL GROUP BY ALL",
     "detect_class_key": """WITH p AS (SELECT 'kind' AS k, c_mktsegment AS v FROM customer UNION ALL SELECT 'name', c_name FROM customer UNION ALL SELECT 'nation', c_nationkey::VARCHAR FROM customer)
       SELECT k, count(*) AS hits FROM p WHERE lower(trim(v)) IN ('building', 'machinery', '7') GROUP BY k ORDER BY hits DESC, k LIMIT 1""",
-    "class_validity": """WITH f AS (SELECT DISTINCT o_custkey AS site, o_orderkey % 9 AS code FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT DISTINCT site FROM f)
+    "class_validity": """WITH f AS (SELECT DISTINCT o_custkey AS site, (o_custkey + o_orderkey % 2) % 9 AS code FROM orders), s AS (SELECT DISTINCT site FROM f)
       SELECT site, 'mound' AS cls, true AS observed FROM s UNION ALL SELECT site, 'find', EXISTS (SELECT 1 FROM f WHERE f.site = s.site AND code = 7) FROM s
       UNION ALL SELECT site, 'house', EXISTS (SELECT 1 FROM f WHERE f.site = s.site AND code IN (3, 4)) FROM s""",
     "label_bounds_loss": f"""WITH {OBJECTS}, c AS (SELECT cls, count(*) AS n, count(*) FILTER (NOT (cx * 1.2::DOUBLE BETWEEN 0 AND 105 AND cy BETWEEN 0 AND 100)) AS lost FROM gt GROUP BY cls)
       SELECT cls, n, lost, round(lost / n, 6) AS share, lost / n > 0.02 AS flagged FROM c""",
-    "object_coverage": f"""WITH {OBJECTS}, m AS (SELECT DISTINCT floor(((l_orderkey * 37 + l_partkey * 11 + l_suppkey * 3) % 1000) / 10::DOUBLE)::INT AS row, floor(l_extendedprice / 1000)::INT AS col FROM lineitem),
+    "object_coverage": f"""WITH {OBJECTS}, m AS (SELECT DISTINCT floor(((l_orderkey * 37 + l_partkey * 11 + l_suppkey * 3) % 1000) / 10::DOUBLE)::INT AS row, floor(l_extendedprice / 1000)::INT AS col FROM lineitem WHERE l_quantity > 40),
       g AS (SELECT r.range::INT AS row, c.range::INT AS col FROM range(100) r, range(105) c),
       p AS (SELECT DISTINCT cls, row, col FROM g JOIN gt ON col + 0.5::DOUBLE >= cx - half AND col + 0.5::DOUBLE < cx + half AND row + 0.5::DOUBLE >= cy - half AND row + 0.5::DOUBLE < cy + half)
-      SELECT cls, count(*) AS n, round(avg((m.row IS NOT NULL)::INT), 6) AS share FROM p LEFT JOIN m ON m.row = p.row AND m.col = p.col AND m.row % 2 = 0 GROUP BY cls""",
+      SELECT cls, count(*) AS n, round(avg((m.row IS NOT NULL)::INT), 6) AS share FROM p LEFT JOIN m ON m.row = p.row AND m.col = p.col GROUP BY cls""",
     "weighted_score": f"""WITH {OBJECTS}, c AS (SELECT cls, count(*) FILTER (score > 0.5) AS tp, count(*) FILTER (score <= 0.2) AS fp, count(*) FILTER (half > 2) AS fn FROM det GROUP BY cls),
       f AS (SELECT cls, tp, fn, tp / (tp + 0.5 * fp + 1e-9) AS p, tp / (tp + fn + 1e-9) AS r, ([30, 20, 15, 10])[cls + 1] AS w FROM c WHERE tp + fn > 0)
       SELECT round(sum(w * CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) / sum(w), 6) AS score FROM f""",

@@ -94,8 +94,8 @@ def q_losses(spark, sf_dir):
 
 
 def q_split_peaks(spark, sf_dir):
-    cust = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 20).alias("part"), (F.col("c_custkey") * 37 % 100).alias("row"), (F.col("c_custkey") * 91 % 105).alias("col")).distinct()
-    sup = table(spark, sf_dir, "supplier").where("s_suppkey % 25 < 12").select((F.col("s_suppkey") % 25).alias("part"), F.col("s_suppkey").alias("peak"), (F.col("s_suppkey") * 13 % 100).alias("prow"), (F.col("s_suppkey") * 29 % 105).alias("pcol"))
+    cust = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 30).alias("part"), (F.col("c_custkey") * 37 % 100).alias("row"), (F.col("c_custkey") * 91 % 105).alias("col")).distinct()
+    sup = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 25).alias("part"), F.col("s_suppkey").alias("peak"), (F.col("s_suppkey") * 13 % 100).alias("prow"), (F.col("s_suppkey") * 29 % 105).alias("pcol"))
     return split_by_peaks(cust, sup).select("part", "row", "col", F.col("peak").cast("long").alias("peak"))
 
 
@@ -122,8 +122,8 @@ ORACLES = {
     "losses": """WITH c AS (SELECT l_returnflag AS cls, l_discount * 9 AS p, (l_quantity > 30)::INT AS y FROM lineitem WHERE l_linenumber < 6),
       f AS (SELECT *, greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-7) AS pt FROM c)
       SELECT cls, round(1 - (2 * sum(p * y) + 1) / (sum(p) + sum(y) + 1), 6) AS dice, round(avg(-CASE WHEN y = 1 THEN 0.25 ELSE 0.75 END * (1 - pt) ** 2 * ln(pt)), 6) AS focal FROM f GROUP BY cls""",
-    "split_by_peaks": """WITH c AS (SELECT DISTINCT c_custkey % 20 AS part, c_custkey * 37 % 100 AS row, c_custkey * 91 % 105 AS col FROM customer),
-      p AS (SELECT *, count(*) OVER (PARTITION BY part) AS n FROM (SELECT s_suppkey % 25 AS part, s_suppkey AS peak, s_suppkey * 13 % 100 AS prow, s_suppkey * 29 % 105 AS pcol FROM supplier WHERE s_suppkey % 25 < 12)),
+    "split_by_peaks": """WITH c AS (SELECT DISTINCT c_custkey % 30 AS part, c_custkey * 37 % 100 AS row, c_custkey * 91 % 105 AS col FROM customer),
+      p AS (SELECT *, count(*) OVER (PARTITION BY part) AS n FROM (SELECT s_suppkey % 25 AS part, s_suppkey AS peak, s_suppkey * 13 % 100 AS prow, s_suppkey * 29 % 105 AS pcol FROM supplier)),
       r AS (SELECT c.part, row, col, peak, row_number() OVER (PARTITION BY c.part, row, col ORDER BY (row - prow) ** 2 + (col - pcol) ** 2, peak) AS k FROM c JOIN p ON c.part = p.part AND n > 1)
       SELECT c.part, c.row, c.col, coalesce(r.peak, 1) AS peak FROM c LEFT JOIN r ON r.part = c.part AND r.row = c.row AND r.col = c.col AND k = 1""",
     "check_alignment": "SELECT * FROM (VALUES ('dtm', 0, 0, true), ('moved', -2, 1, true), ('noise', 0, 0, false)) t(layer, dx, dy, sure)",

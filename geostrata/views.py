@@ -44,7 +44,7 @@ def full_grid(spark: SparkSession, grid: Grid = GRID) -> DataFrame:
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squares with a class and a score from parts."""
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where(key % 1000 < 200).select(
+    return table(spark, sf_dir, "part").select(
         key.alias("id"),
         ((key * 37 % 1000) / F.lit(10.0)).alias("cx"),
         ((key * 91 % 1000) / F.lit(10.0)).alias("cy"),
@@ -69,7 +69,7 @@ def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
 OBJECTS = """det AS (
   SELECT p_partkey AS id, (p_partkey * 37 % 1000) / 10::DOUBLE AS cx, (p_partkey * 91 % 1000) / 10::DOUBLE AS cy,
          0.5::DOUBLE + p_size / 20::DOUBLE AS half, p_partkey % 4 AS cls, (p_partkey * 7919 % 1000) / 1000::DOUBLE AS score
-  FROM part WHERE p_partkey % 1000 < 200
+  FROM part
 ), gt AS (
   SELECT s_suppkey AS id, (s_suppkey * 37 % 1000) / 10::DOUBLE + 0.3::DOUBLE AS cx,
          (s_suppkey * 91 % 1000) / 10::DOUBLE - 0.2::DOUBLE AS cy,
