@@ -35,7 +35,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     """Encoder and decoder for one vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 300_000):
         spec = json.load(open(path, encoding="utf-8"))
         model, alphabet = spec["model"], byte_alphabet()
         vocab: dict[str, int] = model["vocab"]

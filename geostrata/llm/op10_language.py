@@ -163,9 +163,9 @@ def train(docs: DataFrame) -> Model | None:
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
-    for a, z in slices(texts, 1_000_000):
-        for k in range(a, z, 500):
-            yield k, min(z, k + 500)
+    for a, z in slices(texts, 400_000):
+        for k in range(a, z, 200):
+            yield k, min(z, k + 200)
 
 
 def classify(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
