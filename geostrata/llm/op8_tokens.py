@@ -10,6 +10,8 @@ at most as many as there are write tasks.
 
 Ids are those that the tokenizers library gives for ``byte_bpe_50k.json``; they are made
 with tiktoken from the ranks file of the same vocabulary, which takes a quarter of the time.
+A text with a run of white space too long for tiktoken's pattern matcher (it gives up at
+about a million characters) is encoded by the merge rounds of ``bpe`` instead.
 
 Defined results: null text is empty (its document holds the end id alone); null doc_id
 sorts first; rows with equal doc_id are ordered by text; repeated rows each get a row;
@@ -19,6 +21,7 @@ an empty table gives no shards and no rows; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SPLIT
+from . import bpe
 from .text import scratch, slices, small_batches, table
 from .wavelet import WaveletMatrix, build
 
@@ -37,6 +40,9 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 #: Rows of a write task, about; ranges grow in number with the table.
 RANGE_ROWS = 4_000
+#: White space that the pattern matcher might not get over.
+LONG_GAP = 100_000
+_GAP = re.compile(rf"\s{{{LONG_GAP}}}")
 _SCHEMA = "part int, shard int, base long, doc_ids array<long>, tokens long, blob binary"
 
 
@@ -51,12 +57,19 @@ def encoding(path: str) -> tiktoken.Encoding:
     """The vocabulary of a ranks file; its end-of-text token has the first free id."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("shards", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    return tiktoken.Encoding("shards", pat_str=bpe.SPLIT, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
-def write(docs: DataFrame, path: str, ranks: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Write shards of ``docs(doc_id, text)`` below path."""
-    ranks = ranks or default_ranks()
+def encode(text: str, codec: tiktoken.Encoding, vocabulary: str) -> list[int]:
+    """Ids of a whole text by ``codec``, or by the merge rounds of ``vocabulary``, which has the same ids, if it holds a long gap."""
+    if len(text) >= LONG_GAP and _GAP.search(text):
+        return bpe.load(vocabulary).encode_batch([text])[0].tolist()
+    return codec.encode(text, allowed_special="all") if "<|endoftext|>" in text else codec.encode_ordinary(text)
+
+
+def write(docs: DataFrame, path: str, ranks: str | None = None, vocabulary: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
+    """Write shards of ``docs(doc_id, text)`` below path; ``ranks`` and ``vocabulary`` are two files of one vocabulary."""
+    ranks, vocabulary = ranks or default_ranks(), vocabulary or bpe.default_vocabulary()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranges = max(1, -(-docs.count() // RANGE_ROWS))
 
@@ -81,8 +94,7 @@ def write(docs: DataFrame, path: str, ranks: str | None = None, end_id: int = EN
             keys, values = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, z in slices(values):
                 for key, text in zip(keys[a:z], values[a:z], strict=True):
-                    one = codec.encode(text, allowed_special="all") if "<|endoftext|>" in text else codec.encode_ordinary(text)
-                    one = np.array([*one, end_id], dtype)
+                    one = np.array([*encode(text, codec, vocabulary), end_id], dtype)
                     doc_ids.append(key)
                     ids.append(one)
                     held += len(one)

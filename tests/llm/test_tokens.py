@@ -66,6 +66,20 @@ def test_shards(spark, docs_of, odd_rows):
     assert op8_tokens.read(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("gap", [" ", "\n", "\u3000", "\r\n"])
+def test_shards_get_over_long_gaps(spark, docs_of, gap):
+    text = "a <|endoftext|>" + gap * 1_200_000 + " b"
+    path = scratch(spark, "tokens")
+    op8_tokens.write(docs_of([(1, text), (2, "c")]), path)
+    got = {r["doc_id"]: r for r in op8_tokens.read(spark, path).collect()}
+    ids = [*bpe.load(bpe.default_vocabulary()).encode_batch([text])[0].tolist(), 2]
+    assert bpe.load(bpe.default_vocabulary()).decode(np.array(ids[:-1])) == text
+    assert (got[1]["n_tokens"], got[1]["ids_crc32"], got[2]["start"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids))
+    short = "a" + gap * 3_000 + " b"
+    codec = bpe.load(bpe.default_vocabulary())
+    assert codec.encode_batch([short])[0].tolist() == expected(short) == op8_tokens.encode(short, op8_tokens.encoding(op8_tokens.default_ranks()), bpe.default_vocabulary())
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 511, 512, 513, 3000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 300, n).astype(np.uint16)
