@@ -46,6 +46,8 @@ LEADERS = 4
 SEED = 5
 #: Shingles of a block in step 4, about; each document counts some more.
 BLOCK_SHINGLES = 300_000
+#: Documents of a range in which step 4 adds up sizes, about.
+RANGE_DOCS = 50_000
 #: Candidate ids are broadcast up to this many (8 MB of numbers); beyond it the join shuffles the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -181,6 +183,21 @@ def block_links(docs: np.ndarray, blocks: np.ndarray, comps: np.ndarray, sets: l
     return out
 
 
+def _blocked(docs: DataFrame, ranges: int) -> DataFrame:
+    """``docs(doc, comp, grp, weight)`` with ``block``: runs of about ``BLOCK_SHINGLES`` of a group's weights in the order of comp and doc.
+
+    The running sum adds up within ranges of bounded size and over their totals, so a large group spreads over many tasks.
+    """
+    order = ["grp", "comp", "doc"]
+    dealt = through_files(docs.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "near-ranges")
+    ahead = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("grp", "part").agg(F.sum("weight").alias("held"))
+    totals = totals.select("grp", "part", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before"))
+    upto = F.sum("weight").over(Window.partitionBy("grp", "part").orderBy("comp", "doc"))
+    placed = dealt.join(totals, ["grp", "part"]).withColumn("block", F.floor((F.col("before") + upto) / BLOCK_SHINGLES).cast("int"))
+    return placed.select("doc", "comp", "grp", "block")
+
+
 def _exact_rest(members: DataFrame, comps: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame | None:
     """Step 4: links between components that share a table of three or more."""
     own = members.where("n > 2").join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
@@ -191,9 +208,8 @@ def _exact_rest(members: DataFrame, comps: DataFrame, sets: DataFrame, sizes: Da
         return None
     groups = connected_components(open_.select(F.col("doc").alias("u"), F.col("first").alias("v")), "near-groups")
     docs = open_.select("doc", "comp").distinct().join(groups, F.col("doc") == F.col("node"), "left").select("doc", "comp", F.coalesce("component", "doc").alias("grp"))
-    run = F.sum(F.col("n_shingles") + 400).over(Window.partitionBy("grp").orderBy("comp", "doc"))
-    docs = docs.join(sizes, "doc").withColumn("block", F.floor(run / BLOCK_SHINGLES).cast("int"))
-    docs = through_files(docs.select("doc", "comp", "grp", "block"), "near-blocks")
+    docs = through_files(docs.join(sizes, "doc").withColumn("weight", F.col("n_shingles") + 400), "near-rest")
+    docs = through_files(_blocked(docs, max(1, -(-docs.count() // RANGE_DOCS))), "near-blocks")
     spans = docs.groupBy("grp", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     other = spans.select(F.col("grp").alias("g2"), F.col("block").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     tasks = spans.join(other, (F.col("grp") == F.col("g2")) & (F.col("block") <= F.col("b2"))).where("least(lo, lo2) <> greatest(hi, hi2)")

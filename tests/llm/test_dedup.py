@@ -121,3 +121,13 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {i: got.get(i, i) for i in root} == {i: find(i) for i in root}
+
+
+def test_blocks_are_runs_of_their_group(spark):
+    rows = [(d, d % 7, 0 if d < 2_000 else d % 3 + 1, 1_000 + d % 50) for d in range(3_000)]
+    got = op5_near_dedup._blocked(spark.createDataFrame(rows, "doc long, comp long, grp long, weight long"), 6).collect()
+    assert len(got) == len(rows)
+    block, held = {(r["doc"], r["comp"], r["grp"]): r["block"] for r in got}, {}
+    for doc, comp, grp, weight in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
+        held[grp] = held.get(grp, 0) + weight
+        assert block[doc, comp, grp] == held[grp] // op5_near_dedup.BLOCK_SHINGLES
