@@ -71,8 +71,8 @@ def filter_ground(pts: DataFrame, preset: str = "soft", cell: float = 1.0, min_c
     cut = lambda df: df.checkpoint()
     surface, before, rounds = _surface(placed.where("inner"), grid, p, cut), 0, 0
     while True:
-        ground = (F.col("z") - F.col("surface") <= p.height) & (F.col("slope") <= p.slope)
-        marked = placed.join(surface, ["row", "col"]).withColumn("ground", ground)
+        ground = F.coalesce((F.col("z") - F.col("surface") <= p.height) & (F.col("slope") <= p.slope), F.lit(False))
+        marked = placed.join(surface, ["row", "col"], "left").withColumn("ground", ground)
         now = marked.where("ground").count()
         rounds += 1
         change = abs(now - before) / max(before, 1)

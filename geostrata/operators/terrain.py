@@ -12,7 +12,7 @@ from ..model import GRID, Grid
 from ..views import DENSE, full_grid, points
 from .cells import bin_points, with_cells
 
-#: Radii, in cells, in which the nearest donor is sought one after the other.
+#: Radii, in cells, in which the nearest donor is sought one after the other, before the search at any distance.
 FILL_RADII = (4, 16, 64)
 
 
@@ -30,8 +30,24 @@ def _donors(holes: DataFrame, known: DataFrame, radius: float) -> DataFrame:
     return moved.join(known, ["row", "col"])
 
 
+def _far_donors(holes: DataFrame, known: DataFrame, values: list[str]) -> DataFrame:
+    """row, col and values of the nearest known cell of each hole at any distance: the nearest along each column (the smaller row if two are), then the least (d2, row, col) over the columns. A hole without any known cell gives no row."""
+    wanted = holes.select("row").distinct().crossJoin(known.select("col").distinct())  # at most the cells of the grid
+    donor = F.struct(F.col("row").alias("drow"), F.struct(*values).alias("held"))
+    given = known.select("row", "col", donor.alias("donor"))
+    line = given.unionByName(wanted.select("row", "col", F.lit(None).cast(given.schema["donor"].dataType).alias("donor")))
+    last = lambda order: F.last("donor", ignorenulls=True).over(Window.partitionBy("col").orderBy(order))
+    line = line.withColumns({"below": last(F.asc("row")), "above": last(F.desc("row"))}).where(F.col("donor").isNull())
+    up = F.col("below").isNull() | (F.col("above")["drow"] - F.col("row") < F.col("row") - F.col("below")["drow"])
+    line = line.select("row", F.col("col").alias("dcol"), F.when(F.coalesce(up, F.lit(False)), F.col("above")).otherwise(F.col("below")).alias("donor"))
+    dr, dc = (F.col("donor")["drow"] - F.col("row")).cast("long"), (F.col("dcol") - F.col("col")).cast("long")
+    place = F.struct((dr * dr + dc * dc).alias("d2"), F.col("donor")["drow"].alias("drow"), "dcol")
+    best = holes.select("row", "col").join(line, "row").groupBy("row", "col").agg(F.min_by(F.col("donor")["held"], place).alias("held"))
+    return best.select("row", "col", "held.*")
+
+
 def fill_nearest(cells: DataFrame, values: list[str], radii: tuple[float, ...] = FILL_RADII) -> DataFrame:
-    """cells(row, col, *values) with nulls of the first value (and the others there) taken from the nearest cell that has it; ties by row, then column. Adds observed."""
+    """cells(row, col, *values) with nulls of the first value (and the others there) taken from the nearest cell that has it, however far; ties by row, then column. Without any such cell they stay null. Adds observed."""
     lead = values[0]
     known = cells.where(F.col(lead).isNotNull())
     out = known.withColumn("observed", F.lit(True))
@@ -41,7 +57,8 @@ def fill_nearest(cells: DataFrame, values: list[str], radii: tuple[float, ...] =
         found = found.withColumnsRenamed({"hrow": "row", "hcol": "col"})
         out = out.unionByName(found.withColumn("observed", F.lit(False)).select(*out.columns))
         holes = holes.join(found, ["row", "col"], "left_anti")
-    return out
+    rest = holes.join(_far_donors(holes, known, values), ["row", "col"], "left")
+    return out.unionByName(rest.withColumn("observed", F.lit(False)).select(*out.columns))
 
 
 def fill_idw(cells: DataFrame, value: str, max_dist: float, k: int = 8, power: float = 2.0) -> DataFrame:

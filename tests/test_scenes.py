@@ -96,6 +96,29 @@ def test_fill_takes_nearest_with_ties_by_row(spark):
     assert got[2, 2] == 1 and got[1, 0] == 1 and got[3, 4] == 2 and not np.isnan(got).any()
 
 
+def test_fill_reaches_any_distance_and_keeps_rows(spark):
+    z = np.full((150, 9), np.nan)
+    z[149, 3], z[149, 5], z[0, 8] = 1.0, 2.0, 3.0
+    df = surface(spark, z).withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+    found = terrain.fill_nearest(df, ["z"])
+    r, c = np.indices(z.shape)
+    order = np.stack([((r - i) ** 2 + (c - j) ** 2) * 10_000 + i * 10 + j for i, j in ((149, 3), (149, 5), (0, 8))])
+    assert found.count() == z.size and np.array_equal(matrix(found, "z", z.shape), order.argmin(0) + 1.0)
+    none = terrain.fill_nearest(df.withColumn("z", F.lit(None).cast("double")), ["z"])
+    assert none.where("z is null and not observed").count() == z.size
+
+
+def test_ground_keeps_points_far_from_any_surface(spark):
+    r = np.random.default_rng(7)
+    x, y = r.uniform(0, 6, (2, 200))
+    x[0], y[0] = 200.0, 3.0
+    x[1], y[1] = 100.0, 3.0
+    found, _ = ground.filter_ground(cloud(spark, x, y, np.where(np.arange(200) == 1, 10.0, 0.0)), "soft", 1.0)
+    assert found.count() == 200 and found.where("ground is null").count() == 0
+    one, _ = ground.filter_ground(cloud(spark, [1.0], [1.0], [1.0]))
+    assert one.count() == 1
+
+
 def test_ground_keeps_plain_and_drops_trees(spark):
     r = np.random.default_rng(2)
     x, y = r.uniform(0, 60, (2, 4000))
