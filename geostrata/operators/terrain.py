@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stars import components
 from ..functions.window2d import box_weights, convolve, extreme, gaussian_weights, gradient, laplace, neighbours
 from ..model import GRID, Grid
 from ..views import DENSE, full_grid, points
@@ -151,18 +152,15 @@ def artifacts(cells: DataFrame, window: int, threshold: float, grid: Grid = GRID
     return across.withColumn("median", median).withColumn("artifact", F.abs(F.col("z") - F.col("median")) > threshold).drop("__x")
 
 
-def hole_components(holes: DataFrame, rounds: int = 64) -> DataFrame:
-    """holes(row, col) with label: smallest packed cell number of the 4-connected component. Each round takes minima along whole runs of holes in a row and then in a column."""
-    out = holes.withColumn("label", F.col("row").cast("long") * (1 << 32) + F.col("col"))
-    for _ in range(rounds):
-        before = out
-        for along, across in (("col", "row"), ("row", "col")):
-            run = F.col(along) - F.row_number().over(Window.partitionBy(across).orderBy(along))
-            out = out.withColumn("__run", run).withColumn("label", F.min("label").over(Window.partitionBy(across, "__run"))).drop("__run")
-        out = out.checkpoint()
-        if not out.join(before.withColumnRenamed("label", "old"), ["row", "col"]).where("label <> old").limit(1).count():
-            break
-    return out
+def hole_components(holes: DataFrame) -> DataFrame:
+    """holes(row, col) with label: smallest packed cell number of the 4-connected component. A cell links its run of holes in the row with its run in the column; components of these links are sought until nothing changes."""
+    runs = holes.withColumn("label", F.col("row").cast("long") * (1 << 32) + F.col("col"))
+    for along, across, first in (("col", "row", "u"), ("row", "col", "v")):
+        run = F.col(along) - F.row_number().over(Window.partitionBy(across).orderBy(along))
+        runs = runs.withColumn("__run", run).withColumn(first, F.min("label").over(Window.partitionBy(across, "__run"))).drop("__run")
+    runs = runs.drop("label").checkpoint()
+    found = components(runs.select("u", "v").distinct()).select(F.col("node").alias("u"), F.col("component").alias("label"))
+    return runs.join(found, "u", "left").withColumn("label", F.coalesce("label", "u")).select(*holes.columns, "label")
 
 
 def _r(*names: str):

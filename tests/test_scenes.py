@@ -96,6 +96,15 @@ def test_fill_takes_nearest_with_ties_by_row(spark):
     assert got[2, 2] == 1 and got[1, 0] == 1 and got[3, 4] == 2 and not np.isnan(got).any()
 
 
+def test_long_winding_holes_stay_whole(spark, sf_dir):
+    terrain.q_holes(spark, sf_dir)  # sets the checkpoint folder
+    stairs = [(k, c) for k in range(150) for c in (150 - k, 151 - k)]
+    winding = [(r, 200 + c) for r in range(0, 160, 2) for c in range(3)] + [(r, 200 + r % 4 - 1) for r in range(1, 159, 2)]
+    found = terrain.hole_components(spark.createDataFrame([*stairs, *winding, (5, 400)], "row int, col int"))
+    got = {(r["label"], r["n"]) for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert got == {(150, len(stairs)), (200, len(winding)), (5 * 2**32 + 400, 1)}
+
+
 def test_fill_reaches_any_distance_and_keeps_rows(spark):
     z = np.full((150, 9), np.nan)
     z[149, 3], z[149, 5], z[0, 8] = 1.0, 2.0, 3.0
