@@ -173,10 +173,10 @@ def hann(at: Column, size: int, eps: float = 1e-3) -> Column:
     return F.greatest(s * s, F.lit(eps))
 
 
-def stitch(parts: DataFrame, tile: int, eps: float = 1e-3) -> DataFrame:
-    """row, col, value: overlap-add of parts(row, col, i, j, value) with Hann weights."""
+def stitch(parts: DataFrame, tile: int, eps: float = 1e-3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """row, col, value: overlap-add of parts(row, col, i, j, value) with Hann weights, for each raster of keys."""
     w = hann(F.col("i"), tile, eps) * hann(F.col("j"), tile, eps)
-    return parts.withColumn("wt", w).groupBy("row", "col").agg((F.sum(F.col("wt") * F.col("value")) / F.sum("wt")).alias("value"))
+    return parts.withColumn("wt", w).groupBy(*keys, "row", "col").agg((F.sum(F.col("wt") * F.col("value")) / F.sum("wt")).alias("value"))
 
 
 def sample_weights(tiles: DataFrame, pos_fraction: float) -> DataFrame:
@@ -195,19 +195,19 @@ def convolve_weights(cells: DataFrame, weights: list[list[float]], bias: float =
     return cells.select("row", "col").join(moved, ["row", "col"]).groupBy("row", "col").agg((F.sum("v") + bias).alias("value"))
 
 
-def peaks(cells: DataFrame, threshold: float, window: int) -> DataFrame:
-    """row, col, value, sub_row, sub_col of local maxima of non-negative cells; places refined by a parabola of logarithms."""
-    top = extreme(cells, "value", "top", window // 2, True)
+def peaks(cells: DataFrame, threshold: float, window: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """row, col, value, sub_row, sub_col of local maxima of non-negative cells, in each raster of keys; places refined by a parabola of logarithms."""
+    top = extreme(cells, "value", "top", window // 2, True, keys)
     out = top
 
     def refined(axis: str, across: str) -> Column:
-        line = Window.partitionBy(across).orderBy(axis)
+        line = Window.partitionBy(*keys, across).orderBy(axis)
         a, b, c = (F.ln(F.greatest(v, F.lit(1e-12))) for v in (F.coalesce(F.lag("value").over(line), F.col("value")), F.col("value"), F.coalesce(F.lead("value").over(line), F.col("value"))))
         bend = a - 2 * b + c
         return F.when(bend < 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (a - c) / bend))).otherwise(0.0)
 
     out = out.withColumns({"sub_col": F.col("col") + refined("col", "row"), "sub_row": F.col("row") + refined("row", "col")})
-    return out.where((F.col("value") >= F.col("top")) & (F.col("value") >= threshold)).select("row", "col", "value", "sub_row", "sub_col")
+    return out.where((F.col("value") >= F.col("top")) & (F.col("value") >= threshold)).select(*keys, "row", "col", "value", "sub_row", "sub_col")
 
 
 def close_mask(cells: DataFrame, value: str, rounds: int, grid: Grid = GRID) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import GRID, Grid
 from ..operators.cells import CLOUD_WORDS, cloud_features
-from ..operators.matching import errors, evaluate, match, nms, top_detections
+from ..operators.matching import errors, evaluate, match, nms
 from ..operators.rasters import peaks, stitch, tile_cells, tile_index
 from ..operators.terrain import elevation, hillshade, slope_aspect, tpi_tri
 from ..views import DENSE, INSIDE, detections, points, truths
@@ -31,16 +31,18 @@ def cached_layer(spark, root: str, name: str, params: dict, grid: Grid, make) ->
 
 
 def build_site(pts: DataFrame, grid: Grid = GRID) -> DataFrame:
-    """One row for each cell: elevation, slope, hillshade, tpi, tri and the cloud features."""
+    """One row for each cell, of all returns without a ground filter: elevation, slope, hillshade, tpi, tri and the cloud features."""
     relief = tpi_tri(slope_aspect(elevation(pts, grid), grid.pixel_size), 3, grid).withColumn("shade_315", hillshade(315))
     return relief.join(cloud_features(pts, grid), ["row", "col"], "left")
 
 
 def detect(probs: DataFrame, tile: int, radius: float, limit: int) -> DataFrame:
-    """Detections(id, cls, cx, cy, score) from tile probabilities: stitched, then kept where at least all neighbours, suppressed and limited."""
-    found = peaks(stitch(probs, tile), 0.3, 7)
-    dets = found.select(F.xxhash64("row", "col").alias("id"), F.lit(0).alias("cls"), F.col("sub_col").alias("cx"), F.col("sub_row").alias("cy"), F.col("value").alias("score"))
-    return top_detections(nms(dets, radius), limit).drop("place")
+    """Detections(id, cls, cx, cy, score) from tile probabilities: stitched, then kept where at least all neighbours, suppressed and limited to the best of all. Classes (0 without a column cls) are rasters of their own."""
+    keys = ("cls",) if "cls" in probs.columns else ()
+    found = peaks(stitch(probs, tile, keys=keys), 0.3, 7, keys)
+    cls = F.col("cls") if keys else F.lit(0).alias("cls")
+    dets = found.select(F.xxhash64("row", "col", *keys).alias("id"), cls, F.col("sub_col").alias("cx"), F.col("sub_row").alias("cy"), F.col("value").alias("score"))
+    return nms(dets, radius).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def report(preds: DataFrame, gts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -233,6 +233,17 @@ def test_duplicates_and_empties(spark):
     assert matching.nms(preds, 3.0).count() == 1 and matching.nms(preds, 0.0).count() == 2
 
 
+def test_classes_are_detected_apart(spark):
+    r, c = np.indices((40, 40))
+    bump = lambda i, j: np.exp(-((r - i) ** 2 + (c - j) ** 2) / 8)
+    fields = {0: 0.9 * bump(10, 10), 1: 0.8 * bump(10, 12), 2: 0.7 * bump(30, 25)}
+    cells_of = [surface(spark, f).withColumnRenamed("z", "value").withColumn("cls", F.lit(k)) for k, f in fields.items()]
+    parts = rasters.tile_cells(cells_of[0].unionByName(cells_of[1]).unionByName(cells_of[2]), rasters.tile_index(spark, 40, 40, 32, 8))
+    got = [(d["cls"], round(d["cx"], 6), round(d["cy"], 6), round(d["score"], 6)) for d in pipelines.detect(parts, 32, 6.0, 10).orderBy("cls").collect()]
+    assert got == [(0, 10.0, 10.0, 0.9), (1, 12.0, 10.0, 0.8), (2, 25.0, 30.0, 0.7)]
+    assert [d["cls"] for d in pipelines.detect(parts, 32, 6.0, 2).orderBy("cls").collect()] == [0, 1]
+
+
 # -- names and projections ------------------------------------------------------
 
 
