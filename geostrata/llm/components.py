@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each step takes minima by a partial aggregate and joins them back, so a node with very
-many edges neither gathers in one task nor leaves the executors. Steps are cut by files
-in the shared folder.
+Each step takes minima by a partial aggregate and joins them back; the minima of nodes
+with very many edges are broadcast (fewer than a thousand rows), so a star's centre
+doesn't gather its edges in one task. Steps are cut by files in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,23 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import through_files
+from .text import spread_join, through_files
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+def _with_least(edges: DataFrame, label: str) -> DataFrame:
+    """edges(u, v) with ``m``, the smallest of u and its neighbours."""
+    least = through_files(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), label)
+    return spread_join(edges, least, ["u"], "n", edges.count())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, label: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, label).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, label: str) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = _least(down)
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    found = _with_least(down, label)
+    moved = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(found.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -34,7 +36,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     found = through_files(edges.select("u", "v").where("u <> v"), label)
     sign = None
     while True:
-        found = through_files(_small_star(_large_star(found)), label)
+        wide = through_files(_large_star(found, label), label)
+        found = through_files(_small_star(wide, label), label)
         seen = found.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == sign:
             return found.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where the session names no such folder (local tests) is one under /tmp set.
+    Where a local session names no such folder one under /tmp is taken; on a cluster that is an error,
+    as each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = held.get() if held.isDefined() else "/tmp/geostrata-checkpoints"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -38,9 +41,43 @@ def through_files(df: DataFrame, label: str, partition_by: list[str] | None = No
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(col):
-    """Lower-case A-Z only."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: A key is heavy from this share of all rows on: one in so many. There are fewer heavy keys than that.
+HEAVY_SHARE = 1000
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``many`` joined with ``one``, which has one row for each key and in ``count`` how many of the ``total`` rows of many have it.
+
+    Heavy keys, fewer than ``HEAVY_SHARE``, are broadcast, so their rows stay where they are; the rest is shuffled.
+    """
+    large = F.col(count) * HEAVY_SHARE > total
+    heavy = one.where(large)
+    rest = many.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(one.where(~large), keys)
+    return many.join(F.broadcast(heavy), keys).unionByName(rest)
+
+
+#: Rows of a range in which running sums add up, about.
+RANGE_ROWS = 50_000
+
+
+def running_sums(df: DataFrame, by: list[str], order: list, sums: dict[str, str], label: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """df with, for each ``name: column`` of sums, the sum of the column over the rows of the same ``by`` that come earlier in ``order``.
+
+    Rows are dealt to ranges of the order and written; sums run within a range and over the totals of the ranges, so
+    neither a large group nor the whole table is ordered in one task. ``order`` is total within ``by``.
+    """
+    ranges = max(1, -(-df.count() // range_rows))
+    dealt = through_files(df.repartitionByRange(ranges, *by, *order).withColumn("__part", F.spark_partition_id()), label)
+    ahead = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, "__part").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    totals = totals.select(*(F.col(k).alias(f"__by_{k}") for k in by), F.col("__part").alias("__own"), *(F.coalesce(F.sum(f"__{n}").over(ahead), F.lit(0)).alias(f"__{n}") for n in sums))
+    same = F.col("__part") == F.col("__own")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__by_{k}"))
+    within = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.join(totals, same)
+    placed = placed.select(*df.columns, *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"__in_{n}") for n, c in sums.items()), *(f"__{n}" for n in sums))
+    return placed.select(*df.columns, *((F.col(f"__{n}") + F.col(f"__in_{n}")).alias(n) for n in sums))
 
 
 LOWER_AZ = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
