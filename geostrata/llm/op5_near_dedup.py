@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .text import column_or_null, ragged, slices, small_batches, table, through_files
+from .text import column_or_null, ragged, running_sums, slices, small_batches, spread_join, table, through_files
 
 WORDS = 5
 SIMILARITY = 80
@@ -159,12 +159,12 @@ def block_links(docs: np.ndarray, blocks: np.ndarray, comps: np.ndarray, sets: l
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
     one, two = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
-    shared = np.zeros((len(one), len(two)), np.float32)
+    shared = np.zeros((len(one), len(two)), np.int64)
     cut = np.searchsorted(column, np.arange(0, int(common.sum()) + chunk, chunk))
     for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
         dense = np.zeros((len(sets), chunk), np.float32)
         dense[row[a:z], column[a:z] - k * chunk] = 1
-        shared += dense[one] @ dense[two].T
+        shared += (dense[one] @ dense[two].T).astype(np.int64)  # a chunk's counts are exact in float32
     linked = 100 * shared >= similarity * (sizes[one][:, None] + sizes[two][None, :] - shared)
     group = {c: c for c in comps.tolist()}
 
@@ -183,33 +183,25 @@ def block_links(docs: np.ndarray, blocks: np.ndarray, comps: np.ndarray, sets: l
     return out
 
 
-def _blocked(docs: DataFrame, ranges: int) -> DataFrame:
-    """``docs(doc, comp, grp, weight)`` with ``block``: runs of about ``BLOCK_SHINGLES`` of a group's weights in the order of comp and doc.
-
-    The running sum adds up within ranges of bounded size and over their totals, so a large group spreads over many tasks.
-    """
-    order = ["grp", "comp", "doc"]
-    dealt = through_files(docs.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "near-ranges")
-    ahead = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("grp", "part").agg(F.sum("weight").alias("held"))
-    totals = totals.select("grp", "part", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before"))
-    upto = F.sum("weight").over(Window.partitionBy("grp", "part").orderBy("comp", "doc"))
-    placed = dealt.join(totals, ["grp", "part"]).withColumn("block", F.floor((F.col("before") + upto) / BLOCK_SHINGLES).cast("int"))
-    return placed.select("doc", "comp", "grp", "block")
+def _blocked(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
+    """``docs(doc, comp, grp, weight)`` with ``block``: runs of about ``BLOCK_SHINGLES`` of a group's weights in the order of comp and doc."""
+    placed = running_sums(docs, ["grp"], ["comp", "doc"], {"before": "weight"}, "near-ranges", range_docs)
+    return placed.select("doc", "comp", "grp", F.floor((F.col("before") + F.col("weight")) / BLOCK_SHINGLES).cast("int").alias("block"))
 
 
 def _exact_rest(members: DataFrame, comps: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame | None:
     """Step 4: links between components that share a table of three or more."""
     own = members.where("n > 2").join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     own = through_files(own, "near-members")
-    mixed = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("doc").alias("first")).where("a <> b").select("key", "first")
-    open_ = through_files(own.join(mixed, "key").select("doc", "comp", "first").distinct(), "near-open")
+    mixed = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("doc").alias("first"), F.count("*").alias("n")).where("a <> b")
+    mixed = through_files(mixed.select("key", "first", "n"), "near-mixed")
+    open_ = through_files(spread_join(own, mixed, ["key"], "n", own.count()).select("doc", "comp", "first").distinct(), "near-open")
     if open_.isEmpty():
         return None
     groups = connected_components(open_.select(F.col("doc").alias("u"), F.col("first").alias("v")), "near-groups")
     docs = open_.select("doc", "comp").distinct().join(groups, F.col("doc") == F.col("node"), "left").select("doc", "comp", F.coalesce("component", "doc").alias("grp"))
     docs = through_files(docs.join(sizes, "doc").withColumn("weight", F.col("n_shingles") + 400), "near-rest")
-    docs = through_files(_blocked(docs, max(1, -(-docs.count() // RANGE_DOCS))), "near-blocks")
+    docs = through_files(_blocked(docs), "near-blocks")
     spans = docs.groupBy("grp", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     other = spans.select(F.col("grp").alias("g2"), F.col("block").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     tasks = spans.join(other, (F.col("grp") == F.col("g2")) & (F.col("block") <= F.col("b2"))).where("least(lo, lo2) <> greatest(hi, hi2)")
@@ -239,8 +231,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     sides = live.groupBy("doc").agg(F.collect_set(F.when(~F.col("second"), F.col("entry"))).alias("one"), F.collect_set(F.when(F.col("second"), F.col("entry"))).alias("two"))
     keys = sides.select("doc", F.explode("one").alias("one"), "two").select("doc", "one", F.explode("two").alias("two")).select("doc", F.xxhash64("one", "two").alias("key"))
     keys = through_files(keys, "near-keys")
-    leaders = keys.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = through_files(keys.join(leaders, "key"), "near-tables")
+    leaders = through_files(keys.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1"), "near-leaders")
+    members = through_files(spread_join(keys, leaders, ["key"], "n", keys.count()), "near-tables")
 
     stars = members.where("doc <> leader").groupBy("doc", "leader").agg(F.min("n").alias("n"))
     turn = F.row_number().over(Window.partitionBy("doc").orderBy("leader"))
