@@ -6,7 +6,8 @@ one leaf of context before it, and splits that region anew until a boundary of t
 split falls on the end of an old leaf: from there on both splits agree, because a split
 from a boundary depends only on the text after it. Only the region's pre-tokens are
 encoded again, for all documents of a slice together, and sums change along the paths of
-the leaves.
+the leaves. A region that grows beyond twice ``RUN`` pre-tokens a leaf is cut into new
+leaves, so a long insertion leaves no leaf that later edits would encode whole.
 
 ``build_trees`` keeps trees as two arrays beside the text, ``apply_edits`` takes them and
 an array of edits ``(at, removed, inserted)`` for each document, applied in order to the
@@ -122,12 +123,25 @@ class CountedText:
     def _place(self, first: int, last: int, words: list[str]) -> None:
         """Leaves first to last get the pre-tokens of their region; ``settle`` encodes them."""
         self.reencoded += len(words)
+        if len(words) > 2 * RUN * (last - first + 1):
+            self._grow(first, last, words)
+            return
         share = -(-len(words) // (last - first + 1)) or 1
         for k in range(first, last + 1):
             self.open[k] = words[(k - first) * share : (k - first + 1) * share]
             self.texts[k] = "".join(self.open[k])
             self.chars.put(k, len(self.texts[k]))
 
+    def _grow(self, first: int, last: int, words: list[str]) -> None:
+        """New leaves of ``RUN`` pre-tokens instead of leaves first to last; the trees are built anew, in fewer steps than there are words and leaves."""
+        runs = [words[a : a + RUN] for a in range(0, len(words), RUN)]
+        more = len(runs) - (last - first + 1)
+        tokens = [self.tokens.leaf(k) for k in range(len(self.texts))]
+        self.texts[first : last + 1] = map("".join, runs)
+        tokens[first : last + 1] = [0] * len(runs)
+        self.open = {k + more * (k > last): w for k, w in self.open.items() if not first <= k <= last} | dict(enumerate(runs, first))
+        self.chars, self.tokens = SumTree(np.array([len(t) for t in self.texts])), SumTree(np.array(tokens))
+
     def leaves(self) -> tuple[list[int], list[int]]:
         kept = [k for k, t in enumerate(self.texts) if t]
         return [len(self.texts[k]) for k in kept], [self.tokens.leaf(k) for k in kept]
