@@ -9,8 +9,12 @@ finds the level at which everything is shared out.
 A source's wanted words are whole repetitions of all its documents and a rest. The rest
 is taken from its documents in a seeded order up to a cut: documents before the cut once
 more, the one at the cut for the words still missing. The cut is found from the sizes of
-4096 ranges of the order key and then inside one of them, so that no task orders a whole
-source.
+ranges of the order key, about as many as the square root of the rows, and then inside
+one of them, so that no task orders a whole source. Sums over sources, whose number has
+no bound, run within ranges of sources and over their totals (``running_sums``).
+
+``sample`` gives whole documents only: the one at the cut once more if at least half of
+it is missing.
 
 Defined results: null text has size 0; null source is a source of its own, the last;
 null doc_id takes a fixed place in the order; repeated rows that fall on the cut share
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import WORD, table, through_files
+from .text import WORD, running_sums, table, through_files
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -42,29 +46,33 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``source, source_size, target`` from ``sizes(source, size)``; one row for each source."""
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = by_source.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long")
-    capped = ranked.withColumns({"weight": weight, "cap": F.col("source_size") * max_epochs})
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    level = (F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    leveled = capped.withColumn("level", level).withColumn("clamped", F.col("cap") <= F.col("weight") * F.col("level"))
-    final = F.max(F.when(~F.col("clamped"), F.col("level"))).over(Window.partitionBy())
-    return leveled.withColumn("final", final).select("source", "source_size", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("final")).alias("target"))
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumns({"one": F.lit(1).cast("long"), "none": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))})
+    by_source = through_files(by_source, "mix-sources")
+    ranked = running_sums(by_source, [], ["none", "name"], {"place": "one"}, "mix-places")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    capped = ranked.select("source", "source_size", "place", weight.alias("weight"), (F.col("source_size") * max_epochs).alias("cap"))
+    capped = through_files(capped.withColumn("ratio", F.col("cap") / F.col("weight")), "mix-caps")
+    order = running_sums(capped, [], ["ratio", "place"], {"clamped_before": "cap", "weight_before": "weight"}, "mix-levels")
+    whole = F.broadcast(capped.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight")))  # one row
+    level = (F.col("all_size") - F.col("clamped_before")) / (F.col("all_weight") - F.col("weight_before"))
+    leveled = through_files(order.join(whole).withColumn("level", level).withColumn("clamped", F.col("cap") <= F.col("weight") * F.col("level")), "mix-levels")
+    final = F.broadcast(leveled.where(~F.col("clamped")).agg(F.max("level").alias("final")))  # one row
+    return leveled.join(final).select("source", "source_size", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("final")).alias("target"))
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row for each source: sizes, target, whole repetitions, and the cut of the rest, from ``rows(source, size, key)``."""
     wanted = targets(rows, weights, max_epochs).withColumn("wanted", F.floor(F.col("target") + 0.5))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("wanted") / F.col("source_size"))).otherwise(0)
-    wanted = wanted.withColumn("whole", whole).withColumn("rest", F.col("wanted") - F.col("whole") * F.col("source_size"))
+    wanted = through_files(wanted.withColumn("whole", whole).withColumn("rest", F.col("wanted") - F.col("whole") * F.col("source_size")), "mix-wanted")
 
-    bins = rows.groupBy("source", F.substring("key", 1, 3).alias("bin")).agg(F.sum("size").alias("held"))
+    digits = max(3, -(-rows.count().bit_length() // 8))  # of the hexadecimal key: about the square root of the rows
+    bins = rows.groupBy("source", F.substring("key", 1, digits).alias("bin")).agg(F.sum("size").alias("held"))
     upto = F.sum("held").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     bins = bins.withColumn("before", upto - F.col("held")).join(wanted.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
     edge = bins.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("held"))).select("s", "bin", "before", "rest")
 
-    near = rows.withColumn("b", F.substring("key", 1, 3)).join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bin")))
+    near = rows.withColumn("b", F.substring("key", 1, digits)).join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bin")))
     keys = near.groupBy("s", "key", "before", "rest").agg(F.sum("size").alias("held"), F.count("*").alias("copies"))
     upto = F.col("before") + F.sum("held").over(Window.partitionBy("s").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cut = keys.withColumn("after", upto).where((F.col("after") - F.col("held") < F.col("rest")) & (F.col("rest") <= F.col("after")))
@@ -91,20 +99,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 
 def sample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mixed corpus with the columns of docs: a row for each whole repetition; the document at the cut also gives a row of its first missing words."""
+    """The mixed corpus with the columns of docs: a row with the whole text for each repetition; the document at the cut is rounded to whole ones."""
     sized = _sized(docs.withColumn("source", F.col("source").cast("string")), seed)
     rows = through_files(sized.select("source", F.col("__size").alias("size"), F.col("__key").alias("key")), "mix-sizes")
     mixed = _with_plan(sized, plan(rows, weights, max_epochs))
-    repeats = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
-    part = F.when(F.col("__size") > 0, F.col("__taken") % F.col("__size")).otherwise(0).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(0), repeats), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    some = mixed.withColumn("__part", F.explode(copies))
-    words = F.slice(F.expr(rf"regexp_extract_all(text, '({WORD})', 1)".replace("\\", "\\\\")), F.lit(1), F.greatest(F.col("__part"), F.lit(1)))
-    text = F.when(F.col("__part") > 0, F.array_join(words, " ")).otherwise(F.col("text"))
-    out = some.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__part") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    repeats = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size") + 0.5)).otherwise(0).cast("int")
+    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), repeats))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
