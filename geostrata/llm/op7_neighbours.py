@@ -1,6 +1,9 @@
 """Approximate nearest neighbours by inner product: adaptive dimension scan (operator 7).
 
-Index: centres are fitted on a bounded sample; every vector goes to its nearest centre's
+Index: the number of lists grows with the square root of the rows, so the pairs that all
+queries together scan grow with its cube, not with the fourth power. Centres are fitted
+on a sample of ``PER_CENTRE`` vectors for each (``SAMPLE`` at least); beyond
+``FLAT_CENTRES`` they are fitted in two levels. Every vector goes to its nearest centre's
 list, is rotated by one random orthogonal matrix and cut into column blocks. Lists are
 dealt into chunks of about ``CHUNK`` vectors by a hash of vec_id, so that a list (or a
 vector that a third of all rows share) spreads over many tasks.
@@ -9,7 +12,8 @@ Search: a query probes the lists whose centres promise most; how many is measure
 trial queries are answered by brute force in one pass over the vectors, and the fewest
 lists are taken that give them ``RECALL`` of their true neighbours. The ``FIRST`` lists of
 each query are scanned first; from the others only what beats the k-th best there comes
-back, so the answers gathered don't grow with the lists probed. Within a chunk
+back, so the answers gathered don't grow with the lists probed. A query that has fewer
+than k answers then (its lists may be tiny) scans all its other lists. Within a chunk
 all its queries are scanned together, block by block. To beat a query's k-th best so far
 a candidate's squared distance has to stay below a bound; after d of D rotated dimensions
 about d / D of that distance is seen, so a candidate that has more than
@@ -33,18 +37,24 @@ from .text import table, through_files
 
 K = 20
 QUERY_STEP = 20
-#: Vectors that the centres are fitted on, at most about.
+#: Vectors that the centres are fitted on: so many at least, and for each centre.
 SAMPLE = 20_000
+PER_CENTRE = 32
+#: Centres fitted in one level, at most.
+FLAT_CENTRES = 1_024
 #: Lists scanned first; the k-th best score there is where the scan of a query's other lists starts.
 FIRST = 4
-#: Vectors of a list, about, and most lists.
-LIST_SIZE = 400
-MAX_LISTS = 4_096
+#: Lists for each square root of the number of vectors.
+LISTS_PER_ROOT = 0.55
 #: Lists probed are the fewest with which ``TRIALS`` trial queries find this share of their true neighbours.
 RECALL = 0.97
 TRIALS = 64
 CHUNK = 1_024
+#: Queries that meet a chunk in one task; they are scanned ``QUERY_CHUNK`` at a time.
+QUERY_TURN = 2_048
 QUERY_CHUNK = 256
+#: Tasks whose best rows for trial queries are merged at once.
+MERGE = 64
 BLOCK = 16
 SIGMAS = 2.5
 SEED = 3
@@ -73,6 +83,16 @@ def fit_centres(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = SEE
     return centres
 
 
+def fit_levels(sample: np.ndarray, lists: int, seed: int = SEED) -> np.ndarray:
+    """Centres of all lists: at most ``FLAT_CENTRES`` at once, else groups first and then each group's share of centres."""
+    if lists <= FLAT_CENTRES:
+        return fit_centres(sample, lists, seed=seed)
+    groups = fit_centres(sample, int(np.ceil(np.sqrt(lists))), seed=seed)
+    home = nearest(sample, groups)
+    parts = [sample[home == g] for g in range(len(groups))]
+    return np.concatenate([fit_centres(part, max(1, round(lists * len(part) / len(sample))), seed=seed) for part in parts if len(part)])
+
+
 def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres**2).sum(1) / 2
     return np.concatenate([(rows[a : a + 4096] @ centres.T - half).argmax(1) for a in range(0, len(rows), 4096)]) if len(rows) else np.zeros(0, int)
@@ -125,16 +145,24 @@ def choose_probes(indexed: DataFrame, trials: np.ndarray, trial_ids: np.ndarray,
     """Lists to probe so that the trial queries find ``recall`` of their true k nearest in ``indexed(vec_id, embedding, list)``."""
 
     def best(parts):
+        held = None  # the best of all batches of a task, so that a task returns k rows for each trial
         for part in parts:
             scores = trials @ np.array(part["embedding"].tolist(), float).reshape(len(part), -1).T
             scores[trial_ids[:, None] == part["vec_id"].to_numpy()[None, :]] = -np.inf
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             at = np.repeat(np.arange(len(trials)), top.shape[1])
-            yield pd.DataFrame({"trial": at.astype(np.int32), "score": scores[at, top.ravel()], "vec_id": part["vec_id"].to_numpy()[top.ravel()], "list": part["list"].to_numpy()[top.ravel()]})
-
-    rows = indexed.select("vec_id", "embedding", "list").mapInPandas(best, "trial int, score double, vec_id long, list int")
-    place = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "vec_id"))
-    true = rows.withColumn("place", place).where((F.col("place") <= k) & (F.col("score") > float("-inf"))).select("trial", "list").toPandas()
+            rows = pd.DataFrame({"trial": at.astype(np.int32), "score": scores[at, top.ravel()], "vec_id": part["vec_id"].to_numpy()[top.ravel()], "list": part["list"].to_numpy()[top.ravel()]})
+            held = pd.concat((held, rows)).sort_values(["trial", "score", "vec_id"], ascending=[True, False, True]).groupby("trial").head(k)
+        if held is not None:
+            yield held
+
+    def merged(rows: DataFrame, *keys) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("trial", *keys).orderBy(F.desc("score"), "vec_id"))
+        return rows.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+    rows = indexed.select("vec_id", "embedding", "list").mapInPandas(best, "trial int, score double, vec_id long, list int").withColumn("task", F.spark_partition_id())
+    some = merged(rows.withColumn("task", F.floor(F.col("task") / MERGE)), "task")
+    true = merged(some).where(F.col("score") > float("-inf")).select("trial", "list").toPandas()
     if true.empty:
         return len(centres)
     order = np.argsort(-(trials @ centres.T), axis=1, kind="stable")
@@ -152,13 +180,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float = R
     if not total:
         return spark.createDataFrame([], schema)
     # hash order, so the bounded sample is spread over all rows
-    share = min(1.0, SAMPLE / total)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE).toPandas()
+    lists = max(1, round(LISTS_PER_ROOT * total**0.5))
+    wanted_sample = max(SAMPLE, PER_CENTRE * lists)
+    draw = F.xxhash64("vec_id", F.lit(SEED))
+    share = min(1.0, 1.2 * wanted_sample / total)
+    sample = rows.where(F.pmod(draw, F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(draw, "vec_id").limit(wanted_sample).toPandas()
     if sample.empty:
-        sample = rows.limit(SAMPLE).toPandas()
+        sample = rows.orderBy("vec_id").limit(wanted_sample).toPandas()
     matrix = np.unique(np.array(sample["embedding"].tolist(), float), axis=0)  # copies must not draw several centres
-    lists = int(min(MAX_LISTS, max(1, total // LIST_SIZE)))
-    centres, turn = fit_centres(matrix, lists), rotation(matrix.shape[1])
+    centres, turn = fit_levels(matrix, lists), rotation(matrix.shape[1])
 
     @F.pandas_udf("int")
     def home(embedding: pd.Series) -> pd.Series:
@@ -177,7 +207,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float = R
         return pd.Series(list(np.argsort(-promise, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
     wanted = through_files(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.posexplode(probed("embedding")).alias("pos", "list")), "ann-probes")
-    # one row for each list, MAX_LISTS at most
+    # one row for each list: the centres in every task are larger
     sizes = F.broadcast(indexed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
 
     def scan(chunk: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
@@ -186,12 +216,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float = R
         chunk = chunk.sort_values("vec_id")
         q, x = np.array(questions["query"].tolist(), float), np.array(chunk["embedding"].tolist(), float)
         q_ids, ids = questions["query_id"].to_numpy(), chunk["vec_id"].to_numpy()
-        q_at, x_at, score = scan_chunk(q, q_ids, x, ids, turn, k, questions["bar"].to_numpy())
-        return pd.DataFrame({"query_id": q_ids[q_at], "vec_id": ids[x_at], "score": score})
+        bars, out = questions["bar"].to_numpy(), []
+        for a in range(0, len(q), QUERY_CHUNK):
+            z = a + QUERY_CHUNK
+            q_at, x_at, score = scan_chunk(q[a:z], q_ids[a:z], x, ids, turn, k, bars[a:z])
+            out.append(pd.DataFrame({"query_id": q_ids[a:z][q_at], "vec_id": ids[x_at], "score": score}))
+        return pd.concat(out)
 
     def scanned(asking: DataFrame) -> DataFrame:
         """Best rows by chunk for asking(query_id, query, list, bar); chunks meet blocks of their list's queries."""
-        turns = F.broadcast(asking.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("turns")))
+        turns = F.broadcast(asking.groupBy("list").agg(F.ceil(F.count("*") / QUERY_TURN).cast("int").alias("turns")))
         parts = sizes.join(turns, "list")
         spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
         dealt = indexed.join(F.broadcast(parts), "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).withColumn("turn", spread("turns"))
@@ -208,7 +242,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float = R
     bars = early.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
     rest = wanted.where(F.col("pos") >= FIRST).join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
     late = scanned(through_files(rest, "ann-rest"))
-    return best(early.drop("rank").unionByName(late)).select("query_id", "rank", "vec_id", "score")
+    found = through_files(best(early.drop("rank").unionByName(late)).select("query_id", "rank", "vec_id", "score"), "ann-found")
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
+    if probes >= len(centres) or short.isEmpty():
+        return found
+    # every list of the few queries whose lists hold too little; from k answers on nothing is missing
+    every = F.sequence(F.lit(0), F.lit(len(centres) - 1))
+    again = short.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(every).alias("list"), F.lit(float("-inf")).alias("bar"))
+    again = best(scanned(through_files(again, "ann-again"))).select("query_id", "rank", "vec_id", "score")
+    return found.join(full, "query_id", "left_semi").unionByName(again)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
