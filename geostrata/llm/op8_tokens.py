@@ -1,27 +1,29 @@
-"""Token-ID output: one wavelet matrix per shard (operator 8).
+"""Token-ID output: one compressed wavelet matrix per shard (operator 8).
 
 ``write`` deals documents into ranges of ascending doc_id, encodes each text, appends
 the end id and cuts a shard whenever about ``SHARD_TOKENS`` ids are gathered (a shard
 always holds whole documents). Each shard is one binary file value of format
-``wavelet`` and is written through Spark's committer into the shared folder, so a lost
-executor only repeats its tasks. ``read`` returns what the files hold. The running
-``start`` needs the number of ids in earlier ranges: one row for each range is summed,
-at most as many as there are write tasks.
+``wavelet``, with its doc_ids and document starts, and is written through Spark's
+committer into the shared folder, so a lost executor only repeats its tasks. ``read``
+returns what the files hold; the running ``start`` sums the ids of earlier shards.
 
 Ids are those that the tokenizers library gives for ``byte_bpe_50k.json``; they are made
-with tiktoken from the ranks file of the same vocabulary, which takes a quarter of the time.
+with tiktoken from the ranks file of the same vocabulary, as the library itself takes
+549 CPU seconds a GB for the ids alone, of a budget of 400, against 128.
 A text with a run of white space too long for tiktoken's pattern matcher (it gives up at
 about a million characters) is encoded by the merge rounds of ``bpe`` instead.
 
 Defined results: null text is empty (its document holds the end id alone); null doc_id
-sorts first; rows with equal doc_id are ordered by text; repeated rows each get a row;
-an empty table gives no shards and no rows; further columns are ignored.
+sorts first; rows with equal doc_id are ordered by a hash of the text, then by text;
+repeated rows each get a row; an empty table gives no shards and no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .text import scratch, slices, small_batches, table
+from .text import running_sums, scratch, slices, small_batches, table
 from .wavelet import WaveletMatrix, build
 
 END_ID = 2
@@ -43,7 +45,9 @@ RANGE_ROWS = 4_000
 #: White space that the pattern matcher might not get over.
 LONG_GAP = 100_000
 _GAP = re.compile(rf"\s{{{LONG_GAP}}}")
-_SCHEMA = "part int, shard int, base long, doc_ids array<long>, tokens long, blob binary"
+#: Starts of shards are broadcast up to this many (2 MB); beyond it the join shuffles.
+BROADCAST_SHARDS = 100_000
+_SCHEMA = "part int, shard int, tokens long, blob binary"
 
 
 def default_ranks() -> str:
@@ -77,18 +81,18 @@ def write(docs: DataFrame, path: str, ranks: str | None = None, vocabulary: str
         codec, part = encoding(ranks), TaskContext.get().partitionId()
         planes = codec.max_token_value.bit_length()
         dtype = np.uint16 if planes <= 16 else np.uint32
-        base = shard = held = 0
+        shard = held = 0
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal base, shard, held, doc_ids, ids
+            nonlocal shard, held, doc_ids, ids
             starts = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-            blob = build(np.concatenate(ids), starts, planes)
-            row = [[part], [shard], [base], [doc_ids], [held], [blob]]
-            base, shard, held, doc_ids, ids = base + held, shard + 1, 0, [], []
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            return pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "shard", "base", "doc_ids", "tokens", "blob"])
+            blob = build(np.concatenate(ids), starts, planes, doc_ids)
+            row = [[part], [shard], [held], [blob]]
+            shard, held, doc_ids, ids = shard + 1, 0, [], []
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            return pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "shard", "tokens", "blob"])
 
         for batch in batches:
             keys, values = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -103,8 +107,11 @@ def write(docs: DataFrame, path: str, ranks: str | None = None, vocabulary: str
         if ids:
             yield flush()
 
-    ordered = texts.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    small_batches(ordered).mapInArrow(run, _SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    # rows that share a doc_id or a text spread too: their place in the scan is the last part of the order
+    order = ["doc_id", "hash", "at"]
+    texts = texts.withColumns({"hash": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    ordered = texts.repartitionByRange(ranges, *order).sortWithinPartitions("doc_id", "hash", "text", "at").select("doc_id", "text")
+    small_batches(ordered).mapInArrow(run, _SCHEMA).write.option("compression", "uncompressed").parquet(path)  # the blobs are compressed
 
 
 def read(spark, path: str) -> DataFrame:
@@ -112,25 +119,20 @@ def read(spark, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                got = list(WaveletMatrix(row["blob"]).documents())
-                yield pa.record_batch(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array([row["part"]] * len(got), pa.int32()),
-                        pa.array([row["base"] + a for a, _, _ in got], pa.int64()),
-                        pa.array([n for _, n, _ in got], pa.int64()),
-                        pa.array([c for _, _, c in got], pa.int64()),
-                    ],
-                    ["doc_id", "part", "offset", "n_tokens", "ids_crc32"],
-                )
+            for start, blob in zip(batch.column("start").to_pylist(), batch.column("blob"), strict=True):
+                shard = WaveletMatrix(blob.as_py())
+                raw = memoryview(shard.decode().astype("<u4").tobytes())
+                cuts = (4 * shard.starts).tolist()
+                crcs = [zlib.crc32(raw[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+                columns = [pa.array(shard.doc_ids, pa.int64()), pa.array(start + shard.starts[:-1]), pa.array(np.diff(shard.starts)), pa.array(crcs, pa.int64())]
+                yield pa.record_batch(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.read.schema(_SCHEMA).parquet(path)
-    rows = shards.select("part", "base", "doc_ids", "blob").mapInArrow(run, "doc_id long, part int, offset long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = shards.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("earlier"))
-    # one row for each write task: bounded by the number of tasks, so it is broadcast
-    return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("earlier") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    starts = running_sums(shards.select("part", "shard", "tokens"), [], ["part", "shard"], {"start": "tokens"}, "token-starts").select("part", "shard", "start")
+    if starts.count() <= BROADCAST_SHARDS:
+        starts = F.broadcast(starts)
+    placed = shards.select("part", "shard", "blob").join(starts, ["part", "shard"]).select("start", "blob")
+    return small_batches(placed).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,35 +1,46 @@
-"""Wavelet matrix over token ids: succinct bit planes with rank and select.
+"""Wavelet matrix over token ids in one compressed, self-contained shard file.
 
-Layout of a shard file (little endian): magic ``WVM1``, planes u8, three zero bytes,
-documents u32, tokens u64, document starts u32 x (documents + 1), then for every plane, highest bit
-first: zeros u64, cumulative ones before each block of 512 bits u32, packed bits.
+Layout (little endian): magic ``WVM2``, planes u8, three zero bytes, documents u32, tokens u64; then a zstd frame
+with its length before it (u32) for each of: document starts (u32 x (documents + 1)), doc_ids (i64), whether a doc_id
+is null (u8). For every plane, highest bit first: zeros u64, then for each block of ``BLOCK`` bits the ones before it
+(u32) and the end of its frame (u32), then the blocks' bits as zstd frames. Rank and select decompress the one block
+they look into; the blocks before it are counted by the directory.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
+from functools import lru_cache
 
 import numpy as np
+import zstandard
 
-MAGIC = b"WVM1"
-BLOCK = 512
+MAGIC = b"WVM2"
+#: Bits of a block, a multiple of 8.
+BLOCK = 1 << 16
+LEVEL = 3
 _HEAD = struct.Struct("<4sB3xIQ")
 
 
-def build(ids: np.ndarray, starts: np.ndarray, planes: int) -> bytes:
+def build(ids: np.ndarray, starts: np.ndarray, planes: int, doc_ids: list[int | None] | None = None) -> bytes:
     """``starts`` holds the offset of every document and, last, the number of ids."""
-    n = len(ids)
-    out = [_HEAD.pack(MAGIC, planes, len(starts) - 1, n), np.asarray(starts, "<u4").tobytes()]
+    n, packer = len(ids), zstandard.ZstdCompressor(level=LEVEL)
+    names = list(doc_ids) if doc_ids is not None else [None] * (len(starts) - 1)
+    out = [_HEAD.pack(MAGIC, planes, len(starts) - 1, n)]
+    for part in (np.asarray(starts, "<u4"), np.array([x or 0 for x in names], "<i8"), np.array([x is None for x in names], np.uint8)):
+        frame = packer.compress(part.tobytes())
+        out += [struct.pack("<I", len(frame)), frame]
     current = np.ascontiguousarray(ids)
     for p in range(planes - 1, -1, -1):
-        bits = (current >> p) & 1 == 1
-        packed = np.packbits(bits, bitorder="little")
-        blocks = np.add.reduceat(bits, np.arange(0, n, BLOCK), dtype=np.uint32) if n else np.zeros(0, np.uint32)
-        ranks = np.concatenate(([0], np.cumsum(blocks)[:-1])) if n else blocks
-        zeros = current[~bits]
-        out += [struct.pack("<Q", len(zeros)), ranks.astype("<u4").tobytes(), packed.tobytes()]
-        current = np.concatenate((zeros, current[bits]))
+        bits = current & current.dtype.type(1 << p) != 0
+        packed = np.packbits(bits.view(np.uint8), bitorder="little")
+        cuts = range(0, len(packed), BLOCK // 8)
+        ones = np.array([0, *(int(np.bitwise_count(packed[a : a + BLOCK // 8]).sum()) for a in cuts)])
+        frames = [packer.compress(packed[a : a + BLOCK // 8].tobytes()) for a in cuts]
+        zeros = np.compress(~bits, current)
+        ends = np.cumsum([len(f) for f in frames]) if frames else np.zeros(0)
+        out += [struct.pack("<Q", len(zeros)), np.cumsum(ones)[:-1].astype("<u4").tobytes(), ends.astype("<u4").tobytes(), *frames]
+        current = np.concatenate((zeros, np.compress(bits, current)))
     return b"".join(out)
 
 
@@ -40,42 +51,52 @@ class WaveletMatrix:
         magic, self.planes, docs, self.n = _HEAD.unpack_from(blob)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix shard")
-        at = _HEAD.size
-        self.starts = np.frombuffer(blob, "<u4", docs + 1, at).astype(np.int64)
-        at += 4 * (docs + 1)
-        self.zeros, self.ranks, self.bits = [], [], []
+        self._blob, self._unpack = memoryview(blob), zstandard.ZstdDecompressor()
+        at, parts = _HEAD.size, []
+        for _ in range(3):
+            size = struct.unpack_from("<I", blob, at)[0]
+            parts.append(self._unpack.decompress(self._blob[at + 4 : at + 4 + size]))
+            at += 4 + size
+        self.starts = np.frombuffer(parts[0], "<u4").astype(np.int64)
+        self.doc_ids = [None if gone else x for x, gone in zip(np.frombuffer(parts[1], "<i8").tolist(), parts[2], strict=True)]
+        blocks = -(-self.n // BLOCK)
+        self.zeros, self.ranks, self.frames = [], [], []
         for _ in range(self.planes):
             self.zeros.append(struct.unpack_from("<Q", blob, at)[0])
-            blocks, packed = -(-self.n // BLOCK), -(-self.n // 8)
             self.ranks.append(np.frombuffer(blob, "<u4", blocks, at + 8))
-            self.bits.append(np.frombuffer(blob, np.uint8, packed, at + 8 + 4 * blocks))
-            at += 8 + 4 * blocks + packed
+            ends = np.frombuffer(blob, "<u4", blocks, at + 8 + 4 * blocks).astype(np.int64)
+            at += 8 + 8 * blocks
+            self.frames.append(at + np.concatenate(([0], ends)))
+            at = int(self.frames[-1][-1])
+        self._bits = lru_cache(maxsize=8 * self.planes)(self._block)
+
+    def _block(self, plane: int, k: int) -> np.ndarray:
+        a, z = self.frames[plane][k : k + 2].tolist()
+        return np.frombuffer(self._unpack.decompress(self._blob[a:z]), np.uint8)
 
     def _bit(self, plane: int, i: int) -> int:
-        return int(self.bits[plane][i >> 3]) >> (i & 7) & 1
+        return int(self._bits(plane, i // BLOCK)[i % BLOCK >> 3]) >> (i & 7) & 1
 
     def rank1(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         if i <= 0 or not self.n:
             return 0
-        block = min(i // BLOCK, len(self.ranks[plane]) - 1)
-        rest = self.bits[plane][block * BLOCK // 8 : -(-i // 8)]
-        ones = int(np.bitwise_count(rest).sum())
-        if i % 8:
-            ones -= int(rest[-1] >> (i % 8)).bit_count()
-        return int(self.ranks[plane][block]) + ones
+        k = min(i // BLOCK, len(self.ranks[plane]) - 1)
+        within = i - k * BLOCK
+        held = self._bits(plane, k)[: -(-within // 8)]
+        ones = int(np.bitwise_count(held).sum())
+        if within % 8:
+            ones -= (int(held[-1]) >> (within % 8)).bit_count()
+        return int(self.ranks[plane][k]) + ones
 
     def select(self, plane: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) bit of that value in a plane."""
-        low, high = 0, self.n
-        while low < high:  # smallest i with more than k such bits among the first i + 1
-            mid = (low + high) // 2
-            ones = self.rank1(plane, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        """Place of the k-th (from 0) bit of that value in a plane: the block by its directory, the place within it by its bits."""
+        ranks = self.ranks[plane].astype(np.int64)
+        before = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        size = min(BLOCK, self.n - block * BLOCK)
+        held = np.unpackbits(self._bits(plane, block), count=size, bitorder="little")
+        return block * BLOCK + int(np.flatnonzero(held == bit)[k - int(before[block])])
 
     def access(self, i: int) -> int:
         value = 0
@@ -116,15 +137,10 @@ class WaveletMatrix:
         dtype = np.uint16 if self.planes <= 16 else np.uint32
         values = np.zeros(self.n, dtype)
         for p in range(self.planes - 1, -1, -1):
-            bits = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
+            raw = np.concatenate([self._block(p, k) for k in range(len(self.ranks[p]))]) if self.n else np.zeros(0, np.uint8)
+            bits = np.unpackbits(raw, count=self.n, bitorder="little").view(bool)
+            values[self.zeros[p] :] |= dtype(1 << (self.planes - 1 - p))
             parent = np.empty(self.n, dtype)
-            parent[~bits] = values[: self.zeros[p]]
-            parent[bits] = values[self.zeros[p] :] | dtype(1 << (self.planes - 1 - p))
+            parent[np.concatenate((np.flatnonzero(~bits), np.flatnonzero(bits)))] = values
             values = parent
         return values
-
-    def documents(self):
-        """Offset, length and crc32 of each document's ids as little-endian u32."""
-        raw = memoryview(self.decode().astype("<u4").tobytes())
-        for a, z in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
-            yield a, z - a, zlib.crc32(raw[4 * a : 4 * z])
