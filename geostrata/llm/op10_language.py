@@ -7,12 +7,15 @@ over the scan without a shuffle.
 
 Training is bounded: of the labelled rows whose crc32 of doc_id is not 2 modulo 4, about
 ``PER_LANGUAGE`` for each language (``MAX_SAMPLE`` together) are drawn by a hash of
-doc_id; only their n-gram counts reach the driver. Predictions never see lang, source or
-doc_id.
+doc_id and text, copies once, in the order of that hash; only their n-gram counts reach
+the driver. With more than ``MAX_SAMPLE`` languages the most frequent are learned.
+Predictions never see lang, source or doc_id.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a null
 doc_id counts as held out; with one learned language all texts get it with score 1, with
-none all are ``und``; an empty table gives no rows; further columns are ignored.
+none all are ``und``; an empty table gives no rows; further columns are ignored. As a
+filter (``keep_known``) only texts without a letter are rejected: without any label to
+learn from, documents with letters stay.
 """
 
 from __future__ import annotations
@@ -138,13 +141,13 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> Model | None:
     """A model from the sample that the module names, or None without labelled rows."""
     known = _prepared(docs).where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_SAMPLE).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_SAMPLE).collect()}
     if not counts:
         return None
     wanted = min(PER_LANGUAGE, max(1, MAX_SAMPLE // len(counts)))
     rates = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, wanted / n))))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
-    drawn = known.where(draw < rates[F.col("lang")]).select("text", "lang")
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(SEED)), 1)
+    drawn = known.withColumn("draw", draw).where(F.col("draw") / float(1 << 63) < rates[F.col("lang")]).dropDuplicates(["lang", "draw"]).select("text", "lang", "draw")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +155,9 @@ def train(docs: DataFrame) -> Model | None:
             for a, z in _parts(texts):
                 rows, has = ngram_counts(texts[a:z])
                 packed = [r.astype(np.float16).tobytes() if ok else None for r, ok in zip(rows, has, strict=True)]
-                yield pa.record_batch([batch.column("lang").slice(a, z - a), pa.array(packed, pa.binary())], ["lang", "row"])
+                yield pa.record_batch([batch.column("lang").slice(a, z - a), batch.column("draw").slice(a, z - a), pa.array(packed, pa.binary())], ["lang", "draw", "row"])
 
-    got = small_batches(drawn).mapInArrow(features, "lang string, row binary").where("row is not null").limit(2 * MAX_SAMPLE).toPandas()
+    got = small_batches(drawn).mapInArrow(features, "lang string, draw long, row binary").where("row is not null").orderBy("draw", "lang").limit(2 * MAX_SAMPLE).toPandas()
     if got.empty:
         return None
     languages = sorted(set(got["lang"]))
@@ -194,8 +197,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs for which a language is predicted, with all their columns; ``und`` is rejected."""
+    """The rows of docs that have letters and so, where any could be learned, a language, with all their columns."""
     model = train(docs)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
 
     @F.pandas_udf("string")
     def language(texts: pd.Series) -> pd.Series:
