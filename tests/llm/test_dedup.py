@@ -32,14 +32,45 @@ def test_exact(spark, docs_of, odd_rows):
 
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(5000).selectExpr("xxhash64(id) AS key")
-    found = op2_exact_dedup.directory(keys, 8, 300).collect()
-    counts = defaultdict(int)
-    slots = {r["slot"]: r for r in found}
-    for r in keys.collect():
-        counts[slots[(r["key"] % (1 << 64)) >> 56]["bucket"]] += 1
-    assert max(counts.values()) <= 300 and sum(counts.values()) == 5000
-    for r in found:  # a bucket is a range of slots that shares its prefix
-        assert r["bucket"] == r["slot"] >> (8 - r["local_depth"]) << (8 - r["local_depth"])
+    for bits, capacity in ((8, 300), (3, 40), (1, 2000)):
+        slots = op2_exact_dedup.directory(keys, bits, capacity, 4 * capacity)
+        got = op2_exact_dedup.route(keys, slots, bits).collect()
+        assert len(got) == 5000
+        buckets, owners = defaultdict(list), defaultdict(set)
+        for r in got:
+            buckets[r["bucket"]].append(r["key"] % (1 << 64))
+            owners[r["owner"]].add(r["bucket"])
+        assert max(map(len, buckets.values())) <= capacity
+        assert sum(map(len, owners.values())) == len(buckets)  # a bucket has one owner
+        spans = sorted((min(k), max(k)) for k in buckets.values())  # buckets and owners are ranges of keys
+        assert all(a[1] < b[0] for a, b in itertools.pairwise(spans))
+        spans = sorted((min(min(buckets[b]) for b in own), max(max(buckets[b]) for b in own)) for own in owners.values())
+        assert all(a[1] < b[0] for a, b in itertools.pairwise(spans))
+        depths = {r["local_depth"] for r in slots.collect()}
+        assert max(depths) > bits if bits == 3 else max(depths) <= bits + 12
+
+
+def test_directory_decides_which_files_are_read(spark, docs_of):
+    rows = [(k, f"text number {k % 700}") for k in range(1500)]
+    index, _ = op2_exact_dedup.build_index(docs_of(rows), capacity=8)
+    owners = {r["owner"] for r in index.slots.collect()}
+    assert len(owners) > 4
+    asked = docs_of([(9000, "text  number 5"), (9001, "textnumber699"), (9002, "absent")])
+    found = index.lookup(asked)
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in found.collect()} == {9000: (5, 3), 9001: (699, 2)}
+    routed = {r["owner"] for r in op2_exact_dedup.route(op2_exact_dedup._keyed(asked), index.slots, index.slot_bits).collect()}
+    read = {int(re.search(r"owner=(\d+)", f)[1]) for f in index.entries().where(op2_exact_dedup.F.col("owner").isin(sorted(routed))).inputFiles()}
+    assert "PartitionFilters: [owner" in found._jdf.queryExecution().toString()
+    per_owner = {r["owner"]: r["n"] for r in index.entries().groupBy("owner").count().withColumnRenamed("count", "n").collect()}
+    assert set(per_owner) == owners and len(routed) <= 3 < len(read | owners)
+
+
+def test_deduplicate_odd_tables(spark, docs_of):
+    assert op2_exact_dedup.deduplicate(docs_of([])).count() == 0
+    rows = [(None, "same")] * 30 + [(1, None), (2, ""), (2, "")] + [(7, "x y")] * 5
+    kept = [(r["doc_id"], r["text"]) for r in op2_exact_dedup.deduplicate(docs_of(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "same"), (1, None), (7, "x y")], key=str)
+    assert sum(r["kept"] for r in op2_exact_dedup.find_duplicates(docs_of(rows)).collect()) == 3
 
 
 def brute(rows, words, similarity=80):
@@ -125,7 +156,7 @@ def test_components(spark):
 
 def test_blocks_are_runs_of_their_group(spark):
     rows = [(d, d % 7, 0 if d < 2_000 else d % 3 + 1, 1_000 + d % 50) for d in range(3_000)]
-    got = op5_near_dedup._blocked(spark.createDataFrame(rows, "doc long, comp long, grp long, weight long"), 6).collect()
+    got = op5_near_dedup._blocked(spark.createDataFrame(rows, "doc long, comp long, grp long, weight long"), 500).collect()
     assert len(got) == len(rows)
     block, held = {(r["doc"], r["comp"], r["grp"]): r["block"] for r in got}, {}
     for doc, comp, grp, weight in sorted(rows, key=lambda r: (r[2], r[1], r[0])):

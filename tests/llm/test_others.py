@@ -32,8 +32,54 @@ def test_automaton_gives_matching_statistics():
         assert [n for _, n in found] == brute_statistics(words, sequences)
         tree = op4_licenses.SuffixAutomaton(sequences)
         for i, (state, n) in enumerate(tree.statistics(words)):
-            for t, end in tree.states[state].ends.items() if n else ():
-                assert sequences[t][end - n : end] == words[i - n + 1 : i + 1]
+            if n:
+                run = words[i - n + 1 : i + 1]
+                assert tree.places(state) == [(t, e) for t, s in enumerate(sequences) for e in range(n, len(s) + 1) if s[e - n : e] == run]
+
+
+def brute_cover(words, sequence, min_run):
+    """Most words of the sequence that a chain of maximal runs covers, by trying all chains."""
+    n, m = len(words), len(sequence)
+    ends = defaultdict(int)  # longest run that ends at a word and has a place in the sequence
+    for i in range(1, n + 1):
+        for a in range(i):
+            if any(sequence[e : e + i - a] == words[a:i] for e in range(m - (i - a) + 1)):
+                ends[i] = max(ends[i], i - a)
+    maximal = [(i - ends[i], ends[i]) for i in ends if ends[i] >= min_run and ends.get(i + 1, 0) <= ends[i]]
+    runs = sorted((start, at, k) for start, k in maximal for at in range(m - k + 1) if sequence[at : at + k] == words[start : start + k])
+    best = 0
+    stack = [(0, 0, 0, None)]
+    while stack:
+        covered, doc, end, first = stack.pop()
+        best = max(best, covered)
+        for start, at, k in runs:
+            if start >= doc and at >= end and (first is None or start - first <= 2 * m):
+                stack.append((covered + k, start + k, at + k, start if first is None else first))
+    return best
+
+
+def test_chains_equal_brute_force():
+    rng, names = np.random.default_rng(7), "abcdefgh"
+    for _ in range(150):
+        sequence = [names[k] for k in rng.integers(0, 4, rng.integers(4, 14))]
+        words = [names[k] for k in rng.integers(0, 5, 30)]
+        scanner = op4_licenses.Scanner((("x", " ".join(sequence)),), (), min_run=3, covered=0.5)
+        ids = np.array([scanner.ids.get(w.encode(), 0) for w in words])
+        found = scanner.spans(ids)
+        assert (found[0][3] if found else 0) == brute_cover(words, sequence, 3)
+        for t, first, last, covered, share in found:
+            assert 0 <= first <= last < len(words) and covered <= last - first + 1 and share == covered / len(sequence)
+
+
+def test_templates_are_a_parameter(spark, docs_of, tmp_path):
+    (tmp_path / "house.txt").write_text("you may look at it and you may not touch it and you may go")
+    templates = op4_licenses.read_templates(spark, str(tmp_path))
+    text = "He said: you may look at it, and you may not touch it, and you may go. MIT license"
+    got = op4_licenses.scan(docs_of([(1, text), (2, "you may"), (3, None)]), templates=templates).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert (by[1]["labels"], by[1]["base_labels"], by[1]["score"]) == ("house,mit", "mit", 1.0) and by[1]["spans"][0]["first_word"] == 2
+    assert by[2]["labels"] == by[3]["labels"] == "" and by[3]["n_words"] == 0
+    assert [r["labels"] for r in op4_licenses.scan(docs_of([(1, text)]), templates=()).collect()] == ["mit"]
 
 
 def test_scan(docs_of, odd_rows):
@@ -58,7 +104,7 @@ def test_scan(docs_of, odd_rows):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     by = {r["doc_id"]: r for r in got}
     assert by[100]["score"] == 1 and by[100]["labels"] == "mit"
-    assert by[105]["base_labels"] == "" and by[105]["labels"] == "mit" and 0.8 < by[105]["score"] < 1
+    assert by[105]["base_labels"] == "" and by[105]["labels"] == "mit" and 0.75 < by[105]["score"] < 1
     assert op4_licenses.scan(docs_of([])).count() == 0
 
 
@@ -98,7 +144,13 @@ def test_mix(docs_of, odd_rows):
     words = defaultdict(int)
     for r in out.collect():
         words[size[r["source"]]] += len((r["text"] or "").split())
-    assert {k: v for k, v in words.items() if v} == {k: v for k, v in taken.items() if v}
+    longest, whole = defaultdict(int), {t or "" for _, t, *_ in rows}
+    for _, text, *rest in rows:
+        longest[size[rest[1]]] = max(longest[size[rest[1]]], len((text or "").split()))
+    for k, v in taken.items():  # whole documents only, so the sum is off by half of the one at the cut at most
+        assert abs(words[k] - v) <= longest[k] / 2 + 3
+    assert {r["text"] for r in out.collect()} <= whole
+    assert op6_mixing.sample(docs_of([])).count() == 0 and op6_mixing.sample(docs_of([(1, None), (2, "")])).count() == 0
     assert op6_mixing.mix(docs_of([])).count() == 0 and op6_mixing.mix(docs_of([(1, None), (2, "")])).count() == 2
 
 
@@ -130,6 +182,29 @@ def test_neighbours(spark):
     assert op7_neighbours.search(vectors.where("vec_id < 3"), vectors.where("vec_id = 0")).count() == 2
 
 
+def test_neighbours_of_outliers_and_repeats(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.standard_normal((700, 8)) * 0.05 + 5, -50 * np.eye(8)))  # eight vectors far from all others
+    rows = [(k, v.tolist(), "v", 1) for k, v in enumerate(x)] + [(3, x[3].tolist(), "again", 2)] * 4
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank int")
+    got = op7_neighbours.search(vectors, vectors.where("vec_id >= 700 or vec_id = 20")).collect()
+    answers = defaultdict(list)
+    for r in got:
+        answers[r["query_id"]].append(r)
+    assert set(answers) == {20, *range(700, 708)} and all(sorted(r["rank"] for r in a) == list(range(1, 21)) for a in answers.values())
+    for q in range(700, 708):
+        score = x @ x[q]
+        assert all(r["score"] == pytest.approx(score[r["vec_id"]]) for r in answers[q])
+    own = op7_neighbours.search(vectors, vectors.where("vec_id = 3")).collect()
+    assert all(r["vec_id"] != 3 for r in own)
+
+
+def test_two_levels_of_centres():
+    sample = np.random.default_rng(5).standard_normal((40_000, 4))
+    centres = op7_neighbours.fit_levels(sample, 1_200)
+    assert 1_100 < len(centres) < 1_300 and np.bincount(op7_neighbours.nearest(sample, centres), minlength=len(centres)).max() < 1_000
+
+
 def test_scan_without_tests_is_exact():
     rng = np.random.default_rng(2)
     q, x = rng.standard_normal((5, 24)), rng.standard_normal((300, 24))
@@ -150,26 +225,58 @@ def test_hilbert_curve_steps_to_neighbours(dims, bits):
     assert (np.abs(np.diff(path, axis=1)).sum(0) == 1).all()
 
 
-def test_shards(spark, docs_of, odd_rows):
-    rows = [*odd_rows, *((200 + k, "t " * (k % 50), ["en", "fr"][k % 2], f"s{k % 5}") for k in range(300))]
+def brute_step(values, value, steps=16):
+    """The cell of a value: cuts at equal shares of the rows, between whole values."""
+    total, cuts, before = len(values), set(), 0
+    first = {}
+    for v in sorted(set(values)):
+        n = values.count(v)
+        first.setdefault(int((before + n / 2) * steps / total), v)
+        before += n
+    cuts = [v for k, v in first.items() if k > 0]
+    return sum(v <= value for v in cuts)
+
+
+def test_shards(spark, docs_of, odd_rows, tmp_path):
+    rows = [*odd_rows, *((200 + k, "t " * (k % 50), ["en", "fr"][k % 2], f"https://host.example/path/{k % 5}") for k in range(300))]
     path = scratch(spark, "shards")
     op9_sharding.write(docs_of(rows), path, range_bytes=4_000)
     got = op9_sharding.read(spark, path).collect()
-    assert len(got) == len(rows)
+    assert sorted(str((r["doc_id"], r["text"], r["lang"], r["source"])) for r in got) == sorted(str((r[0], r[1], r[2] if len(r) > 2 else "en", r[3])) for r in rows)
     slots = defaultdict(list)
     for r in got:
         slots[r["shard"]].append(r["slot"])
+        assert r["size"] == len((r["text"] or "").encode()) + 1 and r["crc"] == zlib.crc32((r["text"] or "").encode())
     assert set(slots) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     in_order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
     assert [r["hilbert"] for r in in_order] == sorted(r["hilbert"] for r in got)
-    assert sorted(zlib.crc32((t or "").encode()) for _, t, *_ in rows) == sorted(r["crc"] for r in got)
+    # strings count by their whole values, so sources with a common beginning lie apart
+    names = [r[3] or "" for r in rows]
+    sizes = np.array([r["size"] for r in got])
+    cuts = spark.createDataFrame([(int(x),) for x in sizes], "s long").agg(op9_sharding.F.percentile_approx("s", [k / 16 for k in range(1, 16)], 10_000)).first()[0]
+    axes = np.array([[brute_step(names, r["source"] or "") for r in got], [brute_step([r[2] or "" for r in rows], r["lang"] or "") for r in got], np.searchsorted(cuts, sizes, side="right")])
+    assert op9_sharding.hilbert_index(axes, 4).tolist() == [r["hilbert"] for r in got] and len(set(axes[0])) > 4
+    for odd, want in (([], []), ([(1, "a"), (2, "b")], [0, 0]), ([(None, None)] * 3 + [(1, "x")], [0] * 4)):
+        path = scratch(spark, "shards")
+        op9_sharding.write(docs_of(odd), path)
+        assert sorted(r["slot"] for r in op9_sharding.read(spark, path).collect()) == want
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op9_sharding.query(spark, str(tmp_path)).collect()
+    assert {(r["law"], r["grown_shard"]) for r in found} == {("rows", None)} and sorted((r["size"], r["text_crc32"]) for r in found) == sorted((r["size"], r["crc"]) for r in got)
+
+
+def test_files_prune_in_several_dimensions(spark, docs_of):
+    rng = np.random.default_rng(3)
+    rows = [(k, "t" * int(rng.integers(1, 400)), ["de", "en", "es", "fr"][int(rng.integers(4))], f"s{rng.integers(8)}") for k in range(4000)]
+    rows += [(9000 + k, "t" * 150, "en", "hot") for k in range(2000)]  # a cell with a third of all rows
     path = scratch(spark, "shards")
-    op9_sharding.write(docs_of([]), path)
-    assert op9_sharding.read(spark, path).count() == 0
-    path = scratch(spark, "shards")
-    op9_sharding.write(docs_of([(1, "a"), (2, "b")]), path)
-    assert sorted(r["slot"] for r in op9_sharding.read(spark, path).collect()) == [0, 0]
+    op9_sharding.write(docs_of(rows), path, range_bytes=20_000)
+    files = op9_sharding.boxes(spark, path).collect()
+    assert len(files) > 40 and sum(f["n"] for f in files) == 6000 and max(f["n"] for f in files) < 500
+    for source, low, high in (("s2", 0, 100), ("s5", 300, 401), ("hot", 0, 50)):
+        met = [f for f in files if f["min_source"] <= source <= f["max_source"] and f["min_size"] <= high and f["max_size"] >= low]
+        assert len(met) < 0.5 * len(files)
 
 
 # -- language ---------------------------------------------------------------
@@ -190,6 +297,32 @@ def test_language_held_out(spark, sf_dir):
     assert len(found) > 150 and sum(r["lang"] == r["lang_pred"] for r in found) / len(found) > 0.97
 
 
+def test_predictions_equal_a_slow_reference(docs_of):
+    import unicodedata
+
+    docs = docs_of([*((200 + k, "le chat est la " * 5, "fr") for k in range(20)), *((300 + k, "the cat is there " * 5, "en") for k in range(20)), *((400 + k, "die katze ist da " * 5, "de") for k in range(20))])
+    model = op10_language.train(docs)
+    mask = (1 << 64) - 1
+    for text in ("Le chat!", "the KATZE 42 da", "été là", "x"):
+        low = text.lower()
+        letter = [unicodedata.category(c)[0] == "L" for c in low]
+        code = [ord(c) if ok else 0 for c, ok in zip(low, letter, strict=True)]
+        counts = np.zeros(op10_language.FEATURES)
+        for n in op10_language.ORDERS:
+            for a in range(len(code) - n + 1):
+                if any(letter[a : a + n]):
+                    h = 0
+                    for c in code[a : a + n]:
+                        h = (h * 0x9E3779B97F4A7C15 + c + n) & mask
+                    counts[((h * 0xD6E8FEB86659FD93 & mask) >> 40) % op10_language.FEATURES] += 1
+        row = np.sqrt(counts) / np.sqrt(counts.sum())
+        margins = row @ model.weights + model.bias
+        loss = [sum(t * np.log1p(np.exp(-m * w)) for t, m, w in zip(model.trust, margins, word, strict=True)) for word in model.code]
+        share = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        names, score, lead = op10_language.classify([text], model)
+        assert names == [model.languages[int(share.argmax())]] and score[0] == pytest.approx(share.max(), rel=1e-6) and lead[0] == pytest.approx(np.sort(share)[-1] - np.sort(share)[-2], rel=1e-6)
+
+
 def test_language_odd_cases(docs_of, odd_rows):
     rows = [*odd_rows, (100, "12 + 34 = 46"), *((200 + k, "le chat est la " * 5, "fr") for k in range(20)), *((300 + k, "the cat is there " * 5, "en") for k in range(20))]
     docs = docs_of(rows)
@@ -200,6 +333,12 @@ def test_language_odd_cases(docs_of, odd_rows):
     kept = op10_language.keep_known(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 4
     assert op10_language.train(docs_of([])) is None
+    unlabelled = docs_of([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "слово", None)])
+    assert sorted(r["doc_id"] for r in op10_language.keep_known(unlabelled).collect()) == [1, 4]
+    assert op10_language.keep_known(docs_of([])).count() == 0
+    same_id = docs_of([(1, f"the cat number {k} is there", "en") for k in range(300)] + [(3, f"le chat numéro {k} est la", "fr") for k in range(300)])
+    models = [op10_language.train(same_id.repartition(n)) for n in (1, 5)]
+    assert all(np.allclose(models[0].weights, m.weights) and m.languages == ["en", "fr"] for m in models)
     assert [r["lang_pred"] for r in op10_language.predict(docs_of([(1, "abc")]), None).collect()] == ["und"]
     one = docs_of([(k, "some words", "en") for k in range(40)])
     assert {(r["lang_pred"], r["score"]) for r in op10_language.predict(one, op10_language.train(one)).collect()} == {("en", 1.0)}

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from geostrata.llm import bpe, op1_bpe, op3_token_counts, op8_tokens
+from geostrata.llm import bpe, op1_bpe, op3_token_counts, op8_tokens, wavelet
 from geostrata.llm.text import scratch
 from geostrata.llm.wavelet import WaveletMatrix, build
 
@@ -81,9 +81,11 @@ def test_shards_get_over_long_gaps(spark, docs_of, gap):
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 511, 512, 513, 3000])
-def test_wavelet_matrix(n):
+def test_wavelet_matrix(n, monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", 512)
     ids = np.random.default_rng(n).integers(0, 300, n).astype(np.uint16)
-    tree = WaveletMatrix(build(ids, np.array([0, n // 2, n]), 9))
+    tree = WaveletMatrix(build(ids, np.array([0, n // 2, n]), 9, [None, -7]))
+    assert tree.doc_ids == [None, -7] and tree.starts.tolist() == [0, n // 2, n]
     assert (tree.decode() == ids).all()
     for i in range(0, n, 97):
         assert tree.access(i) == ids[i]
@@ -94,6 +96,16 @@ def test_wavelet_matrix(n):
     assert tree.count(511) == 0 and tree.occurrence(511, 0) == -1 and tree.count(5000) == 0
 
 
+def test_planes_are_compressed():
+    ids = np.random.default_rng(1).zipf(1.3, 300_000).clip(0, 40_000).astype(np.uint16)
+    blob = build(ids, np.array([0, len(ids)]), 16, [5])
+    tree = WaveletMatrix(blob)
+    assert len(blob) < 0.7 * ids.nbytes and (tree.decode() == ids).all()
+    for token in (1, 2, 77, 39_999):
+        at = np.flatnonzero(ids == token)
+        assert tree.count(token) == len(at) and all(tree.occurrence(token, k) == at[k] for k in range(0, len(at), max(1, len(at) // 7)))
+
+
 def test_edits_equal_recount():
     codec, r = bpe.load(bpe.default_vocabulary()), random.Random(4)
     for _ in range(400):
@@ -123,6 +135,20 @@ def test_edits_touch_little():
     assert own.tokens.total == len(expected(own.text)) and own.reencoded < 200
 
 
+def test_long_insertions_make_small_leaves():
+    codec = bpe.load(bpe.default_vocabulary())
+    chars, tokens = next(op3_token_counts.leaves_of(codec, ["a short text of few words"]))
+    own = op3_token_counts.CountedText(codec, "a short text of few words", chars, tokens)
+    own.edit(7, 0, " many more words" * 3000)
+    op3_token_counts.settle(codec, [own])
+    before = own.reencoded
+    own.edit(20_000, 2, "new")
+    own.edit(40_000, 0, "\n" * 50)
+    op3_token_counts.settle(codec, [own])
+    assert own.tokens.total == len(expected(own.text)) and own.reencoded - before < 400
+    assert max(len(codec.pretokens(t)) for t in own.texts) <= 2 * op3_token_counts.RUN + 60
+
+
 def test_trees_over_tables(spark, docs_of, odd_rows):
     docs = op3_token_counts.with_edits(docs_of(odd_rows))
     done = op3_token_counts.apply_edits(op3_token_counts.build_trees(docs)).collect()
