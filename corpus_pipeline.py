@@ -14,22 +14,27 @@ from geostrata.llm.text import scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters, whatever language they get; null and blank texts go, and without any label to learn from documents with letters stay."""
     return op10_language.keep_known(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal up to blanks: the longest, then the smallest doc_id; of repeated rows one; empty texts are a group."""
     return op2_exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates (five words, 0.8); rows without doc_id or words stay, rows that share a doc_id share its fate."""
     return op5_near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, repeated until each source's words come near its target; null source is a source, documents without words go."""
     return op6_mixing.sample(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text, one row for each row; null text counts as empty."""
     return op1_bpe.round_trip(docs)
 
 
