@@ -64,11 +64,11 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("shards", pat_str=bpe.SPLIT, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
-def encode(text: str, codec: tiktoken.Encoding, vocabulary: str) -> list[int]:
+def encode(text: str, codec: tiktoken.Encoding, vocabulary: str) -> np.ndarray:
     """Ids of a whole text by ``codec``, or by the merge rounds of ``vocabulary``, which has the same ids, if it holds a long gap."""
     if len(text) >= LONG_GAP and _GAP.search(text):
-        return bpe.load(vocabulary).encode_batch([text])[0].tolist()
-    return codec.encode(text, allowed_special="all") if "<|endoftext|>" in text else codec.encode_ordinary(text)
+        return bpe.load(vocabulary).encode_batch([text])[0]
+    return codec.encode_to_numpy(text, allowed_special="all")
 
 
 def write(docs: DataFrame, path: str, ranks: str | None = None, vocabulary: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -98,7 +98,9 @@ def write(docs: DataFrame, path: str, ranks: str | None = None, vocabulary: str
             keys, values = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, z in slices(values):
                 for key, text in zip(keys[a:z], values[a:z], strict=True):
-                    one = np.array([*encode(text, codec, vocabulary), end_id], dtype)
+                    found = encode(text, codec, vocabulary)
+                    one = np.full(len(found) + 1, end_id, dtype)
+                    one[:-1] = found
                     doc_ids.append(key)
                     ids.append(one)
                     held += len(one)
