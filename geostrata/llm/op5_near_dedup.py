@@ -45,7 +45,7 @@ WIDTH = 3
 LEADERS = 4
 SEED = 5
 #: Shingles of a block in step 4, about; each document counts some more.
-BLOCK_SHINGLES = 300_000
+BLOCK_SHINGLES = 120_000
 #: Documents of a range in which step 4 adds up sizes, about.
 RANGE_DOCS = 50_000
 #: Candidate ids are broadcast up to this many (8 MB of numbers); beyond it the join shuffles the texts.
