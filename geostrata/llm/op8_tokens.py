@@ -39,7 +39,8 @@ from .text import running_sums, scratch, slices, small_batches, table
 from .wavelet import WaveletMatrix, build
 
 END_ID = 2
-SHARD_TOKENS = 1 << 20
+#: A shard's arrays then stay in a core's cache.
+SHARD_TOKENS = 1 << 18
 #: Rows of a write task, about; ranges grow in number with the table.
 RANGE_ROWS = 4_000
 #: White space that the pattern matcher might not get over.
