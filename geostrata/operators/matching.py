@@ -1,73 +1,89 @@
 """Detections against ground truth: candidates, greedy matching, errors, suppression, sweeps, rasterising.
 
-Objects are axis-aligned squares ``id, cx, cy, half, cls`` (and score), for which overlap
-areas are exact. Theta joins are equi-joins on grid buckets; only the greedy assignments
-run as grouped functions, over the small graph of candidates of one class.
+Objects are ``id, cls, score, geom_type, rings`` (polygons with holes, or points as one ring of one vertex); ``keys``
+such as a site keep them apart. Theta joins are equi-joins on grid buckets. The greedy choices are settled in rounds of
+windows over the candidates: all objects choose at once and give way to better ones until nothing changes, so neither
+a class nor a site is one task.
 """
 
 from __future__ import annotations
 
 import itertools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.projection import metres_tolerance
+from ..functions.shared import cut
 from ..model import GRID, Grid
 from ..views import OBJECTS, detections, truths
+from .geometry import bbox, centroid, polygon_iou, squares
 
 IOU_THRESHOLD = 0.5
+RADIUS = 5.0
 ERROR_KINDS = ("duplicate", "localization", "class_confusion", "background")
 SWEEP = tuple(itertools.product((0.35, 0.5, 0.65), (0.25, 0.4), (0.5, 1.5), (3.0, 6.0)))
 
 
-def _buckets(objects: DataFrame, size: float, reach: Column) -> DataFrame:
-    """One row for each bucket of ``size`` that the object's box, grown by reach, touches."""
-
-    def span(centre: str) -> Column:
-        low, high = F.floor((F.col(centre) - reach) / size), F.floor((F.col(centre) + reach) / size)
-        return F.sequence(low, high)
-
-    return objects.withColumn("bx", F.explode(span("cx"))).withColumn("by", F.explode(span("cy")))
-
-
-def iou() -> Column:
-    """Of the square (cx, cy, half) and the square (gx, gy, ghalf)."""
-    wide = F.least(F.col("cx") + F.col("half"), F.col("gx") + F.col("ghalf")) - F.greatest(F.col("cx") - F.col("half"), F.col("gx") - F.col("ghalf"))
-    high = F.least(F.col("cy") + F.col("half"), F.col("gy") + F.col("ghalf")) - F.greatest(F.col("cy") - F.col("half"), F.col("gy") - F.col("ghalf"))
-    shared = F.greatest(wide, F.lit(0.0)) * F.greatest(high, F.lit(0.0))
-    return shared / (4 * F.col("half") * F.col("half") + 4 * F.col("ghalf") * F.col("ghalf") - shared)
-
-
-def candidates(preds: DataFrame, gts: DataFrame, bucket: float = 8.0) -> DataFrame:
-    """Pairs whose boxes touch, of any class, with their quality (IoU)."""
-    left = _buckets(preds, bucket, F.col("half"))
-    right = _buckets(gts, bucket, F.col("half")).select(F.col("id").alias("gt_id"), F.col("cx").alias("gx"), F.col("cy").alias("gy"), F.col("half").alias("ghalf"), F.col("cls").alias("gt_cls"), "bx", "by")
-    touch = (F.abs(F.col("cx") - F.col("gx")) <= F.col("half") + F.col("ghalf")) & (F.abs(F.col("cy") - F.col("gy")) <= F.col("half") + F.col("ghalf"))
-    pairs = left.join(right, ["bx", "by"]).where(touch)
+def _placed(objects: DataFrame, bucket: float, reach: Column | float) -> DataFrame:
+    """Adds the centre, the box grown by reach, and one row for each grid bucket that the box touches."""
+    ring = F.col("rings")[0]
+    centre = F.when(F.col("geom_type") == "Point", F.struct(ring[0]["x"].alias("x"), ring[0]["y"].alias("y"))).otherwise(centroid(ring))
+    out = objects.withColumn("at", centre).withColumn("box", bbox(ring))
+    out = out.withColumn("reach", reach(F.col("at")["y"]) if callable(reach) else F.lit(float(reach)))
+    span = lambda a: F.explode(F.sequence(F.floor((F.col("box")[f"min_{a}"] - F.col("reach")) / bucket), F.floor((F.col("box")[f"max_{a}"] + F.col("reach")) / bucket)))
+    return out.withColumn("bx", span("x")).withColumn("by", span("y"))
+
+
+def candidates(preds: DataFrame, gts: DataFrame, radius: float = RADIUS, metres: bool = False, bucket: float = 8.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of any class that overlap: ``*keys, id, cls, score, gt_id, gt_cls, gt_point, quality, overlap``.
+
+    quality is the IoU of two polygons, or 1 - d / 2r for a point in the ground truth that lies within r of the
+    detection's centre; overlap is the IoU, or 1 - d / r where either is a point. ``metres`` takes the radius on the
+    ground instead of in units of EPSG:3857.
+    """
+    given = [c for c in ("cls", "score", "geom_type", "rings") if c in preds.columns]
+    left = _placed(preds, bucket, 0.0).select(*keys, "id", *given, "at", "box", "bx", "by")
+    right = _placed(gts, bucket, (lambda y: metres_tolerance(F.lit(float(radius)), y)) if metres else float(radius))
+    right = right.select(*keys, F.col("id").alias("gt_id"), F.col("cls").alias("gt_cls"), (F.col("geom_type") == "Point").alias("gt_point"), F.col("rings").alias("gt_rings"), F.col("at").alias("gt_at"), F.col("box").alias("gt_box"), "reach", "bx", "by")
+    low = {a: F.greatest(F.col("box")[f"min_{a}"], F.col("gt_box")[f"min_{a}"] - F.col("reach")) for a in "xy"}
+    high = {a: F.least(F.col("box")[f"max_{a}"], F.col("gt_box")[f"max_{a}"] + F.col("reach")) for a in "xy"}
     # a pair meets in several buckets; the one of its boxes' common lower corner stands for it
-    corner_x = F.floor(F.greatest(F.col("cx") - F.col("half"), F.col("gx") - F.col("ghalf")) / bucket)
-    corner_y = F.floor(F.greatest(F.col("cy") - F.col("half"), F.col("gy") - F.col("ghalf")) / bucket)
-    return pairs.where((F.col("bx") == corner_x) & (F.col("by") == corner_y)).withColumn("quality", iou())
-
-
-def greedy_pairs(part: pd.DataFrame) -> pd.DataFrame:
-    """Detections by falling score (ties by id) take their best free truth (ties by smaller id)."""
-    taken: set[int] = set()
-    out = []
-    for (_, pred), rows in part.sort_values(["score", "id"], ascending=[False, True]).groupby(["score", "id"], sort=False):
-        free = rows[~rows["gt_id"].isin(taken)].sort_values(["quality", "gt_id"], ascending=[False, True])
-        if len(free):
-            best = free.iloc[0]
-            taken.add(best["gt_id"])
-            out.append((int(pred), int(best["gt_id"]), int(best["gt_cls"]), float(best["quality"])))
-    return pd.DataFrame(out, columns=["id", "gt_id", "cls", "quality"])
-
-
-def match(preds: DataFrame, gts: DataFrame, threshold: float = IOU_THRESHOLD) -> DataFrame:
-    """id, gt_id, cls, quality of the one-to-one pairs; classes are independent, so each is one group of candidates only."""
-    pairs = candidates(preds, gts).where((F.col("cls") == F.col("gt_cls")) & (F.col("quality") >= threshold) & (F.col("quality") > 0))
-    return pairs.select("cls", "id", "score", "gt_id", "gt_cls", "quality").groupBy("cls").applyInPandas(greedy_pairs, "id long, gt_id long, cls long, quality double")
+    corner = (F.col("bx") == F.floor(low["x"] / bucket)) & (F.col("by") == F.floor(low["y"] / bucket))
+    pairs = left.join(right, [*keys, "bx", "by"]).where((low["x"] <= high["x"]) & (low["y"] <= high["y"]) & corner)
+    point = F.col("gt_point") | (F.col("geom_type") == "Point")
+    iou = F.round(polygon_iou(F.when(~point, F.col("rings")), F.when(~point, F.col("gt_rings"))), 9)
+    d = F.hypot(F.col("at")["x"] - F.col("gt_at")["x"], F.col("at")["y"] - F.col("gt_at")["y"]) / F.col("reach")
+    pairs = pairs.withColumns({"iou": iou, "d": d})
+    quality = F.when(F.col("gt_point"), F.when(F.col("d") <= 1, 1 - F.col("d") / 2).otherwise(0.0)).when(F.col("geom_type") == "Point", 0.0).otherwise(F.col("iou"))
+    overlap = F.when(point, F.greatest(F.lit(0.0), 1 - F.col("d"))).otherwise(F.col("iou"))
+    found = pairs.withColumns({"quality": quality, "overlap": overlap}).where("quality > 0 or overlap > 0")
+    return found.select(*keys, "id", *(c for c in given if c in ("cls", "score")), "gt_id", "gt_cls", "gt_point", "quality", "overlap")
+
+
+def settle(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs(*keys, id, score, gt_id, quality, ...) that a greedy choice takes: detections by falling score (ties by id) take their best free truth (ties by smaller gt_id).
+
+    In a round every detection asks for its best truth that isn't lost to it, and a truth drops all detections behind
+    the first that asks. The first of all is served in the first round, so the rounds end.
+    """
+    best = F.row_number().over(Window.partitionBy(*keys, "id").orderBy(F.desc("quality"), "gt_id")) == 1
+    rank = F.struct("score", -F.col("id"))
+    held, before = cut(pairs), -1
+    while (left := held.count()) != before:
+        before = left
+        asked = held.withColumn("asks", best)
+        first = F.max(F.when(F.col("asks"), rank)).over(Window.partitionBy(*keys, "gt_id"))
+        held = cut(asked.withColumn("first", first).where(F.col("first").isNull() | (rank >= F.col("first"))).drop("asks", "first"))
+    return held.withColumn("asks", best).where("asks").drop("asks")
+
+
+def match(preds: DataFrame, gts: DataFrame, threshold: float = IOU_THRESHOLD, radius: float = RADIUS, metres: bool = False, class_agnostic: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """*keys, id, gt_id, cls (of the truth), quality of the one-to-one pairs."""
+    pairs = candidates(preds, gts, radius, metres, keys=keys).where((F.col("quality") > 0) & (F.col("gt_point") | (F.col("quality") >= threshold)))
+    if not class_agnostic:
+        pairs = pairs.where("cls = gt_cls")
+    return settle(pairs.select(*keys, "id", "score", "gt_id", "gt_cls", "quality"), keys).select(*keys, "id", "gt_id", F.col("gt_cls").alias("cls"), "quality")
 
 
 def scores(counts: DataFrame) -> DataFrame:
@@ -89,19 +105,23 @@ def evaluate(preds: DataFrame, gts: DataFrame, pairs: DataFrame) -> DataFrame:
     return scores(counts)
 
 
-def errors(preds: DataFrame, gts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """kind (FP or FN), id and error of each unmatched object."""
-    touching = candidates(preds, gts).where(F.col("quality") > 0)
-    hits = pairs.select(F.col("gt_id").alias("hit_gt")).distinct()
-    seen = touching.join(hits, touching["gt_id"] == hits["hit_gt"], "left")
-    same = F.col("cls") == F.col("gt_cls")
-    rank = F.when(same & F.col("hit_gt").isNotNull() & (F.col("quality") >= IOU_THRESHOLD), 0).when(same, 1).otherwise(2)
-    worst = seen.groupBy("id").agg(F.min(rank).alias("rank"))
-    fp = preds.select("id").join(pairs.select("id"), "id", "left_anti").join(worst, "id", "left")
-    fp = fp.select(F.lit("FP").alias("kind"), "id", F.element_at(F.array(*map(F.lit, ERROR_KINDS)), F.coalesce("rank", F.lit(3)) + 1).alias("error"))
-    covered = touching.select(F.col("gt_id").alias("id")).distinct().withColumn("covered", F.lit(True))
-    fn = gts.select("id").join(pairs.select(F.col("gt_id").alias("id")), "id", "left_anti").join(covered, "id", "left")
-    return fp.unionByName(fn.select(F.lit("FN").alias("kind"), "id", F.when(F.col("covered"), "covered").otherwise("missed").alias("error")))
+def errors(preds: DataFrame, gts: DataFrame, pairs: DataFrame, threshold: float = IOU_THRESHOLD, radius: float = RADIUS, metres: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """*keys, kind (FP or FN), id and error of each unmatched object.
+
+    A false positive repeats a matched detection of its class (IoU at the threshold), or overlaps a truth of its own
+    class, or of another one, or nothing; a missed truth is covered by some detection or by none.
+    """
+    k = list(keys)
+    lost = preds.join(pairs.select(*k, "id"), [*k, "id"], "left_anti")
+    taken = preds.join(pairs.select(*k, "id"), [*k, "id"], "left_semi").where("geom_type = 'Polygon'")
+    again = candidates(lost.where("geom_type = 'Polygon'"), taken, 1e-9, keys=keys).where((F.col("cls") == F.col("gt_cls")) & (F.col("quality") >= threshold))
+    touching = cut(candidates(preds, gts, radius, metres, keys=keys).where("overlap > 0").select(*k, "id", "gt_id", F.when(F.col("cls") == F.col("gt_cls"), 1).otherwise(2).alias("rank")))
+    worst = touching.select(*k, "id", "rank").unionByName(again.select(*k, "id", F.lit(0).alias("rank"))).groupBy(*k, "id").agg(F.min("rank").alias("rank"))
+    fp = lost.select(*k, "id").join(worst, [*k, "id"], "left")
+    fp = fp.select(*k, F.lit("FP").alias("kind"), "id", F.element_at(F.array(*map(F.lit, ERROR_KINDS)), F.coalesce("rank", F.lit(3)) + 1).alias("error"))
+    covered = touching.select(*k, F.col("gt_id").alias("id")).distinct().withColumn("covered", F.lit(True))
+    fn = gts.select(*k, "id").join(pairs.select(*k, F.col("gt_id").alias("id")), [*k, "id"], "left_anti").join(covered, [*k, "id"], "left")
+    return fp.unionByName(fn.select(*k, F.lit("FN").alias("kind"), "id", F.when(F.col("covered"), "covered").otherwise("missed").alias("error")))
 
 
 def conflicts(dets: DataFrame, radius: float) -> DataFrame:
@@ -114,21 +134,21 @@ def conflicts(dets: DataFrame, radius: float) -> DataFrame:
     return around.join(other, ["cls", "bx", "by"]).where((dx * dx + dy * dy <= radius * radius) & ahead).select("cls", "id", "score", "other")
 
 
-def suppressed(part: pd.DataFrame) -> pd.DataFrame:
-    """Ids that a kept one of higher score suppresses."""
-    gone: set[int] = set()
-    for (_, keep), rows in part.sort_values(["score", "id"], ascending=[False, True]).groupby(["score", "id"], sort=False):
-        if keep not in gone:
-            gone.update(rows["other"].tolist())
-    return pd.DataFrame({"id": sorted(gone)}, dtype="int64")
+def suppressed(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """*keys, id of what the greedy choice drops, from edges(*keys, id, other) whose id is ahead: in a round, those whom nobody undecided is ahead of drop their others."""
+    k = list(keys)
+    open_, gone = cut(edges.select(*k, "id", "other")), None
+    while not open_.isEmpty():
+        behind = open_.select(*k, F.col("other").alias("id")).distinct()
+        out = cut(open_.join(behind, [*k, "id"], "left_anti").select(*k, F.col("other").alias("id")).distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        open_ = cut(open_.join(out, [*k, "id"], "left_anti").join(out.withColumnRenamed("id", "other"), [*k, "other"], "left_anti"))
+    return gone if gone is not None else edges.select(*k, "id").limit(0)
 
 
 def nms(dets: DataFrame, radius: float) -> DataFrame:
-    """The detections that stay; the sequential choice runs on each class's conflicts only."""
-    if radius <= 0:
-        return dets
-    gone = conflicts(dets, radius).groupBy("cls").applyInPandas(suppressed, "id long")
-    return dets.join(gone, "id", "left_anti")
+    """The detections that stay."""
+    return dets if radius <= 0 else dets.join(suppressed(conflicts(dets, radius)), "id", "left_anti")
 
 
 def top_detections(dets: DataFrame, limit: int, by: str = "cls") -> DataFrame:
@@ -137,22 +157,22 @@ def top_detections(dets: DataFrame, limit: int, by: str = "cls") -> DataFrame:
     return dets.withColumn("place", place).where(F.col("place") <= limit)
 
 
-def sweep(dets: DataFrame, gts: DataFrame, combos=SWEEP) -> DataFrame:
-    """Counters and scores for each combination of (score, IoU, least half, radius), best first by place."""
+def sweep(dets: DataFrame, gts: DataFrame, combos=SWEEP, radius: float = RADIUS) -> DataFrame:
+    """Counters and scores for each combination of (score, IoU, least half side, radius), best first by place; all combinations are settled together."""
     rows = dets.sparkSession.createDataFrame([(k, *c) for k, c in enumerate(combos)], "combo int, s double, t double, h double, r double")
-    pairs = candidates(dets, gts).where("cls = gt_cls and quality > 0").select("id", "score", "half", "cls", "gt_id", "gt_cls", "quality")
-    near = conflicts(dets, max(c[3] for c in combos))
-    apart = near.join(dets.select(F.col("id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("half").alias("ohalf"), F.col("score").alias("oscore")), "other").join(dets.select("id", "cx", "cy", "half"), "id")
+    rows = F.broadcast(rows)  # one row for each combination
+    pairs = cut(candidates(dets, gts, radius).where("cls = gt_cls and quality > 0").select("id", "gt_id", "gt_point", "quality"))
+    sized = dets.select("id", "cx", "cy", "half", "score")
+    near = conflicts(dets, max(c[3] for c in combos)).drop("score")
+    near = near.join(sized, "id").join(sized.select(F.col("id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("half").alias("ohalf"), F.col("score").alias("oscore")), "other")
     dx, dy = F.col("cx") - F.col("ox"), F.col("cy") - F.col("oy")
-    apart = apart.join(F.broadcast(rows)).where((dx * dx + dy * dy <= F.col("r") * F.col("r")) & (F.col("score") >= F.col("s")) & (F.col("oscore") >= F.col("s")) & (F.col("half") >= F.col("h")) & (F.col("ohalf") >= F.col("h")))
-    gone = apart.groupBy("combo", "cls").applyInPandas(lambda key, part: suppressed(part).assign(combo=int(key[0])), "id long, combo int")
-    live = dets.select("id", "cls", "score", "half").join(F.broadcast(rows)).where("score >= s and half >= h").join(gone, ["combo", "id"], "left_anti")
-    chosen = pairs.drop("score", "half", "cls").join(live, "id").where("quality >= t")
-    hits = chosen.groupBy("combo", "cls").applyInPandas(lambda key, part: greedy_pairs(part).assign(combo=int(key[0]))[["combo", "id"]], "combo int, id long")
+    apart = near.join(rows).where((dx * dx + dy * dy <= F.col("r") * F.col("r")) & (F.col("score") >= F.col("s")) & (F.col("oscore") >= F.col("s")) & (F.col("half") >= F.col("h")) & (F.col("ohalf") >= F.col("h")))
+    live = cut(sized.join(rows).where("score >= s and half >= h").join(suppressed(apart, ("combo",)), ["combo", "id"], "left_anti").select("combo", "id", "score", "t"))
+    hits = settle(pairs.join(live, "id").where("gt_point or quality >= t").select("combo", "id", "score", "gt_id", "quality"), ("combo",))
     total = gts.count()
     counts = rows.join(live.groupBy("combo").agg(F.count("*").alias("n")), "combo", "left").join(hits.groupBy("combo").agg(F.count("*").alias("tp")), "combo", "left").na.fill(0, ["n", "tp"])
     scored = scores(counts.withColumns({"fp": F.col("n") - F.col("tp"), "fn": F.lit(total) - F.col("tp")}))
-    place = F.row_number().over(Window.orderBy(F.desc("f1"), F.desc("tp"), "s", "t", "h", "r"))
+    place = F.row_number().over(Window.orderBy(F.desc("f1"), F.desc("tp"), "s", "t", "h", "r"))  # as many rows as combinations
     return scored.withColumn("place", place)
 
 
@@ -184,13 +204,25 @@ def heatmap(objects: DataFrame, sigma: float, grid: Grid = GRID, truncate: float
     return cells.groupBy("cls", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).agg(F.max(F.exp(-d2 / (2 * sigma * sigma))).alias("value"))
 
 
+#: Radius of the queries, whose every fifth truth is a point.
+NEAR = 1.5
+
+
+def _objects(spark, sf_dir):
+    gts = squares(truths(spark, sf_dir))
+    point = F.col("id") % 5 == 0
+    centre = F.array(F.array(F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))))
+    gts = gts.withColumns({"geom_type": F.when(point, "Point").otherwise("Polygon"), "rings": F.when(point, centre).otherwise(F.col("rings"))})
+    return squares(detections(spark, sf_dir)).withColumn("geom_type", F.lit("Polygon")), gts
+
+
 def q_candidates(spark, sf_dir):
-    return candidates(detections(spark, sf_dir), truths(spark, sf_dir)).select("id", "gt_id", "cls", "gt_cls", F.round("quality", 6).alias("quality"))
+    return candidates(*_objects(spark, sf_dir), NEAR).select("id", "gt_id", "cls", "gt_cls", F.round("quality", 6).alias("quality"), F.round("overlap", 6).alias("overlap"))
 
 
 def _matched(spark, sf_dir):
-    preds, gts = detections(spark, sf_dir), truths(spark, sf_dir)
-    return preds, gts, match(preds, gts)
+    preds, gts = _objects(spark, sf_dir)
+    return preds, gts, match(preds, gts, radius=NEAR)
 
 
 def q_match(spark, sf_dir):
@@ -203,7 +235,7 @@ def q_evaluate(spark, sf_dir):
 
 
 def q_errors(spark, sf_dir):
-    return errors(*_matched(spark, sf_dir))
+    return errors(*_matched(spark, sf_dir), radius=NEAR)
 
 
 def q_conflicts(spark, sf_dir):
@@ -219,7 +251,7 @@ def q_top(spark, sf_dir):
 
 
 def q_sweep(spark, sf_dir):
-    found = sweep(detections(spark, sf_dir), truths(spark, sf_dir))
+    found = sweep(*_objects(spark, sf_dir), radius=NEAR)
     return found.select("place", "s", "t", "h", "r", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
@@ -244,15 +276,116 @@ QUERIES = {
     "heatmap_targets": q_heatmap,
 }
 
-_PAIRS = f"""{OBJECTS}, pair AS (
-  SELECT det.id, gt.id AS gt_id, det.cls, gt.cls AS gt_cls, score,
-         greatest(least(det.cx + det.half, gt.cx + gt.half) - greatest(det.cx - det.half, gt.cx - gt.half), 0)
-         * greatest(least(det.cy + det.half, gt.cy + gt.half) - greatest(det.cy - det.half, gt.cy - gt.half), 0) AS i,
-         4 * det.half * det.half + 4 * gt.half * gt.half AS s
-  FROM det JOIN gt ON abs(det.cx - gt.cx) <= det.half + gt.half AND abs(det.cy - gt.cy) <= det.half + gt.half
-), q AS (SELECT id, gt_id, cls, gt_cls, score, i / (s - i) AS quality FROM pair)"""
+def _shared(a: str, b: str) -> str:
+    """Area that two squares share, those of class 2 with a hole of a fifth of their side."""
+
+    def box(s: float, t: float) -> str:
+        side = "greatest(least({a}.{c} + {s} * {a}.half, {b}.{c} + {t} * {b}.half) - greatest({a}.{c} - {s} * {a}.half, {b}.{c} - {t} * {b}.half), 0)"
+        return "(" + " * ".join(side.format(a=a, b=b, c=c, s=f"{s}::DOUBLE", t=f"{t}::DOUBLE") for c in ("cx", "cy")) + ")"
+
+    hole = lambda x: f"({x}.cls = 2)::INT"
+    return f"({box(1, 1)} - {hole(a)} * {box(0.2, 1)} - {hole(b)} * {box(1, 0.2)} + {hole(a)} * {hole(b)} * {box(0.2, 0.2)})"
+
+
+def _iou(a: str, b: str) -> str:
+    area = lambda x: f"4 * {x}.half * {x}.half * (1 - 0.04::DOUBLE * ({x}.cls = 2)::INT)"
+    return f"round({_shared(a, b)} / ({area(a)} + {area(b)} - {_shared(a, b)}), 9)"
+
+
+_PAIRS = f"""{OBJECTS}, near AS (
+  SELECT det.id, gt.id AS gt_id, det.cls, gt.cls AS gt_cls, score, gt.id % 5 = 0 AS point, {_iou("det", "gt")} AS iou, sqrt((det.cx - gt.cx) ** 2 + (det.cy - gt.cy) ** 2) / 1.5 AS d
+  FROM det JOIN gt ON abs(det.cx - gt.cx) <= det.half + gt.half + 1.5 AND abs(det.cy - gt.cy) <= det.half + gt.half + 1.5
+), q AS (
+  SELECT *, CASE WHEN NOT point THEN iou WHEN d <= 1 THEN 1 - d / 2 ELSE 0 END AS quality, CASE WHEN point THEN greatest(0, 1 - d) ELSE iou END AS overlap FROM near
+)"""
+#: Greedy choice as a recursion over detections in order: the state is the list of taken truths.
+_GREEDY = f"""WITH RECURSIVE {_PAIRS}, ok AS (SELECT * FROM q WHERE cls = gt_cls AND quality > 0 AND (point OR quality >= 0.5)),
+cand AS (
+  SELECT cls, id, list(gt_id ORDER BY quality DESC, gt_id) AS gts, row_number() OVER (PARTITION BY cls ORDER BY any_value(score) DESC, id) AS k FROM ok GROUP BY cls, id
+), walk(cls, k, taken, id, gt_id) AS (
+  SELECT DISTINCT cls, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM cand
+  UNION ALL
+  SELECT c.cls, c.k, list_concat(w.taken, list_filter(c.gts, lambda g: NOT list_contains(w.taken, g))[:1]), c.id, list_filter(c.gts, lambda g: NOT list_contains(w.taken, g))[1]
+  FROM walk w JOIN cand c ON c.cls = w.cls AND c.k = w.k + 1
+), pairs AS (SELECT w.id, w.gt_id, w.cls, ok.quality FROM walk w JOIN ok ON ok.id = w.id AND ok.gt_id = w.gt_id)"""
+_ERRORS = f"""{_GREEDY}, w AS (SELECT id, min(CASE WHEN cls = gt_cls THEN 1 ELSE 2 END) AS k FROM q WHERE overlap > 0 GROUP BY id),
+twice AS (SELECT DISTINCT a.id FROM det a JOIN det b ON a.cls = b.cls AND a.id <> b.id AND abs(a.cx - b.cx) <= a.half + b.half AND abs(a.cy - b.cy) <= a.half + b.half
+          WHERE b.id IN (SELECT id FROM pairs) AND {_iou("a", "b")} >= 0.5),
+errors AS (
+  SELECT 'FP' AS kind, id, CASE WHEN id IN (SELECT id FROM twice) THEN 'duplicate' WHEN k = 1 THEN 'localization' WHEN k = 2 THEN 'class_confusion' ELSE 'background' END AS error
+  FROM det LEFT JOIN w USING (id) WHERE id NOT IN (SELECT id FROM pairs)
+  UNION ALL
+  SELECT 'FN', id, CASE WHEN id IN (SELECT gt_id FROM q WHERE overlap > 0) THEN 'covered' ELSE 'missed' END FROM gt WHERE id NOT IN (SELECT gt_id FROM pairs)
+)"""
+_CONFLICT = f"""{OBJECTS}, con AS (
+  SELECT a.cls, a.id, b.id AS other FROM det a JOIN det b ON a.cls = b.cls AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 9
+  AND (a.score > b.score OR (a.score = b.score AND a.id < b.id))
+)"""
+_SPAN = "greatest(ceil({0} - half - 0.5), 0)::INT, least(ceil({0} + half - 0.5) - 1, {1})::INT + 1"
+
+ORACLES = {
+    "match_candidates": f"WITH {_PAIRS} SELECT id, gt_id, cls, gt_cls, round(quality, 6) AS quality, round(overlap, 6) AS overlap FROM q WHERE quality > 0 OR overlap > 0",
+    "match_pairs": f"{_GREEDY} SELECT id, gt_id, cls, round(quality, 6) AS quality FROM pairs",
+    "evaluate": f"""{_GREEDY}, c AS (
+        SELECT cls, 1 AS tp, 0 AS fp, 0 AS fn FROM pairs UNION ALL SELECT cls, 0, 1, 0 FROM det WHERE id NOT IN (SELECT id FROM pairs)
+        UNION ALL SELECT cls, 0, 0, 1 FROM gt WHERE id NOT IN (SELECT gt_id FROM pairs)
+      ), s AS (SELECT coalesce(cls::VARCHAR, 'total') AS cls, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c GROUP BY ROLLUP (cls))
+      SELECT *, round(CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END, 6) AS recall,
+             round(CASE WHEN 2 * tp + fp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM s""",
+    "error_taxonomy": f"{_ERRORS} SELECT kind, id, error FROM errors",
+    "sweep_postparams": f"""WITH RECURSIVE {_PAIRS}, c AS (
+        SELECT (row_number() OVER (ORDER BY s, t, h, r) - 1)::INT AS combo, s::DOUBLE AS s, t::DOUBLE AS t, h::DOUBLE AS h, r::DOUBLE AS r FROM unnest([0.35, 0.5, 0.65]) a(s), unnest([0.25, 0.4]) b(t), unnest([0.5, 1.5]) c(h), unnest([3.0, 6.0]) d(r)
+      ), o AS (SELECT combo, t, r, det.*, row_number() OVER (PARTITION BY combo, cls ORDER BY score DESC, id) AS k FROM det JOIN c ON score >= s AND half >= h),
+      ahead AS (SELECT b.combo, b.id, list(a.id) AS by FROM o a JOIN o b ON a.combo = b.combo AND a.cls = b.cls AND a.k < b.k AND (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= a.r * a.r GROUP BY ALL),
+      walk(combo, cls, k, kept) AS (
+        SELECT DISTINCT combo, cls, 0::BIGINT, []::BIGINT[] FROM o UNION ALL
+        SELECT o.combo, o.cls, o.k, CASE WHEN list_has_any(coalesce(ahead.by, []), w.kept) THEN w.kept ELSE list_append(w.kept, o.id) END
+        FROM walk w JOIN o ON o.combo = w.combo AND o.cls = w.cls AND o.k = w.k + 1 LEFT JOIN ahead ON ahead.combo = o.combo AND ahead.id = o.id
+      ), live AS (SELECT combo, unnest(arg_max(kept, k)) AS id FROM walk GROUP BY combo, cls),
+      cand AS (
+        SELECT l.combo, q.cls, q.id, list(q.gt_id ORDER BY quality DESC, gt_id) AS gts, row_number() OVER (PARTITION BY l.combo, q.cls ORDER BY any_value(score) DESC, q.id) AS k
+        FROM live l JOIN q ON q.id = l.id JOIN c ON c.combo = l.combo WHERE q.cls = gt_cls AND quality > 0 AND (point OR quality >= t) GROUP BY l.combo, q.cls, q.id
+      ), take(combo, cls, k, taken) AS (
+        SELECT DISTINCT combo, cls, 0::BIGINT, []::BIGINT[] FROM cand UNION ALL
+        SELECT d.combo, d.cls, d.k, list_concat(w.taken, list_filter(d.gts, lambda g: NOT list_contains(w.taken, g))[:1]) FROM take w JOIN cand d ON d.combo = w.combo AND d.cls = w.cls AND d.k = w.k + 1
+      ), n AS (
+        SELECT c.*, (SELECT count(*) FROM live l WHERE l.combo = c.combo) AS n,
+               coalesce((SELECT sum(m) FROM (SELECT combo, cls, max(len(taken)) AS m FROM take GROUP BY combo, cls) x WHERE x.combo = c.combo), 0)::BIGINT AS tp, (SELECT count(*) FROM gt) AS g FROM c
+      ), f AS (
+        SELECT s, t, h, r, tp, n - tp AS fp, g - tp AS fn, CASE WHEN n = 0 THEN 1 ELSE tp / n END AS precision, CASE WHEN g = 0 THEN 1 ELSE tp / g END AS recall, CASE WHEN n + g = 0 THEN 1 ELSE 2 * tp / (n + g) END AS f1 FROM n
+      ) SELECT (row_number() OVER (ORDER BY f1 DESC, tp DESC, s, t, h, r))::INT AS place, s, t, h, r, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f""",
+    "nms_conflicts": q_conflicts,
+    "nms_centroids": q_nms,
+    "top_detections": q_top,
+    "sweep_postparams": q_sweep,
+    "rasterize_polygons": q_rasterize,
+    "heatmap_targets": q_heatmap,
+}
+
+def _shared(a: str, b: str) -> str:
+    """Area that two squares share, those of class 2 with a hole of a fifth of their side."""
+
+    def box(s: float, t: float) -> str:
+        side = "greatest(least({a}.{c} + {s} * {a}.half, {b}.{c} + {t} * {b}.half) - greatest({a}.{c} - {s} * {a}.half, {b}.{c} - {t} * {b}.half), 0)"
+        return "(" + " * ".join(side.format(a=a, b=b, c=c, s=f"{s}::DOUBLE", t=f"{t}::DOUBLE") for c in ("cx", "cy")) + ")"
+
+    hole = lambda x: f"({x}.cls = 2)::INT"
+    return f"({box(1, 1)} - {hole(a)} * {box(0.2, 1)} - {hole(b)} * {box(1, 0.2)} + {hole(a)} * {hole(b)} * {box(0.2, 0.2)})"
+
+
+def _iou(a: str, b: str) -> str:
+    area = lambda x: f"4 * {x}.half * {x}.half * (1 - 0.04::DOUBLE * ({x}.cls = 2)::INT)"
+    return f"round({_shared(a, b)} / ({area(a)} + {area(b)} - {_shared(a, b)}), 9)"
+
+
+_PAIRS = f"""{OBJECTS}, near AS (
+  SELECT det.id, gt.id AS gt_id, det.cls, gt.cls AS gt_cls, score, gt.id % 5 = 0 AS point, {_iou("det", "gt")} AS iou, sqrt((det.cx - gt.cx) ** 2 + (det.cy - gt.cy) ** 2) / 1.5 AS d
+  FROM det JOIN gt ON abs(det.cx - gt.cx) <= det.half + gt.half + 1.5 AND abs(det.cy - gt.cy) <= det.half + gt.half + 1.5
+), q AS (
+  SELECT *, CASE WHEN NOT point THEN iou WHEN d <= 1 THEN 1 - d / 2 ELSE 0 END AS quality, CASE WHEN point THEN greatest(0, 1 - d) ELSE iou END AS overlap FROM near
+)"""
 #: Greedy choice as a recursion over detections in order: the state is the list of taken truths.
-_GREEDY = f"""WITH RECURSIVE {_PAIRS}, ok AS (SELECT * FROM q WHERE cls = gt_cls AND quality >= 0.5),
+_GREEDY = f"""WITH RECURSIVE {_PAIRS}, ok AS (SELECT * FROM q WHERE cls = gt_cls AND quality > 0 AND (point OR quality >= 0.5)),
 cand AS (
   SELECT cls, id, list(gt_id ORDER BY quality DESC, gt_id) AS gts, row_number() OVER (PARTITION BY cls ORDER BY any_value(score) DESC, id) AS k FROM ok GROUP BY cls, id
 ), walk(cls, k, taken, id, gt_id) AS (
@@ -261,6 +394,15 @@ cand AS (
   SELECT c.cls, c.k, list_concat(w.taken, list_filter(c.gts, lambda g: NOT list_contains(w.taken, g))[:1]), c.id, list_filter(c.gts, lambda g: NOT list_contains(w.taken, g))[1]
   FROM walk w JOIN cand c ON c.cls = w.cls AND c.k = w.k + 1
 ), pairs AS (SELECT w.id, w.gt_id, w.cls, ok.quality FROM walk w JOIN ok ON ok.id = w.id AND ok.gt_id = w.gt_id)"""
+_ERRORS = f"""{_GREEDY}, w AS (SELECT id, min(CASE WHEN cls = gt_cls THEN 1 ELSE 2 END) AS k FROM q WHERE overlap > 0 GROUP BY id),
+twice AS (SELECT DISTINCT a.id FROM det a JOIN det b ON a.cls = b.cls AND a.id <> b.id AND abs(a.cx - b.cx) <= a.half + b.half AND abs(a.cy - b.cy) <= a.half + b.half
+          WHERE b.id IN (SELECT id FROM pairs) AND {_iou("a", "b")} >= 0.5),
+errors AS (
+  SELECT 'FP' AS kind, id, CASE WHEN id IN (SELECT id FROM twice) THEN 'duplicate' WHEN k = 1 THEN 'localization' WHEN k = 2 THEN 'class_confusion' ELSE 'background' END AS error
+  FROM det LEFT JOIN w USING (id) WHERE id NOT IN (SELECT id FROM pairs)
+  UNION ALL
+  SELECT 'FN', id, CASE WHEN id IN (SELECT gt_id FROM q WHERE overlap > 0) THEN 'covered' ELSE 'missed' END FROM gt WHERE id NOT IN (SELECT gt_id FROM pairs)
+)"""
 _CONFLICT = f"""{OBJECTS}, con AS (
   SELECT a.cls, a.id, b.id AS other FROM det a JOIN det b ON a.cls = b.cls AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 9
   AND (a.score > b.score OR (a.score = b.score AND a.id < b.id))
@@ -268,7 +410,7 @@ _CONFLICT = f"""{OBJECTS}, con AS (
 _SPAN = "greatest(ceil({0} - half - 0.5), 0)::INT, least(ceil({0} + half - 0.5) - 1, {1})::INT + 1"
 
 ORACLES = {
-    "match_candidates": f"WITH {_PAIRS} SELECT id, gt_id, cls, gt_cls, round(quality, 6) AS quality FROM q",
+    "match_candidates": f"WITH {_PAIRS} SELECT id, gt_id, cls, gt_cls, round(quality, 6) AS quality, round(overlap, 6) AS overlap FROM q WHERE quality > 0 OR overlap > 0",
     "match_pairs": f"{_GREEDY} SELECT id, gt_id, cls, round(quality, 6) AS quality FROM pairs",
     "evaluate": f"""{_GREEDY}, c AS (
         SELECT cls, 1 AS tp, 0 AS fp, 0 AS fn FROM pairs UNION ALL SELECT cls, 0, 1, 0 FROM det WHERE id NOT IN (SELECT id FROM pairs)

@@ -8,12 +8,12 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import GRID, Grid
+from ..model import GRID, Frame, Grid
 from ..operators.cells import CLOUD_WORDS, cloud_features
-from ..operators.matching import errors, evaluate, match, nms
-from ..operators.rasters import peaks, stitch, tile_cells, tile_index
+from ..operators.matching import _ERRORS, NEAR, _objects, errors, evaluate, match, nms
+from ..operators.rasters import _sub, peaks, stitch, tile_cells, tile_index
 from ..operators.terrain import elevation, hillshade, slope_aspect, tpi_tri
-from ..views import DENSE, INSIDE, detections, points, truths
+from ..views import DENSE, INSIDE, points
 
 
 def layer_key(name: str, params: dict, grid: Grid, code: str = "1") -> str:
@@ -30,25 +30,26 @@ def cached_layer(spark, root: str, name: str, params: dict, grid: Grid, make) ->
     return spark.read.parquet(path)
 
 
-def build_site(pts: DataFrame, grid: Grid = GRID) -> DataFrame:
-    """One row for each cell, of all returns without a ground filter: elevation, slope, hillshade, tpi, tri and the cloud features."""
-    relief = tpi_tri(slope_aspect(elevation(pts, grid), grid.pixel_size), 3, grid).withColumn("shade_315", hillshade(315))
-    return relief.join(cloud_features(pts, grid), ["row", "col"], "left")
+def build_site(pts: DataFrame, grid: Frame = GRID) -> DataFrame:
+    """One row for each cell (of each site, with ``SiteGrids``), of all returns without a ground filter: elevation, slope, hillshade, tpi, tri and the cloud features."""
+    sloped = grid.detach(slope_aspect(grid.attach(elevation(pts, grid)), grid.pixel_size, keys=grid.keys))
+    relief = tpi_tri(sloped, 3, grid).withColumn("shade_315", hillshade(315))
+    return relief.join(cloud_features(pts, grid), [*grid.keys, "row", "col"], "left")
 
 
 def detect(probs: DataFrame, tile: int, radius: float, limit: int) -> DataFrame:
     """Detections(id, cls, cx, cy, score) from tile probabilities: stitched, then kept where at least all neighbours, suppressed and limited to the best of all. Classes (0 without a column cls) are rasters of their own."""
     keys = ("cls",) if "cls" in probs.columns else ()
-    found = peaks(stitch(probs, tile, keys=keys), 0.3, 7, keys)
+    found = peaks(stitch(probs, tile, keys=keys).withColumn("value", F.round("value", 9)), 0.3, 7, keys)
     cls = F.col("cls") if keys else F.lit(0).alias("cls")
-    dets = found.select(F.xxhash64("row", "col", *keys).alias("id"), cls, F.col("sub_col").alias("cx"), F.col("sub_row").alias("cy"), F.col("value").alias("score"))
+    dets = found.select((F.xxhash64(*keys, "row", "col") if keys else F.col("row").cast("long") * (1 << 32) + F.col("col")).alias("id"), cls, F.col("sub_col").alias("cx"), F.col("sub_row").alias("cy"), F.col("value").alias("score"))
     return nms(dets, radius).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def report(preds: DataFrame, gts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scores by class and errors by kind."""
-    pairs = match(preds, gts)
-    return evaluate(preds, gts, pairs), errors(preds, gts, pairs).groupBy("kind", "error").count()
+def report(preds: DataFrame, gts: DataFrame, radius: float, metres: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Scores by class and errors by kind, of objects such as ``geojson.read`` gives (with an id)."""
+    pairs = match(preds, gts, radius=radius, metres=metres)
+    return evaluate(preds, gts, pairs), errors(preds, gts, pairs, radius=radius, metres=metres).groupBy("kind", "error").count()
 
 
 def q_build_site(spark, sf_dir):
@@ -64,11 +65,23 @@ def q_predict(spark, sf_dir):
 
 
 def q_report(spark, sf_dir):
-    return report(detections(spark, sf_dir), truths(spark, sf_dir))[1].select("kind", "error", F.col("count").alias("n"))
+    return report(*_objects(spark, sf_dir), NEAR)[1].select("kind", "error", F.col("count").alias("n"))
 
 
 QUERIES = {"build_site": q_build_site, "predict_detections": q_predict, "error_report": q_report}
 ORACLES = {
+    "error_report": f"{_ERRORS} SELECT kind, error, count(*) AS n FROM errors GROUP BY ALL",
+    "predict_detections": f"""WITH RECURSIVE {DENSE}, h AS (SELECT row, col, round(z / 50, 9) AS z FROM dense),
+      m AS (SELECT row, max(z) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS t, col, z FROM h), tops AS (SELECT row, col, z, max(t) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top FROM m),
+      n AS (SELECT row, col, z, top, coalesce(lag(z) OVER x, z) AS xl, coalesce(lead(z) OVER x, z) AS xr, coalesce(lag(z) OVER y, z) AS yl, coalesce(lead(z) OVER y, z) AS yr FROM tops
+            WINDOW x AS (PARTITION BY row ORDER BY col), y AS (PARTITION BY col ORDER BY row)),
+      p AS (SELECT row::BIGINT * 4294967296 + col AS id, {_sub('col', 'xl', 'xr')} AS cx, {_sub('row', 'yl', 'yr')} AS cy, round(z, 9) AS score FROM n WHERE z >= top - 1e-12 AND z >= 0.3),
+      o AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM p),
+      ahead AS (SELECT b.id, list(a.id) AS by FROM o a JOIN o b ON a.k < b.k AND (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= 36 GROUP BY b.id),
+      walk(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+        SELECT o.k, CASE WHEN list_has_any(coalesce(ahead.by, []), w.kept) THEN w.kept ELSE list_append(w.kept, o.id) END FROM walk w JOIN o ON o.k = w.k + 1 LEFT JOIN ahead ON ahead.id = o.id),
+      kept AS (SELECT unnest(arg_max(kept, k)) AS id FROM walk)
+      SELECT round(cx, 4) AS cx, round(cy, 4) AS cy, round(score, 6) AS score FROM o JOIN kept USING (id) ORDER BY k LIMIT 2000""",
     "build_site": f"""WITH {DENSE}, e AS (
         SELECT *, lag(z) OVER x AS xl, lead(z) OVER x AS xr, lag(z) OVER y AS yl, lead(z) OVER y AS yr FROM dense WINDOW x AS (PARTITION BY row ORDER BY col), y AS (PARTITION BY col ORDER BY row)
       ), gr AS (SELECT row, col, z, observed, CASE WHEN xl IS NULL THEN xr - z WHEN xr IS NULL THEN z - xl ELSE (xr - xl) / 2 END AS gx, CASE WHEN yl IS NULL THEN yr - z WHEN yr IS NULL THEN z - yl ELSE (yr - yl) / 2 END AS gy FROM e),
