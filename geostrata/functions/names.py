@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters of the Cyrillic alphabet and their Latin spelling (fixed values).
+#: Small letters of the Cyrillic alphabet and their Latin spelling (fixed values); capitals take a capital first letter.
 LATIN = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y",
     "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
-    "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
 }
 
 
@@ -29,13 +29,14 @@ def slugify(value: Column) -> Column:
 
 
 def transliterate(value: Column) -> Column:
-    """Lower-case Latin; other characters than letters, digits, _ and - become _, repeated ones one, none at the ends."""
-    single = {k: v for k, v in LATIN.items() if len(v) == 1}
-    out = F.translate(F.lower(value), "".join(single), "".join(single.values()))
-    for k, v in LATIN.items():
+    """Latin spelling in the same case; blanks and hyphens become _, of the rest letters, digits and _ stay."""
+    both = LATIN | {k.upper(): v.capitalize() for k, v in LATIN.items()}
+    single = {k: v for k, v in both.items() if len(v) == 1}
+    out = F.translate(value, "".join(single) + " -", "".join(single.values()) + "__")
+    for k, v in both.items():
         if len(v) != 1:
             out = F.replace(out, F.lit(k), F.lit(v))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "[^a-z0-9_-]", "_"), "_+", "_"), F.lit("_"))
+    return F.regexp_replace(out, r"[^\p{L}\p{N}_]", "")
 
 
 def fmt_bytes(n: Column) -> Column:

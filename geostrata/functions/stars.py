@@ -10,27 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges with m; the minima of nodes with more than a thousandth of the edges, fewer than a thousand, are broadcast, so a star's centre doesn't gather in a task."""
+    least = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
+    large = F.col("n") * 1000 > edges.count()
+    heavy, light = least.where(large).drop("n"), least.where(~large).drop("n")
+    return edges.join(F.broadcast(heavy), "u").unionByName(edges.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(light, "u"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = _least(down)
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    found = _with_least(down)
+    moved = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(found.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of ``edges(u long, v long)`` that isn't itself the smallest."""
-    found = edges.select("u", "v").where("u <> v").checkpoint()
+    found = cut(edges.select("u", "v").where("u <> v"))
     while True:
-        before, found = found, _small_star(_large_star(found)).checkpoint()
+        before, found = found, cut(_small_star(_large_star(found)))
         if not found.exceptAll(before).limit(1).count() and not before.exceptAll(found).limit(1).count():
             return found.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -18,7 +18,7 @@ def _line(axis: str, keys: tuple[str, ...]) -> Window:
 
 
 def neighbours(value: str, axis: str, radius: int, size: int, edge: str = "nearest", keys: tuple[str, ...] = ()) -> Column:
-    """Array of the ``2 * radius + 1`` values around each cell; edges: nearest, reflect (the edge cell repeats), constant0, wrap."""
+    """Array of the ``2 * radius + 1`` values around each cell; edges: nearest, reflect (the edge cell repeats), constant0."""
     line = _line(axis, keys)
     along = F.col("col" if axis == "x" else "row")
     held = F.collect_list(F.coalesce(F.col(value), F.lit(float("nan")))).over(line.rowsBetween(-radius, radius))
@@ -48,6 +48,21 @@ def convolve(cells: DataFrame, value: str, out: str, weights: list[float], shape
     return pass_(pass_(cells, value, "x", shape[1]), out, "y", shape[0])
 
 
+def box_means(cells: DataFrame, means: dict[str, str], radius: int, shape: tuple, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, for each ``name: value``, the mean over the square around a cell, edge cells repeated: sums over frames, one window for each axis."""
+    out = cells
+    for axis, size in (("x", shape[1]), ("y", shape[0])):
+        frame = _line(axis, keys).rowsBetween(-radius, radius)
+        along = F.col("col" if axis == "x" else "row")
+        left, right = F.greatest(F.lit(radius) - along, F.lit(0)), F.greatest(along + radius - (size - 1), F.lit(0))
+
+        def mean(value: str) -> Column:
+            return (F.sum(value).over(frame) + left * F.first(value).over(frame) + right * F.last(value).over(frame)) / (2 * radius + 1)
+
+        out = out.withColumns({name: mean(value if axis == "x" else name) for name, value in means.items()})
+    return out
+
+
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     radius = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]

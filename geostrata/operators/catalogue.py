@@ -235,9 +235,13 @@ _SITES = """sites AS (
 _LL = "ll AS (SELECT c_custkey, (c_custkey * 37 % 3400 - 1700) / 10::DOUBLE AS lon, (c_custkey * 91 % 1600 - 800) / 10::DOUBLE AS lat FROM customer)"
 
 
+#: The spelling of small letters (fixed values), written out again so that the SQL doesn't repeat the engine's table.
+_SPELLING = "а=a б=b в=v г=g д=d е=e ё=e ж=zh з=z и=i й=y к=k л=l м=m н=n о=o п=p р=r с=s т=t у=u ф=f х=kh ц=ts ч=ch ш=sh щ=shch ъ= ы=y ь= э=e ю=yu я=ya"
+
+
 def _latin(text: str) -> str:
-    for k, v in names.LATIN.items():
-        text = f"replace({text}, '{k}', '{v}')"
+    for k, v in (pair.split("=") for pair in _SPELLING.split(" ")):
+        text = f"replace(replace({text}, '{k}', '{v}'), '{k.upper()}', '{v.capitalize()}')"
     return text
 
 
@@ -266,7 +270,7 @@ ORACLES = {
     "inventory_gaps": "SELECT s_nationkey AS site, count(DISTINCT s_suppkey % 2) AS n_crs, count(DISTINCT s_suppkey % 3) AS n_pixel FROM supplier GROUP BY ALL HAVING n_crs > 1 OR n_pixel > 1",
     "name_rules": f"""WITH m AS (SELECT *, ' Курган №' || p_partkey || ' ' || p_name AS t, pow(7::DOUBLE, p_size % 13) AS b FROM part)
       SELECT p_partkey, lower(trim(t)) AS norm, lower(trim(regexp_replace(p_name, '[^A-Za-z0-9_-]', '-', 'g'), '-')) AS slug,
-        trim(regexp_replace(regexp_replace({_latin("lower(t)")}, '[^a-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '_') AS latin,
+        regexp_replace(replace(replace({_latin("t")}, ' ', '_'), '-', '_'), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS latin,
         CASE WHEN b >= pow(1024::DOUBLE, 4) THEN printf('%.1f TB', b / pow(1024::DOUBLE, 4)) WHEN b >= pow(1024::DOUBLE, 3) THEN printf('%.1f GB', b / pow(1024::DOUBLE, 3)) WHEN b >= pow(1024::DOUBLE, 2) THEN printf('%.1f MB', b / pow(1024::DOUBLE, 2))
              WHEN b >= 1024 THEN printf('%.1f KB', b / 1024) ELSE b::BIGINT || ' B' END AS bytes,
         CASE WHEN lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%brass%' THEN 'metal' WHEN lower(p_type) LIKE '%anodized%' THEN 'coated' END AS cls FROM m""",

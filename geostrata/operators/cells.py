@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import GRID, Grid
+from ..model import GRID, Frame
 from ..views import INSIDE, POINTS, points
 
 RELIEF_WORDS = ("slope", "aspect", "hillshade", "slrm", "openness", "sky_view_factor", "curvature", "tpi", "tri")
 CLOUD_WORDS = ("point_density", "mean_intensity", "std_intensity", "non_first_return_ratio", "mean_return_number", "mean_z", "z_std")
 
 
-def with_cells(pts: DataFrame, grid: Grid = GRID) -> DataFrame:
-    """Adds col, row and valid; points outside get -1."""
+def with_cells(pts: DataFrame, grid: Frame = GRID) -> DataFrame:
+    """Adds col, row and valid; points outside get -1. With ``SiteGrids`` each site has its own frame, and points of other sites are left out."""
+    return grid.detach(_with_cells(pts, grid))
+
+
+def _with_cells(pts: DataFrame, grid: Frame) -> DataFrame:
     inside = grid.holds(F.col("x"), F.col("y"))
-    return pts.withColumns({"valid": inside, "col": F.when(inside, grid.col(F.col("x"))).otherwise(-1).cast("int"), "row": F.when(inside, grid.row(F.col("y"))).otherwise(-1).cast("int")})
+    return grid.attach(pts).withColumns({"valid": inside, "col": F.when(inside, grid.col(F.col("x"))).otherwise(-1).cast("int"), "row": F.when(inside, grid.row(F.col("y"))).otherwise(-1).cast("int")})
 
 
 def grid_from_bounds(pts: DataFrame, pixel_size: float) -> DataFrame:
@@ -24,23 +28,23 @@ def grid_from_bounds(pts: DataFrame, pixel_size: float) -> DataFrame:
     return found.select("x_min", "y_min", F.ceil((F.col("x_max") - F.col("x_min")) / pixel_size).cast("int").alias("width"), F.ceil((F.col("y_max") - F.col("y_min")) / pixel_size).cast("int").alias("height"))
 
 
-def bin_points(pts: DataFrame, grid: Grid = GRID, statistic: str = "mean") -> DataFrame:
+def bin_points(pts: DataFrame, grid: Frame = GRID, statistic: str = "mean") -> DataFrame:
     """row, col, value, n for every cell with points."""
     kinds = {"mean": F.avg, "min": F.min, "max": F.max, "median": F.median}
     if statistic not in kinds:
         raise ValueError(f"unknown statistic: {statistic}")
-    return with_cells(pts, grid).where("valid").groupBy("row", "col").agg(kinds[statistic]("z").alias("value"), F.count("*").alias("n"))
+    return with_cells(pts, grid).where("valid").groupBy(*grid.keys, "row", "col").agg(kinds[statistic]("z").alias("value"), F.count("*").alias("n"))
 
 
-def cloud_features(pts: DataFrame, grid: Grid = GRID) -> DataFrame:
+def cloud_features(pts: DataFrame, grid: Frame = GRID) -> DataFrame:
     """All seven features of every cell with points, in one aggregate."""
-    area = grid.pixel_size**2
+    size = F.max(grid.pixel_size) if grid.keys else F.lit(grid.pixel_size)
     return (
-        with_cells(pts, grid)
+        _with_cells(pts, grid)
         .where("valid")
-        .groupBy("row", "col")
+        .groupBy(*grid.keys, "row", "col")
         .agg(
-            (F.count("*") / area).alias("point_density"),
+            (F.count("*") / (size * size)).alias("point_density"),
             F.avg("intensity").alias("mean_intensity"),
             F.stddev_pop("intensity").alias("std_intensity"),
             F.avg((F.col("return_number") > 1).cast("double")).alias("non_first_return_ratio"),

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.window2d import gradient
-from ..model import Grid
+from ..model import SiteGrids
 from ..views import full_grid, points
 from .terrain import fill_nearest, progressive_opening
 
@@ -30,56 +31,66 @@ class Preset:
 PRESETS = {"strict": Preset(0.3, 0.3, 8, (3, 5, 7, 9, 11, 13, 15)), "soft": Preset(1.0, 0.15, 4, (5, 9, 15))}
 
 
-def cover(pts: DataFrame, cell: float) -> Grid:
-    """The internal grid over all points: one aggregate row."""
-    b = pts.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if b["x0"] is None:
-        raise ValueError("an empty point cloud has no ground")
-    size = lambda a, z: int(-(-(z - a) // cell)) + 1
-    return Grid(b["x0"], b["y0"], cell, size(b["x0"], b["x1"]), size(b["y0"], b["y1"]))
+def cover(pts: DataFrame, cell: float, keys: tuple[str, ...]) -> SiteGrids:
+    """The internal grids over all points of each site."""
+    b = pts.groupBy(*keys).agg(F.min("x").alias("x_min"), F.max("x").alias("x1"), F.min("y").alias("y_min"), F.max("y").alias("y1"))
+    size = lambda a, z: (F.ceil((F.col(z) - F.col(a)) / cell) + 1).cast("int")
+    return SiteGrids(cut(b.select(*keys, "x_min", "y_min", F.lit(float(cell)).alias("pixel_size"), size("x_min", "x1").alias("width"), size("y_min", "y1").alias("height"))), keys)
 
 
-def _placed(pts: DataFrame, grid: Grid) -> DataFrame:
+def _placed(pts: DataFrame, grid: SiteGrids) -> DataFrame:
     """Adds inner (whether the point enters surfaces), row and col (clipped)."""
     px, py = grid.pixel(F.col("x"), F.col("y"))
     col, row = F.floor(px), F.floor(py)
     inner = col.between(0, grid.width - 1) & row.between(0, grid.height - 1)
-    clip = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), v)).cast("int")
-    return pts.withColumns({"inner": inner, "row": clip(row, grid.height), "col": clip(col, grid.width)})
+    clip = lambda v, n: F.greatest(F.lit(0), F.least(n - 1, v)).cast("int")
+    return grid.detach(grid.attach(pts).withColumns({"inner": inner, "row": clip(row, grid.height), "col": clip(col, grid.width)}))
+
 
+def _surface(pts: DataFrame, grid: SiteGrids, preset: Preset, cell: float) -> DataFrame:
+    """*keys, row, col, surface, slope: filled minimum of the points, opened, and its gradient's length."""
+    k = grid.keys
+    low = pts.groupBy(*k, "row", "col").agg(F.min("z").alias("low"))
+    frame = full_grid(pts.sparkSession, grid).join(pts.select(*k).distinct(), list(k), "left_semi")
+    filled = fill_nearest(frame.join(low, [*k, "row", "col"], "left"), ["low"], k).drop("observed")
+    opened = progressive_opening(filled, "low", preset.windows, k)
+    sloped = opened.withColumns({"gx": gradient("opened", "x", cell, k), "gy": gradient("opened", "y", cell, k)})
+    return cut(sloped.select(*k, "row", "col", F.col("opened").alias("surface"), F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("slope")))
 
-def _surface(pts: DataFrame, grid: Grid, preset: Preset, cut) -> DataFrame:
-    """row, col, surface, slope: filled minimum of the points, opened, and its gradient's length."""
-    low = pts.groupBy("row", "col").agg(F.min("z").alias("low"))
-    filled = fill_nearest(full_grid(pts.sparkSession, grid).join(low, ["row", "col"], "left"), ["low"]).drop("observed")
-    opened = progressive_opening(filled, "low", preset.windows)
-    gx, gy = (gradient("opened", a, grid.pixel_size) for a in ("x", "y"))
-    sloped = opened.withColumns({"gx": gx, "gy": gy})
-    return cut(sloped.select("row", "col", F.col("opened").alias("surface"), F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("slope")))
 
+def filter_ground(pts: DataFrame, preset: str = "soft", cell: float = 1.0, min_change: float = 0.01, keys: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """pts with ground, and the most rounds that a site took. Points on the refined surface are those classified as ground.
 
-def filter_ground(pts: DataFrame, preset: str = "soft", cell: float = 1.0, min_change: float = 0.01) -> tuple[DataFrame, int]:
-    """pts with ground, and the rounds taken. Points on the refined surface are those classified as ground."""
+    Each site (``keys``) has its own grid and ends on its own; without keys all points are one site.
+    """
     if preset not in PRESETS:
         raise ValueError(f"unknown preset: {preset}")
-    p = PRESETS[preset]
-    grid = cover(pts, cell)
+    p, k = PRESETS[preset], keys or ("__all",)
+    pts = pts if keys else pts.withColumn("__all", F.lit(1))
+    grid = cover(pts, cell, k)
+    if grid.table.isEmpty():
+        raise ValueError("an empty point cloud has no ground")
     placed = _placed(pts, grid)
-    context = pts.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(pts.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/geostrata-checkpoints")
-    cut = lambda df: df.checkpoint()
-    surface, before, rounds = _surface(placed.where("inner"), grid, p, cut), 0, 0
+    state, out, rounds = grid.table.select(*k, F.lit(0).cast("long").alias("before")), [], 0
+    surface = _surface(placed.where("inner"), grid, p, cell)
     while True:
-        ground = F.coalesce((F.col("z") - F.col("surface") <= p.height) & (F.col("slope") <= p.slope), F.lit(False))
-        marked = placed.join(surface, ["row", "col"], "left").withColumn("ground", ground)
-        now = marked.where("ground").count()
         rounds += 1
-        change = abs(now - before) / max(before, 1)
-        if (change < min_change and rounds > 1) or rounds == p.rounds or now == 0:
-            return marked.drop("inner", "row", "col", "surface", "slope"), rounds
-        before = now
-        surface = _surface(marked.where("ground").drop("surface", "slope"), grid, p, cut)
+        ground = F.coalesce((F.col("z") - F.col("surface") <= p.height) & (F.col("slope") <= p.slope), F.lit(False))
+        marked = cut(placed.join(surface, [*k, "row", "col"], "left").withColumn("ground", ground).drop("surface", "slope"))
+        now = marked.groupBy(*k).agg(F.count_if("ground").alias("now")).join(state, list(k))
+        change = F.abs(F.col("now") - F.col("before")) / F.greatest(F.col("before"), F.lit(1))
+        done = ((change < min_change) & F.lit(rounds > 1)) | F.lit(rounds == p.rounds) | (F.col("now") == 0)
+        now = cut(now.withColumn("done", done))
+        out.append(marked.join(now.where("done").select(*k), list(k), "left_semi"))
+        state = now.where("not done").select(*k, F.col("now").alias("before"))
+        if state.isEmpty():
+            break
+        placed = marked.join(state.select(*k), list(k), "left_semi")
+        surface, placed = _surface(placed.where("ground"), grid, p, cell), placed.drop("ground")
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found.select(*(c for c in pts.columns if c != "__all"), "ground"), rounds
 
 
 def q_ground(spark, sf_dir):

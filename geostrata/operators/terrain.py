@@ -7,15 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.stars import components
-from ..functions.window2d import box_weights, convolve, extreme, gaussian_weights, gradient, laplace, neighbours
-from ..model import GRID, Grid
+from ..functions.window2d import box_means, convolve, extreme, gaussian_weights, gradient, laplace, neighbours
+from ..model import GRID, Frame
 from ..views import DENSE, full_grid, points
 from .cells import bin_points, with_cells
 
-#: Radii, in cells, in which the nearest donor is sought one after the other, before the search at any distance.
-FILL_RADII = (4, 16, 64)
-
 
 def _offsets(spark, radius: float) -> DataFrame:
     """dr, dc, d2 of all cells within a radius."""
@@ -31,35 +29,33 @@ def _donors(holes: DataFrame, known: DataFrame, radius: float) -> DataFrame:
     return moved.join(known, ["row", "col"])
 
 
-def _far_donors(holes: DataFrame, known: DataFrame, values: list[str]) -> DataFrame:
-    """row, col and values of the nearest known cell of each hole at any distance: the nearest along each column (the smaller row if two are), then the least (d2, row, col) over the columns. A hole without any known cell gives no row."""
-    wanted = holes.select("row").distinct().crossJoin(known.select("col").distinct())  # at most the cells of the grid
-    donor = F.struct(F.col("row").alias("drow"), F.struct(*values).alias("held"))
-    given = known.select("row", "col", donor.alias("donor"))
-    line = given.unionByName(wanted.select("row", "col", F.lit(None).cast(given.schema["donor"].dataType).alias("donor")))
-    last = lambda order: F.last("donor", ignorenulls=True).over(Window.partitionBy("col").orderBy(order))
-    line = line.withColumns({"below": last(F.asc("row")), "above": last(F.desc("row"))}).where(F.col("donor").isNull())
-    up = F.col("below").isNull() | (F.col("above")["drow"] - F.col("row") < F.col("row") - F.col("below")["drow"])
-    line = line.select("row", F.col("col").alias("dcol"), F.when(F.coalesce(up, F.lit(False)), F.col("above")).otherwise(F.col("below")).alias("donor"))
+def fill_nearest(cells: DataFrame, values: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """cells(*keys, row, col, *values), one row for each cell of a raster, with nulls of the first value (and the others there) taken from the nearest cell that has it, however far; ties by row, then column. Without any such cell they stay null. Adds observed.
+
+    Along each column the nearest known cell is found by windows. A hole's donor then is the donor of its own row's
+    columns, and the distance along its row or column bounds how far those can lie.
+    """
+    k = list(keys)
+    held = F.struct(F.col("row").alias("drow"), F.col("col").alias("dcol"), *values)
+    marked = cells.withColumn("__own", F.when(F.col(values[0]).isNotNull(), held))
+    seen = lambda by, order: F.last("__own", ignorenulls=True).over(Window.partitionBy(*k, by).orderBy(order))
+    marked = marked.withColumns({"__below": seen("col", F.asc("row")), "__above": seen("col", F.desc("row"))})
+    marked = marked.withColumns({"__west": seen("row", F.asc("col")), "__east": seen("row", F.desc("col"))})
+    up = F.col("__below").isNull() | (F.col("__above")["drow"] - F.col("row") < F.col("row") - F.col("__below")["drow"])
+    marked = marked.withColumn("__donor", F.when(F.coalesce(up, F.lit(False)), F.col("__above")).otherwise(F.col("__below")))
+    marked = cut(marked)
+    none = F.lit(1 << 30)
+    reach = F.least(F.abs(F.col("__donor")["drow"] - F.col("row")), F.coalesce(F.col("col") - F.col("__west")["dcol"], none), F.coalesce(F.col("__east")["dcol"] - F.col("col"), none), none)
+    holes = marked.where(F.col("__own").isNull()).select(*k, "row", "col", reach.alias("reach"))
+    ends = marked.groupBy(*k, "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
+    holes = holes.join(ends, [*k, "row"]).withColumn("dcol", F.explode(F.sequence(F.greatest("c0", F.col("col") - F.col("reach")), F.least("c1", F.col("col") + F.col("reach")))))
+    given = marked.where(F.col("__donor").isNotNull()).select(*k, "row", F.col("col").alias("dcol"), F.col("__donor").alias("donor"))
     dr, dc = (F.col("donor")["drow"] - F.col("row")).cast("long"), (F.col("dcol") - F.col("col")).cast("long")
     place = F.struct((dr * dr + dc * dc).alias("d2"), F.col("donor")["drow"].alias("drow"), "dcol")
-    best = holes.select("row", "col").join(line, "row").groupBy("row", "col").agg(F.min_by(F.col("donor")["held"], place).alias("held"))
-    return best.select("row", "col", "held.*")
-
-
-def fill_nearest(cells: DataFrame, values: list[str], radii: tuple[float, ...] = FILL_RADII) -> DataFrame:
-    """cells(row, col, *values) with nulls of the first value (and the others there) taken from the nearest cell that has it, however far; ties by row, then column. Without any such cell they stay null. Adds observed."""
-    lead = values[0]
-    known = cells.where(F.col(lead).isNotNull())
-    out = known.withColumn("observed", F.lit(True))
-    holes = cells.where(F.col(lead).isNull()).select("row", "col")
-    for radius in radii:
-        found = _donors(holes, known.select("row", "col", *values), radius).groupBy("hrow", "hcol").agg(*(F.min_by(v, F.struct("d2", "row", "col")).alias(v) for v in values))
-        found = found.withColumnsRenamed({"hrow": "row", "hcol": "col"})
-        out = out.unionByName(found.withColumn("observed", F.lit(False)).select(*out.columns))
-        holes = holes.join(found, ["row", "col"], "left_anti")
-    rest = holes.join(_far_donors(holes, known, values), ["row", "col"], "left")
-    return out.unionByName(rest.withColumn("observed", F.lit(False)).select(*out.columns))
+    best = holes.join(given, [*k, "row", "dcol"]).groupBy(*k, "row", "col").agg(F.min_by("donor", place).alias("donor"))
+    own = F.col("__own").isNotNull()
+    filled = marked.join(best, [*k, "row", "col"], "left")
+    return filled.select(*(F.when(own, F.col(c)).otherwise(F.col("donor")[c]).alias(c) if c in values else c for c in cells.columns), own.alias("observed"))
 
 
 def fill_idw(cells: DataFrame, value: str, max_dist: float, k: int = 8, power: float = 2.0) -> DataFrame:
@@ -73,15 +69,15 @@ def fill_idw(cells: DataFrame, value: str, max_dist: float, k: int = 8, power: f
     return joined.withColumn("observed", F.col(value).isNotNull()).withColumn(value, F.coalesce(value, "filled")).drop("filled")
 
 
-def elevation(pts: DataFrame, grid: Grid = GRID) -> DataFrame:
+def elevation(pts: DataFrame, grid: Frame = GRID) -> DataFrame:
     """row, col, z (mean), low (minimum), observed for every cell of the grid, gaps filled from the nearest cell."""
-    cells = with_cells(pts, grid).where("valid").groupBy("row", "col").agg(F.avg("z").alias("z"), F.min("z").alias("low"))
-    return fill_nearest(full_grid(pts.sparkSession, grid).join(cells, ["row", "col"], "left"), ["z", "low"])
+    cells = with_cells(pts, grid).where("valid").groupBy(*grid.keys, "row", "col").agg(F.avg("z").alias("z"), F.min("z").alias("low"))
+    return fill_nearest(full_grid(pts.sparkSession, grid).join(cells, [*grid.keys, "row", "col"], "left"), ["z", "low"], grid.keys)
 
 
-def slope_aspect(cells: DataFrame, pixel_size: float, value: str = "z") -> DataFrame:
+def slope_aspect(cells: DataFrame, pixel_size: float | Column, value: str = "z", keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds gx, gy, slope (degrees) and aspect (degrees; a flat cell has 180)."""
-    g = cells.withColumns({"gx": gradient(value, "x", pixel_size), "gy": gradient(value, "y", pixel_size)})
+    g = cells.withColumns({"gx": gradient(value, "x", pixel_size, keys), "gy": gradient(value, "y", pixel_size, keys)})
     aspect = F.pmod(F.degrees(F.atan2(-F.col("gx"), -F.col("gy"))), F.lit(360.0))
     flat = (F.col("gx") == 0) & (F.col("gy") == 0)
     return g.withColumns({"slope": F.degrees(F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))), "aspect": F.when(flat, 180.0).otherwise(aspect)})
@@ -97,50 +93,75 @@ def hillshade(azimuth: float, altitude: float = 45.0, z_factor: float = 1.0) ->
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade)) * 255
 
 
-def slrm(cells: DataFrame, sigma: float, grid: Grid = GRID) -> DataFrame:
+def slrm(cells: DataFrame, sigma: float, grid: Frame = GRID) -> DataFrame:
     """Adds slrm: elevation above its Gaussian mean."""
-    smooth = convolve(cells, "z", "__g", gaussian_weights(sigma), (grid.height, grid.width))
-    return smooth.withColumn("slrm", F.col("z") - F.col("__g")).drop("__g")
+    smooth = convolve(grid.attach(cells), "z", "__g", gaussian_weights(sigma), (grid.height, grid.width), keys=grid.keys)
+    return grid.detach(smooth.withColumn("slrm", F.col("z") - F.col("__g")).drop("__g"))
 
 
-def curvature(cells: DataFrame, sigma: float, grid: Grid = GRID) -> DataFrame:
+def curvature(cells: DataFrame, sigma: float, grid: Frame = GRID) -> DataFrame:
     """Adds curvature: the Laplacian of the Gaussian mean."""
-    smooth = convolve(cells, "z", "__g", gaussian_weights(sigma), (grid.height, grid.width))
-    return smooth.withColumn("curvature", laplace("__g") / grid.pixel_size**2).drop("__g")
+    smooth = convolve(grid.attach(cells), "z", "__g", gaussian_weights(sigma), (grid.height, grid.width), keys=grid.keys)
+    return grid.detach(smooth.withColumn("curvature", laplace("__g", grid.keys) / (grid.pixel_size * grid.pixel_size)).drop("__g"))
 
 
-def tpi_tri(cells: DataFrame, radius: int, grid: Grid = GRID) -> DataFrame:
+def tpi_tri(cells: DataFrame, radius: int, grid: Frame = GRID) -> DataFrame:
     """Adds tpi (elevation above its box mean) and tri (deviation in the box)."""
-    shape = (grid.height, grid.width)
-    means = convolve(cells.withColumn("__z2", F.col("z") * F.col("z")), "z", "__m", box_weights(radius), shape)
-    means = convolve(means, "__z2", "__m2", box_weights(radius), shape)
+    means = box_means(grid.attach(cells).withColumn("__z2", F.col("z") * F.col("z")), {"__m": "z", "__m2": "__z2"}, radius, (grid.height, grid.width), grid.keys)
     tri = F.sqrt(F.greatest(F.col("__m2") - F.col("__m") * F.col("__m"), F.lit(0.0)))
-    return means.withColumns({"tpi": F.col("z") - F.col("__m"), "tri": tri}).drop("__z2", "__m", "__m2")
-
-
-def openness(cells: DataFrame, radius: int, directions: int, grid: Grid = GRID) -> DataFrame:
-    """row, col, positive, negative, sky_view: mean extreme angles over directions; offsets wrap around the edges and count nominal distance."""
-    spark = cells.sparkSession
-    steps = [(d, s, round(s * math.sin(2 * math.pi * d / directions)), round(s * math.cos(2 * math.pi * d / directions)), float(s * grid.pixel_size)) for d in range(directions) for s in range(1, radius + 1)]
-    offsets = F.broadcast(spark.createDataFrame(steps, "dir int, step int, dr int, dc int, dist double"))  # radius x directions rows
-    here = cells.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("z").alias("z0"))
-    moved = here.join(offsets).withColumns({"row": F.pmod(F.col("r") + F.col("dr"), F.lit(grid.height)), "col": F.pmod(F.col("c") + F.col("dc"), F.lit(grid.width))})
-    angle = F.degrees(F.atan2(F.col("z") - F.col("z0"), F.col("dist")))
-    by_dir = moved.join(cells.select("row", "col", "z"), ["row", "col"]).groupBy("r", "c", "dir").agg(F.max(angle).alias("up"), F.min(angle).alias("down"))
-    found = by_dir.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.avg(90 - F.col("up")).alias("positive"), F.avg(90 + F.col("down")).alias("negative"))
+    return grid.detach(means.withColumns({"tpi": F.col("z") - F.col("__m"), "tri": tri}).drop("__z2", "__m", "__m2"))
+
+
+def openness(cells: DataFrame, radius: int, directions: int, grid: Frame = GRID) -> DataFrame:
+    """*keys, row, col, positive, negative, sky_view: mean extreme angles over directions; offsets wrap around the edges and count nominal distance.
+
+    A raster row is one array and meets each row that the offsets reach once, so an offset is a turned array.
+    """
+    k, here = list(grid.keys), grid.attach(cells)
+    steps = [(d, s, round(s * math.sin(2 * math.pi * d / directions)), round(s * math.cos(2 * math.pi * d / directions))) for d in range(directions) for s in range(1, radius + 1)]
+    frame = ["__height", "__pixel_size"] if k else []
+    lines = here.groupBy(*k, "row", *frame).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "z"))), lambda c: c["z"]).alias("zs"))
+    reach = sorted({r for _, _, r, _ in steps})
+    sent = lines.withColumn("d", F.explode(F.array(*map(F.lit, reach))))
+    height = grid.height if k else F.lit(grid.height)
+    sent = sent.select(*k, F.pmod(F.col("row") - F.col("d"), height).cast("int").alias("row"), "d", "zs")
+    around = sent.groupBy(*k, "row").agg(F.map_from_entries(F.collect_list(F.struct("d", "zs"))).alias("near"))
+    joined = lines.join(around, [*k, "row"]).withColumn("n", F.size("zs"))
+    size = grid.pixel_size if k else F.lit(grid.pixel_size)
+
+    def turned(r: int, c: int) -> Column:
+        line = F.element_at("near", F.lit(r))
+        at = F.pmod(F.lit(c), F.col("n"))
+        return F.concat(F.slice(line, at + 1, F.col("n") - at), F.slice(line, F.lit(1), at))
+
+    def angle(step: int):
+        return lambda there, own: F.degrees(F.atan2(there - own, step * size))
+
+    up, down = [], []
+    for d in range(directions):
+        angles = [F.zip_with(turned(r, c), "zs", angle(s)) for e, s, r, c in steps if e == d]
+        both = F.arrays_zip(*(a.alias(f"s{i}") for i, a in enumerate(angles)))
+        names = [f"s{i}" for i in range(len(angles))]
+        pick = lambda f: F.transform(both, lambda x: f(*(x[n] for n in names)) if len(names) > 1 else x[names[0]])  # noqa: B023, E731
+        up.append(pick(F.greatest).alias(f"u{d}"))
+        down.append(pick(F.least).alias(f"v{d}"))
+    found = joined.select(*k, "row", "zs", *up, *down)
+    mean = lambda kind, sign: F.transform(F.sequence(F.lit(1), F.size("zs")), lambda i: sum((90 + sign * F.element_at(f"{kind}{d}", i) for d in range(directions)), F.lit(0.0)) / directions)
+    found = found.select(*k, "row", F.posexplode(F.arrays_zip(mean("u", -1).alias("p"), mean("v", 1).alias("q"))).alias("col", "x"))
+    found = found.select(*k, "row", "col", F.col("x.p").alias("positive"), F.col("x.q").alias("negative"))
     return found.withColumn("sky_view", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("positive") / 180)))
 
 
-def progressive_opening(cells: DataFrame, value: str, windows: tuple[int, ...]) -> DataFrame:
+def progressive_opening(cells: DataFrame, value: str, windows: tuple[int, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds opened: erosions followed by dilations with growing odd windows."""
     out = cells.withColumn("opened", F.col(value))
     for window in windows:
         r = (window + 1 - window % 2) // 2
-        out = extreme(extreme(out, "opened", "opened", r, False), "opened", "opened", r, True)
+        out = extreme(extreme(out, "opened", "opened", r, False, keys), "opened", "opened", r, True, keys)
     return out
 
 
-def artifacts(cells: DataFrame, window: int, threshold: float, grid: Grid = GRID) -> DataFrame:
+def artifacts(cells: DataFrame, window: int, threshold: float, grid: Frame = GRID) -> DataFrame:
     """Adds median (of the square window, edge cells repeated) and artifact."""
     r = window // 2
     across = cells.withColumn("__x", neighbours("z", "x", r, grid.width))
@@ -158,7 +179,7 @@ def hole_components(holes: DataFrame) -> DataFrame:
     for along, across, first in (("col", "row", "u"), ("row", "col", "v")):
         run = F.col(along) - F.row_number().over(Window.partitionBy(across).orderBy(along))
         runs = runs.withColumn("__run", run).withColumn(first, F.min("label").over(Window.partitionBy(across, "__run"))).drop("__run")
-    runs = runs.drop("label").checkpoint()
+    runs = cut(runs.drop("label"))
     found = components(runs.select("u", "v").distinct()).select(F.col("node").alias("u"), F.col("component").alias("label"))
     return runs.join(found, "u", "left").withColumn("label", F.coalesce("label", "u")).select(*holes.columns, "label")
 
@@ -219,8 +240,6 @@ def q_idw(spark, sf_dir):
 
 
 def q_holes(spark, sf_dir):
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/geostrata-checkpoints"))
     labels = hole_components(_gappy(spark, sf_dir).where("z is null").select("row", "col"))
     return labels.groupBy("label").agg(F.count("*").alias("size"), F.min("row").alias("row0"), F.max("col").alias("col1"))
 

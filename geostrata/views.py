@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import GRID, Grid
+from .model import GRID, Frame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,9 @@ POINTS = """pts AS (
 INSIDE = "x >= 0 AND x < 105 AND y >= 0 AND y < 100"
 
 
-def full_grid(spark: SparkSession, grid: Grid = GRID) -> DataFrame:
-    """Every (row, col) of a grid."""
-    rows = spark.range(grid.height).select(F.col("id").cast("int").alias("row"))
-    return rows.select("row", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("col"))
+def full_grid(spark: SparkSession, grid: Frame = GRID) -> DataFrame:
+    """Every (row, col) of a grid, with its site where there are several."""
+    return grid.cells(spark)
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +84,9 @@ DENSE = f"""{POINTS}, cells AS (
 ), raw AS (
   SELECT g.row, g.col, v, low, n FROM g LEFT JOIN cells ON g.row = cells.row AND g.col = cells.col
 ), near AS (
-  SELECT h.row, h.col, d.v, d.low, row_number() OVER (PARTITION BY h.row, h.col ORDER BY (d.row - h.row) * (d.row - h.row) + (d.col - h.col) * (d.col - h.col), d.row, d.col) AS k
-  FROM raw h JOIN raw d ON h.v IS NULL AND d.v IS NOT NULL AND abs(d.row - h.row) <= 64 AND abs(d.col - h.col) <= 64
+  SELECT h.row, h.col, min_by({{'v': d.v, 'low': d.low}}, ((d.row - h.row) * (d.row - h.row) + (d.col - h.col) * (d.col - h.col))::BIGINT * 1000000 + d.row * 1000 + d.col) AS d
+  FROM (SELECT row, col FROM raw WHERE v IS NULL) h, (SELECT * FROM raw WHERE v IS NOT NULL) d GROUP BY h.row, h.col
 ), dense AS (
-  SELECT raw.row, raw.col, coalesce(raw.v, near.v) AS z, coalesce(raw.low, near.low) AS low, raw.v IS NOT NULL AS observed
-  FROM raw LEFT JOIN near ON raw.row = near.row AND raw.col = near.col AND near.k = 1
+  SELECT raw.row, raw.col, coalesce(raw.v, near.d.v) AS z, coalesce(raw.low, near.d.low) AS low, raw.v IS NOT NULL AS observed
+  FROM raw LEFT JOIN near ON raw.row = near.row AND raw.col = near.col
 )"""

@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geostrata.functions import names, projection
+from geostrata.functions import names, polygons, projection
 from geostrata.functions.window2d import gaussian_weights
-from geostrata.model import Grid
+from geostrata.model import Grid, SiteGrids
 from geostrata.operators import catalogue, cells, geometry, ground, matching, rasters, terrain
 from geostrata.plans import pipelines
 from geostrata.sources import geojson, gtiff, las
@@ -175,33 +175,61 @@ def square(x, y, s):
     return np.array([(x, y), (x + s, y), (x + s, y + s), (x, y + s)], float)
 
 
-def test_iou_of_squares():
+def test_iou_is_exact():
     a = [square(0, 0, 10)]
-    assert geometry.polygon_iou(a, [square(5, 0, 10)]) == pytest.approx(1 / 3, abs=0.02)
-    assert geometry.polygon_iou(a, a) > 0.99 and geometry.polygon_iou(a, [square(20, 0, 5)]) == 0
-    assert geometry.polygon_iou(a, [square(0, 0, 10), square(2, 2, 6)]) == pytest.approx(0.64, abs=0.02)
-
-
-def test_simplify_and_components():
+    assert polygons.iou(a, [square(5, 0, 10)]) == pytest.approx(1 / 3) and polygons.iou(a, a) == pytest.approx(1)
+    assert polygons.iou(a, [square(20, 0, 5)]) == 0 and polygons.iou(a, [square(10, 0, 5)]) == 0
+    assert polygons.iou(a, [square(0, 0, 10), square(2, 2, 6)]) == pytest.approx(0.64)
+    turned = [np.array([(5, -2), (12, 5), (5, 12), (-2, 5)], float)]  # cuts the square's corners: 98 less 4 triangles of 4 in common
+    assert polygons.overlap(a, turned) == pytest.approx((82, 116))
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        shapes = []
+        for _ in range(2):
+            t = np.sort(r.uniform(0, 2 * np.pi, 9))
+            shapes.append([np.stack((np.cos(t), np.sin(t)), 1) * r.uniform(2, 5, (9, 1)) + r.uniform(-1, 1, 2), square(-0.5, -0.5, 1)])
+        x, y = np.meshgrid(np.linspace(-7, 7, 701), np.linspace(-7, 7, 701))
+        odd = []
+        for rings in shapes:
+            hit = np.zeros(x.shape, bool)
+            for ring in rings:
+                for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+                    hit ^= ((ay > y) != (by > y)) & (x < ax + (y - ay) / (by - ay + (by == ay)) * (bx - ax))
+            odd.append(hit)
+        shared, either = polygons.overlap(*shapes)
+        assert shared == pytest.approx((odd[0] & odd[1]).sum() * 0.0004, abs=0.15) and either == pytest.approx((odd[0] | odd[1]).sum() * 0.0004, abs=0.15)
+
+
+def test_simplify():
     line = np.array([(0, 0), (5, 0.01), (10, 0), (10, 10), (0, 10)], float)
-    assert len(geometry.simplify(line, 0.5)) == 4 and len(geometry.simplify(line, 0.001)) == 5
-    mask = np.array([[1, 0, 1, 1], [0, 1, 0, 0], [0, 0, 0, 1]], bool)
-    assert geometry.components(mask).max() == 2 and geometry.components(mask, eight=False).max() == 4
-    big = np.random.default_rng(4).random((40, 50)) > 0.45
-    label, seen, n = geometry.components(big, eight=False), np.zeros(big.shape, bool), 0
+    assert len(polygons.simplify(line, 0.5)) == 4 and len(polygons.simplify(line, 0.001)) == 5
+    t = np.linspace(0, 2 * np.pi, 200, endpoint=False)
+    ring = np.stack((np.cos(t), np.sin(t)), 1) * 50
+    kept = polygons.simplify(ring, 0.5)
+    assert 8 < len(kept) < 60 and polygons.ring_area(kept) == pytest.approx(polygons.ring_area(ring), rel=0.03)
+    assert {tuple(p) for p in kept} == {tuple(p) for p in polygons.simplify(np.roll(ring, 77, axis=0), 0.5)}
+    assert len(polygons.simplify(ring[:3], 99.0)) == 3 and len(polygons.simplify(ring, 1000.0)) == 200
+
+
+def test_parts_are_8_connected(spark):
+    big = np.random.default_rng(4).random((25, 30)) > 0.6
+    rows = surface(spark, big.astype(float)).select(F.lit("s").alias("site"), F.lit("a").alias("cls"), "row", "col", F.col("z").alias("value"))
+    got = {(r["row"], r["col"]): r["part"] for r in geometry.label_parts(rows, 0.5).collect()}
+    assert len(got) == big.sum()
+    want, seen = {}, set()
     for r, c in zip(*np.nonzero(big), strict=True):
-        if seen[r, c]:
+        if (r, c) in seen:
             continue
-        n, work, own = n + 1, [(r, c)], label[r, c]
-        seen[r, c] = True
+        work, first = [(r, c)], r * 2**32 + c  # row order: the first cell met is the smallest
+        seen.add((r, c))
         while work:
             i, j = work.pop()
-            assert label[i, j] == own
-            for a, b in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
-                if 0 <= a < 40 and 0 <= b < 50 and big[a, b] and not seen[a, b]:
-                    seen[a, b] = True
-                    work.append((a, b))
-    assert n == label.max()
+            want[i, j] = first
+            for cell in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                if cell not in seen and 0 <= cell[0] < 25 and 0 <= cell[1] < 30 and big[cell]:
+                    seen.add(cell)
+                    work.append(cell)
+    assert got == want
 
 
 def test_vectorized_disc_and_hole(spark):
@@ -212,13 +240,13 @@ def test_vectorized_disc_and_hole(spark):
     got = geometry.vectorize(rows, tolerance=0.2).collect()
     assert len(got) == 1 and got[0]["n_cells"] == field.sum() and len(got[0]["rings"]) == 2
     outer, hole = (np.array([(p["x"], p["y"]) for p in ring]) for ring in got[0]["rings"])
-    assert abs(geometry.ring_area(outer)) == pytest.approx(math.pi * 144, rel=0.05) and abs(geometry.ring_area(hole)) == pytest.approx(math.pi * 16, rel=0.2)
-    assert geometry.ring_area(outer) * geometry.ring_area(hole) < 0
+    assert abs(polygons.ring_area(outer)) == pytest.approx(math.pi * 144, rel=0.05) and abs(polygons.ring_area(hole)) == pytest.approx(math.pi * 16, rel=0.2)
+    assert polygons.ring_area(outer) * polygons.ring_area(hole) < 0
 
 
 def objects(spark, rows, score=True):
     schema = "id long, cx double, cy double, half double, cls long" + (", score double" if score else "")
-    return spark.createDataFrame(rows, schema)
+    return geometry.squares(spark.createDataFrame(rows, schema)).withColumn("geom_type", F.lit("Polygon"))
 
 
 def test_duplicates_and_empties(spark):
@@ -233,6 +261,57 @@ def test_duplicates_and_empties(spark):
     assert matching.nms(preds, 3.0).count() == 1 and matching.nms(preds, 0.0).count() == 2
 
 
+def test_points_match_within_a_radius(spark):
+    gts = spark.createDataFrame([(1, 0, "Point", [[(0.0, 0.0)]]), (2, 0, "Point", [[(4.0, 0.0)]])], "id long, cls long, geom_type string, rings array<array<struct<x:double,y:double>>>")
+    preds = objects(spark, [(10, 1.0, 0.0, 0.5, 0, 0.9), (11, 4.0, 3.0, 0.2, 0, 0.5), (12, 20.0, 20.0, 1.0, 0, 0.4)])
+    got = {(r["id"], r["gt_id"]): r["quality"] for r in matching.match(preds, gts, radius=3.0).collect()}
+    assert got == {(10, 1): pytest.approx(1 - 0.5 / 3), (11, 2): pytest.approx(0.5)}
+    assert {r["id"] for r in matching.match(preds, gts, radius=2.0).collect()} == {10}
+
+
+def test_choices_in_rounds_equal_greedy_loops(spark):
+    r = np.random.default_rng(9)
+    rows = {(k, int(p), int(g)): (float(s[p]), float(q)) for k in (0, 1) for s in [r.integers(0, 6, 60) / 6] for p, g, q in zip(r.integers(0, 60, 300), r.integers(0, 40, 300), r.integers(1, 9, 300) / 9, strict=True)}
+    pairs = spark.createDataFrame([(*key, *v) for key, v in rows.items()], "k int, id long, gt_id long, score double, quality double")
+    want = set()
+    for k in (0, 1):
+        taken = set()
+        for p in sorted({i for kk, i, _ in rows if kk == k}, key=lambda i: (-next(v[0] for (kk, j, _), v in rows.items() if (kk, j) == (k, i)), i)):
+            free = [(-v[1], g) for (kk, i, g), v in rows.items() if (kk, i) == (k, p) and g not in taken]
+            if free:
+                taken.add(min(free)[1])
+                want.add((k, p, min(free)[1]))
+    assert {(x["k"], x["id"], x["gt_id"]) for x in matching.settle(pairs, ("k",)).collect()} == want
+    edges = {(k, *sorted((int(a), int(b)))) for k in (0, 1) for a, b in r.integers(0, 80, (200, 2)) if a != b}
+    gone = set()
+    for k in (0, 1):
+        for a in range(80):
+            if (k, a) not in gone:
+                gone |= {(k, b) for kk, i, b in edges if (kk, i) == (k, a)}
+    got = matching.suppressed(spark.createDataFrame(sorted(edges), "k int, id long, other long"), ("k",))
+    assert {(x["k"], x["id"]) for x in got.collect()} == gone
+
+
+def test_two_sites_in_one_call_equal_two_calls(spark):
+    r = np.random.default_rng(11)
+    grids = {"a": Grid(0, 0, 1, 12, 9), "b": Grid(100, 50, 2, 7, 8)}
+    clouds = {n: cloud(spark, r.uniform(g.x_min - 1, g.x_min + g.width * g.pixel_size + 1, 150), r.uniform(g.y_min - 1, g.y_min + g.height * g.pixel_size + 1, 150), r.normal(0, 1, 150)).withColumn("site", F.lit(n)) for n, g in grids.items()}
+    frames = SiteGrids(spark.createDataFrame([(n, float(g.x_min), float(g.y_min), float(g.pixel_size), g.width, g.height) for n, g in grids.items()], "site string, x_min double, y_min double, pixel_size double, width int, height int"))
+    both = clouds["a"].unionByName(clouds["b"])
+    dem = terrain.elevation(both, frames)
+    plans = {
+        "build": (pipelines.build_site(both, frames), lambda n: pipelines.build_site(clouds[n], grids[n])),
+        "open": (terrain.openness(dem, 3, 8, frames), lambda n: terrain.openness(terrain.elevation(clouds[n], grids[n]), 3, 8, grids[n])),
+        "curve": (terrain.curvature(terrain.slrm(dem, 1.0, frames), 1.0, frames), lambda n: terrain.curvature(terrain.slrm(terrain.elevation(clouds[n], grids[n]), 1.0, grids[n]), 1.0, grids[n])),
+        "ground": (ground.filter_ground(both, "soft", 2.0, keys=("site",))[0], lambda n: ground.filter_ground(clouds[n], "soft", 2.0)[0]),
+    }
+    for name, (joint, alone) in plans.items():
+        for n in grids:
+            one = alone(n).drop("site")
+            flat = lambda df: sorted(str([round(v, 9) + 0.0 if isinstance(v, float) else v for v in x]) for x in df.select(*one.columns).collect())  # noqa: B023, E731
+            assert flat(joint.where(F.col("site") == n)) == flat(one), name
+
+
 def test_classes_are_detected_apart(spark):
     r, c = np.indices((40, 40))
     bump = lambda i, j: np.exp(-((r - i) ** 2 + (c - j) ** 2) / 8)
@@ -269,7 +348,7 @@ def test_projections(spark):
     lon, lat = projection.from_utm(e, n, 37)
     got = one.select(e.alias("e"), n.alias("n"), lon.alias("lon"), lat.alias("lat"), names.transliterate(F.lit("Курган Щит №7")).alias("t")).first()
     assert got["lon"] == pytest.approx(37.6173, abs=1e-7) and got["lat"] == pytest.approx(55.7558, abs=1e-7)
-    assert got["e"] == pytest.approx(413_220, abs=300) and got["n"] == pytest.approx(6_179_800, abs=600) and got["t"] == "kurgan_schit_7"
+    assert got["e"] == pytest.approx(413_220, abs=300) and got["n"] == pytest.approx(6_179_800, abs=600) and got["t"] == "Kurgan_Shchit_7"
     with pytest.raises(ValueError):
         projection.to_lon_lat(1, F.lit(0), F.lit(0))
 
@@ -314,7 +393,7 @@ def test_geojson_round_trip(spark, tmp_path):
         assert len(doc["features"]) == len(given) and doc["crs"]["properties"]["name"] == "EPSG:3857"
         if given:
             shell = doc["features"][0]["geometry"]["coordinates"][0]
-            assert shell[0] == shell[-1] and len(shell) == 5 and geometry.ring_area(np.array(shell[:-1])) > 0
+            assert shell[0] == shell[-1] and len(shell) == 5 and polygons.ring_area(np.array(shell[:-1])) > 0
             back = geojson.read(spark, str(part)).orderBy("feat_id").collect()
             assert [(r["cls"], r["score"], r["geom_type"], r["crs"]) for r in back] == [("mound", 0.9, "Polygon", "epsg:3857"), ("find", 0.5, "Point", "epsg:3857")]
             assert len(back[0]["rings"][0]) == 4
