@@ -44,18 +44,44 @@ def read(spark, path: str, class_key: str = "class") -> DataFrame:
     return rows.select("path", "crs", "feat_id", "part_id", "cls", "score", "geom_type", F.transform("coords", _ring).alias("rings"))
 
 
-def write(features: DataFrame, path: str, crs: str = "EPSG:3857", class_key: str = "class") -> None:
-    """One collection in one text file from features(feat_id, cls, score, geom_type, rings); empty input gives an empty collection.
+def write(features: DataFrame, path: str, crs: str = "EPSG:3857", class_key: str = "class", extra: tuple[str, ...] = (), files: int = 1) -> None:
+    """Collections in ``files`` text files from features(feat_id, cls, score, geom_type, rings); empty input gives an empty collection.
 
-    The file holds one line for each feature, so no task joins them into one value.
+    A file holds one line for each feature, so no task joins them into one value, and is written by one task; features
+    are dealt to files by a hash of feat_id. ``extra`` names further columns that become properties.
     """
     point = F.to_json(F.array(F.col("rings")[0][0]["x"], F.col("rings")[0][0]["y"]))
     rings = F.to_json(F.transform(oriented(F.col("rings")), lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
-    props = F.to_json(F.struct(F.col("cls").alias(class_key), F.col("score")))
+    props = F.to_json(F.struct(F.col("cls").alias(class_key), F.col("score"), *extra))
     line = F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":{"type":"'), F.col("geom_type"), F.lit('","coordinates":'), F.when(F.col("geom_type") == "Point", point).otherwise(rings), F.lit("}}"))
     spark = features.sparkSession
-    body = features.select(F.lit(1).alias("part"), F.col("feat_id").cast("long").alias("k"), line.alias("value"))
-    last = body.agg(F.max("k")).first()[0]
-    body = body.withColumn("value", F.when(F.col("k") < (last if last is not None else 0), F.concat("value", F.lit(","))).otherwise(F.col("value")))
-    ends = spark.createDataFrame([(0, 0, f'{{"type":"FeatureCollection","crs":{{"type":"name","properties":{{"name":"{crs}"}}}},"features":['), (2, 0, "]}")], "part int, k long, value string")
-    ends.unionByName(body).repartitionByRange(1, "part", "k").sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(path)
+    file = F.pmod(F.xxhash64("feat_id"), F.lit(files)).cast("int").alias("file")
+    body = features.select(file, F.lit(1).alias("part"), F.col("feat_id").cast("long").alias("k"), line.alias("value"))
+    last = F.broadcast(body.groupBy("file").agg(F.max("k").alias("last")))  # one row for each file
+    body = body.join(last, "file").withColumn("value", F.when(F.col("k") < F.col("last"), F.concat("value", F.lit(","))).otherwise(F.col("value"))).drop("last")
+    head = f'{{"type":"FeatureCollection","crs":{{"type":"name","properties":{{"name":"{crs}"}}}},"features":['
+    ends = spark.range(files).select(F.col("id").cast("int").alias("file"), F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(v).alias("value")) for p, v in ((0, head), (2, "]}"))))).alias("e"))
+    ends = ends.select("file", "e.part", F.lit(0).cast("long").alias("k"), "e.value")
+    ends.unionByName(body).repartitionById(files, F.col("file")).sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(path)
+
+
+def merge(spark, paths: list[str], out: str, class_key: str = "class") -> None:
+    """One collection of the features of several files, numbered anew in the order of paths, with the system that the first one declares."""
+    joined, crs = None, None
+    for k, path in enumerate(paths):
+        rows = read(spark, path, class_key).withColumn("source", F.lit(k))
+        found = rows.select("crs").limit(1).collect()
+        crs = crs or (found[0]["crs"] if found else None)
+        joined = rows if joined is None else joined.unionByName(rows)
+    # file, feature and part packed into one number: up to 2 ** 31 features of 2 ** 20 parts in a file
+    number = F.col("source").cast("long") * (1 << 51) + F.col("feat_id").cast("long") * (1 << 20) + F.col("part_id")
+    write(joined.withColumn("feat_id", number), out, (crs or "epsg:3857").upper(), class_key)
+
+
+def write_errors(found: DataFrame, preds: DataFrame, gts: DataFrame, path: str, crs: str = "EPSG:3857", class_key: str = "class") -> None:
+    """A collection of the unmatched objects of ``matching.errors`` with their kind and error."""
+    columns = ["id", F.col("cls").cast("string").alias("cls"), "geom_type", "rings"]
+    fp = found.where("kind = 'FP'").join(preds.select(*columns, "score"), "id")
+    fn = found.where("kind = 'FN'").join(gts.select(*columns, F.lit(1.0).alias("score")), "id")
+    rows = fp.unionByName(fn).withColumn("feat_id", F.col("id") * 2 + (F.col("kind") == "FN").cast("int"))
+    write(rows, path, crs, class_key, ("kind", "error"))

@@ -1,4 +1,4 @@
-"""Single-band GeoTIFF rasters as cells: uncompressed or deflate strips, north-up files, row 0 = south in memory."""
+"""GeoTIFF rasters as cells: uncompressed or deflate, strips or tiles, one band at a time, north-up files, row 0 = south in memory."""
 
 from __future__ import annotations
 
@@ -35,19 +35,47 @@ def _tags(raw: bytes) -> tuple[dict[int, tuple], str]:
     return out, order
 
 
-def decode(raw: bytes) -> tuple[np.ndarray, dict]:
-    """Values with row 0 south, and metadata. A south-up file raises."""
+def _unpredicted(block: bytes, rows: int, width: int, bands: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """Values (rows, width, bands) of one strip or tile."""
+    if predictor == 3:  # bytes of a row by significance, each the difference to the one a band's width before
+        size = kind.itemsize
+        raw = np.frombuffer(block, np.uint8)[: rows * width * bands * size].reshape(rows, size * width, bands)
+        planes = np.cumsum(raw, axis=1, dtype=np.uint8).reshape(rows, size, width * bands)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, width, bands)
+    values = np.frombuffer(block, kind)[: rows * width * bands].reshape(rows, width, bands)
+    if predictor == 2:
+        return np.cumsum(values, axis=1, dtype=values.dtype.newbyteorder("="))
+    if predictor != 1:
+        raise ValueError(f"unsupported predictor: {predictor}")
+    return values
+
+
+def decode(raw: bytes, band: int = 1) -> tuple[np.ndarray, dict]:
+    """Values of a band (from 1) with row 0 south, and metadata. Strips or tiles, bands interleaved or apart; a south-up file raises."""
     tags, order = _tags(raw)
-    width, height = tags[256][0], tags[257][0]
+    width, height, bands = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+    if not 1 <= band <= bands:
+        raise ValueError(f"the file has {bands} bands, not {band}")
+    if len(set(tags[258])) > 1:
+        raise ValueError("bands of several widths aren't read")
     kind = _TYPES[(tags.get(339, (1,))[0], tags[258][0])]
-    packed = tags.get(259, (1,))[0]
+    packed, predictor = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
     if packed not in (1, 8, 32946):
         raise ValueError(f"unsupported compression: {packed}")
-    strips = [raw[a : a + n] for a, n in zip(tags[273], tags[279], strict=True)]
-    body = b"".join(zlib.decompress(s) if packed != 1 else s for s in strips)
-    values = np.frombuffer(body, np.dtype(kind).newbyteorder(order))[: width * height].reshape(height, width)
-    if tags.get(317, (1,))[0] == 2:
-        values = np.cumsum(values, axis=1, dtype=values.dtype)
+    tiled, apart = 322 in tags, tags.get(284, (1,))[0] == 2 and bands > 1
+    wide, tall = (tags[322][0], tags[323][0]) if tiled else (width, min(height, tags.get(278, (height,))[0]))
+    across, down = -(-width // wide), -(-height // tall)
+    offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    first = (band - 1) * across * down if apart else 0
+    values = np.zeros((height, width), kind)
+    for k in range(across * down):
+        at, n = offsets[first + k], sizes[first + k]
+        block = raw[at : at + n] if packed == 1 else zlib.decompress(raw[at : at + n])
+        top, left = k // across * tall, k % across * wide
+        rows = tall if tiled else min(tall, height - top)
+        found = _unpredicted(block, rows, wide, 1 if apart else bands, np.dtype(kind).newbyteorder(order), predictor)
+        part = found[: height - top, : width - left, 0 if apart else band - 1]
+        values[top : top + part.shape[0], left : left + part.shape[1]] = part
     sx, sy = tags.get(33550, (1.0, 1.0))[:2]
     if sy < 0:
         raise ValueError("south-up rasters aren't read")
@@ -93,13 +121,13 @@ def read_meta(spark, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(run, META)
 
 
-def read_cells(spark, path: str) -> DataFrame:
-    """Every cell of every file, nodata and non-finite values as null."""
+def read_cells(spark, path: str, band: int = 1) -> DataFrame:
+    """Every cell of a band of every file, nodata and non-finite values as null."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for p, c in zip(part["path"], part["content"], strict=True):
-                values, meta = decode(bytes(c))
+                values, meta = decode(bytes(c), band)
                 rows, cols = np.indices(values.shape)
                 data = values.astype(float).ravel()
                 gone = ~np.isfinite(data) | (data == meta["nodata"] if meta["nodata"] is not None else False)

@@ -1,7 +1,8 @@
 """LAS point clouds as a Spark data source: fixed-width records, so one file is read by many tasks.
 
 ``spark.read.format("las").load(path)``; options ``records`` (records of a partition).
-Paths are those of a folder mounted on all executors. LAZ isn't read.
+Files of a folder that all executors have mounted are split; ``read_points`` reads those of other file systems through
+Spark, a file in a task. LAZ isn't read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ class Header:
 
 def read_header(path: str) -> Header:
     with open(path, "rb") as f:
-        raw = f.read(375)
+        return parse_header(f.read(375), path)
+
+
+def parse_header(raw: bytes, path: str) -> Header:
     if raw[:4] != b"LASF":
         raise ValueError(f"not a LAS file: {path}")
     h = _HEAD.unpack_from(raw)
@@ -56,7 +60,10 @@ def _dtype(header: Header) -> np.dtype:
 def read_range(header: Header, first: int, n: int) -> dict[str, np.ndarray]:
     with open(header.path, "rb") as f:
         f.seek(header.offset + first * header.record)
-        raw = f.read(n * header.record)
+        return parse_records(header, f.read(n * header.record))
+
+
+def parse_records(header: Header, raw: bytes) -> dict[str, np.ndarray]:
     rows = np.frombuffer(raw[: len(raw) // header.record * header.record], _dtype(header))
     xyz = (rows[a] * s + o for a, s, o in zip("xyz", header.scales, header.offsets, strict=True))
     wide = header.point_format >= 6
@@ -115,6 +122,30 @@ class LasSource(DataSource):
         return _Reader(self.options)
 
 
-def read_points(spark, path: str, records: int = 1_000_000):
-    spark.dataSource.register(LasSource)
-    return spark.read.format("las").option("records", records).load(path)
+#: Metres of a unit of height (fixed values).
+Z_UNITS = {"meters": 1.0, "feet": 0.3048}
+
+
+def _through_spark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            raw = memoryview(content.as_py())
+            header = parse_header(bytes(raw[:375]), path)
+            for a in range(0, header.count, 100_000):
+                at, n = header.offset + a * header.record, min(100_000, header.count - a)
+                got = parse_records(header, bytes(raw[at : at + n * header.record]))
+                yield pa.record_batch([pa.array([path] * n), *map(pa.array, got.values())], ["path", *got])
+
+
+def read_points(spark, path: str, records: int = 1_000_000, z_unit: str = "meters", max_points: int | None = None):
+    """Points of a file or of all ``.las`` files below a folder, heights in metres; ``max_points`` keeps so many of them."""
+    if z_unit not in Z_UNITS:
+        raise ValueError(f"unknown unit of height: {z_unit}")
+    if "://" in path and not path.startswith("file:"):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.las").load(path)
+        found = files.select("path", "content").mapInArrow(_through_spark, SCHEMA)
+    else:
+        spark.dataSource.register(LasSource)
+        found = spark.read.format("las").option("records", records).load(path)
+    found = found if z_unit == "meters" else found.withColumn("z", found["z"] * Z_UNITS[z_unit])
+    return found if max_points is None else found.limit(max_points)

@@ -446,3 +446,78 @@ def test_streamed_events_close_windows(spark, sf_dir, tmp_path):
 def test_entry_without_training_data_part():
     code = "import sys\nsys.modules['geostrata.llm'] = None\nimport __spark_entry__ as e\nassert 'cloud_features' in e.queries() and not any(n.startswith('op') and n[2].isdigit() for n in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True).returncode == 0
+
+
+def tiff(values, predictor=1, tile=None, apart=False):
+    """A deflate file of bands (bands, height, width), row 0 north, written block by block."""
+    import struct
+    import zlib
+
+    bands, height, width = values.shape
+    wide, tall = tile or (width, 3)
+    blocks = []
+    for group in ([values[b : b + 1] for b in range(bands)] if apart else [values]):
+        for top in range(0, height, tall):
+            for left in range(0, width, wide):
+                part = np.zeros((tall if tile else min(tall, height - top), wide, len(group)), values.dtype)
+                cut = group[:, top : top + tall, left : left + wide].transpose(1, 2, 0)
+                part[: cut.shape[0], : cut.shape[1]] = cut
+                if predictor == 2:
+                    part = np.diff(part, axis=1, prepend=part.dtype.type(0))
+                raw = part.tobytes()
+                if predictor == 3:
+                    rows = np.frombuffer(part.astype(part.dtype.newbyteorder(">")).tobytes(), np.uint8).reshape(len(part), -1, part.dtype.itemsize)
+                    planes = rows.transpose(0, 2, 1).reshape(len(part), -1, len(group))
+                    raw = np.diff(planes, axis=1, prepend=np.uint8(0)).tobytes()
+                blocks.append(zlib.compress(raw))
+    starts = np.cumsum([8] + [len(b) for b in blocks])
+    code = {"f": 3, "i": 2, "u": 1}[values.dtype.kind]
+    bits = values.dtype.itemsize * 8
+    place = [(322, 4, (wide,)), (323, 4, (tall,)), (324, 4, starts[:-1]), (325, 4, [len(b) for b in blocks])] if tile else [(273, 4, starts[:-1]), (278, 4, (tall,)), (279, 4, [len(b) for b in blocks])]
+    entries = [(256, 4, (width,)), (257, 4, (height,)), (258, 3, (bits,) * bands), (259, 3, (8,)), (277, 3, (bands,)), (284, 3, (2 if apart else 1,)), (317, 3, (predictor,)), (339, 3, (code,) * bands), (33550, 12, (2.0, 2.0, 0.0)), (33922, 12, (0.0, 0.0, 0.0, 10.0, 100.0, 0.0)), *place]
+    start, table, extra = int(starts[-1]), b"", b""
+    at = start + 2 + 12 * len(entries) + 4
+    for tag, kind, vals in sorted(entries, key=lambda e: e[0]):
+        data = struct.pack("<" + {3: "H", 4: "I", 12: "d"}[kind] * len(vals), *vals)
+        table += struct.pack("<HHI", tag, kind, len(vals)) + (data.ljust(4, b"\0") if len(data) <= 4 else struct.pack("<I", at + len(extra)))
+        extra += data if len(data) > 4 else b""
+    return b"II*\0" + struct.pack("<I", start) + b"".join(blocks) + struct.pack("<H", len(entries)) + table + b"\0\0\0\0" + extra
+
+
+@pytest.mark.parametrize("kind,predictor", [("u1", 1), ("i2", 2), ("f4", 3), ("f8", 3)])
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+@pytest.mark.parametrize("apart", [False, True])
+def test_bands_tiles_and_predictors(kind, predictor, tile, apart):
+    values = (np.random.default_rng(5).random((3, 20, 37)) * 200).astype(kind)
+    raw = tiff(values, predictor, tile, apart)
+    for band in (1, 2, 3):
+        got, meta = gtiff.decode(raw, band)
+        assert np.array_equal(got, values[band - 1][::-1]) and (meta["x_min"], meta["y_min"], meta["pixel_size"]) == (10.0, 60.0, 2.0)
+    with pytest.raises(ValueError):
+        gtiff.decode(raw, 4)
+
+
+def test_collections_merge_and_show_errors(spark, tmp_path):
+    preds = objects(spark, [(10, 5.0, 5.0, 2.0, 0, 0.6), (11, 5.1, 5.0, 2.0, 0, 0.9), (12, 50.0, 5.0, 2.0, 1, 0.3)])
+    gts = objects(spark, [(1, 5.0, 5.0, 2.0, 0), (2, 80.0, 5.0, 2.0, 0)], False)
+    rows = preds.select(F.col("id").alias("feat_id"), F.col("cls").cast("string").alias("cls"), "score", "geom_type", "rings")
+    geojson.write(rows, f"{tmp_path}/many", files=3)
+    docs = [json.loads("".join(r["value"] for r in spark.read.text(f, wholetext=True).collect())) for f in spark.read.text(f"{tmp_path}/many").inputFiles()]
+    assert len(docs) == 3 and sum(len(d["features"]) for d in docs) == 3
+    geojson.write(rows.limit(0), f"{tmp_path}/none")
+    geojson.merge(spark, [f"{tmp_path}/many", f"{tmp_path}/none", f"{tmp_path}/many"], f"{tmp_path}/all")
+    assert sorted(r["score"] for r in geojson.read(spark, f"{tmp_path}/all").collect()) == [0.3, 0.3, 0.6, 0.6, 0.9, 0.9]
+    geojson.write_errors(matching.errors(preds, gts, matching.match(preds, gts)), preds, gts, f"{tmp_path}/errors")
+    doc = json.loads("".join(r["value"] for r in spark.read.text(f"{tmp_path}/errors", wholetext=True).collect()))
+    assert {(f["properties"]["kind"], f["properties"]["error"]) for f in doc["features"]} == {("FP", "duplicate"), ("FP", "background"), ("FN", "missed")}
+
+
+def test_points_through_spark(spark, tmp_path):
+    x = np.arange(250) * 0.5
+    las.write(f"{tmp_path}/a.las", x, x + 1, x * 2, intensity=7, return_number=2, classification=2)
+    split = las.read_points(spark, str(tmp_path / "a.las"), records=100)
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/a.las").select("path", "content").mapInArrow(las._through_spark, las.SCHEMA)
+    assert split.drop("path").exceptAll(files.drop("path")).count() == 0 and files.count() == 250
+    assert las.read_points(spark, str(tmp_path / "a.las"), z_unit="feet", max_points=9).count() == 9
+    with pytest.raises(ValueError):
+        las.read_points(spark, str(tmp_path), z_unit="yards")
