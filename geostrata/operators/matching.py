@@ -17,7 +17,7 @@ from ..functions.projection import metres_tolerance
 from ..functions.shared import cut
 from ..model import GRID, Grid
 from ..views import OBJECTS, detections, truths
-from .geometry import bbox, centroid, polygon_iou, squares
+from .geometry import bbox, centroid, polygon_area, polygon_iou, squares
 
 IOU_THRESHOLD = 0.5
 RADIUS = 5.0
@@ -29,29 +29,33 @@ def _placed(objects: DataFrame, bucket: float, reach: Column | float) -> DataFra
     """Adds the centre, the box grown by reach, and one row for each grid bucket that the box touches."""
     ring = F.col("rings")[0]
     centre = F.when(F.col("geom_type") == "Point", F.struct(ring[0]["x"].alias("x"), ring[0]["y"].alias("y"))).otherwise(centroid(ring))
-    out = objects.withColumn("at", centre).withColumn("box", bbox(ring))
+    out = objects.withColumn("at", centre).withColumn("box", bbox(ring)).withColumn("area", polygon_area(F.col("rings")))
     out = out.withColumn("reach", reach(F.col("at")["y"]) if callable(reach) else F.lit(float(reach)))
     span = lambda a: F.explode(F.sequence(F.floor((F.col("box")[f"min_{a}"] - F.col("reach")) / bucket), F.floor((F.col("box")[f"max_{a}"] + F.col("reach")) / bucket)))
     return out.withColumn("bx", span("x")).withColumn("by", span("y"))
 
 
-def candidates(preds: DataFrame, gts: DataFrame, radius: float = RADIUS, metres: bool = False, bucket: float = 8.0, keys: tuple[str, ...] = ()) -> DataFrame:
+def candidates(preds: DataFrame, gts: DataFrame, radius: float = RADIUS, metres: bool = False, bucket: float = 8.0, keys: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:
     """Pairs of any class that overlap: ``*keys, id, cls, score, gt_id, gt_cls, gt_point, quality, overlap``.
 
     quality is the IoU of two polygons, or 1 - d / 2r for a point in the ground truth that lies within r of the
     detection's centre; overlap is the IoU, or 1 - d / r where either is a point. ``metres`` takes the radius on the
-    ground instead of in units of EPSG:3857.
+    ground instead of in units of EPSG:3857. Pairs of polygons whose boxes and areas already rule out an IoU of
+    ``least`` are left out.
     """
     given = [c for c in ("cls", "score", "geom_type", "rings") if c in preds.columns]
-    left = _placed(preds, bucket, 0.0).select(*keys, "id", *given, "at", "box", "bx", "by")
+    left = _placed(preds, bucket, 0.0).select(*keys, "id", *given, "at", "box", "area", "bx", "by")
     right = _placed(gts, bucket, (lambda y: metres_tolerance(F.lit(float(radius)), y)) if metres else float(radius))
-    right = right.select(*keys, F.col("id").alias("gt_id"), F.col("cls").alias("gt_cls"), (F.col("geom_type") == "Point").alias("gt_point"), F.col("rings").alias("gt_rings"), F.col("at").alias("gt_at"), F.col("box").alias("gt_box"), "reach", "bx", "by")
+    right = right.select(*keys, F.col("id").alias("gt_id"), F.col("cls").alias("gt_cls"), (F.col("geom_type") == "Point").alias("gt_point"), F.col("rings").alias("gt_rings"), F.col("at").alias("gt_at"), F.col("box").alias("gt_box"), F.col("area").alias("gt_area"), "reach", "bx", "by")
     low = {a: F.greatest(F.col("box")[f"min_{a}"], F.col("gt_box")[f"min_{a}"] - F.col("reach")) for a in "xy"}
     high = {a: F.least(F.col("box")[f"max_{a}"], F.col("gt_box")[f"max_{a}"] + F.col("reach")) for a in "xy"}
     # a pair meets in several buckets; the one of its boxes' common lower corner stands for it
     corner = (F.col("bx") == F.floor(low["x"] / bucket)) & (F.col("by") == F.floor(low["y"] / bucket))
     pairs = left.join(right, [*keys, "bx", "by"]).where((low["x"] <= high["x"]) & (low["y"] <= high["y"]) & corner)
     point = F.col("gt_point") | (F.col("geom_type") == "Point")
+    side = {a: F.greatest(F.lit(0.0), F.least(F.col("box")[f"max_{a}"], F.col("gt_box")[f"max_{a}"]) - F.greatest(F.col("box")[f"min_{a}"], F.col("gt_box")[f"min_{a}"])) for a in "xy"}
+    most, larger = F.least(side["x"] * side["y"], F.col("area"), F.col("gt_area")), F.greatest("area", "gt_area")
+    pairs = pairs.where(point | ((most > 0) & (most >= (least - 1e-9) * larger)))
     iou = F.round(polygon_iou(F.when(~point, F.col("rings")), F.when(~point, F.col("gt_rings"))), 9)
     d = F.hypot(F.col("at")["x"] - F.col("gt_at")["x"], F.col("at")["y"] - F.col("gt_at")["y"]) / F.col("reach")
     pairs = pairs.withColumns({"iou": iou, "d": d})
@@ -80,7 +84,7 @@ def settle(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def match(preds: DataFrame, gts: DataFrame, threshold: float = IOU_THRESHOLD, radius: float = RADIUS, metres: bool = False, class_agnostic: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """*keys, id, gt_id, cls (of the truth), quality of the one-to-one pairs."""
-    pairs = candidates(preds, gts, radius, metres, keys=keys).where((F.col("quality") > 0) & (F.col("gt_point") | (F.col("quality") >= threshold)))
+    pairs = candidates(preds, gts, radius, metres, keys=keys, least=threshold).where((F.col("quality") > 0) & (F.col("gt_point") | (F.col("quality") >= threshold)))
     if not class_agnostic:
         pairs = pairs.where("cls = gt_cls")
     return settle(pairs.select(*keys, "id", "score", "gt_id", "gt_cls", "quality"), keys).select(*keys, "id", "gt_id", F.col("gt_cls").alias("cls"), "quality")
@@ -114,7 +118,7 @@ def errors(preds: DataFrame, gts: DataFrame, pairs: DataFrame, threshold: float
     k = list(keys)
     lost = preds.join(pairs.select(*k, "id"), [*k, "id"], "left_anti")
     taken = preds.join(pairs.select(*k, "id"), [*k, "id"], "left_semi").where("geom_type = 'Polygon'")
-    again = candidates(lost.where("geom_type = 'Polygon'"), taken, 1e-9, keys=keys).where((F.col("cls") == F.col("gt_cls")) & (F.col("quality") >= threshold))
+    again = candidates(lost.where("geom_type = 'Polygon'"), taken, 1e-9, keys=keys, least=threshold).where((F.col("cls") == F.col("gt_cls")) & (F.col("quality") >= threshold))
     touching = cut(candidates(preds, gts, radius, metres, keys=keys).where("overlap > 0").select(*k, "id", "gt_id", F.when(F.col("cls") == F.col("gt_cls"), 1).otherwise(2).alias("rank")))
     worst = touching.select(*k, "id", "rank").unionByName(again.select(*k, "id", F.lit(0).alias("rank"))).groupBy(*k, "id").agg(F.min("rank").alias("rank"))
     fp = lost.select(*k, "id").join(worst, [*k, "id"], "left")
@@ -354,77 +358,6 @@ ORACLES = {
       ), f AS (
         SELECT s, t, h, r, tp, n - tp AS fp, g - tp AS fn, CASE WHEN n = 0 THEN 1 ELSE tp / n END AS precision, CASE WHEN g = 0 THEN 1 ELSE tp / g END AS recall, CASE WHEN n + g = 0 THEN 1 ELSE 2 * tp / (n + g) END AS f1 FROM n
       ) SELECT (row_number() OVER (ORDER BY f1 DESC, tp DESC, s, t, h, r))::INT AS place, s, t, h, r, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f""",
-    "nms_conflicts": q_conflicts,
-    "nms_centroids": q_nms,
-    "top_detections": q_top,
-    "sweep_postparams": q_sweep,
-    "rasterize_polygons": q_rasterize,
-    "heatmap_targets": q_heatmap,
-}
-
-def _shared(a: str, b: str) -> str:
-    """Area that two squares share, those of class 2 with a hole of a fifth of their side."""
-
-    def box(s: float, t: float) -> str:
-        side = "greatest(least({a}.{c} + {s} * {a}.half, {b}.{c} + {t} * {b}.half) - greatest({a}.{c} - {s} * {a}.half, {b}.{c} - {t} * {b}.half), 0)"
-        return "(" + " * ".join(side.format(a=a, b=b, c=c, s=f"{s}::DOUBLE", t=f"{t}::DOUBLE") for c in ("cx", "cy")) + ")"
-
-    hole = lambda x: f"({x}.cls = 2)::INT"
-    return f"({box(1, 1)} - {hole(a)} * {box(0.2, 1)} - {hole(b)} * {box(1, 0.2)} + {hole(a)} * {hole(b)} * {box(0.2, 0.2)})"
-
-
-def _iou(a: str, b: str) -> str:
-    area = lambda x: f"4 * {x}.half * {x}.half * (1 - 0.04::DOUBLE * ({x}.cls = 2)::INT)"
-    return f"round({_shared(a, b)} / ({area(a)} + {area(b)} - {_shared(a, b)}), 9)"
-
-
-_PAIRS = f"""{OBJECTS}, near AS (
-  SELECT det.id, gt.id AS gt_id, det.cls, gt.cls AS gt_cls, score, gt.id % 5 = 0 AS point, {_iou("det", "gt")} AS iou, sqrt((det.cx - gt.cx) ** 2 + (det.cy - gt.cy) ** 2) / 1.5 AS d
-  FROM det JOIN gt ON abs(det.cx - gt.cx) <= det.half + gt.half + 1.5 AND abs(det.cy - gt.cy) <= det.half + gt.half + 1.5
-), q AS (
-  SELECT *, CASE WHEN NOT point THEN iou WHEN d <= 1 THEN 1 - d / 2 ELSE 0 END AS quality, CASE WHEN point THEN greatest(0, 1 - d) ELSE iou END AS overlap FROM near
-)"""
-#: Greedy choice as a recursion over detections in order: the state is the list of taken truths.
-_GREEDY = f"""WITH RECURSIVE {_PAIRS}, ok AS (SELECT * FROM q WHERE cls = gt_cls AND quality > 0 AND (point OR quality >= 0.5)),
-cand AS (
-  SELECT cls, id, list(gt_id ORDER BY quality DESC, gt_id) AS gts, row_number() OVER (PARTITION BY cls ORDER BY any_value(score) DESC, id) AS k FROM ok GROUP BY cls, id
-), walk(cls, k, taken, id, gt_id) AS (
-  SELECT DISTINCT cls, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM cand
-  UNION ALL
-  SELECT c.cls, c.k, list_concat(w.taken, list_filter(c.gts, lambda g: NOT list_contains(w.taken, g))[:1]), c.id, list_filter(c.gts, lambda g: NOT list_contains(w.taken, g))[1]
-  FROM walk w JOIN cand c ON c.cls = w.cls AND c.k = w.k + 1
-), pairs AS (SELECT w.id, w.gt_id, w.cls, ok.quality FROM walk w JOIN ok ON ok.id = w.id AND ok.gt_id = w.gt_id)"""
-_ERRORS = f"""{_GREEDY}, w AS (SELECT id, min(CASE WHEN cls = gt_cls THEN 1 ELSE 2 END) AS k FROM q WHERE overlap > 0 GROUP BY id),
-twice AS (SELECT DISTINCT a.id FROM det a JOIN det b ON a.cls = b.cls AND a.id <> b.id AND abs(a.cx - b.cx) <= a.half + b.half AND abs(a.cy - b.cy) <= a.half + b.half
-          WHERE b.id IN (SELECT id FROM pairs) AND {_iou("a", "b")} >= 0.5),
-errors AS (
-  SELECT 'FP' AS kind, id, CASE WHEN id IN (SELECT id FROM twice) THEN 'duplicate' WHEN k = 1 THEN 'localization' WHEN k = 2 THEN 'class_confusion' ELSE 'background' END AS error
-  FROM det LEFT JOIN w USING (id) WHERE id NOT IN (SELECT id FROM pairs)
-  UNION ALL
-  SELECT 'FN', id, CASE WHEN id IN (SELECT gt_id FROM q WHERE overlap > 0) THEN 'covered' ELSE 'missed' END FROM gt WHERE id NOT IN (SELECT gt_id FROM pairs)
-)"""
-_CONFLICT = f"""{OBJECTS}, con AS (
-  SELECT a.cls, a.id, b.id AS other FROM det a JOIN det b ON a.cls = b.cls AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 9
-  AND (a.score > b.score OR (a.score = b.score AND a.id < b.id))
-)"""
-_SPAN = "greatest(ceil({0} - half - 0.5), 0)::INT, least(ceil({0} + half - 0.5) - 1, {1})::INT + 1"
-
-ORACLES = {
-    "match_candidates": f"WITH {_PAIRS} SELECT id, gt_id, cls, gt_cls, round(quality, 6) AS quality, round(overlap, 6) AS overlap FROM q WHERE quality > 0 OR overlap > 0",
-    "match_pairs": f"{_GREEDY} SELECT id, gt_id, cls, round(quality, 6) AS quality FROM pairs",
-    "evaluate": f"""{_GREEDY}, c AS (
-        SELECT cls, 1 AS tp, 0 AS fp, 0 AS fn FROM pairs UNION ALL SELECT cls, 0, 1, 0 FROM det WHERE id NOT IN (SELECT id FROM pairs)
-        UNION ALL SELECT cls, 0, 0, 1 FROM gt WHERE id NOT IN (SELECT gt_id FROM pairs)
-      ), s AS (SELECT coalesce(cls::VARCHAR, 'total') AS cls, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c GROUP BY ROLLUP (cls))
-      SELECT *, round(CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END, 6) AS recall,
-             round(CASE WHEN 2 * tp + fp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM s""",
-    "error_taxonomy": f"""{_GREEDY}, w AS (
-        SELECT id, min(CASE WHEN cls = gt_cls AND quality >= 0.5 AND gt_id IN (SELECT gt_id FROM pairs) THEN 0 WHEN cls = gt_cls THEN 1 ELSE 2 END) AS k FROM q WHERE quality > 0 GROUP BY id
-      )
-      SELECT 'FP' AS kind, id, CASE coalesce(k, 3) WHEN 0 THEN 'duplicate' WHEN 1 THEN 'localization' WHEN 2 THEN 'class_confusion' ELSE 'background' END AS error
-      FROM det LEFT JOIN w USING (id) WHERE id NOT IN (SELECT id FROM pairs)
-      UNION ALL
-      SELECT 'FN', id, CASE WHEN id IN (SELECT gt_id FROM q WHERE quality > 0) THEN 'covered' ELSE 'missed' END FROM gt WHERE id NOT IN (SELECT gt_id FROM pairs)""",
     "nms_conflicts": f"WITH {_CONFLICT} SELECT cls, id, other FROM con",
     "nms_centroids": f"""WITH RECURSIVE {_CONFLICT}, o AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY score DESC, id) AS k FROM det),
       ahead AS (SELECT other AS id, list(id) AS by FROM con GROUP BY other),
