@@ -69,6 +69,14 @@ def fill_idw(cells: DataFrame, value: str, max_dist: float, k: int = 8, power: f
     return joined.withColumn("observed", F.col(value).isNotNull()).withColumn(value, F.coalesce(value, "filled")).drop("filled")
 
 
+def fill_within(cells: DataFrame, value: str, max_dist: float = 7.0) -> DataFrame:
+    """Nulls from the nearest cell at most max_dist cells away; farther ones stay null. Ties by row, then column. Adds observed."""
+    known = cells.where(F.col(value).isNotNull()).select("row", "col", value)
+    near = _donors(cells.where(F.col(value).isNull()), known, max_dist).groupBy("hrow", "hcol").agg(F.min_by(value, F.struct("d2", "row", "col")).alias("filled"))
+    joined = cells.join(near.withColumnsRenamed({"hrow": "row", "hcol": "col"}), ["row", "col"], "left")
+    return joined.withColumn("observed", F.col(value).isNotNull()).withColumn(value, F.coalesce(value, "filled")).drop("filled")
+
+
 def elevation(pts: DataFrame, grid: Frame = GRID) -> DataFrame:
     """row, col, z (mean), low (minimum), observed for every cell of the grid, gaps filled from the nearest cell."""
     cells = with_cells(pts, grid).where("valid").groupBy(*grid.keys, "row", "col").agg(F.avg("z").alias("z"), F.min("z").alias("low"))
@@ -239,6 +247,11 @@ def q_idw(spark, sf_dir):
     return fill_idw(_gappy(spark, sf_dir), "z", 4.0).select("row", "col", *_r("z"), "observed")
 
 
+def q_within(spark, sf_dir):
+    sparse = bin_points(points(spark, sf_dir)).where("row % 9 = 0 and col % 9 = 0").select("row", "col", F.col("value").alias("z"))
+    return fill_within(full_grid(spark).join(sparse, ["row", "col"], "left"), "z", 5.0).select("row", "col", *_r("z"), "observed")
+
+
 def q_holes(spark, sf_dir):
     labels = hole_components(_gappy(spark, sf_dir).where("z is null").select("row", "col"))
     return labels.groupBy("label").agg(F.count("*").alias("size"), F.min("row").alias("row0"), F.max("col").alias("col1"))
@@ -255,6 +268,7 @@ QUERIES = {
     "progressive_opening": q_opening,
     "dtm_artifacts": q_artifacts,
     "fill_idw": q_idw,
+    "fill_within": q_within,
     "hole_components": q_holes,
 }
 
@@ -320,6 +334,9 @@ ORACLES = {
         FROM gappy h JOIN gappy d ON h.z IS NULL AND d.z IS NOT NULL AND abs(d.row - h.row) <= 4 AND abs(d.col - h.col) <= 4 AND (d.row - h.row) ** 2 + (d.col - h.col) ** 2 <= 16
       ), f AS (SELECT row, col, sum(z / sqrt(d2) ** 2) / sum(1 / sqrt(d2) ** 2) AS f FROM n WHERE k <= 8 GROUP BY ALL)
       SELECT gappy.row, gappy.col, round(coalesce(z, f), 6) AS z, z IS NOT NULL AS observed FROM gappy LEFT JOIN f ON f.row = gappy.row AND f.col = gappy.col""",
+    "fill_within": f"""WITH {DENSE}, s AS (SELECT row, col, CASE WHEN row % 9 = 0 AND col % 9 = 0 THEN v END AS z FROM raw),
+      n AS (SELECT h.row, h.col, min_by(d.z, ((d.row - h.row) ** 2 + (d.col - h.col) ** 2)::BIGINT * 1000000 + d.row * 1000 + d.col) AS f FROM s h JOIN s d ON h.z IS NULL AND d.z IS NOT NULL AND (d.row - h.row) ** 2 + (d.col - h.col) ** 2 <= 25 GROUP BY ALL)
+      SELECT s.row, s.col, round(coalesce(z, f), 6) AS z, z IS NOT NULL AS observed FROM s LEFT JOIN n USING (row, col)""",
     "hole_components": f"""WITH RECURSIVE {_GAPPY}, h AS (SELECT row, col, row::BIGINT * 4294967296 + col AS id FROM gappy WHERE z IS NULL),
       adj AS (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
       reach(id, seen) AS (SELECT id, id FROM h UNION SELECT adj.b, reach.seen FROM reach JOIN adj ON adj.a = reach.id AND reach.seen < adj.b),

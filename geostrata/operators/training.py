@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import projection
 from ..model import GRID, Grid
-from ..views import points, table
-from .rasters import apply_shift, estimate_shifts
+from ..views import DENSE, OBJECTS, points, table, truths
+from .matching import rasterize
+from .rasters import apply_shift, estimate_shifts, tile_cells, tile_index
 from .terrain import elevation
 
 
@@ -43,6 +44,54 @@ def losses(cells: DataFrame, smooth: float = 1.0, alpha: float = 0.25, gamma: fl
     return cells.where("valid").groupBy("cls").agg(dice.alias("dice"), F.avg(focal).alias("focal"))
 
 
+def masked_loss(cells: DataFrame, smooth: float = 1.0, alpha: float = 0.25, gamma: float = 2.0, beta: float = 2.0, least_mass: float = 50.0, weights: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0)) -> DataFrame:
+    """One row loss, dice, focal, heat of ``cells(cls, seg, hm, y_seg, y_hm, valid, observed)``, seg and hm being logits.
+
+    Each part is the mean over classes that have a counted cell; a cell counts as observed (0 to 1) where valid. The
+    bumps' loss is divided by their mass, at least ``least_mass``. weights: of the masks, of dice and focal in them, of the
+    bumps. Without any counted cell all are 0.
+    """
+    seg, hm, y, t = (F.col(c).cast("double") for c in ("seg", "hm", "y_seg", "y_hm"))
+    m = F.when(F.col("valid"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("observed").cast("double")))).otherwise(0.0)
+    squash = lambda x: 1 / (1 + F.exp(-x))
+    entropy = lambda x, want: F.greatest(x, F.lit(0.0)) - x * want + F.log1p(F.exp(-F.abs(x)))
+    p, q = squash(seg), squash(hm)
+    right, share = y * p + (1 - y) * (1 - p), y * alpha + (1 - y) * (1 - alpha)
+    sums = {"n": m, "both": p * y * m, "either": (p + y) * m, "hard": share * F.pow(1 - right, gamma) * entropy(seg, y) * m, "bumps": F.pow(F.abs(q - t), beta) * entropy(hm, t) * m, "mass": t * m}
+    by_class = cells.groupBy("cls").agg(*(F.sum(v).alias(k) for k, v in sums.items())).where("n > 0")
+    mean = lambda v: F.coalesce(F.avg(v), F.lit(0.0))
+    parts = by_class.agg(
+        mean(1 - (2 * F.col("both") + smooth) / (F.col("either") + smooth)).alias("dice"),
+        mean(F.col("hard") / F.greatest(F.col("n"), F.lit(1.0))).alias("focal"),
+        mean(F.col("bumps") / F.greatest(F.col("mass"), F.lit(least_mass))).alias("heat"),
+    )
+    a, b, c, d = weights
+    return parts.select((a * (b * F.col("dice") + c * F.col("focal")) + d * F.col("heat")).alias("loss"), "dice", "focal", "heat")
+
+
+def training_tiles(cells: DataFrame, tiles: DataFrame, size: int, values: list[str]) -> DataFrame:
+    """tile_id, i, j, *values, valid: the cells of each of ``tiles(tile_id, row0, col0, h, w)``, in a square of ``size``.
+
+    Nulls become 0; a cell counts as valid where ``cells(row, col, valid, *values)`` says so, the padding never. Only the
+    padding is generated, so nothing but the cells is joined.
+    """
+    inner = tile_cells(cells, tiles).select("tile_id", "i", "j", *(F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values), F.coalesce("valid", F.lit(False)).alias("valid"))
+    side = F.sequence(F.lit(0), F.lit(size - 1))
+    frame = tiles.where((F.col("h") < size) | (F.col("w") < size)).withColumn("i", F.explode(side)).withColumn("j", F.explode(side))
+    padding = frame.where((F.col("i") >= F.col("h")) | (F.col("j") >= F.col("w")))
+    return inner.unionByName(padding.select("tile_id", "i", "j", *(F.lit(0.0).alias(v) for v in values), F.lit(False).alias("valid")))
+
+
+def tile_flags(pixels: DataFrame, seg: list[str], hm: list[str]) -> DataFrame:
+    """tile_id, n, n_valid, positive: whether a mask is above 0 or a bump reaches 0.5 in the tile."""
+    hit = F.lit(False)
+    for c in seg:
+        hit = hit | (F.col(c) > 0)
+    for c in hm:
+        hit = hit | (F.col(c) >= 0.5)
+    return pixels.groupBy("tile_id").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.max(hit).alias("positive"))
+
+
 def split_by_peaks(cells: DataFrame, peaks: DataFrame) -> DataFrame:
     """cells(part, row, col) with the nearest of ``peaks(part, peak, prow, pcol)`` of their part; ties go to the lowest peak, a part with fewer than two peaks is one."""
     d2 = F.pow(F.col("row") - F.col("prow"), 2) + F.pow(F.col("col") - F.col("pcol"), 2)
@@ -93,6 +142,21 @@ def q_losses(spark, sf_dir):
     return losses(cells).select("cls", F.round("dice", 6).alias("dice"), F.round("focal", 6).alias("focal"))
 
 
+def q_masked(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("cls"), ((F.col("l_discount") - 0.05) * 40).alias("seg"), ((F.col("l_tax") - 0.04) * 50).alias("hm"), (F.col("l_quantity") > 30).cast("int").alias("y_seg"),
+        (F.col("l_partkey") % 100 / F.lit(100.0)).alias("y_hm"), (F.col("l_linenumber") < 6).alias("valid"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("observed"),
+    )
+    return masked_loss(cells).select(*(F.round(c, 7).alias(c) for c in ("loss", "dice", "focal", "heat")))
+
+
+def q_tiles(spark, sf_dir):
+    dem = elevation(points(spark, sf_dir)).select("row", "col", "z", F.col("observed").alias("valid"))
+    mask = rasterize(truths(spark, sf_dir)).where("cls = 1").select("row", "col", F.lit(1).alias("seg"))
+    pixels = training_tiles(dem.join(mask, ["row", "col"], "left"), tile_index(spark, 100, 105, 104, 8), 104, ["z", "seg"])
+    return tile_flags(pixels, ["seg"], []).join(pixels.groupBy("tile_id").agg(F.round(F.sum("z"), 4).alias("z"), F.sum("seg").alias("seg")), "tile_id")
+
+
 def q_split_peaks(spark, sf_dir):
     cust = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 30).alias("part"), (F.col("c_custkey") * 37 % 100).alias("row"), (F.col("c_custkey") * 91 % 105).alias("col")).distinct()
     sup = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 25).alias("part"), F.col("s_suppkey").alias("peak"), (F.col("s_suppkey") * 13 % 100).alias("prow"), (F.col("s_suppkey") * 29 % 105).alias("pcol"))
@@ -114,7 +178,7 @@ def q_candidates(spark, sf_dir):
     return crs_candidates(places, [3857, 4326, 32637]).select("id", "epsg")
 
 
-QUERIES = {"augment_places": q_augment, "cosine_rate": q_rate, "losses": q_losses, "split_by_peaks": q_split_peaks, "check_alignment": q_alignment, "crs_candidates": q_candidates}
+QUERIES = {"augment_places": q_augment, "cosine_rate": q_rate, "losses": q_losses, "masked_loss": q_masked, "training_tiles": q_tiles, "split_by_peaks": q_split_peaks, "check_alignment": q_alignment, "crs_candidates": q_candidates}
 ORACLES = {
     "augment_places": """WITH f AS (SELECT s_suppkey, s_suppkey % 4 AS t, CASE WHEN s_suppkey % 3 = 0 THEN 31 - s_suppkey % 32 ELSE s_suppkey % 32 END AS i, CASE WHEN s_suppkey % 2 = 0 THEN 31 - s_suppkey * 7 % 32 ELSE s_suppkey * 7 % 32 END AS j FROM supplier)
       SELECT s_suppkey, (CASE t WHEN 0 THEN i WHEN 1 THEN 31 - j WHEN 2 THEN 31 - i ELSE j END)::INT AS ni, (CASE t WHEN 0 THEN j WHEN 1 THEN i WHEN 2 THEN 31 - j ELSE 31 - i END)::INT AS nj FROM f""",
@@ -122,6 +186,13 @@ ORACLES = {
     "losses": """WITH c AS (SELECT l_returnflag AS cls, l_discount * 9 AS p, (l_quantity > 30)::INT AS y FROM lineitem WHERE l_linenumber < 6),
       f AS (SELECT *, greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-7) AS pt FROM c)
       SELECT cls, round(1 - (2 * sum(p * y) + 1) / (sum(p) + sum(y) + 1), 6) AS dice, round(avg(-CASE WHEN y = 1 THEN 0.25 ELSE 0.75 END * (1 - pt) ** 2 * ln(pt)), 6) AS focal FROM f GROUP BY cls""",
+    "masked_loss": """WITH c AS (SELECT l_returnflag AS cls, (l_discount - 0.05) * 40 AS s, (l_tax - 0.04) * 50 AS h, (l_quantity > 30)::INT AS y, (l_partkey % 100) / 100::DOUBLE AS t FROM lineitem WHERE l_linenumber < 6 AND l_returnflag <> 'R'),
+      e AS (SELECT *, 1 / (1 + exp(-s)) AS p, 1 / (1 + exp(-h)) AS q FROM c),
+      k AS (SELECT cls, 1 - (2 * sum(p * y) + 1) / (sum(p) + sum(y) + 1) AS d, avg(CASE y WHEN 1 THEN -0.25 * (1 - p) ** 2 * ln(p) ELSE -0.75 * p ** 2 * ln(1 - p) END) AS f, sum((q - t) ** 2 * -(t * ln(q) + (1 - t) * ln(1 - q))) / greatest(sum(t), 50) AS b FROM e GROUP BY cls)
+      SELECT round(avg(d) + avg(f) + avg(b), 7) AS loss, round(avg(d), 7) AS dice, round(avg(f), 7) AS focal, round(avg(b), 7) AS heat FROM k""",
+    "training_tiles": f"""WITH {DENSE}, {OBJECTS}, m AS (SELECT dense.row, col, z, observed, EXISTS (SELECT 1 FROM gt WHERE cls = 1 AND col + 0.5 >= cx - half AND col + 0.5 < cx + half AND row + 0.5 >= cy - half AND row + 0.5 < cy + half)::INT AS seg FROM dense),
+      t AS (SELECT * FROM (VALUES (0, 0), (1, 1)) t(tile_id, c0))
+      SELECT tile_id, 104 * 104::BIGINT AS n, count(*) FILTER (observed) AS n_valid, max(seg) > 0 AS positive, round(sum(z), 4) AS z, sum(seg)::DOUBLE AS seg FROM t JOIN m ON col >= c0 AND col < c0 + 104 GROUP BY tile_id""",
     "split_by_peaks": """WITH c AS (SELECT DISTINCT c_custkey % 30 AS part, c_custkey * 37 % 100 AS row, c_custkey * 91 % 105 AS col FROM customer),
       p AS (SELECT *, count(*) OVER (PARTITION BY part) AS n FROM (SELECT s_suppkey % 25 AS part, s_suppkey AS peak, s_suppkey * 13 % 100 AS prow, s_suppkey * 29 % 105 AS pcol FROM supplier)),
       r AS (SELECT c.part, row, col, peak, row_number() OVER (PARTITION BY c.part, row, col ORDER BY (row - prow) ** 2 + (col - pcol) ** 2, peak) AS k FROM c JOIN p ON c.part = p.part AND n > 1)

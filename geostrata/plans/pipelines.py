@@ -21,15 +21,42 @@ def layer_key(name: str, params: dict, grid: Grid, code: str = "1") -> str:
     return hashlib.sha256(json.dumps([code, name, params, grid.__dict__], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def _folder(spark, path: str):
+    """The path in Hadoop's terms, and its file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cached_layer(spark, root: str, name: str, params: dict, grid: Grid, make) -> DataFrame:
     """The layer below root, made and written first if it isn't there; Spark's committer makes the write whole or absent."""
-    path = f"{root}/{layer_key(name, params, grid)}"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+    path = f"{root}/{name}/{layer_key(name, params, grid)}"
+    done, fs = _folder(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def list_layers(spark, root: str) -> DataFrame:
+    """layer, key, bytes, files, modified of the whole layers below root, from the listing alone; none: no rows."""
+    pattern, fs = _folder(spark, f"{root}/*/*/_SUCCESS")
+    entries = []
+    for status in fs.globStatus(pattern) or []:
+        folder = status.getPath().getParent()
+        size = fs.getContentSummary(folder)
+        entries.append((folder.getParent().getName(), folder.getName(), size.getLength(), size.getFileCount(), status.getModificationTime()))
+    found = spark.createDataFrame(entries, "layer string, key string, bytes long, files long, at long")
+    return found.withColumn("modified", F.timestamp_millis("at")).drop("at")
+
+
+def invalidate(spark, root: str, name: str | None = None) -> int:
+    """Removes the layers of a name, or all, below root; how many there were."""
+    gone = [row.layer for row in list_layers(spark, root).collect() if name in (None, row.layer)]
+    for layer in set(gone):
+        path, fs = _folder(spark, f"{root}/{layer}")
+        fs.delete(path, True)
+    return len(gone)
+
+
 def build_site(pts: DataFrame, grid: Frame = GRID) -> DataFrame:
     """One row for each cell (of each site, with ``SiteGrids``), of all returns without a ground filter: elevation, slope, hillshade, tpi, tri and the cloud features."""
     sloped = grid.detach(slope_aspect(grid.attach(elevation(pts, grid)), grid.pixel_size, keys=grid.keys))

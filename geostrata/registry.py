@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import catalogue, cells, geometry, ground, labels, matching, rasters, terrain, training
+from .operators import catalogue, cells, geometry, ground, labels, matching, rasters, surveys, terrain, training
 from .plans import pipelines
 
-MODULES = (cells, terrain, matching, rasters, catalogue, labels, geometry, ground, training, pipelines)
+MODULES = (cells, terrain, matching, rasters, catalogue, labels, geometry, ground, training, surveys, pipelines)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
