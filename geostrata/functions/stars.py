@@ -34,7 +34,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (smallest node reachable) for every node of ``edges(u long, v long)`` that isn't itself the smallest."""
+    """``node, component`` (smallest node reachable) for every node of ``edges(u, v)`` (numbers, or structs of a site and a number) that isn't itself the smallest."""
     found = cut(edges.select("u", "v").where("u <> v"))
     while True:
         before, found = found, cut(_small_star(_large_star(found)))

@@ -36,31 +36,30 @@ def neighbours(value: str, axis: str, radius: int, size: int, edge: str = "neare
     return F.concat(before, held, after)
 
 
-def convolve(cells: DataFrame, value: str, out: str, weights: list[float], shape: tuple[int, int], edge: str = "nearest", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Separable convolution with the same weights along x and then y; shape is (height, width)."""
-    radius = len(weights) // 2
+def weighted(value: str, axis: str, weights: list[float], size: int | Column, edge: str = "nearest", keys: tuple[str, ...] = ()) -> Column:
+    """Sum of the values around a cell along one axis, by weights."""
     kernel = F.array(*(F.lit(float(w)) for w in weights))
+    return F.aggregate(F.zip_with(neighbours(value, axis, len(weights) // 2, size, edge, keys), kernel, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
 
-    def pass_(df: DataFrame, name: str, axis: str, size: int) -> DataFrame:
-        around = df.withColumn("__w", neighbours(name, axis, radius, size, edge, keys))
-        return around.withColumn(out, F.aggregate(F.zip_with("__w", kernel, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)).drop("__w")
 
-    return pass_(pass_(cells, value, "x", shape[1]), out, "y", shape[0])
+def convolve(cells: DataFrame, value: str, out: str, weights: list[float], shape: tuple, edge: str = "nearest", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Separable convolution with the same weights along x and then y; shape is (height, width)."""
+    across = cells.withColumn(out, weighted(value, "x", weights, shape[1], edge, keys))
+    return across.withColumn(out, weighted(out, "y", weights, shape[0], edge, keys))
 
 
-def box_means(cells: DataFrame, means: dict[str, str], radius: int, shape: tuple, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds, for each ``name: value``, the mean over the square around a cell, edge cells repeated: sums over frames, one window for each axis."""
-    out = cells
-    for axis, size in (("x", shape[1]), ("y", shape[0])):
-        frame = _line(axis, keys).rowsBetween(-radius, radius)
-        along = F.col("col" if axis == "x" else "row")
-        left, right = F.greatest(F.lit(radius) - along, F.lit(0)), F.greatest(along + radius - (size - 1), F.lit(0))
+def box_mean(value: str, axis: str, radius: int, size: int | Column, keys: tuple[str, ...] = ()) -> Column:
+    """Mean of the values around a cell along one axis, edge cells repeated, from sums over a frame."""
+    frame = _line(axis, keys).rowsBetween(-radius, radius)
+    along = F.col("col" if axis == "x" else "row")
+    left, right = F.greatest(F.lit(radius) - along, F.lit(0)), F.greatest(along + radius - (size - 1), F.lit(0))
+    return (F.sum(value).over(frame) + left * F.first(value).over(frame) + right * F.last(value).over(frame)) / (2 * radius + 1)
 
-        def mean(value: str) -> Column:
-            return (F.sum(value).over(frame) + left * F.first(value).over(frame) + right * F.last(value).over(frame)) / (2 * radius + 1)
 
-        out = out.withColumns({name: mean(value if axis == "x" else name) for name, value in means.items()})
-    return out
+def box_means(cells: DataFrame, means: dict[str, str], radius: int, shape: tuple, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, for each ``name: value``, the mean over the square around a cell: one window for each axis."""
+    across = cells.withColumns({name: box_mean(value, "x", radius, shape[1], keys) for name, value in means.items()})
+    return across.withColumns({name: box_mean(name, "y", radius, shape[0], keys) for name in means})
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -87,12 +86,12 @@ def gradient(value: str, axis: str, pixel_size: float, keys: tuple[str, ...] = (
     return F.when(before.isNull(), (after - here) / pixel_size).when(after.isNull(), (here - before) / pixel_size).otherwise((after - before) / (2 * pixel_size))
 
 
-def laplace(value: str, keys: tuple[str, ...] = ()) -> Column:
-    """Sum of second differences; beyond an edge stands the edge cell again."""
+def second(value: str, axis: str, keys: tuple[str, ...] = ()) -> Column:
+    """Second difference along one axis; beyond an edge stands the edge cell again."""
+    line, here = _line(axis, keys), F.col(value)
+    return F.coalesce(F.lag(value).over(line), here) - 2 * here + F.coalesce(F.lead(value).over(line), here)
 
-    def second(axis: str) -> Column:
-        line = _line(axis, keys)
-        here = F.col(value)
-        return F.coalesce(F.lag(value).over(line), here) - 2 * here + F.coalesce(F.lead(value).over(line), here)
 
-    return second("x") + second("y")
+def laplace(value: str, keys: tuple[str, ...] = ()) -> Column:
+    """Sum of second differences along both axes."""
+    return second(value, "x", keys) + second(value, "y", keys)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import cut
 from ..functions.window2d import gradient
 from ..model import SiteGrids
-from ..views import full_grid, points
+from ..views import POINTS, full_grid, points
 from .terrain import fill_nearest, progressive_opening
 
 
@@ -98,5 +98,37 @@ def q_ground(spark, sf_dir):
     return found.groupBy("site", "ground").agg(F.count("*").alias("n"), F.round(F.avg("z"), 6).alias("mean_z"))
 
 
+def _sql(p: Preset, cell: float) -> str:
+    """``marked``: the points of ``pts`` with ground, all rounds written out; the first round that ends the search counts."""
+    pick = lambda f, v, by, order, r: f"{f}({v}) OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
+    out = [POINTS, f"""b AS (SELECT min(x) AS x0, min(y) AS y0, ceil((max(x) - min(x)) / {cell})::INT + 1 AS w, ceil((max(y) - min(y)) / {cell})::INT + 1 AS h FROM pts)""",
+           f"""m0 AS MATERIALIZED (SELECT * EXCLUDE (x0, y0, w, h, fr, fc), greatest(0, least(h - 1, fr))::INT AS r, greatest(0, least(w - 1, fc))::INT AS c, fr BETWEEN 0 AND h - 1 AND fc BETWEEN 0 AND w - 1 AS g0
+             FROM (SELECT *, floor((x - x0) / {cell} - 0.5) AS fc, floor((y - y0) / {cell} - 0.5) AS fr FROM pts, b))""",
+           "fr AS (SELECT r, unnest(range(w))::INT AS c FROM (SELECT w, unnest(range(h))::INT AS r FROM b))"]
+    for i in range(1, p.rounds + 1):
+        out.append(f"l{i} AS MATERIALIZED (SELECT fr.r, fr.c, v FROM fr LEFT JOIN (SELECT r, c, min(z) AS v FROM m{i - 1} WHERE g{i - 1} GROUP BY ALL) q ON fr.r = q.r AND fr.c = q.c)")
+        out.append(f"""s{i}_0 AS (SELECT h.r, h.c, coalesce(h.v, f.v) AS v FROM l{i} h LEFT JOIN (SELECT a.r, a.c, min_by(d.v, ((d.r - a.r) * (d.r - a.r) + (d.c - a.c) * (d.c - a.c))::BIGINT * 10000000000 + d.r * 100000 + d.c) AS v
+             FROM (SELECT * FROM l{i} WHERE v IS NULL) a, (SELECT * FROM l{i} WHERE v IS NOT NULL) d GROUP BY a.r, a.c) f ON h.r = f.r AND h.c = f.c)""")
+        source = f"s{i}_0"
+        for window in p.windows:
+            for f in ("min", "max"):
+                for by, order in (("r", "c"), ("c", "r")):
+                    name = f"{source}{by}"
+                    out.append(f"{name} AS (SELECT r, c, {pick(f, 'v', by, order, window // 2)} AS v FROM {source})")
+                    source = name
+        grad = lambda a, z: f"CASE WHEN {a} IS NULL THEN ({z} - v) / {cell} WHEN {z} IS NULL THEN (v - {a}) / {cell} ELSE ({z} - {a}) / {2 * cell} END"
+        out.append(f"""u{i} AS (SELECT r, c, v, {grad('xl', 'xr')} AS gx, {grad('yl', 'yr')} AS gy FROM (SELECT *, lag(v) OVER x AS xl, lead(v) OVER x AS xr, lag(v) OVER y AS yl, lead(v) OVER y AS yr FROM {source}
+             WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r)))""")
+        out.append(f"m{i} AS MATERIALIZED (SELECT m.*, coalesce(m.z - u.v <= {p.height} AND sqrt(u.gx * u.gx + u.gy * u.gy) <= {p.slope}, false) AS g{i} FROM m{i - 1} m LEFT JOIN u{i} u ON m.r = u.r AND m.c = u.c)")
+    n = p.rounds
+    ends = "".join(f" WHEN n{i} = 0{f' OR abs(n{i} - n{i - 1}) / greatest(n{i - 1}, 1)::DOUBLE < 0.01' if i > 1 else ''} THEN {i}" for i in range(1, n))
+    out.append(f"ends AS (SELECT CASE{ends} ELSE {n} END AS k FROM (SELECT {', '.join(f'count_if(g{i}) AS n{i}' for i in range(1, n + 1))} FROM m{n}))")
+    out.append(f"marked AS MATERIALIZED (SELECT site, x, y, z, intensity, return_number, list_extract([{', '.join(f'g{i}' for i in range(1, n + 1))}], k) AS ground FROM m{n}, ends)")
+    return ", ".join(out)
+
+
+#: The query's ground filter as the start of a WITH clause.
+MARKED = _sql(PRESETS["soft"], 2.0)
+
 QUERIES = {"ground_filter": q_ground}
-ORACLES: dict[str, str] = {}
+ORACLES = {"ground_filter": f"WITH {MARKED} SELECT site, ground, count(*) AS n, round(avg(z), 6) AS mean_z FROM marked GROUP BY ALL"}

@@ -3,30 +3,28 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut
 from ..functions.stars import components
-from ..functions.window2d import box_means, convolve, extreme, gaussian_weights, gradient, laplace, neighbours
+from ..functions.window2d import box_mean, box_means, convolve, extreme, gaussian_weights, gradient, laplace, neighbours, second, weighted
 from ..model import GRID, Frame
 from ..views import DENSE, full_grid, points
 from .cells import bin_points, with_cells
 
 
-def _offsets(spark, radius: float) -> DataFrame:
-    """dr, dc, d2 of all cells within a radius."""
-    r = int(radius)
-    grid = spark.range(-r, r + 1).select(F.col("id").cast("int").alias("dr"), F.explode(F.sequence(F.lit(-r), F.lit(r))).alias("dc"))
-    return grid.withColumn("d2", F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).where(F.col("d2") <= radius * radius)
-
-
-def _donors(holes: DataFrame, known: DataFrame, radius: float) -> DataFrame:
-    """hrow, hcol, d2, row, col and the known values within radius of each hole."""
-    near = holes.select(F.col("row").alias("hrow"), F.col("col").alias("hcol")).join(F.broadcast(_offsets(holes.sparkSession, radius)))  # the offsets are fixed in number
-    moved = near.select("hrow", "hcol", "d2", (F.col("hrow") + F.col("dr")).alias("row"), (F.col("hcol") + F.col("dc")).alias("col"))
-    return moved.join(known, ["row", "col"])
+def _donors(holes: DataFrame, known: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """*keys, hrow, hcol, d2, row, col and the known values within radius of each hole."""
+    r, square = math.ceil(radius), float(radius) * radius
+    near = holes.select(*keys, F.col("row").alias("hrow"), F.col("col").alias("hcol"), F.explode(F.sequence(F.lit(-r), F.lit(r))).alias("dr"))
+    half = F.ceil(F.sqrt(F.greatest(F.lit(square) - F.col("dr") * F.col("dr"), F.lit(0.0)))).cast("int")
+    near = near.withColumn("dc", F.explode(F.sequence(-half, half)))
+    near = near.withColumn("d2", F.col("dr").cast("long") * F.col("dr") + F.col("dc").cast("long") * F.col("dc")).where(F.col("d2") <= square)
+    moved = near.select(*keys, "hrow", "hcol", "d2", (F.col("hrow") + F.col("dr")).alias("row"), (F.col("hcol") + F.col("dc")).alias("col"))
+    return moved.join(known, [*keys, "row", "col"])
 
 
 def fill_nearest(cells: DataFrame, values: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -58,25 +56,66 @@ def fill_nearest(cells: DataFrame, values: list[str], keys: tuple[str, ...] = ()
     return filled.select(*(F.when(own, F.col(c)).otherwise(F.col("donor")[c]).alias(c) if c in values else c for c in cells.columns), own.alias("observed"))
 
 
-def fill_idw(cells: DataFrame, value: str, max_dist: float, k: int = 8, power: float = 2.0) -> DataFrame:
-    """Inverse-distance mean of the k nearest cells within max_dist; holes without any stay null. Ties by row, then column."""
-    known = cells.where(F.col(value).isNotNull()).select("row", "col", value)
-    near = _donors(cells.where(F.col(value).isNull()), known, max_dist)
-    place = F.row_number().over(Window.partitionBy("hrow", "hcol").orderBy("d2", "row", "col"))
-    weight = 1 / F.pow(F.sqrt("d2"), power)
-    filled = near.withColumn("k", place).where(F.col("k") <= k).groupBy("hrow", "hcol").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("filled"))
-    joined = cells.join(filled.withColumnsRenamed({"hrow": "row", "hcol": "col"}), ["row", "col"], "left")
+def fill_idw(cells: DataFrame, value: str, max_dist: float | None, k: int = 8, power: float = 2.0, keys: tuple[str, ...] = (), only: str | None = None) -> DataFrame:
+    """Nulls (those that the boolean column ``only`` names, if given) become the inverse-distance mean of the k nearest cells with a value, of fewer if there are fewer; ties by row, then column. Adds observed.
+
+    A hole whose nearest cell lies beyond max_dist cells stays null (None: none does). Holes that find fewer than k cells
+    within a radius search again within twice that radius.
+    """
+    whole = [*keys, "row", "col"]
+    known = cells.where(F.col(value).isNotNull()).select(*whole, value)
+    holes = cells.where(F.col(value).isNull() & (F.col(only) if only else F.lit(True))).select(*whole)
+    span = lambda c: F.max(c) - F.min(c)
+    extent = cells.groupBy(*keys).agg(F.hypot(span("row"), span("col")).alias("d")).agg(F.max("d")).first()[0] or 0.0
+    radius, found = 4.0 if max_dist is None else float(max_dist), []
+    place = F.row_number().over(Window.partitionBy(*keys, "hrow", "hcol").orderBy("d2", "row", "col"))
+    weight = 1 / (F.col("d2") if power == 2 else F.pow("d2", F.lit(power / 2)))
+    while True:
+        ranked = _donors(holes, known, radius, keys).withColumn("k", place).where(F.col("k") <= k)
+        near = ranked.groupBy(*keys, "hrow", "hcol").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("filled"), F.count("*").alias("n"))
+        near = cut(near.withColumnsRenamed({"hrow": "row", "hcol": "col"}))
+        last = radius >= extent
+        found.append(near.where(F.lit(last) | (F.col("n") >= k)).drop("n"))
+        short = near.where(F.col("n") < k).select(*whole)
+        # beyond max_dist only holes that have a cell within it go on
+        holes = short if max_dist is not None else holes.join(near.where(F.col("n") >= k).select(*whole), whole, "left_anti")
+        if last or holes.isEmpty():
+            break
+        radius *= 2
+    filled = found[0]
+    for more in found[1:]:
+        filled = filled.unionByName(more)
+    joined = cells.join(filled, whole, "left")
     return joined.withColumn("observed", F.col(value).isNotNull()).withColumn(value, F.coalesce(value, "filled")).drop("filled")
 
 
-def fill_within(cells: DataFrame, value: str, max_dist: float = 7.0) -> DataFrame:
+def fill_within(cells: DataFrame, value: str, max_dist: float = 7.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Nulls from the nearest cell at most max_dist cells away; farther ones stay null. Ties by row, then column. Adds observed."""
-    known = cells.where(F.col(value).isNotNull()).select("row", "col", value)
-    near = _donors(cells.where(F.col(value).isNull()), known, max_dist).groupBy("hrow", "hcol").agg(F.min_by(value, F.struct("d2", "row", "col")).alias("filled"))
-    joined = cells.join(near.withColumnsRenamed({"hrow": "row", "hcol": "col"}), ["row", "col"], "left")
+    whole = [*keys, "row", "col"]
+    known = cells.where(F.col(value).isNotNull()).select(*whole, value)
+    near = _donors(cells.where(F.col(value).isNull()), known, max_dist, keys).groupBy(*keys, "hrow", "hcol").agg(F.min_by(value, F.struct("d2", "row", "col")).alias("filled"))
+    joined = cells.join(near.withColumnsRenamed({"hrow": "row", "hcol": "col"}), whole, "left")
     return joined.withColumn("observed", F.col(value).isNotNull()).withColumn(value, F.coalesce(value, "filled")).drop("filled")
 
 
+def build_dtm(pts: DataFrame, grid: Frame = GRID, statistic: str = "mean", max_hole: int = 1000, fill: str = "idw", k: int = 8, power: float = 2.0) -> DataFrame:
+    """*keys, row, col, z, n, hole for every cell of the grid, of ground points: holes of at most max_hole cells are filled (idw or nearest), larger ones stay null."""
+    if fill not in ("idw", "nearest"):
+        raise ValueError(f"unknown fill: {fill}")
+    whole = [*grid.keys, "row", "col"]
+    binned = bin_points(pts, grid, statistic).withColumnRenamed("value", "z")
+    cells = cut(full_grid(pts.sparkSession, grid).join(binned, whole, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("hole", F.col("z").isNull()))
+    parts = hole_components(cells.where("hole").select(*whole), grid.keys)
+    large = parts.groupBy(*grid.keys, "label").count().where(F.col("count") > max_hole).select(*grid.keys, "label")
+    large = parts.join(large, [*grid.keys, "label"], "left_semi").select(*whole, F.lit(True).alias("__large"))
+    cells = cut(cells.join(large, whole, "left").withColumn("__small", F.col("hole") & F.col("__large").isNull()).drop("__large"))
+    if fill == "idw":
+        filled = fill_idw(cells, "z", None, k, power, grid.keys, "__small")
+    else:
+        filled = fill_nearest(cells, ["z"], grid.keys).withColumn("z", F.when(F.col("hole") & ~F.col("__small"), F.lit(None)).otherwise(F.col("z")))
+    return filled.drop("__small", "observed")
+
+
 def elevation(pts: DataFrame, grid: Frame = GRID) -> DataFrame:
     """row, col, z (mean), low (minimum), observed for every cell of the grid, gaps filled from the nearest cell."""
     cells = with_cells(pts, grid).where("valid").groupBy(*grid.keys, "row", "col").agg(F.avg("z").alias("z"), F.min("z").alias("low"))
@@ -181,15 +220,71 @@ def artifacts(cells: DataFrame, window: int, threshold: float, grid: Frame = GRI
     return across.withColumn("median", median).withColumn("artifact", F.abs(F.col("z") - F.col("median")) > threshold).drop("__x")
 
 
-def hole_components(holes: DataFrame) -> DataFrame:
-    """holes(row, col) with label: smallest packed cell number of the 4-connected component. A cell links its run of holes in the row with its run in the column; components of these links are sought until nothing changes."""
+def hole_components(holes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """holes(*keys, row, col) with label: smallest packed cell number of the 4-connected component. A cell links its run of holes in the row with its run in the column; components of these links are sought until nothing changes."""
     runs = holes.withColumn("label", F.col("row").cast("long") * (1 << 32) + F.col("col"))
     for along, across, first in (("col", "row", "u"), ("row", "col", "v")):
-        run = F.col(along) - F.row_number().over(Window.partitionBy(across).orderBy(along))
-        runs = runs.withColumn("__run", run).withColumn(first, F.min("label").over(Window.partitionBy(across, "__run"))).drop("__run")
+        run = F.col(along) - F.row_number().over(Window.partitionBy(*keys, across).orderBy(along))
+        least = F.min("label").over(Window.partitionBy(*keys, across, "__run"))
+        runs = runs.withColumn("__run", run).withColumn(first, F.struct(*keys, least.alias("label"))).drop("__run")
     runs = cut(runs.drop("label"))
-    found = components(runs.select("u", "v").distinct()).select(F.col("node").alias("u"), F.col("component").alias("label"))
-    return runs.join(found, "u", "left").withColumn("label", F.coalesce("label", "u")).select(*holes.columns, "label")
+    found = components(runs.select("u", "v").distinct()).select(F.col("node").alias("u"), F.col("component.label").alias("label"))
+    return runs.join(found, "u", "left").withColumn("label", F.coalesce("label", "u.label")).select(*holes.columns, "label")
+
+
+@dataclass(frozen=True)
+class Relief:
+    """Which relief layers: their radii (cells), sigmas (cells) and azimuths (degrees)."""
+
+    azimuths: tuple[float, ...] = (45, 135, 225, 315)
+    altitude: float = 45.0
+    z_factor: float = 1.0
+    slrm: tuple[float, ...] = (2, 8, 32)
+    openness: tuple[int, int] = (10, 16)
+    curvature: tuple[float, ...] = (2, 8)
+    tpi: tuple[int, ...] = (5, 15)
+    tri: tuple[int, ...] = (3, 9)
+
+    def names(self) -> list[str]:
+        tag = lambda word, sizes: [f"{word}_{size:g}".replace(".", "_") for size in sizes]
+        return ["slope", "aspect_sin", "aspect_cos", *tag("hillshade_az", self.azimuths), *tag("slrm_sigma", self.slrm), "positive_openness", "negative_openness", "sky_view_factor",
+                *tag("curvature_sigma", self.curvature), *tag("tpi_radius", self.tpi), *tag("tri_radius", self.tri)]
+
+
+def relief_layers(cells: DataFrame, grid: Frame = GRID, relief: Relief = Relief()) -> DataFrame:
+    """*keys, row, col and the layers ``relief.names()`` of cells(*keys, row, col, z) that cover the grid. Null cells take the nearest height for their neighbours' sake and get null layers.
+
+    All windows along rows come first, then all along columns, then the rows' part of the curvature: three shuffles for any number of layers.
+    """
+    k = grid.keys
+    filled = cut(fill_nearest(cells.select(*k, "row", "col", "z"), ["z"], k))
+    here = grid.attach(filled).withColumn("__z2", F.col("z") * F.col("z"))
+    sigmas = sorted({*relief.slrm, *relief.curvature})
+    radii = sorted({*relief.tpi, *relief.tri})
+    for axis, size in (("x", grid.width), ("y", grid.height)):
+        first = axis == "x"
+        here = here.withColumns(
+            {f"g{axis}": gradient("z", axis, grid.pixel_size, k)}
+            | {f"__g{i}": weighted("z" if first else f"__g{i}", axis, gaussian_weights(s), size, keys=k) for i, s in enumerate(sigmas)}
+            | {f"__m{r}": box_mean("z" if first else f"__m{r}", axis, r, size, k) for r in radii}
+            | {f"__q{r}": box_mean("__z2" if first else f"__q{r}", axis, r, size, k) for r in radii if r in relief.tri}
+        )
+    curved = [i for i, s in enumerate(sigmas) if s in relief.curvature]
+    for axis in ("y", "x"):
+        here = here.withColumns({f"__{axis}{i}": second(f"__g{i}", axis, k) for i in curved})
+    gx, gy = F.col("gx"), F.col("gy")
+    flat = (gx == 0) & (gy == 0)
+    aspect = F.when(flat, F.lit(math.pi)).otherwise(F.atan2(-gx, -gy))
+    layers = [F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))), F.sin(aspect), F.cos(aspect)]
+    layers += [hillshade(a, relief.altitude, relief.z_factor) for a in relief.azimuths]
+    layers += [F.col("z") - F.col(f"__g{sigmas.index(s)}") for s in relief.slrm]
+    layers += [F.col("positive"), F.col("negative"), F.col("sky_view")]
+    layers += [(F.col(f"__x{i}") + F.col(f"__y{i}")) / (grid.pixel_size * grid.pixel_size) for i in (sigmas.index(s) for s in relief.curvature)]
+    layers += [F.col("z") - F.col(f"__m{r}") for r in relief.tpi]
+    layers += [F.sqrt(F.greatest(F.col(f"__q{r}") - F.col(f"__m{r}") * F.col(f"__m{r}"), F.lit(0.0))) for r in relief.tri]
+    open_ = openness(filled.select(*k, "row", "col", "z"), *relief.openness, grid)
+    joined = here.join(open_, [*k, "row", "col"])
+    return joined.select(*k, "row", "col", *(F.when(F.col("observed"), layer).alias(name) for name, layer in zip(relief.names(), layers, strict=True)))
 
 
 def _r(*names: str):
@@ -298,6 +393,14 @@ _SHADE = "round(greatest(0, least(1, cos(radians(45)) * cos(s) + sin(radians(45)
 _GAPPY = f"{DENSE}, gappy AS (SELECT row, col, CASE WHEN row % 7 = 0 AND col % 7 = 0 THEN NULL ELSE v END AS z FROM raw)"
 
 
+def _idw(name: str, source: str, hole: str, limit: float | None) -> str:
+    """row, col, f: the inverse-distance mean of the eight nearest cells of source that have z, for its cells that are holes."""
+    d2 = "((d.row - h.row) * (d.row - h.row) + (d.col - h.col) * (d.col - h.col))"
+    near = f"SELECT h.row, h.col, arg_min({{'z': d.z, 'd2': {d2}}}, {d2}::BIGINT * 1000000 + d.row * 1000 + d.col, 8) AS ds FROM (SELECT * FROM {source} WHERE {hole}) h, (SELECT * FROM {source} WHERE z IS NOT NULL) d GROUP BY ALL"
+    within = f"WHERE ds[1].d2 <= {limit * limit}" if limit else ""
+    return f"{name} AS (SELECT row, col, list_sum(list_transform(ds, lambda d: d.z / d.d2::DOUBLE)) / list_sum(list_transform(ds, lambda d: 1 / d.d2::DOUBLE)) AS f FROM ({near}) {within})"
+
+
 def _square(agg: str, source: str, r: int) -> str:
     return f"""SELECT a.row, a.col, {agg}(b.v) AS v FROM {source} a JOIN {source} b
   ON b.row BETWEEN a.row - {r} AND a.row + {r} AND b.col BETWEEN a.col - {r} AND a.col + {r} GROUP BY ALL"""
@@ -328,12 +431,8 @@ ORACLES = {
     "dtm_artifacts": f"""WITH {DENSE}, o AS (SELECT r.range::INT - 1 AS dr, c.range::INT - 1 AS dc FROM range(3) r, range(3) c), m AS (
         SELECT a.row, a.col, a.z, median(b.z) AS md FROM dense a, o JOIN dense b ON b.row = greatest(0, least(99, a.row + dr)) AND b.col = greatest(0, least(104, a.col + dc)) GROUP BY ALL)
       SELECT row, col, round(md, 6) AS median, abs(z - md) > 5 AS artifact FROM m""",
-    "fill_idw": f"""WITH {_GAPPY}, n AS (
-        SELECT h.row, h.col, d.z, (d.row - h.row) ** 2 + (d.col - h.col) ** 2 AS d2,
-               row_number() OVER (PARTITION BY h.row, h.col ORDER BY (d.row - h.row) ** 2 + (d.col - h.col) ** 2, d.row, d.col) AS k
-        FROM gappy h JOIN gappy d ON h.z IS NULL AND d.z IS NOT NULL AND abs(d.row - h.row) <= 4 AND abs(d.col - h.col) <= 4 AND (d.row - h.row) ** 2 + (d.col - h.col) ** 2 <= 16
-      ), f AS (SELECT row, col, sum(z / sqrt(d2) ** 2) / sum(1 / sqrt(d2) ** 2) AS f FROM n WHERE k <= 8 GROUP BY ALL)
-      SELECT gappy.row, gappy.col, round(coalesce(z, f), 6) AS z, z IS NOT NULL AS observed FROM gappy LEFT JOIN f ON f.row = gappy.row AND f.col = gappy.col""",
+    "fill_idw": f"""WITH {_GAPPY}, {_idw("i", "gappy", "z IS NULL", 4)}
+      SELECT gappy.row, gappy.col, round(coalesce(z, f), 6) AS z, z IS NOT NULL AS observed FROM gappy LEFT JOIN i ON i.row = gappy.row AND i.col = gappy.col""",
     "fill_within": f"""WITH {DENSE}, s AS (SELECT row, col, CASE WHEN row % 9 = 0 AND col % 9 = 0 THEN v END AS z FROM raw),
       n AS (SELECT h.row, h.col, min_by(d.z, ((d.row - h.row) ** 2 + (d.col - h.col) ** 2)::BIGINT * 1000000 + d.row * 1000 + d.col) AS f FROM s h JOIN s d ON h.z IS NULL AND d.z IS NOT NULL AND (d.row - h.row) ** 2 + (d.col - h.col) ** 2 <= 25 GROUP BY ALL)
       SELECT s.row, s.col, round(coalesce(z, f), 6) AS z, z IS NOT NULL AS observed FROM s LEFT JOIN n USING (row, col)""",
