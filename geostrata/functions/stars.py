@@ -16,7 +16,7 @@ from .shared import cut
 def _with_least(edges: DataFrame) -> DataFrame:
     """edges with m; the minima of nodes with more than a thousandth of the edges, fewer than a thousand, are broadcast, so a star's centre doesn't gather in a task."""
     least = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
-    large = F.col("n") * 1000 > edges.count()
+    large = F.col("n") * 1000 > (least.agg(F.sum("n")).first()[0] or 0)
     heavy, light = least.where(large).drop("n"), least.where(~large).drop("n")
     return edges.join(F.broadcast(heavy), "u").unionByName(edges.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(light, "u"))
 
@@ -33,10 +33,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(found.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one centre that points nowhere: nothing would change any more."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where(F.col("out") + F.col("in") > F.greatest(F.lit(1), F.col("in"))).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of ``edges(u, v)`` (numbers, or structs of a site and a number) that isn't itself the smallest."""
     found = cut(edges.select("u", "v").where("u <> v"))
     while True:
-        before, found = found, cut(_small_star(_large_star(found)))
-        if not found.exceptAll(before).limit(1).count() and not before.exceptAll(found).limit(1).count():
+        found = cut(_small_star(cut(_large_star(found))))
+        if _stars(found):
             return found.select(F.col("u").alias("node"), F.col("v").alias("component"))
