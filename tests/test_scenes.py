@@ -7,6 +7,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,33 @@ def test_fill_reaches_any_distance_and_keeps_rows(spark):
     assert none.where("z is null and not observed").count() == z.size
 
 
+@pytest.mark.parametrize("limit", [None, 3.0])
+def test_inverse_distance_equals_a_loop(spark, limit):
+    r = np.random.default_rng(3)
+    z = np.where(r.random((40, 13)) < 0.04, r.normal(0, 5, (40, 13)), np.nan)
+    found = matrix(terrain.fill_idw(surface(spark, z).withColumn("z", F.when(~F.isnan("z"), F.col("z"))), "z", limit, 5, 1.5), "z", z.shape).astype(float)
+    known = np.argwhere(~np.isnan(z))
+    for i, j in np.argwhere(np.isnan(z)):
+        d2 = ((known - (i, j)) ** 2).sum(1)
+        near = np.lexsort((known[:, 1], known[:, 0], d2))[:5]
+        w = d2[near] ** -0.75
+        want = (w * z[tuple(known[near].T)]).sum() / w.sum() if limit is None or d2.min() <= limit**2 else np.nan
+        assert np.isclose(found[i, j], want, equal_nan=True)
+
+
+@pytest.mark.parametrize("fill", ["idw", "nearest"])
+def test_large_holes_stay(spark, fill):
+    r, c = (a.ravel() for a in np.indices((8, 12)))
+    gone = ((r < 3) & (c < 4)) | ((r == 5) & (c > 6) & (c < 9))  # a hole of 12 cells and one of 2
+    pts = cloud(spark, c[~gone] + 0.5, r[~gone] + 0.5, np.full((~gone).sum(), 7.0))
+    found = terrain.build_dtm(pts, Grid(0, 0, 1, 12, 8), max_hole=11, fill=fill)
+    assert found.count() == 96 and found.where("z is null").count() == 12 == found.where("row < 3 and col < 4 and hole").count()
+    assert found.where("hole and z = 7 and n = 0").count() == 2
+    layers = terrain.relief_layers(found, Grid(0, 0, 1, 12, 8), terrain.Relief(slrm=(1,), openness=(2, 4), curvature=(1,), tpi=(1,), tri=(1,)))
+    assert layers.where("slope = 0 and abs(slrm_sigma_1) < 1e-9 and abs(tpi_radius_1) < 1e-9 and positive_openness = 90").count() == 84
+    assert layers.where("slope is null and sky_view_factor is null and aspect_sin is null").count() == 12
+
+
 def test_ground_keeps_points_far_from_any_surface(spark):
     r = np.random.default_rng(7)
     x, y = r.uniform(0, 6, (2, 200))
@@ -312,6 +340,24 @@ def test_two_sites_in_one_call_equal_two_calls(spark):
             assert flat(joint.where(F.col("site") == n)) == flat(one), name
 
 
+def test_models_of_two_sites_equal_two_models(spark):
+    r = np.random.default_rng(5)
+    grids = {"a": Grid(0, 0, 1, 7, 6), "b": Grid(100, 50, 2, 5, 8)}
+    clouds = {n: cloud(spark, r.uniform(g.x_min, g.x_min + g.width * g.pixel_size, 20), r.uniform(g.y_min, g.y_min + g.height * g.pixel_size, 20), r.normal(0, 1, 20)).withColumn("site", F.lit(n)) for n, g in grids.items()}
+    frames = SiteGrids(spark.createDataFrame([(n, float(g.x_min), float(g.y_min), float(g.pixel_size), g.width, g.height) for n, g in grids.items()], "site string, x_min double, y_min double, pixel_size double, width int, height int"))
+    few = terrain.Relief((315,), slrm=(1,), openness=(2, 4), curvature=(0.5,), tpi=(1,), tri=(2,))
+
+    def layers(pts, grid):
+        dtm = terrain.build_dtm(pts, grid, max_hole=3)
+        return dtm.join(terrain.relief_layers(dtm, grid, few), [*grid.keys, "row", "col"])
+
+    joint = layers(clouds["a"].unionByName(clouds["b"]), frames).toPandas()
+    for n, grid in grids.items():
+        alone = layers(clouds[n], grid).toPandas().sort_values(["row", "col"]).reset_index(drop=True)
+        part = joint[joint["site"] == n].sort_values(["row", "col"]).reset_index(drop=True)[alone.columns]
+        pd.testing.assert_frame_equal(part, alone, check_dtype=False)
+
+
 def test_classes_are_detected_apart(spark):
     r, c = np.indices((40, 40))
     bump = lambda i, j: np.exp(-((r - i) ** 2 + (c - j) ** 2) / 8)
