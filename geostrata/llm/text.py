@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -116,3 +118,40 @@ def small_batches(df: DataFrame) -> DataFrame:
     if not held.isdigit() or int(held) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df
+
+
+def joined_sha256(parts: DataFrame, key: str, order: str, piece: str, n: str) -> DataFrame:
+    """``key, sha256``: lowercase hex of SHA-256 over the pieces of a key in order, joined, without their first character.
+
+    ``parts`` has one row for each piece and in ``n`` how many its key has. A key with one piece is hashed in the JVM;
+    of others a task hashes one piece after the other and holds no more than one, as SHA-256 can't be split.
+    """
+    one = parts.where(F.col(n) == 1).select(key, F.sha2(F.substring(piece, 2, (1 << 31) - 1).cast("binary"), 256).alias("sha256"))
+
+    def run(batches):
+        held = digest = None
+        begun = False
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or k != held:
+                    if digest is not None:
+                        yield pa.record_batch([pa.array([held], pa.string()), pa.array([digest.hexdigest()])], [key, "sha256"])
+                    held, digest, begun = k, hashlib.sha256(), False
+                digest.update((value if begun else value[1:]).encode("utf-8", "surrogatepass"))
+                begun = begun or bool(value)
+        if digest is not None:
+            yield pa.record_batch([pa.array([held], pa.string()), pa.array([digest.hexdigest()])], [key, "sha256"])
+
+    many = parts.where(F.col(n) > 1).select(key, piece, order).repartition(F.col(key)).sortWithinPartitions(key, order).select(key, piece)
+    return one.unionByName(small_batches(many).mapInArrow(run, f"{key} string, sha256 string"))
+
+
+def crc32_of(text: Column) -> Column:
+    """Unsigned CRC-32 of a string column's UTF-8 bytes."""
+    return F.crc32(text.cast("binary"))
+
+
+def crc32_sql(text: str) -> str:
+    """The same in DuckDB's SQL, for strings of ASCII."""
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda q: ascii(q)::BIGINT)), lambda c, b: {step}), 4294967295)"
