@@ -72,8 +72,8 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 
 def roll_up(nodes: DataFrame, deepest: int, values: tuple[str, ...]) -> DataFrame:
-    """``node`` and, for each value, its sum over the node's subtree, from ``nodes(node, parent, *values)`` of trees up to ``deepest`` edges deep."""
-    live = nodes.where("parent is not null").select("node", F.col("parent").alias("ptr"), *values)
+    """``node`` and, for each value, its sum over the node's subtree, from ``nodes(node, parent, depth, *values)`` of trees up to ``deepest`` edges deep."""
+    live = nodes.where("parent is not null").select("node", F.col("parent").alias("ptr"), "depth", *values)
     found, reach = nodes.select("node", *values), 1
     while reach <= deepest:
         up = through_files(live.groupBy("ptr").agg(*(F.sum(v).alias(v) for v in values), F.count("*").alias("n")), "trie-up")
@@ -81,9 +81,10 @@ def roll_up(nodes: DataFrame, deepest: int, values: tuple[str, ...]) -> DataFram
         if reach <= deepest:
             further = up.select("ptr", "n").join(live.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr")
             got = up.select(F.col("ptr").alias("node"), *(F.col(v).alias(f"__{v}") for v in values))
-            grown = live.join(got, "node", "left").select("node", "ptr", *((F.col(v) + F.coalesce(f"__{v}", F.lit(0))).alias(v) for v in values))
+            deep = live.where(F.col("depth") >= reach)  # a pointer of the others names a root or less
+            grown = deep.join(got, "node", "left").select("node", "ptr", "depth", *((F.col(v) + F.coalesce(f"__{v}", F.lit(0))).alias(v) for v in values))
             moved = spread_join(grown, further, ["ptr"], "n", up.agg(F.sum("n")).first()[0] or 0)
-            live = through_files(moved.select("node", F.col("next").alias("ptr"), *values), "trie-live")
+            live = through_files(moved.select("node", F.col("next").alias("ptr"), "depth", *values), "trie-live")
     return found.groupBy("node").agg(*(F.sum(v).alias(v) for v in values))
 
 

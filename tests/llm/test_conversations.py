@@ -68,8 +68,8 @@ def test_trie_equals_brute_force(spark, talks, monkeypatch):
 
 
 def test_roll_up_takes_logarithmic_rounds(spark):
-    nodes = [(f"n{k}", f"n{k - 1}" if k else None, 1) for k in range(70)] + [(f"m{k}", "n3", 5) for k in range(40)]
-    sums = {r["node"]: r["v"] for r in op12_prefix_trie.roll_up(spark.createDataFrame(nodes, "node string, parent string, v long"), 69, ("v",)).collect()}
+    nodes = [(f"n{k}", f"n{k - 1}" if k else None, k, 1) for k in range(70)] + [(f"m{k}", "n3", 4, 5) for k in range(40)]
+    sums = {r["node"]: r["v"] for r in op12_prefix_trie.roll_up(spark.createDataFrame(nodes, "node string, parent string, depth long, v long"), 69, ("v",)).collect()}
     assert all(sums[f"n{k}"] == 70 - k + (200 if k < 4 else 0) for k in range(70)) and sums["m7"] == 5
 
 
