@@ -10,11 +10,12 @@ probability 2 * (1 - 0.8 ** WIDTH) ** ENTRIES: 2e-5 with the numbers below.
    set. Equal sets form a class of which the smallest doc_id goes on.
 2. Entries that no other document has can't combine, so they are left out before tables
    are formed. Tables and their leaders are found by partial aggregates.
-3. Every document is compared with leaders of its tables, on full sets: with all those of
+3. (Steps 3 and 4 serve operator 11 too.) Every document is compared with leaders of its tables, on full sets: with all those of
    tables of two, and with ``LEADERS`` others. Links join documents to components.
 4. Tables of three or more that still hold several components are compared exactly:
    their documents form groups, groups are cut into blocks of bounded size, and each pair
-   of blocks that isn't inside one component is one task over packed sets. It returns
+   of blocks with a table in common that can link and isn't inside one component is one task
+   over packed sets. It returns
    links that span what it connects, never pairs. Hence no link between candidates is
    lost, and a large group is neither gathered in one task nor expanded into its pairs.
 
@@ -48,6 +49,8 @@ SEED = 5
 BLOCK_SHINGLES = 120_000
 #: Documents of a range in which step 4 adds up sizes, about.
 RANGE_DOCS = 50_000
+#: Pairs that meet one copy of a leader's set, about.
+PAIRS_OF_COPY = 2_000
 #: Candidate ids are broadcast up to this many (8 MB of numbers); beyond it the join shuffles the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -117,12 +120,17 @@ def sketches(docs: DataFrame, words: int, entries: int, width: int, seed: int) -
     return small_batches(_docs(docs)).mapInArrow(run, "doc_id long, n_shingles long, print1 long, print2 long, entries array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``doc, shingles array<long>`` of the documents in ``wanted(doc)``, one row for each id."""
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the documents in ``wanted(doc)``."""
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = _docs(docs)
-    texts = texts.join(wanted, texts["doc_id"] == wanted["doc"], "left_semi")
+    return texts.join(wanted, texts["doc_id"] == wanted["doc"], "left_semi")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``doc, shingles array<long>`` of the documents in ``wanted(doc)``, one row for each id."""
+    texts = texts_of(docs, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,10 +148,12 @@ def _linked(similarity: int):
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The ``pairs(u, v)`` that are linked on full sets."""
+    """The ``pairs(u, v)`` that are linked on full sets. The set of a v with many pairs is copied, so they meet it in several tasks."""
+    counts = through_files(pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / PAIRS_OF_COPY)), "near-counts")
+    dealt = spread_join(pairs, counts, ["v"], "n", pairs.count()).select("u", "v", F.pmod(F.xxhash64("u"), "copies").alias("copy"))
     left = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("su"))
-    right = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("sv"))
-    joined = pairs.join(left, "u").join(right, "v")
+    right = sets.join(counts, sets["doc"] == counts["v"]).select("v", F.col("shingles").alias("sv"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    joined = dealt.join(left, "u").join(right, ["v", "copy"])
     sized = joined.select("u", "v", F.size("su").alias("n_u"), F.size("sv").alias("n_v"), F.size(F.array_intersect("su", "sv")).alias("shared"))
     return sized.where(_linked(similarity)).select("u", "v")
 
@@ -186,11 +196,11 @@ def block_links(docs: np.ndarray, blocks: np.ndarray, comps: np.ndarray, sets: l
 def _blocked(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
     """``docs(doc, comp, grp, weight)`` with ``block``: runs of about ``BLOCK_SHINGLES`` of a group's weights in the order of comp and doc."""
     placed = running_sums(docs, ["grp"], ["comp", "doc"], {"before": "weight"}, "near-ranges", range_docs)
-    return placed.select("doc", "comp", "grp", F.floor((F.col("before") + F.col("weight")) / BLOCK_SHINGLES).cast("int").alias("block"))
+    return placed.select(*(c for c in docs.columns if c != "weight"), F.floor((F.col("before") + F.col("weight")) / BLOCK_SHINGLES).cast("int").alias("block"))
 
 
 def _exact_rest(members: DataFrame, comps: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: int) -> DataFrame | None:
-    """Step 4: links between components that share a table of three or more."""
+    """Step 4: links between components that share a table of three or more; tables are given by their first document."""
     own = members.where("n > 2").join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     own = through_files(own, "near-members")
     mixed = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("doc").alias("first"), F.count("*").alias("n")).where("a <> b")
@@ -202,11 +212,15 @@ def _exact_rest(members: DataFrame, comps: DataFrame, sets: DataFrame, sizes: Da
     docs = open_.select("doc", "comp").distinct().join(groups, F.col("doc") == F.col("node"), "left").select("doc", "comp", F.coalesce("component", "doc").alias("grp"))
     docs = through_files(docs.join(sizes, "doc").withColumn("weight", F.col("n_shingles") + 400), "near-rest")
     docs = through_files(_blocked(docs), "near-blocks")
-    spans = docs.groupBy("grp", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    other = spans.select(F.col("grp").alias("g2"), F.col("block").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    tasks = spans.join(other, (F.col("grp") == F.col("g2")) & (F.col("block") <= F.col("b2"))).where("least(lo, lo2) <> greatest(hi, hi2)")
-    ends = F.explode(F.array_distinct(F.array("block", "b2"))).alias("end")
-    tasks = tasks.select("grp", F.col("block").alias("b1"), "b2", ends).withColumnRenamed("end", "block")
+    # two blocks are compared where a table's documents in them can link and aren't one component
+    ends = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")]
+    spans = through_files(open_.select("doc", "first").join(docs, "doc").groupBy("first", "grp", "block").agg(*ends), "near-spans")
+    other = spans.select("first", F.col("block").alias("b2"), *(F.col(c).alias(f"{c}2") for c in ("lo", "hi", "least", "most")))
+    close = 100 * F.least("most", "most2") >= similarity * F.greatest("least", "least2")
+    tasks = spans.join(other, "first").where((F.col("block") <= F.col("b2")) & close).where("least(lo, lo2) <> greatest(hi, hi2)")
+    tasks = through_files(tasks.select("grp", F.col("block").alias("b1"), "b2").distinct(), "near-tasks")
+    ends = F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block")
+    tasks = tasks.select("grp", "b1", "b2", ends)
     rows = docs.join(tasks, ["grp", "block"]).join(sets, "doc")
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
@@ -216,6 +230,31 @@ def _exact_rest(members: DataFrame, comps: DataFrame, sets: DataFrame, sizes: Da
     return rows.groupBy("grp", "b1", "b2").applyInPandas(kernel, "u long, v long")
 
 
+def linked_components(docs: DataFrame, keys: DataFrame, sizes: DataFrame, words: int, similarity: int, known: DataFrame | None = None) -> DataFrame:
+    """Steps 3 and 4: ``node, component`` of the documents of ``sizes(doc, n_shingles)`` from tables ``keys(key, doc)`` that hold all pairs which may link, and ``known(u, v)`` links."""
+    leaders = keys.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    leaders = through_files(leaders.join(sizes.select(F.col("doc").alias("leader"), F.col("n_shingles").alias("n_v")), "leader"), "near-leaders")
+    members = through_files(spread_join(keys, leaders, ["key"], "n", keys.count()), "near-tables")
+
+    stars = members.where("doc <> leader").groupBy("doc", "leader").agg(F.min("n").alias("n"), F.min("n_v").alias("n_v"))
+    turn = F.row_number().over(Window.partitionBy("doc").orderBy("leader"))
+    stars = stars.withColumn("turn", turn).where((F.col("n") == 2) | (F.col("turn") <= LEADERS)).select(F.col("doc").alias("u"), F.col("leader").alias("v"), "n_v")
+    near_size = 100 * F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")
+    stars = stars.join(sizes.select(F.col("doc").alias("u"), F.col("n_shingles").alias("n_u")), "u")
+    stars = through_files(stars.where(near_size).select("u", "v"), "near-stars")
+    wanted = through_files(stars.select(F.col("u").alias("doc")).union(stars.select("v")).union(members.where("n > 2").select("doc")).distinct(), "near-wanted")
+    sets = through_files(full_sets(docs, wanted, words).dropDuplicates(["doc"]), "near-sets")
+    links = through_files(verify(stars, sets, similarity), "near-links")
+    if known is not None:
+        links = links.unionByName(known)
+    comps = connected_components(links)
+    more = _exact_rest(members, comps, sets, sizes, similarity)
+    if more is not None:
+        joined = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
+        comps = connected_components(joined)
+    return comps
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, entries: int = ENTRIES, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
     rows = through_files(sketches(docs, words, entries, width, seed), "near-sketch")
@@ -231,25 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     sides = live.groupBy("doc").agg(F.collect_set(F.when(~F.col("second"), F.col("entry"))).alias("one"), F.collect_set(F.when(F.col("second"), F.col("entry"))).alias("two"))
     keys = sides.select("doc", F.explode("one").alias("one"), "two").select("doc", "one", F.explode("two").alias("two")).select("doc", F.xxhash64("one", "two").alias("key"))
     keys = through_files(keys, "near-keys")
-    leaders = through_files(keys.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1"), "near-leaders")
-    members = through_files(spread_join(keys, leaders, ["key"], "n", keys.count()), "near-tables")
-
-    stars = members.where("doc <> leader").groupBy("doc", "leader").agg(F.min("n").alias("n"))
-    turn = F.row_number().over(Window.partitionBy("doc").orderBy("leader"))
-    stars = stars.withColumn("turn", turn).where((F.col("n") == 2) | (F.col("turn") <= LEADERS)).select(F.col("doc").alias("u"), F.col("leader").alias("v"))
-    sizes = reps.select("doc", "n_shingles")
-    near_size = 100 * F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")
-    stars = stars.join(sizes.select(F.col("doc").alias("u"), F.col("n_shingles").alias("n_u")), "u").join(sizes.select(F.col("doc").alias("v"), F.col("n_shingles").alias("n_v")), "v")
-    stars = through_files(stars.where(near_size).select("u", "v"), "near-stars")
-    wanted = through_files(stars.select(F.col("u").alias("doc")).union(stars.select("v")).union(members.where("n > 2").select("doc")).distinct(), "near-wanted")
-    sets = through_files(full_sets(docs, wanted, words).dropDuplicates(["doc"]), "near-sets")
-    links = through_files(verify(stars, sets, similarity), "near-links")
-    comps = connected_components(links)
-    more = _exact_rest(members, comps, sets, sizes, similarity)
-    if more is not None:
-        joined = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
-        comps = connected_components(joined)
-
+    comps = linked_components(docs, keys, reps.select("doc", "n_shingles"), words, similarity)
     whole = classes.join(comps, F.col("rep") == F.col("node"), "left").select(*prints, F.coalesce("component", "rep").alias("component"))
     linked = some.join(whole, prints).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

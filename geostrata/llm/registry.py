@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op2_exact_dedup, op3_token_counts, op4_licenses, op5_near_dedup, op6_mixing, op7_neighbours, op8_tokens, op9_sharding, op10_language, op12_prefix_trie, op13_repair
+from . import op1_bpe, op2_exact_dedup, op3_token_counts, op4_licenses, op5_near_dedup, op6_mixing, op7_neighbours, op8_tokens, op9_sharding, op10_language, op11_jaccard_join, op12_prefix_trie, op13_repair
 
 QUERIES = {
     "op1_bpe": op1_bpe.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_shards": op8_tokens.query,
     "op9_hilbert_shards": op9_sharding.query,
     "op10_language_id": op10_language.query,
+    "op11_jaccard_join": op11_jaccard_join.query,
     "op12_prefix_trie": op12_prefix_trie.query,
     "op13_structure_repair": op13_repair.query,
 }

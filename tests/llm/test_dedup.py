@@ -5,8 +5,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
-from geostrata.llm import op2_exact_dedup, op5_near_dedup
+from geostrata.llm import op2_exact_dedup, op5_near_dedup, op11_jaccard_join
 from geostrata.llm.components import connected_components
 
 
@@ -162,3 +163,40 @@ def test_blocks_are_runs_of_their_group(spark):
     for doc, comp, grp, weight in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
         held[grp] = held.get(grp, 0) + weight
         assert block[doc, comp, grp] == held[grp] // op5_near_dedup.BLOCK_SHINGLES
+
+
+def test_hot_leaders_meet_copies_of_their_sets(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(op5_near_dedup, "PAIRS_OF_COPY", 3)
+    r = random.Random(9)
+    rows = family(r, [f"z{k}" for k in range(80)], 40, 0.12, 1) + [(500, None)]
+    want = brute(rows, 2)
+    for g in op5_near_dedup.near_duplicates(docs_of(rows), words=2).collect():
+        assert (g["n_shingles"], g["component_id"]) == want[g["doc_id"]]
+
+
+@pytest.mark.parametrize("words, limit", [(1, 16), (5, 16), (2, 0)])
+def test_join_equals_brute_force(spark, docs_of, odd_rows, monkeypatch, words, limit):
+    r = random.Random(words)
+    monkeypatch.setattr(op5_near_dedup, "BLOCK_SHINGLES", 4_000)
+    monkeypatch.setattr(op11_jaccard_join, "RANGE_SHINGLES", 500)  # several ranges
+    monkeypatch.setattr(op11_jaccard_join, "ENUM_MOST", limit)
+    rows = list(odd_rows)
+    for size in (*range(1, 24), 40, 90, 150):
+        base = [f"v{r.randrange(5000)}" for _ in range(size)]
+        rows += family(r, base, 10, 0.25, 10_000 * size)
+        rows += [(10_000 * size + 500 + k, " ".join(base[: len(base) - k])) for k in range(1, 6)]
+    passage = [f"p{k}" for k in range(60)]  # many documents share it, some hold little else
+    rows += [(800_000 + k, " ".join(passage + [f"o{r.randrange(10**6)}" for _ in range(r.choice([2, 10, 14, 17, 60, 300]))])) for k in range(90)]
+    want = brute(rows, words)
+    got = op11_jaccard_join.jaccard_join(docs_of(rows), words=words).collect()
+    assert len(got) == len(rows)
+    wrong = [(g, want[g["doc_id"]]) for g in got if (g["n_shingles"], g["component_id"]) != want[g["doc_id"]]]
+    assert not wrong, wrong[:5]
+    assert op11_jaccard_join.jaccard_join(docs_of([])).count() == 0
+
+
+def test_boundary_follows_cost():
+    assert op11_jaccard_join.boundary({}) == 1 and op11_jaccard_join.boundary({4: 10}) > 4
+    many = op11_jaccard_join.boundary({t: 100 for t in range(1, 17)})
+    assert 4 < many < 17 and op11_jaccard_join.boundary({16: 1000}) <= 16
+    assert op11_jaccard_join.needed(9, 9, 80) == 8 and op11_jaccard_join.needed(4, 5, 80) == 4
