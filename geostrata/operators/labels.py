@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..model import GRID, Grid
 from ..views import OBJECTS, detections, table, truths
-from .matching import rasterize
+from .matching import outlines, rasterize
 
 #: Modality tokens that end a label file's class name (fixed values).
 MODALITIES = ("la", "or", "ge", "sp")
@@ -109,7 +109,7 @@ def q_bounds(spark, sf_dir):
 
 def q_coverage(spark, sf_dir):
     measured = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.floor((F.col("l_orderkey") * 37 + F.col("l_partkey") * 11 + F.col("l_suppkey") * 3) % 1000 / F.lit(10.0)).cast("int").alias("row"), F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("col")).distinct()
-    return object_coverage(truths(spark, sf_dir), measured).select("cls", "n", F.round("share", 6).alias("share"))
+    return object_coverage(outlines(truths(spark, sf_dir)), measured).select("cls", "n", F.round("share", 6).alias("share"))
 
 
 def q_weighted(spark, sf_dir):

@@ -1,26 +1,32 @@
 """Detections against ground truth: candidates, greedy matching, errors, suppression, sweeps, rasterising.
 
 Objects are ``id, cls, score, geom_type, rings`` (polygons with holes, or points as one ring of one vertex); ``keys``
-such as a site keep them apart. Theta joins are equi-joins on grid buckets. The greedy choices are settled in rounds of
-windows over the candidates: all objects choose at once and give way to better ones until nothing changes, so neither
-a class nor a site is one task.
+such as a site keep them apart. Theta joins are equi-joins on grid buckets. A greedy choice is local: candidates that share no
+object, directly or by others, don't touch each other. So the candidates' connected components are dealt into groups of
+bounded size, each of which is settled in order in one task, however long its chains; a component beyond that size is
+settled in rounds of windows, in which all objects choose at once and give way to better ones until nothing changes.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.projection import metres_tolerance
 from ..functions.shared import cut
-from ..model import GRID, Grid
-from ..views import OBJECTS, detections, truths
+from ..functions.stars import components
+from ..model import GRID, Frame, SiteGrids
+from ..views import OBJECTS, detections, table, truths
 from .geometry import bbox, centroid, polygon_area, polygon_iou, squares
 
 IOU_THRESHOLD = 0.5
 RADIUS = 5.0
+#: Candidates that one task settles in order, about; components with more are settled in rounds.
+GROUP_PAIRS = 50_000
 ERROR_KINDS = ("duplicate", "localization", "class_confusion", "background")
 SWEEP = tuple(itertools.product((0.35, 0.5, 0.65), (0.25, 0.4), (0.5, 1.5), (3.0, 6.0)))
 
@@ -65,12 +71,54 @@ def candidates(preds: DataFrame, gts: DataFrame, radius: float = RADIUS, metres:
     return found.select(*keys, "id", *(c for c in given if c in ("cls", "score")), "gt_id", "gt_cls", "gt_point", "quality", "overlap")
 
 
-def settle(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The pairs(*keys, id, score, gt_id, quality, ...) that a greedy choice takes: detections by falling score (ties by id) take their best free truth (ties by smaller gt_id).
+def _grouped(pairs: DataFrame, keys: tuple[str, ...], first: str, second: str, same: bool) -> tuple[DataFrame, DataFrame | None]:
+    """pairs with ``group``, components of at most ``GROUP_PAIRS`` pairs dealt into groups of about that size, and the pairs of larger components, if any.
 
-    In a round every detection asks for its best truth that isn't lost to it, and a truth drops all detections behind
-    the first that asks. The first of all is served in the first round, so the rounds end.
+    ``same`` says whether first and second name objects of one table.
     """
+    total = pairs.count()
+    if total <= GROUP_PAIRS:
+        return pairs.withColumn("group", F.lit(0).cast("long")), None
+    node = lambda c, side: F.xxhash64(*keys, F.lit(side), c)
+    ends = pairs.withColumns({"__u": node(first, 0), "__v": node(second, 0 if same else 1)})
+    found = components(ends.select(F.col("__u").alias("u"), F.col("__v").alias("v")))
+    placed = ends.join(found, F.col("__u") == F.col("node"), "left").withColumn("__part", F.coalesce("component", "__u")).drop("__u", "__v", "node", "component")
+    placed = cut(placed)
+    large = placed.groupBy("__part").count().where(F.col("count") > GROUP_PAIRS).select("__part")
+    group = F.pmod(F.xxhash64("__part"), F.lit(-(-total // GROUP_PAIRS)))
+    if large.isEmpty():
+        return placed.withColumn("group", group).drop("__part"), None
+    large = F.broadcast(cut(large))  # fewer than one for each GROUP_PAIRS pairs
+    return placed.join(large, "__part", "left_anti").withColumn("group", group).drop("__part"), placed.join(large, "__part", "left_semi").drop("__part")
+
+
+def _in_order(groups: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str]) -> DataFrame:
+    kinds = dict(groups.dtypes)
+    return groups.groupBy("group").applyInPandas(lambda part: kernel(part)[columns], ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+
+
+def settle(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs(*keys, id, score, gt_id, quality, ...) that a greedy choice takes: detections by falling score (ties by id) take their best free truth (ties by smaller gt_id)."""
+    k = list(keys)
+
+    def taken(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([*k, "score", "id", "quality", "gt_id"], ascending=[True] * len(k) + [False, True, False, True], kind="stable")
+        served, used, keep = set(), set(), []
+        names = list(part[k].itertuples(index=False, name=None)) if k else [()] * len(part)
+        for at, (own, det, gt) in enumerate(zip(names, part["id"], part["gt_id"], strict=True)):
+            if (own, det) not in served and (own, gt) not in used:
+                served.add((own, det))
+                used.add((own, gt))
+                keep.append(at)
+        return part.iloc[keep]
+
+    groups, large = _grouped(cut(pairs), keys, "id", "gt_id", False)
+    found = _in_order(groups, taken, pairs.columns)
+    return found if large is None else found.unionByName(_settle_in_rounds(large, keys))
+
+
+def _settle_in_rounds(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """In a round every detection asks for its best truth that isn't lost to it, and a truth drops all detections behind the first that asks. The first of all is served in the first round, so the rounds end."""
     best = F.row_number().over(Window.partitionBy(*keys, "id").orderBy(F.desc("quality"), "gt_id")) == 1
     rank = F.struct("score", -F.col("id"))
     held, before = cut(pairs), -1
@@ -100,13 +148,19 @@ def scores(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)})
 
 
-def evaluate(preds: DataFrame, gts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """tp, fp, fn and scores by class, and of all classes (cls null)."""
-    hit = pairs.select("cls", F.lit(1).alias("tp"), F.lit(0).alias("fp"), F.lit(0).alias("fn"))
-    fp = preds.join(pairs.select("id"), "id", "left_anti").select("cls", F.lit(0), F.lit(1), F.lit(0))
-    fn = gts.join(pairs.select(F.col("gt_id").alias("id")), "id", "left_anti").select("cls", F.lit(0), F.lit(0), F.lit(1))
-    counts = hit.union(fp).union(fn).rollup("cls").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    return scores(counts)
+def evaluate(preds: DataFrame, gts: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = (), pooled: bool = False) -> DataFrame:
+    """*keys, cls, tp, fp, fn and scores of each class, and of all classes (cls null).
+
+    Objects are the same where keys and id are. ``pooled`` adds the counts of all keys up and returns no keys.
+    """
+    k, by = list(keys), [] if pooled else list(keys)
+    count = lambda df, hit: df.select(*by, "cls", *(F.lit(int(c == hit)).alias(c) for c in ("tp", "fp", "fn")))
+    fp = preds.join(pairs.select(*k, "id"), [*k, "id"], "left_anti")
+    fn = gts.join(pairs.select(*k, F.col("gt_id").alias("id")), [*k, "id"], "left_anti")
+    counts = count(pairs, "tp").unionByName(count(fp, "fp")).unionByName(count(fn, "fn"))
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    by_class = counts.groupBy(*by, "cls").agg(*sums)
+    return scores(by_class.unionByName(by_class.groupBy(*by).agg(*(F.coalesce(s, F.lit(0).cast("long")).alias(c) if not by else s for s, c in zip(sums, ("tp", "fp", "fn"), strict=True))).withColumn("cls", F.lit(None).cast(dict(by_class.dtypes)["cls"])).select(by_class.columns)))
 
 
 def errors(preds: DataFrame, gts: DataFrame, pairs: DataFrame, threshold: float = IOU_THRESHOLD, radius: float = RADIUS, metres: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -128,20 +182,46 @@ def errors(preds: DataFrame, gts: DataFrame, pairs: DataFrame, threshold: float
     return fp.unionByName(fn.select(*k, F.lit("FN").alias("kind"), "id", F.when(F.col("covered"), "covered").otherwise("missed").alias("error")))
 
 
-def conflicts(dets: DataFrame, radius: float) -> DataFrame:
-    """Pairs (id, other) of one class within radius, the first of higher score (ties: smaller id)."""
+def conflicts(dets: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (*keys, id, other) of one class within radius, the first of higher score (ties: smaller id)."""
     cell = dets.withColumns({"bx": F.floor(F.col("cx") / radius), "by": F.floor(F.col("cy") / radius)})
-    other = cell.select(F.col("id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("score").alias("oscore"), "cls", "bx", "by")
+    other = cell.select(*keys, F.col("id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("score").alias("oscore"), "cls", "bx", "by")
     around = cell.withColumn("bx", F.explode(F.sequence(F.col("bx") - 1, F.col("bx") + 1))).withColumn("by", F.explode(F.sequence(F.col("by") - 1, F.col("by") + 1)))
     dx, dy = F.col("cx") - F.col("ox"), F.col("cy") - F.col("oy")
     ahead = (F.col("score") > F.col("oscore")) | ((F.col("score") == F.col("oscore")) & (F.col("id") < F.col("other")))
-    return around.join(other, ["cls", "bx", "by"]).where((dx * dx + dy * dy <= radius * radius) & ahead).select("cls", "id", "score", "other")
+    return around.join(other, [*keys, "cls", "bx", "by"]).where((dx * dx + dy * dy <= radius * radius) & ahead).select(*keys, "cls", "id", "score", "other")
 
 
 def suppressed(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """*keys, id of what the greedy choice drops, from edges(*keys, id, other) whose id is ahead: in a round, those whom nobody undecided is ahead of drop their others."""
+    """*keys, id of what the greedy choice drops, from edges(*keys, id, other) whose id is ahead."""
     k = list(keys)
-    open_, gone = cut(edges.select(*k, "id", "other")), None
+
+    def dropped(part: pd.DataFrame) -> pd.DataFrame:
+        names = list(part[k].itertuples(index=False, name=None)) if k else [()] * len(part)
+        behind, waits = {}, {}
+        for own, one, two in zip(names, part["id"], part["other"], strict=True):
+            behind.setdefault((own, one), []).append((own, two))
+            waits[own, two] = waits.get((own, two), 0) + 1
+        ready, gone = [d for d in behind if d not in waits], set()
+        while ready:  # everybody ahead of it is decided
+            at = ready.pop()
+            for d in behind.get(at, ()):
+                if at not in gone:
+                    gone.add(d)
+                waits[d] -= 1
+                if not waits[d]:
+                    ready.append(d)
+        return pd.DataFrame([(*own, d) for own, d in gone], columns=[*k, "id"])
+
+    groups, large = _grouped(cut(edges.select(*k, "id", "other")), keys, "id", "other", True)
+    found = _in_order(groups, dropped, [*k, "id"])
+    return found if large is None else found.unionByName(_suppressed_in_rounds(large, keys))
+
+
+def _suppressed_in_rounds(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """In a round, those whom nobody undecided is ahead of drop their others."""
+    k = list(keys)
+    open_, gone = cut(edges), None
     while not open_.isEmpty():
         behind = open_.select(*k, F.col("other").alias("id")).distinct()
         out = cut(open_.join(behind, [*k, "id"], "left_anti").select(*k, F.col("other").alias("id")).distinct())
@@ -150,9 +230,9 @@ def suppressed(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return gone if gone is not None else edges.select(*k, "id").limit(0)
 
 
-def nms(dets: DataFrame, radius: float) -> DataFrame:
+def nms(dets: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """The detections that stay."""
-    return dets if radius <= 0 else dets.join(suppressed(conflicts(dets, radius)), "id", "left_anti")
+    return dets if radius <= 0 else dets.join(suppressed(conflicts(dets, radius, keys), keys), [*keys, "id"], "left_anti")
 
 
 def top_detections(dets: DataFrame, limit: int, by: str = "cls") -> DataFrame:
@@ -180,32 +260,66 @@ def sweep(dets: DataFrame, gts: DataFrame, combos=SWEEP, radius: float = RADIUS)
     return scored.withColumn("place", place)
 
 
-def rasterize(objects: DataFrame, grid: Grid = GRID) -> DataFrame:
-    """cls, row, col of the pixels whose centres lie inside an object (half-open box), clipped to the grid."""
-
-    def span(centre: str, low: float, size: int) -> Column:
-        first = F.ceil((F.col(centre) - F.col("half") - low) / grid.pixel_size - 0.5)
-        last = F.ceil((F.col(centre) + F.col("half") - low) / grid.pixel_size - 0.5) - 1
-        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(size - 1))
-        return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))
+def spans(objects: DataFrame, grid: Frame = GRID) -> DataFrame:
+    """*grid keys, id, cls, row, first, last: runs of pixels whose centres lie inside polygons(id, cls, rings), by the even-odd rule over all rings, clipped to the grid.
 
-    rows = objects.select("cls", span("cy", grid.y_min, grid.height).alias("rows"), span("cx", grid.x_min, grid.width).alias("cols"))
-    return rows.select("cls", F.explode("rows").alias("row"), "cols").select("cls", "row", F.explode("cols").alias("col")).distinct()
-
-
-def heatmap(objects: DataFrame, sigma: float, grid: Grid = GRID, truncate: float = 4.0) -> DataFrame:
-    """cls, row, col, value: Gaussian bumps around the centres; overlapping ones give their maximum."""
+    A scanline over an edge table: an edge gives one crossing for each pixel row that it crosses; crossings of an object
+    and row, in order, enclose a run from each odd one to the next. Rows made are crossings and runs, never pixels of a box.
+    An id names one object of a site; rings of fewer than three vertices enclose nothing.
+    """
+    whole = [*grid.keys, "id"]
+    placed = grid.attach(objects.select(*whole, "cls", F.explode("rings").alias("ring"))).where(F.size("ring") > 2)
+    after = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
+    edge = placed.withColumn("edge", F.explode(F.arrays_zip(F.col("ring").alias("a"), after.alias("b"))))
+    (x1, y1), (x2, y2) = (grid.pixel(F.col("edge")[e]["x"], F.col("edge")[e]["y"]) for e in ("a", "b"))
+    edge = edge.withColumns({"x1": x1, "y1": y1, "x2": x2, "y2": y2})
+    first, last = F.greatest(F.ceil(F.least("y1", "y2")), F.lit(0)), F.least(F.ceil(F.greatest("y1", "y2")) - 1, F.lit(grid.height) - 1)
+    crossed = edge.withColumn("row", F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))))
+    at = F.col("x1") + (F.col("row") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    line = Window.partitionBy(*whole, "row").orderBy("at")
+    runs = crossed.withColumn("at", at).withColumns({"k": F.row_number().over(line), "to": F.lead("at").over(line)}).where("k % 2 = 1")
+    runs = runs.withColumns({"first": F.greatest(F.ceil("at"), F.lit(0)).cast("int"), "last": F.least(F.ceil("to") - 1, F.lit(grid.width) - 1).cast("int")})
+    return runs.where("first <= last").select(*whole, "cls", "row", "first", "last")
+
+
+def rasterize(objects: DataFrame, grid: Frame = GRID) -> DataFrame:
+    """*grid keys, cls, row, col of the pixels whose centres lie inside an object(id, cls, rings); points have none."""
+    runs = spans(objects, grid).withColumn("col", F.explode(F.sequence("first", "last")))
+    return runs.select(*grid.keys, "cls", "row", "col").distinct()
+
+
+def heatmap(objects: DataFrame, sigma: float, grid: Frame = GRID, truncate: float = 4.0) -> DataFrame:
+    """*grid keys, cls, row, col, value: Gaussian bumps around the centres cx, cy; overlapping ones give their maximum."""
+    if sigma <= 0:
+        raise ValueError("sigma is positive")
+    placed = grid.attach(objects)
     px, py = grid.pixel(F.col("cx"), F.col("cy"))
     r = int(-(-truncate * sigma // 1))
 
-    def span(at: Column, size: int) -> Column:
-        low, high = F.greatest(F.floor(at) - r, F.lit(0)), F.least(F.ceil(at) + r, F.lit(size - 1))
-        return F.when(low <= high, F.sequence(low, high))
+    def span(at: Column, size) -> Column:
+        low, high = F.greatest(F.floor(at) - r, F.lit(0)), F.least(F.ceil(at) + r, F.lit(size) - 1)
+        return F.when(low <= high, F.sequence(low, high.cast("long")))
 
-    rows = objects.select("cls", px.alias("px"), py.alias("py"))
+    rows = placed.withColumns({"px": px, "py": py})
     cells = rows.withColumn("row", F.explode(span(F.col("py"), grid.height))).withColumn("col", F.explode(span(F.col("px"), grid.width)))
     d2 = F.pow(F.col("col") - F.col("px"), 2) + F.pow(F.col("row") - F.col("py"), 2)
-    return cells.groupBy("cls", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).agg(F.max(F.exp(-d2 / (2 * sigma * sigma))).alias("value"))
+    return cells.groupBy(*grid.keys, "cls", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).agg(F.max(F.exp(-d2 / (2 * sigma * sigma))).alias("value"))
+
+
+def label_targets(objects: DataFrame, sigma: float, grid: Frame = GRID, classes: list[str] | None = None) -> DataFrame:
+    """*grid keys, cls, row, col, seg (0 or 1), hm: masks of polygons and bumps around points and polygons' centroids, in cells where either is above 0.
+
+    Objects are ``id, cls, geom_type, rings`` as ``geojson.read`` gives them; other classes than ``classes`` are left out.
+    """
+    if classes is not None and len(set(classes)) < len(classes):
+        raise ValueError("a class is named twice")
+    known = objects if classes is None else objects.where(F.col("cls").isin(classes))
+    whole = [*grid.keys, "cls", "row", "col"]
+    mask = rasterize(known.where("geom_type = 'Polygon'"), grid).withColumn("seg", F.lit(1))
+    ring = F.col("rings")[0]
+    at = F.when(F.col("geom_type") == "Point", F.struct(ring[0]["x"].alias("x"), ring[0]["y"].alias("y"))).otherwise(centroid(ring))
+    bumps = heatmap(known.where(F.size("rings") > 0).withColumn("at", at).withColumns({"cx": F.col("at")["x"], "cy": F.col("at")["y"]}), sigma, grid)
+    return mask.join(bumps.withColumnRenamed("value", "hm"), whole, "full_outer").select(*whole, F.coalesce("seg", F.lit(0)).alias("seg"), F.coalesce("hm", F.lit(0.0)).alias("hm"))
 
 
 #: Radius of the queries, whose every fifth truth is a point.
@@ -259,8 +373,41 @@ def q_sweep(spark, sf_dir):
     return found.select("place", "s", "t", "h", "r", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
+def outlines(objects: DataFrame) -> DataFrame:
+    """Adds rings: the square alone."""
+    return squares(objects).withColumn("rings", F.slice("rings", 1, 1))
+
+
 def q_rasterize(spark, sf_dir):
-    return rasterize(truths(spark, sf_dir))
+    return rasterize(outlines(truths(spark, sf_dir)))
+
+
+def _frames(spark, sf_dir):
+    """Truths with holes and points at sites of their own grids: site (id % 3) has cells of 1, 2 and 0.5."""
+    nations = table(spark, sf_dir, "nation").where("n_nationkey < 3")
+    size = F.element_at(F.array(F.lit(1.0), F.lit(2.0), F.lit(0.5)), F.col("n_nationkey") + 1)
+    grids = SiteGrids(nations.select(F.col("n_nationkey").cast("long").alias("site"), F.lit(0.0).alias("x_min"), F.lit(0.0).alias("y_min"), size.alias("pixel_size"), F.lit(105).alias("width"), F.lit(100).alias("height")))
+    return _objects(spark, sf_dir)[1].withColumn("site", F.col("id") % 3), grids
+
+
+def q_masks(spark, sf_dir):
+    objects, grids = _frames(spark, sf_dir)
+    return rasterize(objects.where("geom_type = 'Polygon'"), grids)
+
+
+def q_targets(spark, sf_dir):
+    objects, grids = _frames(spark, sf_dir)
+    return label_targets(objects, 1.5, grids).where("seg = 1 OR hm >= 0.01").select("site", "cls", "row", "col", "seg", F.round("hm", 6).alias("hm"))
+
+
+def q_evaluate_sites(spark, sf_dir):
+    """Two sites with the same ids: in site b the truths are moved, so its pairs are others."""
+    preds, gts = _objects(spark, sf_dir)
+    moved = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] + 1).alias("x"), p["y"].alias("y"))))
+    both = lambda a, b: a.withColumn("site", F.lit("a")).unionByName(b.withColumn("site", F.lit("b")))
+    preds, gts = both(preds, preds), both(gts, gts.withColumn("rings", moved))
+    found = evaluate(preds, gts, match(preds, gts, radius=NEAR, keys=("site",)), ("site",))
+    return found.select("site", F.coalesce(F.col("cls").cast("string"), F.lit("total")).alias("cls"), "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
 
 
 def q_heatmap(spark, sf_dir):
@@ -277,6 +424,9 @@ QUERIES = {
     "top_detections": q_top,
     "sweep_postparams": q_sweep,
     "rasterize_polygons": q_rasterize,
+    "polygon_masks": q_masks,
+    "label_targets": q_targets,
+    "evaluate_sites": q_evaluate_sites,
     "heatmap_targets": q_heatmap,
 }
 
@@ -374,3 +524,15 @@ ORACLES = {
       SELECT cls, row, col, round(max(exp(-((col - cx + 0.5) ** 2 + (row - cy + 0.5) ** 2) / 4.5)), 6) AS value FROM gt JOIN g
       ON col BETWEEN floor(cx - 0.5) - 6 AND ceil(cx - 0.5) + 6 AND row BETWEEN floor(cy - 0.5) - 6 AND ceil(cy - 0.5) + 6 GROUP BY cls, row, col""",
 }
+
+_CELLS = """fr AS (SELECT s.range AS site, ([1, 2, 0.5])[s.range + 1]::DOUBLE AS ps FROM range(3) s), g AS (SELECT site, ps, r.range::INT AS row, c.range::INT AS col FROM fr, range(100) r, range(105) c)"""
+_INSIDE_SQL = " AND ".join(f"{p} >= ({c} - {{0}} * half) / ps - 0.5::DOUBLE AND {p} < ({c} + {{0}} * half) / ps - 0.5::DOUBLE" for p, c in (("col", "cx"), ("row", "cy")))
+_MASK = f"m AS (SELECT DISTINCT site, cls, row, col FROM g JOIN gt ON id % 3 = site AND id % 5 <> 0 AND {_INSIDE_SQL.format('1')} WHERE NOT (cls = 2 AND {_INSIDE_SQL.format('0.2::DOUBLE')}))"
+ORACLES |= {
+    "polygon_masks": f"WITH {OBJECTS}, {_CELLS}, {_MASK} SELECT * FROM m",
+    "label_targets": f"""WITH {OBJECTS}, {_CELLS}, {_MASK},
+      h AS (SELECT site, cls, row, col, max(exp(-((col - cx / ps + 0.5) ** 2 + (row - cy / ps + 0.5) ** 2) / 4.5)) AS hm FROM g JOIN gt ON id % 3 = site AND abs(col - cx / ps + 0.5) <= 7 AND abs(row - cy / ps + 0.5) <= 7 GROUP BY ALL HAVING hm >= 0.01 OR hm > 1e-7)
+      SELECT site, cls, row, col, (m.row IS NOT NULL)::INT AS seg, round(coalesce(hm, 0), 6) AS hm FROM h FULL JOIN m USING (site, cls, row, col) WHERE m.row IS NOT NULL OR hm >= 0.01""",
+    "evaluate_sites": f"""SELECT 'a' AS site, cls, tp, fp, fn, f1 FROM ({ORACLES["evaluate"]})
+      UNION ALL SELECT 'b', cls, tp, fp, fn, f1 FROM ({ORACLES["evaluate"].replace("+ 0.3::DOUBLE AS cx", "+ 0.3::DOUBLE + 1 AS cx")})""",
+}

@@ -78,21 +78,29 @@ def relief_parameters(layers: DataFrame) -> DataFrame:
 def site_issues(labels: DataFrame, sources: DataFrame, known: list[str], region: tuple[float, float, float, float]) -> DataFrame:
     """site, level, issue, n of sites whose merged ``labels(site, cls, file_cls, x, y)`` don't agree with ``sources(site, cls, n)``.
 
-    x is null without a geometry; file_cls is the class of the file that a label came from, null if unknown. A site without
-    labels has that one error. n counts labels or classes, or is the surplus of labels; for boxes it is the number of labels.
+    x is null without a geometry; file_cls is the class of the file that a label came from, null if unknown; a column file
+    of labels says that there was one. A label without geometry counts as that alone, one without class likewise: neither
+    is in the totals, the classes or the box. Sources without class count in the total; each row of them is a file. A site
+    without labels has that one error. n counts labels, classes or files, or is the surplus of labels; for boxes it is the
+    number of labels.
     """
+    empty = F.col("cls").isNull() | (F.col("cls") == "")
+    there, good = F.col("x").isNotNull(), F.col("x").isNotNull() & ~empty
+    strange = good & F.col("file").isNotNull() & F.col("file_cls").isNull() if "file" in labels.columns else F.lit(False)
+    labels = labels.withColumns({"bare": ~there, "unnamed": there & empty, "good": good, "strange": strange, "foreign": good & (F.col("file_cls") != F.col("cls"))})
+    labels = labels.withColumns({"cls": F.when(F.col("good"), F.col("cls")), **{c: F.when(F.col("good"), F.col(c)) for c in ("x", "y")}})
     tally = labels.groupBy("site", "cls").agg(
-        F.count("*").alias("n"), F.count_if(F.col("file_cls") != F.col("cls")).alias("foreign"), F.count_if(F.col("x").isNull()).alias("bare"),
+        F.count("*").alias("rows"), *(F.count_if(c).alias(n) for c, n in (("good", "n"), ("foreign", "foreign"), ("bare", "bare"), ("unnamed", "unnamed"), ("strange", "strange"))),
         F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north"),
     )
-    given = sources.groupBy("site", "cls").agg(F.sum("n").alias("given"))
+    given = sources.groupBy("site", "cls").agg(F.sum("n").alias("given"), F.count_if(F.col("cls").isNull()).alias("files"))
     both = tally.join(given, (tally.site.eqNullSafe(given.site)) & (tally.cls.eqNullSafe(given.cls)), "full_outer").select(
-        F.coalesce(tally.site, given.site).alias("site"), F.coalesce(tally.cls, given.cls).alias("cls"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "given", "foreign", "bare")), "west", "south", "east", "north"
+        F.coalesce(tally.site, given.site).alias("site"), F.coalesce(tally.cls, given.cls).alias("cls"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "n", "given", "foreign", "bare", "unnamed", "strange", "files")), "west", "south", "east", "north"
     )
     named, delta = F.col("cls").isNotNull(), F.col("n") - F.col("given")
     site = both.groupBy("site").agg(
-        F.sum("n").alias("n"), F.sum(delta).alias("delta"), F.count_if(named & (delta != 0)).alias("classes"), F.sum("foreign").alias("foreign"), F.sum("bare").alias("bare"),
-        F.coalesce(F.sum(F.when(named & ~F.col("cls").isin(known), F.col("n"))), F.lit(0)).alias("unknown"), F.coalesce(F.sum(F.when(~named, F.col("n"))), F.lit(0)).alias("unnamed"),
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum(delta).alias("delta"), F.count_if(named & (delta != 0)).alias("classes"), F.sum("foreign").alias("foreign"), F.sum("bare").alias("bare"),
+        F.coalesce(F.sum(F.when(named & ~F.col("cls").isin(known), F.col("n"))), F.lit(0)).alias("unknown"), *(F.sum(c).alias(c) for c in ("unnamed", "strange", "files")),
         F.sum("given").alias("given"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"),
     )
     degrees = (F.col("east") <= 180) & (F.col("north") <= 90)
@@ -101,10 +109,11 @@ def site_issues(labels: DataFrame, sources: DataFrame, known: list[str], region:
         ("error", "count differs", F.col("delta") != 0, "delta"), ("error", "classes differ", F.col("classes") > 0, "classes"), ("error", "class of another file", F.col("foreign") > 0, "foreign"),
         ("error", "unknown class", F.col("unknown") > 0, "unknown"), ("error", "no class", F.col("unnamed") > 0, "unnamed"), ("error", "coordinates in degrees", degrees, "n"),
         ("warning", "outside the region", ~degrees & outside, "n"), ("warning", "no geometry", F.col("bare") > 0, "bare"),
+        ("warning", "unrecognised file", F.col("strange") > 0, "strange"), ("warning", "source file without class", F.col("files") > 0, "files"),
     ]
     issue = lambda level, text, n: F.struct(F.lit(level).alias("level"), F.lit(text).alias("issue"), F.col(n).cast("long").alias("n"))
     several = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), issue(level, text, n)) for level, text, c, n in rules)))
-    return site.select("site", F.inline(F.when(F.col("n") == 0, F.array(issue("error", "no labels", "given"))).otherwise(several)))
+    return site.select("site", F.inline(F.when(F.col("rows") == 0, F.array(issue("error", "no labels", "given"))).otherwise(several)))
 
 
 def class_audit(masks: DataFrame, least: float = 1e-5) -> DataFrame:
@@ -234,10 +243,10 @@ def q_issues(spark, sf_dir):
     k, p = F.col("s_suppkey"), F.col("p_partkey")
     bare = k % 19 == 0
     labels = table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("s"), k % 12).alias("site"), F.when(k % 17 != 0, _pick(["mound", "pit", "road", "odd"], k)).alias("cls"), F.when(k % 3 == 0, _pick(["mound", "pit"], k)).alias("file_cls"),
+        F.concat(F.lit("s"), k % 12).alias("site"), F.when(k % 17 != 0, _pick(["mound", "pit", "road", "odd"], k)).alias("cls"), F.when(k % 3 == 0, _pick(["mound", "pit"], k)).alias("file_cls"), F.when(k % 5 < 3, F.lit("f")).alias("file"),
         F.when(~bare, (k % 12) * 1e6 + k % 100).alias("x"), F.when(~bare, k % 80 * F.lit(1.0)).alias("y"),
     )
-    sources = table(spark, sf_dir, "part").select(F.concat(F.lit("s"), p % 14).alias("site"), _pick(["mound", "pit", "road"], p).alias("cls"), F.lit(1).alias("n"))
+    sources = table(spark, sf_dir, "part").select(F.concat(F.lit("s"), p % 14).alias("site"), F.when(p % 23 != 0, _pick(["mound", "pit", "road"], p)).alias("cls"), F.lit(1).alias("n"))
     return site_issues(labels, sources, ["mound", "pit", "road"], _REGION)
 
 
@@ -313,16 +322,19 @@ ORACLES = {
       p AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in RELIEF.items())}) t(parameter, fallback)),
       v AS (SELECT site, parameter, fallback, CASE WHEN starts_with(layer, parameter || '_') THEN layer[length(parameter) + 2:]::DECIMAL(9, 1) END AS v FROM l, p)
       SELECT site, parameter, coalesce(string_agg(v::VARCHAR, ',' ORDER BY v), any_value(fallback)::DECIMAL(9, 1)::VARCHAR) AS found FROM v GROUP BY site, parameter""",
-    "site_issues": f"""WITH l AS (SELECT 's' || s_suppkey % 12 AS site, CASE WHEN s_suppkey % 17 <> 0 THEN (['mound', 'pit', 'road', 'odd'])[s_suppkey % 4 + 1] END AS cls, CASE WHEN s_suppkey % 3 = 0 THEN (['mound', 'pit'])[s_suppkey % 2 + 1] END AS fc,
-        CASE WHEN s_suppkey % 19 <> 0 THEN (s_suppkey % 12) * 1e6 + s_suppkey % 100 END AS x, CASE WHEN s_suppkey % 19 <> 0 THEN s_suppkey % 80 END AS y FROM supplier),
-      s AS (SELECT 's' || p_partkey % 14 AS site, (['mound', 'pit', 'road'])[p_partkey % 3 + 1] AS cls FROM part),
-      d AS (SELECT site, cls, sum(w) AS d, sum(w) FILTER (w > 0) AS n FROM (SELECT site, cls, 1 AS w FROM l UNION ALL SELECT site, cls, -1 FROM s) GROUP BY ALL),
-      a AS (SELECT site, count(*) AS n, count(*) FILTER (fc <> cls) AS fo, count(*) FILTER (x IS NULL) AS bare, count(*) FILTER (cls = 'odd') AS un, count(*) FILTER (cls IS NULL) AS nn, min(x) AS w, max(x) AS e, min(y) AS so, max(y) AS no FROM l GROUP BY site),
-      t AS (SELECT a.*, e <= 180 AND no <= 90 AS deg, (SELECT sum(d) FROM d WHERE d.site = a.site) AS delta, (SELECT count(*) FROM d WHERE d.site = a.site AND cls IS NOT NULL AND d <> 0) AS classes FROM a)
-      SELECT site, 'error' AS level, 'no labels' AS issue, count(*) AS n FROM s WHERE site NOT IN (SELECT site FROM l) GROUP BY site
+    "site_issues": f"""WITH r AS (SELECT 's' || s_suppkey % 12 AS site, s_suppkey AS k, CASE WHEN s_suppkey % 17 <> 0 THEN (['mound', 'pit', 'road', 'odd'])[s_suppkey % 4 + 1] END AS cls, CASE WHEN s_suppkey % 3 = 0 THEN (['mound', 'pit'])[s_suppkey % 2 + 1] END AS fc,
+        CASE WHEN s_suppkey % 19 <> 0 THEN (s_suppkey % 12) * 1e6 + s_suppkey % 100 END AS x, s_suppkey % 80 AS y FROM supplier),
+      l AS (SELECT * FROM r WHERE x IS NOT NULL AND cls IS NOT NULL),
+      s AS (SELECT 's' || p_partkey % 14 AS site, CASE WHEN p_partkey % 23 <> 0 THEN (['mound', 'pit', 'road'])[p_partkey % 3 + 1] END AS cls FROM part),
+      d AS (SELECT site, cls, sum(w) AS d FROM (SELECT site, cls, 1 AS w FROM l UNION ALL SELECT site, cls, -1 FROM s) GROUP BY ALL),
+      a AS (SELECT site, count(*) AS n, count(*) FILTER (fc <> cls) AS fo, count(*) FILTER (cls = 'odd') AS un, count(*) FILTER (k % 5 < 3 AND fc IS NULL) AS odd, min(x) AS w, max(x) AS e, min(y) AS so, max(y) AS no FROM l GROUP BY site),
+      b AS (SELECT site, count(*) FILTER (x IS NULL) AS bare, count(*) FILTER (x IS NOT NULL AND cls IS NULL) AS nn FROM r GROUP BY site),
+      t AS (SELECT b.*, a.* EXCLUDE (site), e <= 180 AND no <= 90 AS deg, (SELECT sum(d) FROM d WHERE d.site = b.site) AS delta, (SELECT count(*) FROM d WHERE d.site = b.site AND cls IS NOT NULL AND d <> 0) AS classes FROM b LEFT JOIN a ON a.site = b.site)
+      SELECT site, 'error' AS level, 'no labels' AS issue, count(*) AS n FROM s WHERE site NOT IN (SELECT site FROM r) GROUP BY site
       UNION ALL SELECT site, 'error', 'count differs', delta::BIGINT FROM t WHERE delta <> 0 UNION ALL SELECT site, 'error', 'classes differ', classes FROM t WHERE classes > 0
       UNION ALL SELECT site, 'error', 'class of another file', fo FROM t WHERE fo > 0 UNION ALL SELECT site, 'error', 'unknown class', un FROM t WHERE un > 0 UNION ALL SELECT site, 'error', 'no class', nn FROM t WHERE nn > 0
-      UNION ALL SELECT site, 'error', 'coordinates in degrees', n FROM t WHERE deg UNION ALL SELECT site, 'warning', 'no geometry', bare FROM t WHERE bare > 0
+      UNION ALL SELECT site, 'error', 'coordinates in degrees', n FROM t WHERE deg UNION ALL SELECT site, 'warning', 'no geometry', bare FROM t WHERE bare > 0 UNION ALL SELECT site, 'warning', 'unrecognised file', odd FROM t WHERE odd > 0
+      UNION ALL SELECT site, 'warning', 'source file without class', count(*) FROM s WHERE cls IS NULL AND site IN (SELECT site FROM r) GROUP BY site
       UNION ALL SELECT site, 'warning', 'outside the region', n FROM t WHERE NOT deg AND (w < {_REGION[0]} OR so < {_REGION[1]} OR e > {_REGION[2]} OR no > {_REGION[3]})""",
     "class_audit": """WITH m AS (SELECT l_returnflag AS site, 'c' || l_linenumber AS cls, CASE WHEN l_linenumber < 7 AND l_quantity > 40 THEN 1 ELSE 0 END AS seg, l_discount * 8 AS hm FROM lineitem)
       SELECT site, cls, count(*) FILTER (seg > 0) AS seg_px, count(*) FILTER (hm >= 0.5) AS hm_px, count(*) AS n, count(*) FILTER (seg > 0) / count(*) < 1e-5 AS scarce FROM m GROUP BY GROUPING SETS ((site, cls), (cls))""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import projection
 from ..model import GRID, Grid
 from ..views import DENSE, OBJECTS, points, table, truths
-from .matching import rasterize
+from .matching import outlines, rasterize
 from .rasters import apply_shift, estimate_shifts, tile_cells, tile_index
 from .terrain import elevation
 
@@ -152,7 +152,7 @@ def q_masked(spark, sf_dir):
 
 def q_tiles(spark, sf_dir):
     dem = elevation(points(spark, sf_dir)).select("row", "col", "z", F.col("observed").alias("valid"))
-    mask = rasterize(truths(spark, sf_dir)).where("cls = 1").select("row", "col", F.lit(1).alias("seg"))
+    mask = rasterize(outlines(truths(spark, sf_dir))).where("cls = 1").select("row", "col", F.lit(1).alias("seg"))
     pixels = training_tiles(dem.join(mask, ["row", "col"], "left"), tile_index(spark, 100, 105, 104, 8), 104, ["z", "seg"])
     return tile_flags(pixels, ["seg"], []).join(pixels.groupBy("tile_id").agg(F.round(F.sum("z"), 4).alias("z"), F.sum("seg").alias("seg")), "tile_id")
 

@@ -90,10 +90,10 @@ def detect(probs: DataFrame, tile: int, radius: float, limit: int) -> DataFrame:
     return nms(dets, radius).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def report(preds: DataFrame, gts: DataFrame, radius: float, metres: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Scores by class and errors by kind, of objects such as ``geojson.read`` gives (with an id)."""
-    pairs = match(preds, gts, radius=radius, metres=metres)
-    return evaluate(preds, gts, pairs), errors(preds, gts, pairs, radius=radius, metres=metres).groupBy("kind", "error").count()
+def report(preds: DataFrame, gts: DataFrame, radius: float, metres: bool = False, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Scores by class and errors by kind (of each site, with keys), of objects such as ``geojson.read`` gives (with an id)."""
+    pairs = match(preds, gts, radius=radius, metres=metres, keys=keys)
+    return evaluate(preds, gts, pairs, keys), errors(preds, gts, pairs, radius=radius, metres=metres, keys=keys).groupBy(*keys, "kind", "error").count()
 
 
 def q_build_site(spark, sf_dir):

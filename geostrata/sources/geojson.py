@@ -48,7 +48,7 @@ def write(features: DataFrame, path: str, crs: str = "EPSG:3857", class_key: str
     """Collections in ``files`` text files from features(feat_id, cls, score, geom_type, rings); empty input gives an empty collection.
 
     A file holds one line for each feature, so no task joins them into one value, and is written by one task; features
-    are dealt to files by a hash of feat_id. ``extra`` names further columns that become properties.
+    are dealt to files by a hash of feat_id, which may repeat or be null (first). ``extra`` names further columns that become properties.
     """
     point = F.to_json(F.array(F.col("rings")[0][0]["x"], F.col("rings")[0][0]["y"]))
     rings = F.to_json(F.transform(oriented(F.col("rings")), lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
@@ -57,12 +57,14 @@ def write(features: DataFrame, path: str, crs: str = "EPSG:3857", class_key: str
     spark = features.sparkSession
     file = F.pmod(F.xxhash64("feat_id"), F.lit(files)).cast("int").alias("file")
     body = features.select(file, F.lit(1).alias("part"), F.col("feat_id").cast("long").alias("k"), line.alias("value"))
-    last = F.broadcast(body.groupBy("file").agg(F.max("k").alias("last")))  # one row for each file
-    body = body.join(last, "file").withColumn("value", F.when(F.col("k") < F.col("last"), F.concat("value", F.lit(","))).otherwise(F.col("value"))).drop("last")
     head = f'{{"type":"FeatureCollection","crs":{{"type":"name","properties":{{"name":"{crs}"}}}},"features":['
     ends = spark.range(files).select(F.col("id").cast("int").alias("file"), F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(v).alias("value")) for p, v in ((0, head), (2, "]}"))))).alias("e"))
     ends = ends.select("file", "e.part", F.lit(0).cast("long").alias("k"), "e.value")
-    ends.unionByName(body).repartitionById(files, F.col("file")).sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(path)
+    lines = ends.unionByName(body).repartitionById(files, F.col("file")).sortWithinPartitions("part", "k", "value")
+    # a file is a partition, so a line's number in it says whether a feature comes before
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    comma = (number > 1) & (F.col("part") == 1)  # in this order, as a number is given where it is asked for
+    lines.select(F.when(comma, F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value")).write.mode("overwrite").text(path)
 
 
 def merge(spark, paths: list[str], out: str, class_key: str = "class") -> None:

@@ -1,21 +1,23 @@
 """LAS point clouds as a Spark data source: fixed-width records, so one file is read by many tasks.
 
-``spark.read.format("las").load(path)``; options ``records`` (records of a partition).
-Files of a folder that all executors have mounted are split; ``read_points`` reads those of other file systems through
+``spark.read.format("las").load(path)``; options ``records`` (records of a partition) and ``maxPoints`` (the first so many,
+file after file in the order of their names). A filter on x, y or z leaves out files whose header's box it excludes, if the
+session allows pushdown to Python sources (``read_points`` does). Files of a folder that all executors have mounted are split; ``read_points`` reads those of other file systems through
 Spark, a file in a task. LAZ isn't read.
 """
 
 from __future__ import annotations
 
 import glob
+import math
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "path string, x double, y double, z double, intensity float, return_number tinyint, classification tinyint"
 _HEAD = struct.Struct("<4sHHIHH8sBB32s32sHHHIIBHI5I12d")
@@ -94,17 +96,41 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.step = options["path"], int(options.get("records", 1_000_000))
-        if self.step <= 0:
-            raise ValueError("records is positive")
+        self.most = int(options["maxpoints"]) if "maxpoints" in options else None
+        self.low, self.high = dict.fromkeys("xyz", -math.inf), dict.fromkeys("xyz", math.inf)
+        if self.step <= 0 or (self.most is not None and self.most < 0):
+            raise ValueError("records is positive and maxPoints not negative")
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Bounds on x, y and z choose files; Spark still applies every filter to the points."""
+        for f in filters:
+            if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual) and f.attribute[0] in self.low:
+                axis = f.attribute[0]
+                if not isinstance(f, LessThan | LessThanOrEqual):
+                    self.low[axis] = max(self.low[axis], f.value)
+                if not isinstance(f, GreaterThan | GreaterThanOrEqual):
+                    self.high[axis] = min(self.high[axis], f.value)
+            yield f
+
+    def _meets(self, h: Header) -> bool:
+        return all(h.minima[k] <= self.high[a] and h.maxima[k] >= self.low[a] for k, a in enumerate("xyz"))
 
     def partitions(self) -> list[_Part]:
         path = self.path.removeprefix("file://").removeprefix("file:")
         files = sorted(glob.glob(f"{path}/**/*.las", recursive=True)) if os.path.isdir(path) else [path]
         if not files or not os.path.exists(files[0]):
             raise FileNotFoundError(self.path)
-        return [_Part(h, a, min(self.step, h.count - a)) for h in map(read_header, files) for a in range(0, h.count, self.step)]
-
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        out, left = [], math.inf if self.most is None else self.most
+        for h in map(read_header, files):
+            n = int(min(h.count, left))
+            left -= n
+            if self._meets(h):
+                out += [_Part(h, a, min(self.step, n - a)) for a in range(0, n, self.step)]
+        return out
+
+    def read(self, part: _Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no partition at all
+            return
         for a in range(part.first, part.first + part.n, 100_000):
             got = read_range(part.header, a, min(100_000, part.first + part.n - a))
             yield pa.record_batch([pa.array([part.header.path] * len(got["x"])), *map(pa.array, got.values())], ["path", *got])
@@ -138,14 +164,20 @@ def _through_spark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def read_points(spark, path: str, records: int = 1_000_000, z_unit: str = "meters", max_points: int | None = None):
-    """Points of a file or of all ``.las`` files below a folder, heights in metres; ``max_points`` keeps so many of them."""
+    """Points of a file or of all ``.las`` files below a folder, heights in metres; ``max_points`` keeps the first so many, file after file in the order of their names.
+
+    Of other file systems than a mounted one a file is read by one task, and ``max_points`` isn't taken there.
+    """
     if z_unit not in Z_UNITS:
         raise ValueError(f"unknown unit of height: {z_unit}")
     if "://" in path and not path.startswith("file:"):
+        if max_points is not None:
+            raise ValueError("max_points needs files of a mounted folder")
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.las").load(path)
         found = files.select("path", "content").mapInArrow(_through_spark, SCHEMA)
     else:
         spark.dataSource.register(LasSource)
-        found = spark.read.format("las").option("records", records).load(path)
-    found = found if z_unit == "meters" else found.withColumn("z", found["z"] * Z_UNITS[z_unit])
-    return found if max_points is None else found.limit(max_points)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        reader = spark.read.format("las").option("records", records)
+        found = (reader if max_points is None else reader.option("maxPoints", max_points)).load(path)
+    return found if z_unit == "meters" else found.withColumn("z", found["z"] * Z_UNITS[z_unit])
