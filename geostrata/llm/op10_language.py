@@ -14,8 +14,9 @@ Predictions never see lang, source or doc_id.
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a null
 doc_id counts as held out; with one learned language all texts get it with score 1, with
 none all are ``und``; an empty table gives no rows; further columns are ignored. As a
-filter (``keep_known``) only texts without a letter are rejected: without any label to
-learn from, documents with letters stay.
+filter (``keep_known``) what has no letter, another language than those asked for, or letters
+enough and yet no clear language is rejected; without any label to learn from, documents
+with letters stay.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ FEATURES = 4_096
 ORDERS = (1, 2, 3)
 #: A lead of the best language over the next below this is marked ambiguous.
 LEAD = 0.1
+#: A text with so many letters that is still ambiguous has no known language.
+SURE_LETTERS = 40
 SEED = 11
 UNKNOWN = "und"
 
@@ -196,17 +199,33 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return small_batches(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have letters and so, where any could be learned, a language, with all their columns."""
+def keep_known(docs: DataFrame, languages: tuple[str, ...] | None = None, sure_letters: int = SURE_LETTERS) -> DataFrame:
+    """The rows of docs whose language is known, with all their columns; where lang is null it becomes the prediction.
+
+    A text without a letter goes, one whose prediction isn't in ``languages`` (None: all that are learned), and one of at
+    least ``sure_letters`` letters that is still ambiguous: shorter texts can't be told apart so well and stay. What a
+    language is called doesn't matter. Without any label to learn from all texts with letters stay.
+    """
     model = train(docs)
     if model is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
 
-    @F.pandas_udf("string")
-    def language(texts: pd.Series) -> pd.Series:
-        return pd.Series(classify([t if isinstance(t, str) else "" for t in texts], model)[0], index=texts.index)
-
-    return small_batches(docs).where(language(F.col("text").cast("string")) != UNKNOWN)
+    @F.pandas_udf("kept boolean, lang string")
+    def decided(texts: pd.Series) -> pd.DataFrame:
+        held = [t if isinstance(t, str) else "" for t in texts]
+        names, score, lead = classify(held, model)
+        letters = score > 0
+        if languages is not None:
+            letters &= np.isin(np.array(names, object), languages)
+        for k in np.flatnonzero(letters & (lead < LEAD)):
+            letters[k] = sum(map(str.isalpha, held[k])) < sure_letters
+        return pd.DataFrame({"kept": letters, "lang": names}, index=texts.index)
+
+    # not deterministic for the planner: else the filter and the column would each classify
+    found = small_batches(docs).withColumn("__language", decided.asNondeterministic()(F.col("text").cast("string"))).where("__language.kept")
+    if "lang" in docs.columns:
+        found = found.withColumn("lang", F.coalesce("lang", F.col("__language.lang").cast(dict(docs.dtypes)["lang"])))
+    return found.drop("__language")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -342,3 +343,25 @@ def test_language_odd_cases(docs_of, odd_rows):
     assert [r["lang_pred"] for r in op10_language.predict(docs_of([(1, "abc")]), None).collect()] == ["und"]
     one = docs_of([(k, "some words", "en") for k in range(40)])
     assert {(r["lang_pred"], r["score"]) for r in op10_language.predict(one, op10_language.train(one)).collect()} == {("en", 1.0)}
+
+
+def test_language_stage_decides_by_prediction(spark, docs_of):
+    r = random.Random(1)
+    english, french = "the cat and the dog were there with which they would think that".split(), "le chat et les chiens qui sont ici avec des gens pour une maison".split()
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(k, say(english, 30), "und") for k in range(200)] + [(1000 + k, say(french, 30), "fr") for k in range(200)]
+    rows += [(5000, say(french, 40), None), (5001, "1234 --", "fr"), (5002, None, "fr"), (5003, "a", "fr")]
+    docs = docs_of(rows)
+    kept = op10_language.keep_known(docs)
+    got = {x["doc_id"]: x["lang"] for x in kept.collect()}
+    assert kept.columns == docs.columns and set(got) >= {*range(200), *range(1000, 1200), 5000, 5003} and not set(got) & {5001, 5002}
+    assert got[5000] == "fr" and got[7] == "und"
+    asked = {x["doc_id"] for x in op10_language.keep_known(docs, languages=("fr",)).collect()}
+    assert {*range(1000, 1200), 5000} <= asked and not asked & set(range(200))
+    # texts of both languages in equal parts: what the classifier can't decide goes where it has letters enough
+    mixed = [" ".join(x for pair in zip(r.choices(english, k=n), r.choices(french, k=n), strict=True) for x in pair) for n in (2, 30) * 100]
+    rows = rows[:400] + [(9000 + k, t, None) for k, t in enumerate(mixed)]
+    both = docs_of(rows)
+    names, _, lead = op10_language.classify([t for _, t, _ in rows], op10_language.train(both))
+    want = {i for (i, t, _), x in zip(rows, lead, strict=True) if x >= op10_language.LEAD or sum(map(str.isalpha, t)) < op10_language.SURE_LETTERS}
+    assert {x["doc_id"] for x in op10_language.keep_known(both).collect()} == want and len(rows) - 150 < len(want) < len(rows) and set(names) == {"und", "fr"}
