@@ -14,7 +14,7 @@ from geostrata.llm.text import scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, whatever language they get; null and blank texts go, and without any label to learn from documents with letters stay."""
+    """Documents whose language is known, which fills a null lang; without letters, or with forty of them and still ambiguous, they go. Without any label to learn from documents with letters stay."""
     return op10_language.keep_known(docs)
 
 
