@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distance import nearest_donors
 from ..functions.shared import cut
 from ..functions.stars import components
 from ..functions.window2d import box_mean, box_means, convolve, extreme, gaussian_weights, gradient, laplace, neighbours, second, weighted
@@ -16,6 +20,10 @@ from ..views import DENSE, full_grid, points
 from .cells import bin_points, with_cells
 
 
+#: Raster rows that a task of ``fill_nearest`` holds at a time.
+ROWS_OF_GROUP = 16
+
+
 def _donors(holes: DataFrame, known: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """*keys, hrow, hcol, d2, row, col and the known values within radius of each hole."""
     r, square = math.ceil(radius), float(radius) * radius
@@ -30,30 +38,44 @@ def _donors(holes: DataFrame, known: DataFrame, radius: float, keys: tuple[str,
 def fill_nearest(cells: DataFrame, values: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """cells(*keys, row, col, *values), one row for each cell of a raster, with nulls of the first value (and the others there) taken from the nearest cell that has it, however far; ties by row, then column. Without any such cell they stay null. Adds observed.
 
-    Along each column the nearest known cell is found by windows. A hole's donor then is the donor of its own row's
-    columns, and the distance along its row or column bounds how far those can lie.
+    Along each column the nearest known cell is found by windows. The donor of a hole then is the donor of one of its
+    row's columns, found for whole rows at once in time W log W (see ``functions.distance``). Nothing is exploded or
+    joined: every cell is shuffled by its column and by its row.
     """
     k = list(keys)
-    held = F.struct(F.col("row").alias("drow"), F.col("col").alias("dcol"), *values)
+    held = F.struct(F.col("row").alias("drow"), *values)
     marked = cells.withColumn("__own", F.when(F.col(values[0]).isNotNull(), held))
-    seen = lambda by, order: F.last("__own", ignorenulls=True).over(Window.partitionBy(*k, by).orderBy(order))
-    marked = marked.withColumns({"__below": seen("col", F.asc("row")), "__above": seen("col", F.desc("row"))})
-    marked = marked.withColumns({"__west": seen("row", F.asc("col")), "__east": seen("row", F.desc("col"))})
+    seen = lambda order: F.last("__own", ignorenulls=True).over(Window.partitionBy(*k, "col").orderBy(order))
+    below, above = seen(F.asc("row")), seen(F.desc("row"))
+    marked = marked.withColumns({"__below": below, "__above": above})
     up = F.col("__below").isNull() | (F.col("__above")["drow"] - F.col("row") < F.col("row") - F.col("__below")["drow"])
     marked = marked.withColumn("__donor", F.when(F.coalesce(up, F.lit(False)), F.col("__above")).otherwise(F.col("__below")))
-    marked = cut(marked)
-    none = F.lit(1 << 30)
-    reach = F.least(F.abs(F.col("__donor")["drow"] - F.col("row")), F.coalesce(F.col("col") - F.col("__west")["dcol"], none), F.coalesce(F.col("__east")["dcol"] - F.col("col"), none), none)
-    holes = marked.where(F.col("__own").isNull()).select(*k, "row", "col", reach.alias("reach"))
-    ends = marked.groupBy(*k, "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    holes = holes.join(ends, [*k, "row"]).withColumn("dcol", F.explode(F.sequence(F.greatest("c0", F.col("col") - F.col("reach")), F.least("c1", F.col("col") + F.col("reach")))))
-    given = marked.where(F.col("__donor").isNotNull()).select(*k, "row", F.col("col").alias("dcol"), F.col("__donor").alias("donor"))
-    dr, dc = (F.col("donor")["drow"] - F.col("row")).cast("long"), (F.col("dcol") - F.col("col")).cast("long")
-    place = F.struct((dr * dr + dc * dc).alias("d2"), F.col("donor")["drow"].alias("drow"), "dcol")
-    best = holes.join(given, [*k, "row", "dcol"]).groupBy(*k, "row", "col").agg(F.min_by("donor", place).alias("donor"))
-    own = F.col("__own").isNotNull()
-    filled = marked.join(best, [*k, "row", "col"], "left")
-    return filled.select(*(F.when(own, F.col(c)).otherwise(F.col("donor")[c]).alias(c) if c in values else c for c in cells.columns), own.alias("observed"))
+    marked = marked.select(*cells.columns, F.col("__own").isNotNull().alias("observed"), F.col("__donor")["drow"].cast("long").alias("__drow"), *(F.col("__donor")[v].alias(f"__of_{v}") for v in values))
+    names = [*cells.columns, "observed"]
+    schema = ", ".join(f"`{c}` {dict(marked.dtypes)[c]}" for c in names)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([(c, "ascending") for c in (*keys, "row", "col")])
+        rows, cols = (part.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        drow = part.column("__drow").to_numpy(zero_copy_only=False)
+        ends = [np.flatnonzero(rows[1:] != rows[:-1]) + 1]
+        for c in keys:
+            code = pc.dictionary_encode(part.column(c).combine_chunks(), null_encoding="encode").indices.to_numpy()
+            ends.append(np.flatnonzero(code[1:] != code[:-1]) + 1)
+        cuts = np.unique(np.concatenate(([0], *ends, [len(rows)])))
+        source = np.full(len(rows), -1, np.int64)
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            given = np.flatnonzero(~np.isnan(drow[i:j].astype(float)))
+            if len(given):
+                best = nearest_donors(cols[i:j], rows[i], cols[i:j][given], drow[i:j][given].astype(np.int64))
+                source[i:j] = given[best] + i
+        take = pa.array(source, mask=source < 0)
+        out = {c: part.column(c) for c in names}
+        for v in values:
+            out[v] = pc.if_else(part.column("observed"), part.column(v), part.column(f"__of_{v}").take(take))
+        return pa.table(out)
+
+    return marked.groupBy(*k, F.floor(F.col("row") / ROWS_OF_GROUP).alias("__rows")).applyInArrow(run, schema)
 
 
 def fill_idw(cells: DataFrame, value: str, max_dist: float | None, k: int = 8, power: float = 2.0, keys: tuple[str, ...] = (), only: str | None = None) -> DataFrame:
