@@ -16,7 +16,7 @@ from .text import spread_join, through_files
 def _with_least(edges: DataFrame, label: str) -> DataFrame:
     """edges(u, v) with ``m``, the smallest of u and its neighbours."""
     least = through_files(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), label)
-    return spread_join(edges, least, ["u"], "n", edges.count())
+    return spread_join(edges, least, ["u"], "n")
 
 
 def _large_star(edges: DataFrame, label: str) -> DataFrame:

@@ -118,7 +118,7 @@ def small_links(sets: DataFrame, below: int, similarity: int) -> DataFrame:
     keys = through_files(small_batches(sets).mapInArrow(run, "key binary, doc long, side int"), "join-subsets")
     stars = keys.groupBy("key").agg(F.min("doc").alias("v"), F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
     stars = through_files(stars.where("n > 1 and (low = 0 or low < high)").select("key", "v", "n"), "join-stars")
-    return spread_join(keys, stars, ["key"], "n", keys.count()).where("doc <> v").select(F.col("doc").alias("u"), "v").distinct()
+    return spread_join(keys, stars, ["key"], "n").where("doc <> v").select(F.col("doc").alias("u"), "v").distinct()
 
 
 def prefix_length(n: np.ndarray, similarity: int) -> np.ndarray:

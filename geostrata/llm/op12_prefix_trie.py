@@ -55,7 +55,7 @@ def rebuild(turns: DataFrame, family: int = FAMILY, heads: int = HEADS) -> tuple
     convs = through_files(convs.select("conv_id", "own", "h", "base", "take"), "trie-convs")
     first = turns.where((F.col("pos") < heads) & (F.col("conv_id") % family == 0)).select(F.col("conv_id").alias("base"), F.col("pos").alias("depth"), "digest", "words")
     head = convs.join(first, "base").where("depth <= take").select("conv_id", "depth", "digest", "words")
-    own = spread_join(turns, convs.select("conv_id", "own", "h", "take"), ["conv_id"], "own", turns.count())
+    own = spread_join(turns, convs.select("conv_id", "own", "h", "take"), ["conv_id"], "own")
     rest = own.where("pos > h").select("conv_id", (F.col("pos") - F.col("h") + F.col("take")).alias("depth"), "digest", "words")
     return convs.select("conv_id", (F.col("take") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("n")), through_files(head.unionByName(rest), "trie-rebuilt")
 
@@ -79,11 +79,11 @@ def roll_up(nodes: DataFrame, deepest: int, values: tuple[str, ...]) -> DataFram
         up = through_files(live.groupBy("ptr").agg(*(F.sum(v).alias(v) for v in values), F.count("*").alias("n")), "trie-up")
         found, reach = found.unionByName(up.select(F.col("ptr").alias("node"), *values)), 2 * reach
         if reach <= deepest:
-            further = up.select("ptr", "n").join(live.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr")
+            further = through_files(up.select("ptr", "n").join(live.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr"), "trie-further")
             got = up.select(F.col("ptr").alias("node"), *(F.col(v).alias(f"__{v}") for v in values))
             deep = live.where(F.col("depth") >= reach)  # a pointer of the others names a root or less
             grown = deep.join(got, "node", "left").select("node", "ptr", "depth", *((F.col(v) + F.coalesce(f"__{v}", F.lit(0))).alias(v) for v in values))
-            moved = spread_join(grown, further, ["ptr"], "n", up.agg(F.sum("n")).first()[0] or 0)
+            moved = spread_join(grown, further, ["ptr"], "n")
             live = through_files(moved.select("node", F.col("next").alias("ptr"), "depth", *values), "trie-live")
     return found.groupBy("node").agg(*(F.sum(v).alias(v) for v in values))
 
@@ -111,11 +111,11 @@ def prefix_trie(conversations: DataFrame, family: int = FAMILY, heads: int = HEA
     nodes = nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
     nodes = nodes.withColumns({"saved_tokens": (F.col("n_convs") - 1) * F.col("words"), "n_leaves": (F.col("n_children") == 0).cast("long")})
     nodes = through_files(nodes, "trie-base")
-    facts = nodes.agg(F.max("depth").alias("deepest"), F.count("*").alias("n")).first()
-    sums = roll_up(nodes, facts["deepest"] or 0, ("n_leaves", "saved_tokens"))
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    sums = roll_up(nodes, deepest, ("n_leaves", "saved_tokens"))
     above = nodes.where("n_children > 0").select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"), "n_children")
     below = nodes.where("parent is not null").select("node", "parent")
-    named = spread_join(below, above, ["parent"], "n_children", facts["n"]).select("node", "parent_conv_id")
+    named = spread_join(below, above, ["parent"], "n_children").select("node", "parent_conv_id")
     out = nodes.drop("n_leaves", "saved_tokens").join(sums, "node").join(named, "node", "left").join(ends(rows, convs), "node", "left")
     empty = F.sha2(F.lit("").cast("binary"), 256)
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", empty).alias("ends_sha256"), "node", "parent")

@@ -22,7 +22,6 @@ initial, so such a row is never kept; an empty table gives no rows; further colu
 
 from __future__ import annotations
 
-import duckdb
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,6 +81,8 @@ _WALKED = "conv string, seg long, entry int, state int, cost long, audit string,
 
 def walk(part: pa.Table) -> pa.Table:
     """Least cost, audit and edits of every segment of ``part(conv, seg, k, initial, fault)`` from each state to each state."""
+    import duckdb  # only in the workers: the driver needs none of it
+
     con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
     try:
         con.register("part", part)
@@ -179,7 +180,7 @@ def _repaired(every: DataFrame, rows: DataFrame, batch_rows: int) -> DataFrame:
     walks = through_files(part.groupBy("batch").applyInArrow(walk, _WALKED), "repair-walks")
     segments = F.ceil(F.col("n") / SEGMENT)
     many = turns.where(segments > 1).select("conv", "n")
-    long_ = through_files(spread_join(walks, many, ["conv"], "n", total), "repair-long").drop("n") if (facts["longest"] or 0) > SEGMENT else None
+    long_ = through_files(spread_join(walks, many, ["conv"], "n"), "repair-long").drop("n") if (facts["longest"] or 0) > SEGMENT else None
     short = walks.join(turns.where(segments == 1).select("conv"), "conv", "left_semi") if long_ is not None else walks
     best = F.struct("cost", "audit", "made", F.lit("").alias("path")).alias("best")
     whole = short.select("conv", "state", best)

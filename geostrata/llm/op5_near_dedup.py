@@ -150,7 +150,7 @@ def _linked(similarity: int):
 def verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The ``pairs(u, v)`` that are linked on full sets. The set of a v with many pairs is copied, so they meet it in several tasks."""
     counts = through_files(pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / PAIRS_OF_COPY)), "near-counts")
-    dealt = spread_join(pairs, counts, ["v"], "n", pairs.count()).select("u", "v", F.pmod(F.xxhash64("u"), "copies").alias("copy"))
+    dealt = spread_join(pairs, counts, ["v"], "n").select("u", "v", F.pmod(F.xxhash64("u"), "copies").alias("copy"))
     left = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("su"))
     right = sets.join(counts, sets["doc"] == counts["v"]).select("v", F.col("shingles").alias("sv"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     joined = dealt.join(left, "u").join(right, ["v", "copy"])
@@ -205,7 +205,7 @@ def _exact_rest(members: DataFrame, comps: DataFrame, sets: DataFrame, sizes: Da
     own = through_files(own, "near-members")
     mixed = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("doc").alias("first"), F.count("*").alias("n")).where("a <> b")
     mixed = through_files(mixed.select("key", "first", "n"), "near-mixed")
-    open_ = through_files(spread_join(own, mixed, ["key"], "n", own.count()).select("doc", "comp", "first").distinct(), "near-open")
+    open_ = through_files(spread_join(own, mixed, ["key"], "n").select("doc", "comp", "first").distinct(), "near-open")
     if open_.isEmpty():
         return None
     groups = connected_components(open_.select(F.col("doc").alias("u"), F.col("first").alias("v")), "near-groups")
@@ -234,7 +234,7 @@ def linked_components(docs: DataFrame, keys: DataFrame, sizes: DataFrame, words:
     """Steps 3 and 4: ``node, component`` of the documents of ``sizes(doc, n_shingles)`` from tables ``keys(key, doc)`` that hold all pairs which may link, and ``known(u, v)`` links."""
     leaders = keys.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
     leaders = through_files(leaders.join(sizes.select(F.col("doc").alias("leader"), F.col("n_shingles").alias("n_v")), "leader"), "near-leaders")
-    members = through_files(spread_join(keys, leaders, ["key"], "n", keys.count()), "near-tables")
+    members = through_files(spread_join(keys, leaders, ["key"], "n"), "near-tables")
 
     stars = members.where("doc <> leader").groupBy("doc", "leader").agg(F.min("n").alias("n"), F.min("n_v").alias("n_v"))
     turn = F.row_number().over(Window.partitionBy("doc").orderBy("leader"))

@@ -43,16 +43,19 @@ def through_files(df: DataFrame, label: str, partition_by: list[str] | None = No
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A key is heavy from this share of all rows on: one in so many. There are fewer heavy keys than that.
-HEAVY_SHARE = 1000
+#: A key is heavy from this share of all rows on, one in so many, and from HEAVY_LEAST rows. There are fewer heavy keys than HEAVY_SHARE.
+HEAVY_SHARE, HEAVY_LEAST = 1000, 500
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """``many`` joined with ``one``, which has one row for each key and in ``count`` how many of the ``total`` rows of many have it.
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``many`` joined with ``one``, a written table that has one row for each key and in ``count`` how many rows of many have it.
 
     Heavy keys, fewer than ``HEAVY_SHARE``, are broadcast, so their rows stay where they are; the rest is shuffled.
     """
-    large = F.col(count) * HEAVY_SHARE > total
+    facts = one.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    if (facts["most"] or 0) < HEAVY_LEAST or facts["most"] * HEAVY_SHARE <= facts["total"]:
+        return many.join(one, keys)
+    large = (F.col(count) * HEAVY_SHARE > facts["total"]) & (F.col(count) >= HEAVY_LEAST)
     heavy = one.where(large)
     rest = many.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(one.where(~large), keys)
     return many.join(F.broadcast(heavy), keys).unionByName(rest)
