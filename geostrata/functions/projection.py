@@ -28,9 +28,14 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / EARTH), F.degrees(2 * F.atan(F.exp(y / EARTH)) - F.lit(math.pi / 2))
 
 
-def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
-    """EPSG:4326 to UTM easting and northing."""
-    phi, lam = F.radians(lat), F.radians(lon) - math.radians(zone * 6 - 183)
+def utm_zone(lon: Column) -> Column:
+    """Number of the UTM zone of a longitude."""
+    return (F.floor((lon + 180) / 6) + 1).cast("int")
+
+
+def utm(lon: Column, lat: Column, zone: int | Column, south: bool | Column = False) -> tuple[Column, Column]:
+    """EPSG:4326 to UTM easting and northing; zone and south are values or columns."""
+    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     c = 2 * math.sqrt(_N) / (1 + _N)
     s = F.sin(phi)
     t = F.sinh(F.atanh(s) - c * F.atanh(c * s))
@@ -39,7 +44,8 @@ def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Colum
     for j, a in enumerate(_ALPHA, 1):
         x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500_000 + 0.9996 * _A * x, (10_000_000 if south else 0) + 0.9996 * _A * y
+    false_north = F.when(south, 10_000_000).otherwise(0) if isinstance(south, Column) else 10_000_000 if south else 0
+    return 500_000 + 0.9996 * _A * x, false_north + 0.9996 * _A * y
 
 
 def from_utm(east: Column, north: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
@@ -67,6 +73,17 @@ def to_lon_lat(epsg: int, x: Column, y: Column) -> tuple[Column, Column]:
     raise ValueError(f"unsupported coordinate system: EPSG:{epsg}")
 
 
+def from_lon_lat(epsg: int, lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Longitude and latitude to EPSG:4326, 3857, 326zz, 327zz or 258zz."""
+    if epsg == 4326:
+        return lon, lat
+    if epsg == 3857:
+        return mercator(lon, lat)
+    if epsg // 100 in (326, 327, 258) and 1 <= epsg % 100 <= 60:
+        return utm(lon, lat, epsg % 100, epsg // 100 == 327)
+    raise ValueError(f"unsupported coordinate system: EPSG:{epsg}")
+
+
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * MEAN_EARTH_KM * F.asin(F.sqrt(a))
