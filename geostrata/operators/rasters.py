@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import shared
 from ..functions.window2d import extreme
-from ..model import GRID, Grid
+from ..model import BROADCAST_SITES, GRID, Grid
 from ..views import DENSE, INSIDE, POINTS, full_grid, points
 from .cells import bin_points, with_cells
 from .terrain import elevation
@@ -73,8 +74,10 @@ def estimate_shifts(reference: DataFrame, layers: DataFrame, max_shift: int, gri
     arrays, so a lag is one dot product for each pair of rows; equal peaks go to the smallest shift.
     """
     both = layers.join(reference.select("row", "col", F.col("value").alias("va")), ["row", "col"]).where("va is not null and value is not null")
-    own = Window.partitionBy("layer")
-    centred = both.select("layer", "row", "col", (F.col("va") - F.avg("va").over(own)).alias("a"), (F.col("value") - F.avg("value").over(own)).alias("b"))
+    means = shared.cut(both.groupBy("layer").agg(F.avg("va").alias("ma"), F.avg("value").alias("mb")))
+    if means.count() <= BROADCAST_SITES:  # two numbers a layer
+        means = F.broadcast(means)
+    centred = both.join(means, "layer").select("layer", "row", "col", (F.col("va") - F.col("ma")).alias("a"), (F.col("value") - F.col("mb")).alias("b"))
     line = centred.groupBy("layer", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct("a", "b")))).alias("m"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"), F.count("*").alias("n"))
     width = F.sequence(F.lit(0), F.lit(grid.width - 1))
     of = lambda name: F.transform(width, lambda c: F.coalesce(F.try_element_at("m", c)[name], F.lit(0.0)))
