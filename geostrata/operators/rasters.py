@@ -244,7 +244,7 @@ def q_stretch(spark, sf_dir):
 
 def _dem(spark, sf_dir):
     """The elevation model; it is kept, as some queries read it twice."""
-    return elevation(points(spark, sf_dir)).select("row", "col", F.col("z").alias("value")).cache()
+    return shared.cut(elevation(points(spark, sf_dir)).select("row", "col", F.col("z").alias("value")))
 
 
 def q_shift(spark, sf_dir):

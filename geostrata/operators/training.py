@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import projection
+from ..functions import projection, shared
 from ..model import GRID, Grid
 from ..views import DENSE, OBJECTS, points, table, truths
 from .matching import outlines, rasterize
@@ -164,7 +164,7 @@ def q_split_peaks(spark, sf_dir):
 
 
 def q_alignment(spark, sf_dir):
-    dem = elevation(points(spark, sf_dir)).select("row", "col", F.col("z").alias("value")).cache()
+    dem = shared.cut(elevation(points(spark, sf_dir)).select("row", "col", F.col("z").alias("value")))
     other = dem.withColumn("value", F.pmod(F.xxhash64("row", "col"), F.lit(1000)).cast("double"))
     found = check_alignment({"dtm": dem, "moved": apply_shift(dem, -2, 1), "noise": other}, "dtm", 3)
     return found.select("layer", "dx", "dy", (F.col("confidence") > 0.9).alias("sure"))
