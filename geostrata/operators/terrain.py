@@ -18,6 +18,7 @@ from ..functions.window2d import box_mean, box_means, convolve, extreme, gaussia
 from ..model import GRID, Frame
 from ..views import DENSE, full_grid, points
 from .cells import bin_points, with_cells
+from .nearest import k_nearest
 
 
 #: Raster rows that a task of ``fill_nearest`` holds at a time.
@@ -81,32 +82,16 @@ def fill_nearest(cells: DataFrame, values: list[str], keys: tuple[str, ...] = ()
 def fill_idw(cells: DataFrame, value: str, max_dist: float | None, k: int = 8, power: float = 2.0, keys: tuple[str, ...] = (), only: str | None = None) -> DataFrame:
     """Nulls (those that the boolean column ``only`` names, if given) become the inverse-distance mean of the k nearest cells with a value, of fewer if there are fewer; ties by row, then column. Adds observed.
 
-    A hole whose nearest cell lies beyond max_dist cells stays null (None: none does). Holes that find fewer than k cells
-    within a radius search again within twice that radius.
+    A hole whose nearest cell lies beyond max_dist cells stays null (None: none does). The k nearest come from a pyramid of
+    blocks (see ``nearest.k_nearest``), so a hole meets k cells times a constant however large the gap is.
     """
     whole = [*keys, "row", "col"]
-    known = cells.where(F.col(value).isNotNull()).select(*whole, value)
+    cells = cut(cells)
+    known = cells.where(F.col(value).isNotNull()).select(*whole, F.col(value).alias("__v"))
     holes = cells.where(F.col(value).isNull() & (F.col(only) if only else F.lit(True))).select(*whole)
-    span = lambda c: F.max(c) - F.min(c)
-    extent = cells.groupBy(*keys).agg(F.hypot(span("row"), span("col")).alias("d")).agg(F.max("d")).first()[0] or 0.0
-    radius, found = 4.0 if max_dist is None else float(max_dist), []
-    place = F.row_number().over(Window.partitionBy(*keys, "hrow", "hcol").orderBy("d2", "row", "col"))
     weight = 1 / (F.col("d2") if power == 2 else F.pow("d2", F.lit(power / 2)))
-    while True:
-        ranked = _donors(holes, known, radius, keys).withColumn("k", place).where(F.col("k") <= k)
-        near = ranked.groupBy(*keys, "hrow", "hcol").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("filled"), F.count("*").alias("n"))
-        near = cut(near.withColumnsRenamed({"hrow": "row", "hcol": "col"}))
-        last = radius >= extent
-        found.append(near.where(F.lit(last) | (F.col("n") >= k)).drop("n"))
-        short = near.where(F.col("n") < k).select(*whole)
-        # beyond max_dist only holes that have a cell within it go on
-        holes = short if max_dist is not None else holes.join(near.where(F.col("n") >= k).select(*whole), whole, "left_anti")
-        if last or holes.isEmpty():
-            break
-        radius *= 2
-    filled = found[0]
-    for more in found[1:]:
-        filled = filled.unionByName(more)
+    near = k_nearest(holes, known, k, keys, max_dist)
+    filled = near.groupBy(*whole).agg((F.sum(weight * F.col("__v")) / F.sum(weight)).alias("filled"))
     joined = cells.join(filled, whole, "left")
     return joined.withColumn("observed", F.col(value).isNotNull()).withColumn(value, F.coalesce(value, "filled")).drop("filled")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import projection, shared
 from ..model import GRID, Grid
 from ..views import DENSE, OBJECTS, points, table, truths
+from .geometry import split_by_peaks
 from .matching import outlines, rasterize
 from .rasters import apply_shift, estimate_shifts, tile_cells, tile_index
 from .terrain import elevation
@@ -92,14 +93,6 @@ def tile_flags(pixels: DataFrame, seg: list[str], hm: list[str]) -> DataFrame:
     return pixels.groupBy("tile_id").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.max(hit).alias("positive"))
 
 
-def split_by_peaks(cells: DataFrame, peaks: DataFrame) -> DataFrame:
-    """cells(part, row, col) with the nearest of ``peaks(part, peak, prow, pcol)`` of their part; ties go to the lowest peak, a part with fewer than two peaks is one."""
-    d2 = F.pow(F.col("row") - F.col("prow"), 2) + F.pow(F.col("col") - F.col("pcol"), 2)
-    counted = peaks.withColumn("n", F.count("*").over(Window.partitionBy("part"))).where("n > 1")
-    near = cells.join(counted, "part").groupBy("part", "row", "col").agg(F.min_by("peak", F.struct(d2.alias("d2"), "peak")).alias("peak"))
-    return cells.join(near, ["part", "row", "col"], "left").withColumn("peak", F.coalesce("peak", F.lit(1)))
-
-
 def check_alignment(layers: dict[str, DataFrame], reference: str, max_shift: int, least: float = 0.3, grid: Grid = GRID) -> DataFrame:
     """layer, dx, dy, confidence of each layer against the reference; below the least confidence the shift is 0."""
     long = None
