@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shared
 from ..functions.window2d import extreme
-from ..model import BROADCAST_SITES, GRID, Grid
+from ..model import BROADCAST_SITES, GRID, Frame, Grid
 from ..views import DENSE, INSIDE, POINTS, full_grid, points
 from .cells import bin_points, with_cells
 from .terrain import elevation
@@ -205,24 +205,26 @@ def peaks(cells: DataFrame, threshold: float, window: int, keys: tuple[str, ...]
 
     def refined(axis: str, across: str) -> Column:
         line = Window.partitionBy(*keys, across).orderBy(axis)
-        a, b, c = (F.ln(F.greatest(v, F.lit(1e-12))) for v in (F.coalesce(F.lag("value").over(line), F.col("value")), F.col("value"), F.coalesce(F.lead("value").over(line), F.col("value"))))
+        before, after = F.lag("value").over(line), F.lead("value").over(line)
+        a, b, c = (F.ln(F.greatest(v, F.lit(1e-12))) for v in (before, F.col("value"), after))
         bend = a - 2 * b + c
-        return F.when(bend < 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (a - c) / bend))).otherwise(0.0)
+        inner = before.isNotNull() & after.isNotNull()  # at an edge the cell's centre stays
+        return F.when(inner & (bend < 0), F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (a - c) / bend))).otherwise(0.0)
 
     out = out.withColumns({"sub_col": F.col("col") + refined("col", "row"), "sub_row": F.col("row") + refined("row", "col")})
     return out.where((F.col("value") >= F.col("top")) & (F.col("value") >= threshold)).select(*keys, "row", "col", "value", "sub_row", "sub_col")
 
 
-def close_mask(cells: DataFrame, value: str, rounds: int, grid: Grid = GRID) -> DataFrame:
+def close_mask(cells: DataFrame, value: str, rounds: int, grid: Frame = GRID) -> DataFrame:
     """Adds closed: dilation and erosion by 3 x 3, outside counting as false, on dense cells."""
-    out = cells.withColumn("closed", F.col(value).cast("int"))
+    out = grid.attach(cells.withColumn("closed", F.col(value).cast("int")))
     for _ in range(rounds):
-        out = extreme(out, "closed", "closed", 1, True)
+        out = extreme(out, "closed", "closed", 1, True, grid.keys)
     for _ in range(rounds):
-        out = extreme(out, "closed", "closed", 1, False)
+        out = extreme(out, "closed", "closed", 1, False, grid.keys)
         edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == grid.height - 1) | (F.col("col") == grid.width - 1)
         out = out.withColumn("closed", F.when(edge, 0).otherwise(F.col("closed")))
-    return out
+    return grid.detach(out)
 
 
 # -- queries ----------------------------------------------------------------
@@ -336,9 +338,9 @@ _FRAC = "(0.25 + (t.{0} + 0.5) * 2.5 - 0.5)::DOUBLE"
 _LOG = "ln(greatest({0}, 1e-12::DOUBLE))"
 
 
-def _sub(axis: str, a: str, c: str) -> str:
-    a, b, c = (_LOG.format(v) for v in (a, "z", c))
-    return f"{axis} + CASE WHEN {a} - 2 * {b} + {c} < 0 THEN greatest(-0.5, least(0.5, 0.5 * ({a} - {c}) / ({a} - 2 * {b} + {c}))) ELSE 0 END"
+def _sub(axis: str, before: str, after: str) -> str:
+    a, b, c = (_LOG.format(v) for v in (before, "z", after))
+    return f"{axis} + CASE WHEN {before} IS NULL OR {after} IS NULL THEN 0 WHEN {a} - 2 * {b} + {c} < 0 THEN greatest(-0.5, least(0.5, 0.5 * ({a} - {c}) / ({a} - 2 * {b} + {c}))) ELSE 0 END"
 
 
 def _morph(name: str, source: str, agg: str, edge: bool) -> str:
@@ -382,7 +384,7 @@ ORACLES = {
     "stub_convolution": f"""WITH {DENSE}, k AS (SELECT * FROM (VALUES (-1, -1, 0.1), (-1, 0, 0.2), (-1, 1, 0.1), (0, -1, 0.0), (0, 0, 0.5), (0, 1, 0.0), (1, -1, -0.1), (1, 0, 0.1), (1, 1, -0.2)) t(dr, dc, w))
       SELECT a.row, a.col, round(sum(w::DOUBLE * b.z) + 0.25, 6) AS value FROM dense a, k JOIN dense b ON b.row = a.row + dr AND b.col = a.col + dc GROUP BY ALL""",
     "heatmap_peaks": f"""WITH {DENSE}, m AS (SELECT a.row, a.col, max(b.z) AS top FROM dense a JOIN dense b ON b.row BETWEEN a.row - 3 AND a.row + 3 AND b.col BETWEEN a.col - 3 AND a.col + 3 GROUP BY ALL),
-      n AS (SELECT row, col, z, coalesce(lag(z) OVER x, z) AS xl, coalesce(lead(z) OVER x, z) AS xr, coalesce(lag(z) OVER y, z) AS yl, coalesce(lead(z) OVER y, z) AS yr FROM dense
+      n AS (SELECT row, col, z, lag(z) OVER x AS xl, lead(z) OVER x AS xr, lag(z) OVER y AS yl, lead(z) OVER y AS yr FROM dense
             WINDOW x AS (PARTITION BY row ORDER BY col), y AS (PARTITION BY col ORDER BY row))
       SELECT row, col, round(z, 6) AS value, round({_sub('row', 'yl', 'yr')}, 5) AS sub_row, round({_sub('col', 'xl', 'xr')}, 5) AS sub_col FROM n JOIN m USING (row, col) WHERE z >= top AND z >= 35""",
     "close_valid_mask": f"""WITH {DENSE}, s AS (SELECT row, col, (z > 24)::INT AS v FROM dense), {_morph('d1', 's', 'max', False)}, {_morph('d2', 'd1', 'max', False)},

@@ -186,7 +186,7 @@ ORACLES = {
     "error_report": f"{_ERRORS} SELECT kind, error, count(*) AS n FROM errors GROUP BY ALL",
     "predict_detections": f"""WITH RECURSIVE {DENSE}, h AS (SELECT row, col, round(z / 50, 9) AS z FROM dense),
       m AS (SELECT row, max(z) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS t, col, z FROM h), tops AS (SELECT row, col, z, max(t) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top FROM m),
-      n AS (SELECT row, col, z, top, coalesce(lag(z) OVER x, z) AS xl, coalesce(lead(z) OVER x, z) AS xr, coalesce(lag(z) OVER y, z) AS yl, coalesce(lead(z) OVER y, z) AS yr FROM tops
+      n AS (SELECT row, col, z, top, lag(z) OVER x AS xl, lead(z) OVER x AS xr, lag(z) OVER y AS yl, lead(z) OVER y AS yr FROM tops
             WINDOW x AS (PARTITION BY row ORDER BY col), y AS (PARTITION BY col ORDER BY row)),
       p AS (SELECT row::BIGINT * 4294967296 + col AS id, {_sub('col', 'xl', 'xr')} AS cx, {_sub('row', 'yl', 'yr')} AS cy, round(z, 9) AS score FROM n WHERE z >= top - 1e-12 AND z >= 0.3),
       o AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM p),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import norm_crs
@@ -44,20 +44,29 @@ def read(spark, path: str, class_key: str = "class") -> DataFrame:
     return rows.select("path", "crs", "feat_id", "part_id", "cls", "score", "geom_type", F.transform("coords", _ring).alias("rings"))
 
 
+def _head(crs: str) -> str:
+    return f'{{"type":"FeatureCollection","crs":{{"type":"name","properties":{{"name":"{crs}"}}}},"features":['
+
+
+def _line(class_key: str, extra: tuple[str, ...] = ()) -> Column:
+    """A feature as text."""
+    point = F.to_json(F.array(F.col("rings")[0][0]["x"], F.col("rings")[0][0]["y"]))
+    rings = F.to_json(F.transform(oriented(F.col("rings")), lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    props = F.to_json(F.struct(F.col("cls").alias(class_key), F.col("score"), *extra))
+    return F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":{"type":"'), F.col("geom_type"), F.lit('","coordinates":'), F.when(F.col("geom_type") == "Point", point).otherwise(rings), F.lit("}}"))
+
+
 def write(features: DataFrame, path: str, crs: str = "EPSG:3857", class_key: str = "class", extra: tuple[str, ...] = (), files: int = 1) -> None:
     """Collections in ``files`` text files from features(feat_id, cls, score, geom_type, rings); empty input gives an empty collection.
 
     A file holds one line for each feature, so no task joins them into one value, and is written by one task; features
     are dealt to files by a hash of feat_id, which may repeat or be null (first). ``extra`` names further columns that become properties.
     """
-    point = F.to_json(F.array(F.col("rings")[0][0]["x"], F.col("rings")[0][0]["y"]))
-    rings = F.to_json(F.transform(oriented(F.col("rings")), lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
-    props = F.to_json(F.struct(F.col("cls").alias(class_key), F.col("score"), *extra))
-    line = F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":{"type":"'), F.col("geom_type"), F.lit('","coordinates":'), F.when(F.col("geom_type") == "Point", point).otherwise(rings), F.lit("}}"))
+    line = _line(class_key, extra)
     spark = features.sparkSession
     file = F.pmod(F.xxhash64("feat_id"), F.lit(files)).cast("int").alias("file")
     body = features.select(file, F.lit(1).alias("part"), F.col("feat_id").cast("long").alias("k"), line.alias("value"))
-    head = f'{{"type":"FeatureCollection","crs":{{"type":"name","properties":{{"name":"{crs}"}}}},"features":['
+    head = _head(crs)
     ends = spark.range(files).select(F.col("id").cast("int").alias("file"), F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(v).alias("value")) for p, v in ((0, head), (2, "]}"))))).alias("e"))
     ends = ends.select("file", "e.part", F.lit(0).cast("long").alias("k"), "e.value")
     lines = ends.unionByName(body).repartitionById(files, F.col("file")).sortWithinPartitions("part", "k", "value")
@@ -67,6 +76,20 @@ def write(features: DataFrame, path: str, crs: str = "EPSG:3857", class_key: str
     lines.select(F.when(comma, F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_by(features: DataFrame, groups: DataFrame, key: str, path: str, crs: str = "EPSG:3857", class_key: str = "class") -> None:
+    """A collection for each of ``groups(key)`` in a folder ``key=...`` of its own, an empty one without features(key, feat_id, cls, score, geom_type, rings).
+
+    A group is one sorted run of lines in a task, never a value; features of a key that groups lack aren't written.
+    """
+    body = features.join(groups.select(key).distinct(), key, "left_semi").select(key, F.lit(1).alias("part"), F.col("feat_id").cast("long").alias("k"), _line(class_key).alias("value"))
+    ends = F.inline(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(0).cast("long").alias("k"), F.lit(v).alias("value")) for p, v in ((0, _head(crs)), (2, "]}")))))
+    lines = body.unionByName(groups.select(key).distinct().select(key, ends))
+    before = F.lag("part").over(Window.partitionBy(key).orderBy("part", "k", "value"))
+    text = lines.withColumn("value", F.when((F.col("part") == 1) & (before == 1), F.concat(F.lit(","), "value")).otherwise(F.col("value")))
+    # the window leaves a group in one partition and in order, which the writer keeps
+    text.sortWithinPartitions(key, "part", "k", F.ltrim(F.lit(","), "value")).select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
+
+
 def merge(spark, paths: list[str], out: str, class_key: str = "class") -> None:
     """One collection of the features of several files, numbered anew in the order of paths, with the system that the first one declares."""
     joined, crs = None, None
