@@ -1,12 +1,13 @@
 """Connected components of an edge table by alternating large and small stars.
 
-The number of rounds grows with the logarithm of the longest path. Each round is cut by
+Up to ``ONE_TASK`` edges between numbers are joined in one task. Otherwise the number of rounds grows with the logarithm of the longest path. Each round is cut by
 a checkpoint; minima are partial aggregates that are joined back. The training-data part
 has its own over files, as neither part imports the other.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,34 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where(F.col("out") + F.col("in") > F.greatest(F.lit(1), F.col("in"))).isEmpty()
 
 
+#: Edges that one task joins at once; more are joined in rounds.
+ONE_TASK = 50_000
+
+
+def _at_once(edges: DataFrame) -> DataFrame:
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        above: dict[int, int] = {}
+
+        def root(n: int) -> int:
+            while above.get(n, n) != n:
+                above[n] = n = above.get(above[n], above[n])
+            return n
+
+        for a, b in zip(part["u"].tolist(), part["v"].tolist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            above[low], above[high] = above.get(low, low), low
+            above.setdefault(a, low), above.setdefault(b, low)
+        found = [(n, root(n)) for n in above]
+        return pd.DataFrame([f for f in found if f[0] != f[1]], columns=["node", "component"], dtype="int64")
+
+    return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "node long, component long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of ``edges(u, v)`` (numbers, or structs of a site and a number) that isn't itself the smallest."""
     found = cut(edges.select("u", "v").where("u <> v"))
+    if all(kind == "bigint" for _, kind in found.dtypes) and found.count() <= ONE_TASK:
+        return _at_once(found)
     while True:
         found = cut(_small_star(cut(_large_star(found))))
         if _stars(found):
