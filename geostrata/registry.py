@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .operators import catalogue, cells, geometry, ground, labels, matching, rasters, surveys, terrain, training, warp
-from .plans import outlines, pipelines
+from .plans import dataset, outlines, pipelines
 
-MODULES = (cells, terrain, matching, rasters, catalogue, labels, geometry, ground, training, surveys, warp, pipelines, outlines)
+MODULES = (cells, terrain, matching, rasters, catalogue, labels, geometry, ground, training, surveys, warp, pipelines, outlines, dataset)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
