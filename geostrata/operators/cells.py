@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import GRID, Frame
+from ..functions.shared import cut
+from ..model import BROADCAST_SITES, GRID, Frame
 from ..views import INSIDE, POINTS, points
+from .quantiles import percentiles
 
 RELIEF_WORDS = ("slope", "aspect", "hillshade", "slrm", "openness", "sky_view_factor", "curvature", "tpi", "tri")
 CLOUD_WORDS = ("point_density", "mean_intensity", "std_intensity", "non_first_return_ratio", "mean_return_number", "mean_z", "z_std")
@@ -95,7 +97,8 @@ def channel_mask(cells: DataFrame, channels: list[str]) -> DataFrame:
 
 def normalize(cells: DataFrame, group: str = "layer", limit: float = 8.0) -> DataFrame:
     """(value - median) / (p98 - p2), clipped, by group; a scale below 1e-6 counts as 1."""
-    parts = cells.groupBy(group).agg(F.percentile("value", F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98))).alias("p"))
+    parts = cut(percentiles(cells, (group,), "value", [0.02, 0.5, 0.98]))
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_SITES else parts
     scale = F.col("p")[2] - F.col("p")[0]
     scaled = (F.col("value") - F.col("p")[1]) / F.when(scale < 1e-6, 1.0).otherwise(scale)
     return cells.join(parts, group).withColumn("normalized", F.greatest(F.lit(-limit), F.least(F.lit(limit), scaled))).drop("p")

@@ -12,6 +12,7 @@ from ..functions.window2d import extreme
 from ..model import BROADCAST_SITES, GRID, Frame, Grid
 from ..views import DENSE, INSIDE, POINTS, full_grid, points
 from .cells import bin_points, with_cells
+from .quantiles import percentiles
 from .terrain import elevation
 
 # -- spectral ---------------------------------------------------------------
@@ -58,10 +59,10 @@ def spectral_indices(bands: DataFrame, std_min: float = 0.01) -> tuple[DataFrame
 
 def stretch(cells: DataFrame, value: str) -> DataFrame:
     """Adds byte: 2 to 98 percentile stretch over non-zero values."""
-    p = cells.where(F.col(value) != 0).agg(F.percentile(value, F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
+    p = percentiles(cells.where(F.col(value) != 0), (), value, [0.02, 0.98])
     share = (F.col(value) - F.col("p")[0]) / F.when(F.col("p")[1] > F.col("p")[0], F.col("p")[1] - F.col("p")[0]).otherwise(1.0)
     byte = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * 255)
-    return cells.join(F.broadcast(p)).withColumn("byte", F.when(F.col(value) == 0, 0).otherwise(byte).cast("int")).drop("p")
+    return cells.join(F.broadcast(p), how="left").withColumn("byte", F.when(F.col(value) == 0, 0).otherwise(byte).cast("int")).drop("p")
 
 
 # -- alignment --------------------------------------------------------------

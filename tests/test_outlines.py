@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geostrata.functions.polygons import ring_area
 from geostrata.model import SiteGrids
+from geostrata.operators import quantiles, rasters
 from geostrata.operators.nearest import k_nearest
 from geostrata.operators.rasters import peaks
 from geostrata.plans.outlines import Outlining, outline_objects, write_objects
@@ -100,3 +101,20 @@ def test_wrong_parameters(spark):
             Outlining(**wrong)
     with pytest.raises(ValueError):
         outline_objects(probs, grids, ["a", "a"])
+
+
+def test_percentiles_of_large_groups(spark, monkeypatch):
+    spread = F.expr("CASE g WHEN 0 THEN pmod(xxhash64(id), 5000) / 100.0 WHEN 1 THEN 5.0 + int(id % 7 = 0) WHEN 2 THEN exp(id % 50) ELSE double('NaN') END")
+    df = spark.range(40_000).select(F.when(F.col("id") % 50 > 0, F.col("id") % 4).alias("g"), "id").withColumn("v", spread).where("g <> 2 OR id < 400")
+    shares = [0.0, 0.02, 0.333, 0.5, 0.98, 1.0]
+    want = {r.g: r.p for r in df.where("NOT isnan(v)").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p")).collect() if r.g is not None}
+    for at_once in (1_000, 1_000_000):
+        monkeypatch.setattr(quantiles, "AT_ONCE", at_once)
+        got = {r.g: r.p for r in quantiles.percentiles(df.where("g IS NOT NULL"), ("g",), "v", shares).collect()}
+        assert set(got) == set(want) == {0, 1, 2} and all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want)
+    assert quantiles.percentiles(df.limit(0), ("g",), "v", shares).count() == 0 and quantiles.percentiles(df.limit(0), (), "v", shares).count() == 0
+
+
+def test_stretch_of_zeros(spark):
+    rows = spark.createDataFrame([(0.0,), (0.0,)], "v double")
+    assert [r.byte for r in rasters.stretch(rows, "v").collect()] == [0, 0]
