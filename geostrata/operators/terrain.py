@@ -21,6 +21,8 @@ from .cells import bin_points, with_cells
 from .nearest import k_nearest
 
 
+#: Radius in cells of the first search for a hole's neighbours: 49 cells.
+DISC = 4.0
 #: Raster rows that a task of ``fill_nearest`` holds at a time.
 ROWS_OF_GROUP = 16
 
@@ -82,16 +84,24 @@ def fill_nearest(cells: DataFrame, values: list[str], keys: tuple[str, ...] = ()
 def fill_idw(cells: DataFrame, value: str, max_dist: float | None, k: int = 8, power: float = 2.0, keys: tuple[str, ...] = (), only: str | None = None) -> DataFrame:
     """Nulls (those that the boolean column ``only`` names, if given) become the inverse-distance mean of the k nearest cells with a value, of fewer if there are fewer; ties by row, then column. Adds observed.
 
-    A hole whose nearest cell lies beyond max_dist cells stays null (None: none does). The k nearest come from a pyramid of
-    blocks (see ``nearest.k_nearest``), so a hole meets k cells times a constant however large the gap is.
+    A hole whose nearest cell lies beyond max_dist cells stays null (None: none does). Most holes find k cells within
+    ``DISC``; for the others the k nearest come from a pyramid of blocks (see ``nearest.k_nearest``). So a hole meets at most a disc's
+    cells and k cells times a constant, however large the gap is.
     """
     whole = [*keys, "row", "col"]
     cells = cut(cells)
     known = cells.where(F.col(value).isNotNull()).select(*whole, F.col(value).alias("__v"))
     holes = cells.where(F.col(value).isNull() & (F.col(only) if only else F.lit(True))).select(*whole)
     weight = 1 / (F.col("d2") if power == 2 else F.pow("d2", F.lit(power / 2)))
-    near = k_nearest(holes, known, k, keys, max_dist)
-    filled = near.groupBy(*whole).agg((F.sum(weight * F.col("__v")) / F.sum(weight)).alias("filled"))
+    mean = (F.sum(weight * F.col("__v")) / F.sum(weight)).alias("filled")
+    place = F.row_number().over(Window.partitionBy(*keys, "hrow", "hcol").orderBy("d2", "row", "col"))
+    close = _donors(holes, known, DISC, keys).withColumn("place", place).where(F.col("place") <= k)
+    close = close.groupBy(*keys, "hrow", "hcol").agg(mean, F.min("d2").alias("first"), F.count("*").alias("n")).where(F.col("n") >= k)
+    close = cut(close.withColumnsRenamed({"hrow": "row", "hcol": "col"}))
+    filled = close if max_dist is None else close.where(F.col("first") <= float(max_dist) * max_dist)
+    filled, short = filled.select(*whole, "filled"), cut(holes.join(close.select(*whole), whole, "left_anti"))
+    if not short.isEmpty():
+        filled = filled.unionByName(k_nearest(short, known, k, keys, max_dist).groupBy(*whole).agg(mean))
     joined = cells.join(filled, whole, "left")
     return joined.withColumn("observed", F.col(value).isNotNull()).withColumn(value, F.coalesce(value, "filled")).drop("filled")
 
