@@ -47,9 +47,10 @@ def informative(bands: DataFrame, names: list[str], std_min: float = 0.01) -> li
     return [n for n in there if found[n] is not None and found[n] >= std_min]
 
 
-def spectral_indices(bands: DataFrame, std_min: float = 0.01) -> tuple[DataFrame, list[str]]:
-    """row, col and every index whose bands are informative; and the names skipped. Null bands (nodata) give null."""
-    good = set(informative(bands, ["red", "green", "blue", "nir"], std_min))
+def spectral_indices(bands: DataFrame, std_min: float | None = 0.01) -> tuple[DataFrame, list[str]]:
+    """row, col and every index whose bands are informative (std_min None: whose bands are there); and the names skipped. Null bands (nodata) give null."""
+    names = ["red", "green", "blue", "nir"]
+    good = {n for n in names if n in bands.columns} if std_min is None else set(informative(bands, names, std_min))
     used = {n: make() for n, (need, make) in INDICES.items() if set(need) <= good}
     valid = F.lit(True)
     for b in good:
@@ -237,7 +238,7 @@ def _bands(spark, sf_dir):
 
 
 def q_spectral(spark, sf_dir):
-    found, _ = spectral_indices(_bands(spark, sf_dir))
+    found, _ = spectral_indices(_bands(spark, sf_dir), None)  # where every cell holds a highest return, nir is constant: its columns are wanted all the same
     return found.select("row", "col", *(F.round(n, 6).alias(n) for n in INDICES))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geostrata.functions import polygons as kernels
-from geostrata.operators import matching
+from geostrata.operators import matching, rasters
 from geostrata.operators.geometry import squares
 
 N_DETS, N_GTS = 40, 25
@@ -98,3 +98,11 @@ def test_nms_and_conflicts_of_copies(spark, monkeypatch):
     monkeypatch.setattr(matching, "conflicts", lambda given, *a: (seen.append(given.count()), real(given, *a))[1])
     assert {r.id for r in matching.nms(dets, 1.0).collect()} == {k[0] for k in kept} | {5, 6}
     assert seen == [4]
+
+
+def test_spectral_query_of_constant_bands(spark, tmp_path):
+    """Every cell's highest return is the same: the query keeps its columns."""
+    rows = [(i, 1, 1, 1, 1000.0 * i + 1, 50.0, 0.01 * (i % 3), "A", "O") for i in range(20)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = rasters.q_spectral(spark, str(tmp_path)).collect()
+    assert len(found) == 20 and all(r.ndvi == 0 and r.sr == 1 for r in found)
