@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import cut
 from ..functions.window2d import gradient
-from ..model import SiteGrids
+from ..model import BROADCAST_SITES, SiteGrids
 from ..views import POINTS, full_grid, points
 from .terrain import fill_nearest, progressive_opening
 
@@ -31,6 +31,10 @@ class Preset:
 PRESETS = {"strict": Preset(0.3, 0.3, 8, (3, 5, 7, 9, 11, 13, 15)), "soft": Preset(1.0, 0.15, 4, (5, 9, 15))}
 
 
+#: Surfaces are broadcast up to this many cells (32 MB), so the points are neither shuffled nor sorted; beyond it they meet their cells by a shuffle.
+BROADCAST_CELLS = 1_000_000
+
+
 def cover(pts: DataFrame, cell: float, keys: tuple[str, ...]) -> SiteGrids:
     """The internal grids over all points of each site."""
     b = pts.groupBy(*keys).agg(F.min("x").alias("x_min"), F.max("x").alias("x1"), F.min("y").alias("y_min"), F.max("y").alias("y1"))
@@ -51,7 +55,7 @@ def _surface(pts: DataFrame, grid: SiteGrids, preset: Preset, cell: float) -> Da
     """*keys, row, col, surface, slope: filled minimum of the points, opened, and its gradient's length."""
     k = grid.keys
     low = pts.groupBy(*k, "row", "col").agg(F.min("z").alias("low"))
-    frame = full_grid(pts.sparkSession, grid).join(pts.select(*k).distinct(), list(k), "left_semi")
+    frame = full_grid(pts.sparkSession, grid).join(low.select(*k).distinct(), list(k), "left_semi")
     filled = fill_nearest(frame.join(low, [*k, "row", "col"], "left"), ["low"], k).drop("observed")
     opened = progressive_opening(filled, "low", preset.windows, k)
     sloped = opened.withColumns({"gx": gradient("opened", "x", cell, k), "gy": gradient("opened", "y", cell, k)})
@@ -71,21 +75,25 @@ def filter_ground(pts: DataFrame, preset: str = "soft", cell: float = 1.0, min_c
     if grid.table.isEmpty():
         raise ValueError("an empty point cloud has no ground")
     placed = _placed(pts, grid)
+    sites, cells = grid.table.agg(F.count("*"), F.sum(F.col("__width").cast("long") * F.col("__height"))).first()
+    # of a single site all points have one key, which a shuffle would bring to one task
+    by_site = F.broadcast if sites <= BROADCAST_SITES else lambda x: x
+    by_cell = F.broadcast if cells <= BROADCAST_CELLS else lambda x: x
     state, out, rounds = grid.table.select(*k, F.lit(0).cast("long").alias("before")), [], 0
     surface = _surface(placed.where("inner"), grid, p, cell)
     while True:
         rounds += 1
         ground = F.coalesce((F.col("z") - F.col("surface") <= p.height) & (F.col("slope") <= p.slope), F.lit(False))
-        marked = cut(placed.join(surface, [*k, "row", "col"], "left").withColumn("ground", ground).drop("surface", "slope"))
+        marked = cut(placed.join(by_cell(surface), [*k, "row", "col"], "left").withColumn("ground", ground).drop("surface", "slope"))
         now = marked.groupBy(*k).agg(F.count_if("ground").alias("now")).join(state, list(k))
         change = F.abs(F.col("now") - F.col("before")) / F.greatest(F.col("before"), F.lit(1))
         done = ((change < min_change) & F.lit(rounds > 1)) | F.lit(rounds == p.rounds) | (F.col("now") == 0)
         now = cut(now.withColumn("done", done))
-        out.append(marked.join(now.where("done").select(*k), list(k), "left_semi"))
+        out.append(marked.join(by_site(now.where("done").select(*k)), list(k), "left_semi"))
         state = now.where("not done").select(*k, F.col("now").alias("before"))
         if state.isEmpty():
             break
-        placed = marked.join(state.select(*k), list(k), "left_semi")
+        placed = marked.join(by_site(state.select(*k)), list(k), "left_semi")
         surface, placed = _surface(placed.where("ground"), grid, p, cell), placed.drop("ground")
     found = out[0]
     for more in out[1:]:
