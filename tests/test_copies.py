@@ -106,3 +106,14 @@ def test_spectral_query_of_constant_bands(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     found = rasters.q_spectral(spark, str(tmp_path)).collect()
     assert len(found) == 20 and all(r.ndvi == 0 and r.sr == 1 for r in found)
+
+
+def test_match_of_copies_at_sites(spark, overlaps):
+    """Sites with the same ids and shapes stay apart."""
+    dets, gts = scene(2)
+    site = lambda rows, s: [(s, *r) for r in rows]
+    few = gts[:10]
+    preds, truths = objects(spark, site(dets, "a") + site(dets, "b"), "site string, "), objects(spark, site(gts, "a") + site(few, "b"), "site string, ", False)
+    got = {(r.site, r.id, r.gt_id) for r in matching.match(preds, truths, keys=("site",)).collect()}
+    assert got == {("a", *p) for p in greedy(dets, gts)} | {("b", *p) for p in greedy(dets, few)}
+    assert 0 < overlaps.value <= 100
