@@ -11,20 +11,23 @@ from .shared import cut
 BLOCK = 1024
 
 
+def named(rows: DataFrame, by: list[str], ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The distinct *by with a number ``kind``; and ``kind, *ids`` of every row, neither shuffled nor sorted: the number is a hash of *by, unless two kinds share one."""
+    number = F.xxhash64(*by).alias("kind")
+    found = cut(rows.select(number, *by).distinct())
+    if found.groupBy("kind").count().where("count > 1").isEmpty():
+        return found, cut(rows.select(number, *ids))
+    found = cut(found.select(*by).distinct().withColumn("kind", F.monotonically_increasing_id()))
+    known = found.select("kind", *(F.col(c).alias(f"__{c}") for c in by))
+    return found, cut(rows.join(known, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]).select("kind", *ids))
+
+
 def kinds(rows: DataFrame, by: list[str], ids: list[str]) -> tuple[DataFrame, DataFrame]:
     """The distinct *by with a number ``kind``; and ``kind, members``, arrays of about ``BLOCK`` structs of ids, so that no task gathers a large kind."""
-    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    found, own = named(rows, by, ids)
+    most = own.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
     part = F.pmod(F.xxhash64(*ids), F.lit(max(1, -(-most // BLOCK))))
-    blocks = cut(rows.groupBy(*by, part.alias("__part")).agg(F.collect_list(F.struct(*ids)).alias("members")))
-    found = cut(blocks.select(*by).distinct().withColumn("kind", F.monotonically_increasing_id()))
-    named = found.select("kind", *(F.col(c).alias(f"__{c}") for c in by))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    return found, cut(blocks.join(named, same).select("kind", "members"))
-
-
-def rows_of(members: DataFrame) -> DataFrame:
-    """kind and the ids of every member."""
-    return members.select("kind", F.explode("members").alias("m")).select("kind", "m.*")
+    return found, cut(own.groupBy("kind", part.alias("__part")).agg(F.collect_list(F.struct(*ids)).alias("members")).select("kind", "members"))
 
 
 def spread(pairs: DataFrame, one: DataFrame, two: DataFrame, first: str, second: str) -> DataFrame:

@@ -77,6 +77,79 @@ def iou(a: list[np.ndarray], b: list[np.ndarray]) -> float:
     return shared / either if either > 0 else 0.0
 
 
+#: Edges that aren't upright of two polygons, at most, whose overlap is worked out together with others'.
+_FEW = 24
+
+
+def ious(a: tuple[list, list, list], b: tuple[list, list, list]) -> np.ndarray:
+    """``iou`` of many pairs: each side gives, for every pair, flat x, flat y and the rings' sizes. Pairs of few edges are worked out together, as many edges at a time."""
+    n = len(a[0])
+    out, (one, low, high), (two, low_b, high_b) = np.zeros(n), _flat_edges(*a), _flat_edges(*b)
+    # as in ``iou``: outer rings whose boxes don't meet share nothing, and a's lower corner is the origin
+    meet = ~(np.minimum(high, high_b) <= np.maximum(low, low_b)).any(1)
+    both = np.concatenate((one, two))
+    own = np.arange(len(both)) < len(one)
+    both[:, 1:] -= np.tile(low[both[:, 0].astype(int)], 2)
+    both, own = both[wide := both[:, 1] != both[:, 3]], own[wide]
+    order = np.argsort(both[:, 0], kind="stable")
+    both, own = both[order], own[order]
+    edges = np.bincount(both[:, 0].astype(int), minlength=n)
+    start = np.cumsum(edges) - edges
+    finite = np.ones(n, bool)
+    finite[both[~np.isfinite(both).all(1), 0].astype(int)] = False
+    finite &= np.isfinite(low).all(1) & np.isfinite(low_b).all(1)
+    for e in np.unique(edges[meet & finite & (edges <= _FEW)]):
+        these = np.flatnonzero(meet & finite & (edges == e))
+        step = max(1, _TABLE // max(1, (2 * e + e * (e - 1) // 2) * e))
+        for k in range(0, len(these) if e else 0, step):
+            rows = start[these[k : k + step], None] + np.arange(e)
+            shared, either = _overlaps(both[rows, 1:], own[rows])
+            out[these[k : k + step]] = np.divide(shared, either, out=np.zeros(len(rows)), where=either > 0)
+    for i in np.flatnonzero(~finite | (meet & (edges > _FEW))):
+        rings = ([*np.split(np.stack((s[0][i], s[1][i]), axis=1), np.cumsum(s[2][i])[:-1])] for s in (a, b))
+        out[i] = iou(*rings)
+    return out
+
+
+def _flat_edges(x: list, y: list, sizes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pair, x, y and the next vertex's x, y of every edge; least and greatest corner of each pair's first ring."""
+    rings = np.concatenate(sizes).astype(int)
+    at = np.stack((np.concatenate(x), np.concatenate(y)), axis=1).astype(float)
+    end = np.cumsum(rings)
+    after = np.arange(1, len(at) + 1)
+    after[(end - 1)[rings > 0]] = (end - rings)[rings > 0]
+    count = [len(s) for s in sizes]
+    points = np.repeat(np.repeat(np.arange(len(x)), count), rings)
+    first = np.cumsum(count) - count
+    begin, stop = (end - rings)[first], end[first]
+    outer = np.repeat(np.arange(len(x)), stop - begin)
+    inner = np.arange(len(outer)) - np.repeat(np.cumsum(stop - begin) - (stop - begin), stop - begin) + np.repeat(begin, stop - begin)
+    heads = np.cumsum(stop - begin) - (stop - begin)
+    return np.column_stack((points, at, at[after])), np.minimum.reduceat(at[inner], heads), np.maximum.reduceat(at[inner], heads)
+
+
+def _overlaps(edges: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``overlap`` of pairs with equally many edges (pair, edge, x y x y), own those of the first polygon; slabs between equal cuts have no width."""
+    x1, y1, x2, y2 = np.moveaxis(edges, 2, 0)
+    slope = (y2 - y1) / (x2 - x1)
+    left, right, base = np.minimum(x1, x2), np.maximum(x1, x2), y1 - slope * x1
+    i, j = np.triu_indices(edges.shape[1], 1)
+    turn = slope[:, i] - slope[:, j]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = (base[:, j] - base[:, i]) / turn
+    met = (turn != 0) & (x > np.maximum(left[:, i], left[:, j])) & (x < np.minimum(right[:, i], right[:, j]))
+    cuts = np.sort(np.concatenate((left, right, np.where(met, x, left[:, :1])), axis=1), axis=1)
+    middle, width = ((cuts[:, :-1] + cuts[:, 1:]) / 2)[:, :, None], np.diff(cuts, axis=1)
+    y = np.where((left[:, None] < middle) & (middle < right[:, None]), slope[:, None] * middle + base[:, None], np.inf)
+    order = np.argsort(y, axis=2)
+    y, first = np.take_along_axis(y, order, 2), np.take_along_axis(np.broadcast_to(own[:, None], y.shape), order, 2)
+    live = np.isfinite(y)
+    in_one, in_two = np.cumsum(first & live, axis=2) % 2 == 1, np.cumsum(~first & live, axis=2) % 2 == 1
+    length = np.where(live[:, :, 1:], np.diff(np.where(live, y, 0.0), axis=2), 0.0)
+    shared, either = ((length * held[:, :, :-1]).sum(2) * width for held in (in_one & in_two, in_one | in_two))
+    return shared.sum(1), either.sum(1)
+
+
 def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
     """The ring with the vertices that its chords miss by more than the tolerance; one with fewer than three of them stays as it is.
 

@@ -19,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df from files of the shared folder: lost executors only repeat reads."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, share: int, *by: str) -> DataFrame:
+    """df dealt evenly over tasks of about ``share`` rows, by the columns where there are any; as many tasks as a shuffle has, at most. It counts df: cheap for files and what is cut."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(most, max(1, -(-df.count() // share))), *by)

@@ -3,10 +3,12 @@
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from geostrata.functions import copies
 from geostrata.functions import polygons as kernels
 from geostrata.operators import matching, rasters
 from geostrata.operators.geometry import squares
@@ -117,3 +119,45 @@ def test_match_of_copies_at_sites(spark, overlaps):
     got = {(r.site, r.id, r.gt_id) for r in matching.match(preds, truths, keys=("site",)).collect()}
     assert got == {("a", *p) for p in greedy(dets, gts)} | {("b", *p) for p in greedy(dets, few)}
     assert 0 < overlaps.value <= 100
+
+
+def test_match_leaves_other_classes_out(spark, overlaps):
+    """Overlaps with truths of other classes are not worked out; without classes they are."""
+    dets = [(i, 0.0, 0.0, 2.0, 0, 0.5) for i in range(4)]
+    gts = [(1, 0.0, 0.0, 2.0, 0, 0.0), *((c + 1, 0.0, 0.0, 2.0, c, 0.0) for c in range(1, 6))]
+    preds, truths = objects(spark, dets), objects(spark, gts, score=False)
+    assert [(r.id, r.gt_id) for r in matching.match(preds, truths).collect()] == [(0, 1)]
+    assert overlaps.value == 1
+    assert {(r.id, r.gt_id) for r in matching.match(preds, truths, class_agnostic=True).collect()} == {(0, 1), (1, 2), (2, 4), (3, 5)}  # class 2 has a hole
+    assert overlaps.value > 1
+
+
+def test_kinds_of_one_hash_stay_apart(spark):
+    """A null is skipped by the hash, so these two kinds share it."""
+    rows = spark.createDataFrame([(1, None, 10), (None, 1, 20), (1, None, 11)], "a long, b long, id long")
+    assert rows.select(F.xxhash64("a", "b")).distinct().count() == 1
+    found, own = copies.named(rows, ["a", "b"], ["id"])
+    assert {(r.a, r.b, r.id) for r in found.join(own, "kind").collect()} == {(1, None, 10), (None, 1, 20), (1, None, 11)}
+    assert found.count() == found.select("kind").distinct().count() == 2
+    found, blocks = copies.kinds(rows, ["a", "b"], ["id"])
+    assert {(r.a, tuple(sorted(m.id for m in r.members))) for r in found.join(blocks, "kind").collect()} == {(1, (10, 11)), (None, (20,))}
+
+
+def test_overlaps_worked_out_together():
+    """The same as one by one: holes, both orientations, equal polygons, edges in common, many edges, no area, no number."""
+    rng = np.random.default_rng(3)
+
+    def polygon(k):
+        at, half = np.round(rng.uniform(0, 4, 2) * 2) / 2, rng.choice([0.5, 1.0, 2.0])
+        if k == 0:
+            square = np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)]) * half
+            return [square[:: rng.choice([1, -1])] + at, square * 0.2 + at][: rng.choice([1, 2])]
+        turn = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(3, 60 if k == 2 else 9)))
+        return [np.stack((np.cos(turn), np.sin(turn)), 1) * half * rng.uniform(0.4, 1, (len(turn), 1)) + at + 1e6 * (k == 1)]
+
+    pairs = [(polygon(k % 3), polygon(k // 3 % 3)) for k in range(450)]
+    pairs += [(a, a) for a, _ in pairs[:30]] + [([np.zeros((3, 2))], pairs[0][1]), ([np.full((3, 2), np.nan)], pairs[0][1])]
+    sides = [([np.concatenate(p[s])[:, 0] for p in pairs], [np.concatenate(p[s])[:, 1] for p in pairs], [[len(r) for r in p[s]] for p in pairs]) for s in (0, 1)]
+    want = np.array([kernels.iou(a, b) for a, b in pairs])
+    assert (want > 0).sum() > 50
+    np.testing.assert_allclose(kernels.ious(*sides), want, atol=1e-12)
